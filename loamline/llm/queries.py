@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamline.llm import secrets, simhash
+from loamline.llm import rans, secrets, simhash
 from loamline.llm.base import table
 
 
+def op4_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = rans.write_corpus(table(spark, sf_dir, "documents"), end_id=2)
+    return rans.read_corpus(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -16,5 +21,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash_near_dedup, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op4_rans_token_files, op5_simhash_near_dedup, op10_secret_scans)}
 ORACLES: dict[str, str] = {}
