@@ -30,9 +30,10 @@ from loamline.llm.base import settle, text_or_empty
 from loamline.llm.tokens import word_encoder, word_tokenizer_path
 
 CAPACITY = 2048
-PHASES = 24
+PHASES = 12
 REFRESH = 48
-ETA = 4.0
+ETA = 8.0
+RAISE = 0.05
 BUCKET_ROWS = 250_000
 
 
@@ -69,8 +70,13 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, phases: int = PHA
     """Configurations with fractional copies that cover every length's pieces.
 
     In phase k all lengths are brought to the share k/phases. The longest
-    length that lags is put into a configuration, priced by the knapsack on the
-    current weights; the step is as large as its scarcest length allows.
+    length that lags goes into a configuration whose rest is priced by the
+    knapsack on the current weights; the step is as large as its scarcest
+    length allows. A length's weight is its volume, raised by a factor that
+    falls exponentially with the share already covered (the multiplicative
+    weight): filled-up sequences stay worth most, and among equally full ones
+    those made of lagging lengths. Prices are renewed every ``REFRESH`` steps
+    and whenever covered lengths have left a gap.
     """
     need = np.zeros(capacity + 1)
     for l, n in histogram.items():
@@ -81,26 +87,30 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, phases: int = PHA
     weight = np.zeros(capacity + 1)
 
     def price():
-        weight[present] = np.where(covered[present] < 1 - 1e-9, present / capacity * np.exp(-ETA * covered[present]), 0)
+        share = covered[present]
+        weight[present] = np.where(share < 1, present / capacity * (1 + RAISE * np.exp(-ETA * share)), 0)
         return knapsack(weight, capacity)
 
-    best, took = price()
-    steps = 0
+    took = price()[1]
+    age = 0
     for phase in range(1, phases + 1):
         goal = phase / phases
         for l in present[::-1].tolist():
             while covered[l] < goal - 1e-9:
-                steps += 1
-                if steps % REFRESH == 0:
-                    best, took = price()
-                config = _trace(took, capacity - l)
-                config = {k: a for k, a in config.items() if covered[k] < 1 - 1e-9}
+                config = {k: a for k, a in _trace(took, capacity - l).items() if covered[k] < 1}
+                gap = capacity - l - sum(k * a for k, a in config.items())
+                if age >= REFRESH or age and gap:
+                    took, age = price()[1], 0
+                    config = _trace(took, capacity - l)
+                age += 1
                 config[l] = config.get(l, 0) + 1
-                ask = lambda k, a: need[k] * max(1e-9, max(goal, covered[k] + 1 / phases) - covered[k] if k != l else goal - covered[k]) / a  # noqa: B023, E731
-                step = min(min(ask(k, a) for k, a in config.items()), min(need[k] * (1 - covered[k]) / a for k, a in config.items()))
+                step = need[l] * (goal - covered[l]) / config[l]
+                for k, a in config.items():
+                    if k != l:
+                        step = min(step, need[k] * min(1 / phases, 1 - covered[k]) / a)
                 copies[tuple(sorted(config.items(), reverse=True))] += step
                 for k, a in config.items():
-                    covered[k] = min(1.0, covered[k] + a * step / need[k])
+                    covered[k] += a * step / need[k]
                     if covered[k] > 1 - 1e-9:
                         covered[k] = 1.0
     return [(dict(c), x) for c, x in copies.items()]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamline.llm import rans, secrets, simhash
+from loamline.llm import packing, rans, secrets, simhash, tokens
 from loamline.llm.base import table
 
 
@@ -17,9 +17,18 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of each document, from one encoding of the whole text."""
+    return tokens.section_token_counts(table(spark, sf_dir, "documents"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), end_id=0)
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op4_rans_token_files, op5_simhash_near_dedup, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op4_rans_token_files, op5_simhash_near_dedup, op6_token_counts, op8_best_fit_packing, op10_secret_scans)}
 ORACLES: dict[str, str] = {}
