@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamline.llm import packing, rans, secrets, simhash, tokens
+from loamline.llm import packing, rans, secrets, simhash, sketches, tokens
 from loamline.llm.base import table
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprints_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op4_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = rans.write_corpus(table(spark, sf_dir, "documents"), end_id=2)
     return rans.read_corpus(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -30,5 +34,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op4_rans_token_files, op5_simhash_near_dedup, op6_token_counts, op8_best_fit_packing, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op4_rans_token_files, op5_simhash_near_dedup, op6_token_counts, op8_best_fit_packing, op10_secret_scans)}
 ORACLES: dict[str, str] = {}
