@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamline.llm import packing, rans, secrets, simhash, sketches, tokens
+from loamline.llm import packing, rans, secrets, simhash, sketches, tokens, transducer
 from loamline.llm.base import table
 
 
@@ -30,9 +30,13 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), end_id=0)
 
 
+def op9_byte_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.digest(transducer.encode_and_decode(table(spark, sf_dir, "documents")))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op4_rans_token_files, op5_simhash_near_dedup, op6_token_counts, op8_best_fit_packing, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op4_rans_token_files, op5_simhash_near_dedup, op6_token_counts, op8_best_fit_packing, op9_byte_bpe_transducer, op10_secret_scans)}
 ORACLES: dict[str, str] = {}

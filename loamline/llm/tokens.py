@@ -23,7 +23,7 @@ from loamline.llm.base import text_or_empty
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.tiktoken"
-CACHE_ENTRIES = 1_500_000
+CACHE_ENTRIES = 500_000
 
 #: Letters that are single code points in NFC with single-letter lower cases, then punctuation that is one pre-token.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
