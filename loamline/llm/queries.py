@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loamline.llm import packing, rans, secrets, simhash, sketches, tokens, transducer
+from loamline.llm import mtree, packing, rans, secrets, simhash, sketches, tokens, transducer
 from loamline.llm.base import table
 
 
@@ -26,6 +27,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.section_token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return mtree.top_k(rows, rows.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), end_id=0)
 
@@ -38,5 +44,19 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op4_rans_token_files, op5_simhash_near_dedup, op6_token_counts, op8_best_fit_packing, op9_byte_bpe_transducer, op10_secret_scans)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op4_rans_token_files, op5_simhash_near_dedup, op6_token_counts, op7_exact_top_k, op8_best_fit_packing, op9_byte_bpe_transducer, op10_secret_scans)}
+ORACLES: dict[str, str] = {
+    "op7_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s
+        )
+        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
+    """,
+}
