@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import mtree, packing, rans, secrets, simhash, sketches, tokens, transducer
+from loamline.llm import mtree, packing, rans, secrets, simhash, sketches, tokens, toxicity, transducer
 from loamline.llm.base import table
 
 
@@ -13,6 +13,12 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.fingerprints_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op4_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = rans.write_corpus(table(spark, sf_dir, "documents"), end_id=2)
     return rans.read_corpus(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -44,7 +50,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op4_rans_token_files, op5_simhash_near_dedup, op6_token_counts, op7_exact_top_k, op8_best_fit_packing, op9_byte_bpe_transducer, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_toxicity, op4_rans_token_files, op5_simhash_near_dedup, op6_token_counts, op7_exact_top_k, op8_best_fit_packing, op9_byte_bpe_transducer, op10_secret_scans)}
 ORACLES: dict[str, str] = {
     "op7_exact_top_k": """
         WITH v AS (
