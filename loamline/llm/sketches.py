@@ -26,6 +26,7 @@ FLOOR = 48
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 QUANTILES = 256
 BUCKET_ROWS = 20_000
+BROADCAST_HEADS = 1_000_000
 
 
 def _let(value: Column, body) -> Column:
@@ -101,15 +102,16 @@ def rendered(s: Column) -> Column:
     return F.concat(digits(s["threshold"]), F.lit(":"), F.array_join(F.transform(s["hashes"], digits), ""))
 
 
-def with_successor(docs: DataFrame, id_col: str, columns: list[str], ties: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def with_successor(docs: DataFrame, id_col: str, columns: list[str], ties: str, derive: dict[str, Column] | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``docs`` plus ``next_<column>`` of the row with the next id; the last row's next is the first.
 
     Ids are dealt into buckets: between each two of ``QUANTILES`` quantiles,
     evenly by value. The smallest row of each bucket also goes, marked, to the
     end of the bucket before (that of the first to the last), so each bucket
-    finds its rows' successors alone. Only the quantiles reach the driver; the
-    table of bucket heads has one row for about ``bucket_rows`` documents and
-    is joined in the way its size suggests to Spark. Rows with the same id
+    finds its rows' successors alone. Only the quantiles reach the driver. The
+    table of bucket heads has one row for about ``bucket_rows`` documents: up to
+    ``BROADCAST_HEADS`` rows it is broadcast, beyond that joined by shuffle.
+    ``derive`` adds columns before the rows are dealt. Rows with the same id
     follow one another in the order of ``ties``; null ids come first.
     """
     i = F.col(id_col).cast("long")
@@ -129,8 +131,10 @@ def with_successor(docs: DataFrame, id_col: str, columns: list[str], ties: str,
     whole = Window.orderBy("_bucket")  # one row for each bucket
     last = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select("_head", F.coalesce(F.lag("_bucket").over(whole), F.last("_bucket").over(last)).alias("_to"))
+    if (len(cuts) + 1) * inner <= BROADCAST_HEADS:
+        heads = F.broadcast(heads)
     ghosts = docs.join(heads, i.eqNullSafe(F.col("_head"))).select(*docs.columns, F.col("_to").alias("_bucket"), F.lit(1).alias("_ghost"))
-    both = dealt.withColumn("_ghost", F.lit(0)).select(*docs.columns, "_bucket", "_ghost").unionAll(ghosts)
+    both = dealt.withColumn("_ghost", F.lit(0)).select(*docs.columns, "_bucket", "_ghost").unionAll(ghosts).withColumns(derive or {})
     over = Window.partitionBy("_bucket").orderBy("_ghost", F.col(id_col).asc_nulls_first(), ties)
     return both.withColumns({f"next_{c}": F.lead(c).over(over) for c in columns}).where("_ghost = 0").drop("_bucket", "_ghost")
 
@@ -148,7 +152,7 @@ def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: s
     Other columns of ``docs`` are not read.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    paired = with_successor(source.withColumn("own", sketch(F.col("text"))), "doc_id", ["text", "own"], "text")
+    paired = with_successor(source, "doc_id", ["text", "own"], "text", {"own": sketch(F.col("text"))})
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
     made = paired.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "own", F.col("next_own").alias("next"))
