@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import mtree, packing, rans, secrets, simhash, sketches, tokens, toxicity, transducer
+from loamline.llm import mtree, packing, quality, rans, secrets, simhash, sketches, tokens, toxicity, transducer
 from loamline.llm.base import table
 
 
@@ -19,6 +19,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assessed = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return assessed.select("doc_id", "lang", "perplexity", "least", "most", "accepted")
+
+
 def op4_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = rans.write_corpus(table(spark, sf_dir, "documents"), end_id=2)
     return rans.read_corpus(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -50,7 +55,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_toxicity, op4_rans_token_files, op5_simhash_near_dedup, op6_token_counts, op7_exact_top_k, op8_best_fit_packing, op9_byte_bpe_transducer, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_toxicity, op3_quality_classifier, op4_rans_token_files, op5_simhash_near_dedup, op6_token_counts, op7_exact_top_k, op8_best_fit_packing, op9_byte_bpe_transducer, op10_secret_scans)}
 ORACLES: dict[str, str] = {
     "op7_exact_top_k": """
         WITH v AS (
