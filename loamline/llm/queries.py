@@ -55,7 +55,13 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_toxicity, op3_quality_classifier, op4_rans_token_files, op5_simhash_near_dedup, op6_token_counts, op7_exact_top_k, op8_best_fit_packing, op9_byte_bpe_transducer, op10_secret_scans)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_toxicity, op3_quality_classifier, op4_rans_token_files, op5_simhash_near_dedup, op6_token_counts, op7_exact_top_k, op8_best_fit_packing, op9_byte_bpe_transducer, op10_secret_scans, pipeline)}
 ORACLES: dict[str, str] = {
     "op7_exact_top_k": """
         WITH v AS (

@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.llm.base import settle, text_or_empty
@@ -87,12 +87,12 @@ def fingerprint(text: str | None, words_in_shingle: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id, fp`` (long with the fingerprint's bits), one row per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter(map(fingerprint, b.column(1).to_pylist()), np.uint64, b.num_rows).view(np.int64)
+            fps = np.fromiter((fingerprint(t, words_in_shingle) for t in b.column(1).to_pylist()), np.uint64, b.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -192,7 +192,7 @@ def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, list_rows: int = LIST
     return dealt.mapInArrow(_links(max_bits), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, words_in_shingle: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id, fingerprint, component_id``: one row for each row of ``docs``.
 
     ``fingerprint`` is 16 lowercase hex digits; ``component_id`` is the smallest
@@ -202,8 +202,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component's label unless the component has no other. Other columns of
     ``docs`` are not read.
     """
-    marks = settle(fingerprints(docs, id_col, text_col), "simhash")
+    marks = settle(fingerprints(docs, id_col, text_col, words_in_shingle), "simhash")
     nodes = marks.groupBy("fp").agg(F.min("doc_id").alias("node"))
     roots = components(near_links(nodes.where("node is not null"), max_bits))
     named = nodes.join(roots.withColumnRenamed("vertex", "node"), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marks.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, words_in_shingle: int = SHINGLE_WORDS) -> DataFrame:
+    """One row of ``docs``, with all its columns, for each component of near copies.
+
+    It is the row whose id names the component; of rows that repeat this id, the
+    one of smallest text hash. Rows with a null id are all kept.
+    """
+    found = near_duplicates(docs, id_col, text_col, max_bits, words_in_shingle)
+    keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_rows"))
+    kept = docs.join(keep, F.col(id_col).cast("long") == F.col("_keep"))
+    # Ids are unique in most tables, so only repeated ones are put in order.
+    once = kept.where("_rows = 1").select(*docs.columns)
+    first = Window.partitionBy("_keep").orderBy(F.xxhash64(text_col), F.xxhash64(*[c for c, kind in docs.dtypes if "map" not in kind]))
+    again = kept.where("_rows > 1").withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
+    return once.unionAll(again).unionAll(docs.where(F.col(id_col).isNull()))
