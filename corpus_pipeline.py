@@ -29,9 +29,9 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of smallest id of each group of near copies (one row, if its id repeats).
 
-    Groups follow the operator with five-word shingles; rows with a null id are kept.
+    Copies are alike in 0.8 or more of their five-word shingles; rows with a null id are kept.
     """
-    return simhash.keep_representatives(docs, words_in_shingle=5)
+    return simhash.keep_representatives(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,26 +1,33 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
-A 64-bit fingerprint has eight byte positions. Two fingerprints that differ in
-at most four bits differ in at most four bytes, so they agree on at least four
-positions: that is the guaranteed minimum of matches.
+``EXACT``: 64-bit fingerprints at four or fewer differing bits. They differ in
+at most four of eight byte positions, so they agree on at least four: that is
+the guaranteed minimum of matches.
 
 One posting list for each (position, byte) would hold a 256th of all
 fingerprints, and joining it with itself would be quadratic. The index keys are
-therefore triples of positions with their three bytes. The twenty triples of
-``TRIPLES`` are a Turan system: any four of the eight positions contain one of
-them, so a pair with the guaranteed matches always meets in some list, and a
-list holds a 2**24th of the fingerprints on average. Within a list, shared
-positional bytes are tallied for each pair, pairs under the minimum are left
-out, and the rest are verified on the full 64 bits.
-
-A list writes a spanning forest of its verified links, never all its pairs.
-Lists longer than ``LIST_ROWS`` are dealt out as pairs of blocks, so that one
-task never holds more than two blocks of a hot list.
+therefore triples of positions with their three bytes. The twenty triples are a
+Turan system: any four of the eight positions contain one of them, so a pair
+with the guaranteed matches always meets in some list, and a list holds a
+2**24th of the fingerprints on average.
+
+``SIMILAR``: 256-bit fingerprints for a shingle similarity (Jaccard) of 0.8 or
+more. Such pairs differ in about 39 bits, 53 or fewer nearly always; that many
+bits guarantee no byte, so the index takes pairs of positions within each
+64-bit word, which 98 to 99 of 100 pairs at 0.8 share somewhere, and more above.
+
+Within a list, shared positional bytes are tallied for each pair, pairs under
+the minimum are left out, and the rest are verified on all bits. A pair counts
+in the first list only that it shares. A list writes a spanning forest of its
+verified links, never all its pairs. Lists longer than ``LIST_ROWS`` are dealt
+out as pairs of blocks, so that one task never holds more than two blocks of a
+hot list.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -32,87 +39,115 @@ from pyspark.sql import functions as F
 from loamline.llm.base import settle, text_or_empty
 from loamline.llm.components import components
 
-POSITIONS = 8
-MIN_MATCHES = 4
-MAX_BITS = 4
 SHINGLE_WORDS = 4
 SEED = 42
 LIST_ROWS = 8192
 
 
-def _turan_triples() -> list[tuple[int, int, int]]:
+def _turan_triples() -> tuple[tuple[int, ...], ...]:
     """Triples inside a group, or with two members in one group and one in the next."""
     groups = [(0, 1, 2), (3, 4, 5), (6, 7)]
     out = [t for g in groups for t in combinations(g, 3)]
     for i, g in enumerate(groups):
         out += [(*two, one) for two in combinations(g, 2) for one in groups[(i + 1) % 3]]
-    return [tuple(sorted(t)) for t in out]
-
-
-TRIPLES = _turan_triples()
-
-
-def _first_triple() -> np.ndarray:
-    """For each set of equal positions (as eight bits) the first triple inside it, or 255."""
-    out = np.full(256, 255, np.uint8)
-    for m in range(256):
-        for j, t in enumerate(TRIPLES):
-            if all(m >> p & 1 for p in t):
-                out[m] = j
-                break
+    return tuple(tuple(sorted(t)) for t in out)
+
+
+@dataclass(frozen=True)
+class Index:
+    """``words`` of 64 bits a fingerprint; ``keys``: the sets of byte positions, alike in each word, that make the lists."""
+
+    words: int
+    keys: tuple[tuple[int, ...], ...]
+    min_matches: int
+    max_bits: int
+    distinct: bool = False  # repeats of a shingle count once
+
+    def first_key(self) -> np.ndarray:
+        """For each set of equal positions of a word (as eight bits) the first key inside it, or 255."""
+        out = np.full(256, 255, np.uint8)
+        for m in range(256):
+            inside = [j for j, t in enumerate(self.keys) if all(m >> p & 1 for p in t)]
+            if inside:
+                out[m] = inside[0]
+        return out
+
+
+EXACT = Index(words=1, keys=_turan_triples(), min_matches=4, max_bits=4)
+SIMILAR = Index(words=4, keys=tuple(combinations(range(8), 2)), min_matches=2, max_bits=53, distinct=True)
+
+
+def _mixed(h: np.ndarray, word: int) -> np.ndarray:
+    """Further hash words of a shingle from its first (the SplitMix64 finaliser); word 0 is the hash itself."""
+    if not word:
+        return h
+    z = h + np.uint64(word * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprint(text: str | None, words_in_shingle: int = SHINGLE_WORDS, words: int = 1, distinct: bool = False) -> list[int]:
+    """The SimHash of a text in ``words`` 64-bit words; all 0 for a text without words."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return [0] * words
+    joined = b" ".join(tokens)
+    n = max(1, len(tokens) - words_in_shingle + 1)
+    digest = xxhash.xxh64_intdigest
+    if n == 1:
+        h = np.array([digest(joined, SEED)], np.uint64)
+    else:
+        starts = np.zeros(len(tokens) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1, out=starts[1:])
+        at = starts.tolist()
+        h = np.fromiter((digest(joined[s : e - 1], SEED) for s, e in zip(at, at[words_in_shingle:])), np.uint64, n)
+    if distinct:
+        h = np.unique(h)
+        n = len(h)
+    out = []
+    for word in range(words):
+        ones = np.zeros(64, np.int64)
+        for i in range(0, n, 1 << 16):
+            part = _mixed(h[i : i + (1 << 16)], word)
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little"))
     return out
 
 
-FIRST_TRIPLE = _first_triple()
+def _names(words: int) -> list[str]:
+    return [f"fp{w}" for w in range(words)]
 
 
-def fingerprint(text: str | None, words_in_shingle: int = SHINGLE_WORDS) -> int:
-    """The 64-bit SimHash of a text; 0 for a text without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    n = len(words) - words_in_shingle + 1
-    digest = xxhash.xxh64_intdigest
-    if n <= 1:
-        return digest(joined, SEED)
-    starts = np.zeros(len(words) + 1, np.int64)
-    np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=starts[1:])
-    at = starts.tolist()
-    h = np.fromiter((digest(joined[s : e - 1], SEED) for s, e in zip(at, at[words_in_shingle:])), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 16):
-        part = h[i : i + (1 << 16)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, fp`` (long with the fingerprint's bits), one row per row of ``docs``."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = SHINGLE_WORDS, words: int = 1, distinct: bool = False) -> DataFrame:
+    """``doc_id, fp0, ...`` (longs with the fingerprint's bits), one row per row of ``docs``."""
+    names = _names(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t, words_in_shingle) for t in b.column(1).to_pylist()), np.uint64, b.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t, words_in_shingle, words, distinct) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(fps[:, w]) for w in range(words))], names=["doc_id", *names])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id long, fp long")
+    return source.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
 
 
-def _postings(nodes: DataFrame) -> DataFrame:
-    """``key, fp, node``: one row for each triple of positions."""
-    byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)).cast("int")
-    keys = [(F.lit(j << 24) + byte(a) * 65536 + byte(b) * 256 + byte(c)).cast("int") for j, (a, b, c) in enumerate(TRIPLES)]
-    return nodes.select(F.explode(F.array(*keys)).alias("key"), "fp", "node")
+def _postings(nodes: DataFrame, index: Index) -> DataFrame:
+    """``key, fp0, ..., node``: one row for each key of each word."""
 
+    def key(word: int, j: int, positions: tuple[int, ...]):
+        out = F.lit(word * len(index.keys) + j)
+        for p in positions:
+            out = out * 256 + F.shiftrightunsigned(f"fp{word}", 8 * p).bitwiseAND(F.lit(255)).cast("int")
+        return out
 
-def _equal_positions(x: np.ndarray) -> np.ndarray:
-    """Eight bits for each xor: bit p is 1 if byte p agrees."""
-    return np.packbits(x.view(np.uint8).reshape(-1, 8) == 0, axis=1, bitorder="little")[:, 0]
+    keys = [key(w, j, t) for w in range(index.words) for j, t in enumerate(index.keys)]
+    return nodes.select(F.explode(F.array(*keys)).alias("key"), *_names(index.words), "node")
 
 
-def _forest(triple: np.ndarray, group: np.ndarray, fp: np.ndarray, max_bits: int) -> np.ndarray:
-    """Roots (indices) of a spanning forest of the links inside each run of equal ``group``."""
+def _forest(key: np.ndarray, group: np.ndarray, fp: np.ndarray, index: Index) -> np.ndarray:
+    """Roots (indices) of a spanning forest of the links inside each run of equal ``group``; ``key`` numbers the index's keys."""
+    first = index.first_key()
     root = np.arange(len(fp))
     at = np.arange(len(fp))
     lag = 0
@@ -126,11 +161,15 @@ def _forest(triple: np.ndarray, group: np.ndarray, fp: np.ndarray, max_bits: int
         if not len(near):
             continue
         x = fp[near] ^ fp[near + lag]
-        equal = _equal_positions(x)
-        tally = np.bitwise_count(equal)
-        keep = (tally >= POSITIONS - max_bits) & (FIRST_TRIPLE[equal] == triple[near]) & (np.bitwise_count(x) <= max_bits)
-        if not keep.any():
+        equal = np.packbits(x.view(np.uint8).reshape(-1, 8) == 0, axis=1, bitorder="little").reshape(-1, index.words)
+        keep = np.flatnonzero(np.bitwise_count(equal).sum(1) >= index.min_matches)
+        keep = keep[np.bitwise_count(x[keep]).sum(1) <= index.max_bits]
+        if not len(keep):
             continue
+        inside = first[equal[keep]]
+        word = (inside != 255).argmax(1)
+        shared = word * len(index.keys) + inside[np.arange(len(keep)), word]
+        keep = keep[shared == key[near[keep]]]
         for i in near[keep].tolist():
             a, b = i, i + lag
             while root[a] != a:
@@ -140,23 +179,25 @@ def _forest(triple: np.ndarray, group: np.ndarray, fp: np.ndarray, max_bits: int
                 root[b] = root[root[b]]
                 b = root[b]
             root[max(a, b)] = min(a, b)
-        while (up := root[root]).tobytes() != root.tobytes():
+        while ((up := root[root]) != root).any():
             root = up
 
 
-def _links(max_bits: int):
+def _links(index: Index):
+    shift = 8 * len(index.keys[0])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
-        def out(key, block, fp, node):
+        def out(key, block, node, *fps):
             change = np.ones(len(key), bool)
             change[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
-            root = _forest(key >> 24, np.cumsum(change), fp.view(np.uint64), max_bits)
+            root = _forest(key >> shift, np.cumsum(change), np.ascontiguousarray(np.stack(fps, 1)).view(np.uint64), index)
             linked = np.flatnonzero(root != np.arange(len(root)))
             return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], names=["a", "b"])
 
         for b in batches:
-            now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
             if not len(now[0]):
@@ -172,54 +213,54 @@ def _links(max_bits: int):
     return run
 
 
-def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, list_rows: int = LIST_ROWS) -> DataFrame:
+def near_links(nodes: DataFrame, index: Index = EXACT, list_rows: int = LIST_ROWS) -> DataFrame:
     """Links ``a, b`` between nodes that keep every component of the full link graph.
 
-    ``nodes(fp, node)`` holds each fingerprint once. Every pair with at most
-    ``max_bits`` (4 or fewer) differing bits is in one component of the result.
+    ``nodes(fp0, ..., node)`` holds each fingerprint once. Under ``EXACT`` every
+    pair within its bits is in one component of the result.
     """
-    if not 0 <= max_bits <= MAX_BITS:
-        raise ValueError(f"the index guarantees matches for 0 to {MAX_BITS} bits")
-    lists = _postings(nodes)
+    lists = _postings(nodes, index)
     hot = lists.groupBy("key").count().where(F.col("count") > list_rows).select("key", F.ceil(F.col("count") / list_rows).cast("int").alias("blocks"))
     dealt = lists.join(hot, "key", "left")
-    own = F.pmod(F.hash("fp"), F.col("blocks"))
+    own = F.pmod(F.hash(*_names(index.words)), F.col("blocks"))
     pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o))
     )
-    dealt = dealt.select("key", F.explode(pairs).alias("block"), "fp", "node")
+    dealt = dealt.select("key", F.explode(pairs).alias("block"), "node", *_names(index.words))
     dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block")
-    return dealt.mapInArrow(_links(max_bits), "a long, b long")
+    return dealt.mapInArrow(_links(index), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, words_in_shingle: int = SHINGLE_WORDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index = EXACT, words_in_shingle: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id, fingerprint, component_id``: one row for each row of ``docs``.
 
-    ``fingerprint`` is 16 lowercase hex digits; ``component_id`` is the smallest
-    doc_id that links of at most ``max_bits`` bits reach, the own one included.
-    Null texts count as empty: fingerprint zero, linked like any other. Rows
-    with a null or repeated doc_id keep one row each; a null id never becomes a
-    component's label unless the component has no other. Other columns of
+    ``fingerprint`` is 16 lowercase hex digits a word; ``component_id`` is the
+    smallest doc_id that links of at most ``index.max_bits`` bits reach, the own
+    one included. Null texts count as empty: fingerprint zero, linked like any
+    other. Rows with a null or repeated doc_id keep one row each; a fingerprint
+    that only rows with null ids have gets a null component. Other columns of
     ``docs`` are not read.
     """
-    marks = settle(fingerprints(docs, id_col, text_col, words_in_shingle), "simhash")
-    nodes = marks.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    roots = components(near_links(nodes.where("node is not null"), max_bits))
-    named = nodes.join(roots.withColumnRenamed("vertex", "node"), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marks.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    names = _names(index.words)
+    marks = settle(fingerprints(docs, id_col, text_col, words_in_shingle, index.words, index.distinct), "simhash")
+    nodes = marks.groupBy(*names).agg(F.min("doc_id").alias("node"))
+    roots = components(near_links(nodes.where("node is not null"), index))
+    named = nodes.join(roots.withColumnRenamed("vertex", "node"), "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
+    digits = F.concat(*(F.lower(F.lpad(F.hex(n), 16, "0")) for n in names))
+    return marks.join(named, names).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, words_in_shingle: int = SHINGLE_WORDS) -> DataFrame:
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index = SIMILAR, words_in_shingle: int = 5) -> DataFrame:
     """One row of ``docs``, with all its columns, for each component of near copies.
 
     It is the row whose id names the component; of rows that repeat this id, the
     one of smallest text hash. Rows with a null id are all kept.
     """
-    found = near_duplicates(docs, id_col, text_col, max_bits, words_in_shingle)
+    found = near_duplicates(docs, id_col, text_col, index, words_in_shingle)
     keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_rows"))
     kept = docs.join(keep, F.col(id_col).cast("long") == F.col("_keep"))
+    first = Window.partitionBy("_keep").orderBy(F.xxhash64(text_col), F.xxhash64(*[c for c, kind in docs.dtypes if "map" not in kind]))
     # Ids are unique in most tables, so only repeated ones are put in order.
     once = kept.where("_rows = 1").select(*docs.columns)
-    first = Window.partitionBy("_keep").orderBy(F.xxhash64(text_col), F.xxhash64(*[c for c, kind in docs.dtypes if "map" not in kind]))
     again = kept.where("_rows > 1").withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
     return once.unionAll(again).unionAll(docs.where(F.col(id_col).isNull()))
