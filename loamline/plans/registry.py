@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from loamline.plans import catalog, checks, corpus, filings, linting, reuse, runs  # noqa: F401
+from loamline.plans.core import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
