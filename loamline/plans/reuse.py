@@ -1 +1,161 @@
-"""Registered queries."""
+"""Queries of the reuse and citation operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loamline.operators import citations, reuse
+from loamline.plans.core import query, table
+
+
+@query("SELECT md5(text) AS hash, count(DISTINCT source) AS owners, count(*) AS files, min(doc_id) AS first FROM documents WHERE length(text) >= 200 GROUP BY 1 HAVING count(DISTINCT source) >= 2")
+def exact_duplicates(spark, d):
+    return reuse.exact_duplicates(table(spark, d, "documents"), "source", "doc_id", "text")
+
+
+_ENGINES = [("e1", "src1", "idiot|moron"), ("e2", "src2", "Apache License")]
+
+
+@query("""
+    WITH e(id, module, p) AS (VALUES ('e1', 'src1', 'idiot|moron'), ('e2', 'src2', 'Apache License'))
+    SELECT doc_id, id, length(b) - length(replace(b, chr(10), '')) + 1 AS line FROM (SELECT doc_id, id, regexp_split_to_array(text, p)[1] AS b FROM documents, e WHERE source <> module AND regexp_matches(text, p) AND NOT (id = 'e1' AND source = 'src3'))""")
+def signature_hits(spark, d):
+    engines = spark.createDataFrame(_ENGINES, "id string, module string, signature string")
+    allowed = spark.createDataFrame([("e1", "src3")], "id string, allowed_owner string")
+    return reuse.signature_hits(table(spark, d, "documents"), engines, allowed, "doc_id", "source", "text")
+
+
+@query("""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), b(id, p) AS (VALUES ('b1', 'clown|scum'), ('b2', '[0-9]{3}'))
+    SELECT doc_id, id, min(line) AS line FROM l, b WHERE regexp_matches(t, p) AND NOT contains(t, 'Lic') GROUP BY ALL""")
+def banned_hits(spark, d):
+    bans = spark.createDataFrame([("b1", "clown|scum"), ("b2", "[0-9]{3}")], "id string, pattern string")
+    return reuse.banned_hits(table(spark, d, "documents"), bans, "doc_id", "text", "Lic")
+
+
+@query("""
+    WITH o AS (SELECT lang, substring(text, 1, 25) AS head, source, md5(text) AS h, min(doc_id) AS k, any_value(text) AS t FROM documents GROUP BY ALL), n AS (SELECT *, len(string_split(t, chr(10))) AS n FROM o),
+    p AS (SELECT a.k AS a, b.k AS b, a.n AS na, b.n AS nb FROM n a JOIN n b ON a.lang = b.lang AND a.head = b.head AND a.k < b.k AND a.source <> b.source AND a.h <> b.h AND 2 * least(a.n, b.n) >= 0.5 * (a.n + b.n)),
+    l AS (SELECT k, l, count(*) AS c FROM (SELECT k, unnest(string_split(t, chr(10))) AS l FROM n) GROUP BY ALL),
+    s AS (SELECT p.a, p.b, na, nb, sum(least(x.c, y.c)) AS m FROM p JOIN l x ON x.k = p.a JOIN l y ON y.k = p.b AND y.l = x.l GROUP BY ALL)
+    SELECT a, b, round(2 * m / (na + nb), 4) AS ratio FROM s WHERE round(2 * m / (na + nb), 4) >= 0.5""")
+def near_duplicate_files(spark, d):
+    docs = table(spark, d, "documents").withColumn("head", F.substring("text", 1, 25))
+    return reuse.near_duplicates(docs, "doc_id", "source", ["lang", "head"], "text", 0.5)
+
+
+@query("SELECT doc_id, len(string_split(text, chr(10))) AS n_lines FROM documents WHERE contains(substring(text, 1, 400), 'the') AND len(string_split(text, chr(10))) > 12")
+def oversize_shims(spark, d):
+    return reuse.oversize_shims(table(spark, d, "documents"), "doc_id", "text", "the", 12)
+
+
+@query("SELECT DISTINCT source FROM documents WHERE regexp_matches(text, 'Apache License') AND CAST(substring(source, 4) AS INTEGER) % 2 <> 0")
+def undeclared_use(spark, d):
+    docs = table(spark, d, "documents")
+    decl = docs.select("source").distinct().withColumn("declaration", F.when(F.substring("source", 4, 9).cast("int") % 2 == 0, "## Shared code").otherwise("none"))
+    return reuse.undeclared_use(docs, decl, "source", "text", "Apache License", "Shared code")
+
+
+@query("""SELECT level, code, n, CAST(row_number() OVER (ORDER BY CASE WHEN level = 'FAIL' THEN 0 ELSE 1 END, code) AS INTEGER) AS rank FROM (SELECT CASE WHEN value > 10 THEN 'FAIL' ELSE 'WARN' END AS level, event_type AS code, count(*) AS n FROM events GROUP BY ALL)""")
+def findings_report(spark, d):
+    e = table(spark, d, "events").select(F.when(F.col("value") > 10, "FAIL").otherwise("WARN").alias("level"), F.col("event_type").alias("code"))
+    return reuse.findings_report(e, "level", "code")
+
+
+@query("SELECT source, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source")
+def folder_fingerprint(spark, d):
+    return reuse.folder_fingerprint(table(spark, d, "documents"), "source", "doc_id", "text")
+
+
+@query("""
+    WITH c AS (SELECT source, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS f FROM documents GROUP BY source), o AS (SELECT source, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS f FROM documents WHERE source <> 'src4' AND doc_id % 97 <> 3 GROUP BY source)
+    SELECT c.source, CASE WHEN o.source IS NULL THEN 'new' ELSE 'changed' END AS change FROM c LEFT JOIN o USING (source) WHERE c.f IS DISTINCT FROM o.f""")
+def changed_since(spark, d):
+    docs = table(spark, d, "documents")
+    old = docs.where("source <> 'src4' and doc_id % 97 <> 3")
+    return reuse.changed_since(reuse.folder_fingerprint(docs, "source", "doc_id", "text"), reuse.folder_fingerprint(old, "source", "doc_id", "text"), "source")
+
+
+@query("""
+    WITH c(p, points, level) AS (VALUES ('the|der|de', 25, 'error'), ('[A-Z]', 20, 'error'), (',', 20, 'warning'), ('\\.', 20, 'warning'), ('License', 15, 'warning')),
+    s AS (SELECT doc_id, CAST(coalesce(sum(points) FILTER (regexp_matches(text, p)), 0) AS BIGINT) AS score, count(*) FILTER (NOT regexp_matches(text, p) AND level = 'error') AS errors FROM documents, c GROUP BY doc_id)
+    SELECT *, score >= 80 AND errors = 0 AS validated FROM s""".replace("\\\\", "\\"))
+def contract_score(spark, d):
+    checks = spark.createDataFrame([("text", "the|der|de", 25, "error"), ("case", "[A-Z]", 20, "error"), ("style", ",", 20, "warning"), ("style", r"\.", 20, "warning"), ("law", "License", 15, "warning")], "layer string, pattern string, points int, level string")
+    return reuse.contract_score(table(spark, d, "documents"), checks, "doc_id", "text")
+
+
+@query("SELECT n_nationkey FROM nation WHERE NOT EXISTS (SELECT 1 FROM region WHERE contains(lower(r_name), lower(substring(n_name, 1, 2))))")
+def registry_gaps(spark, d):
+    items = table(spark, d, "nation").withColumn("short", F.substring("n_name", 1, 2))
+    return reuse.registry_gaps(items, table(spark, d, "region"), "short", "r_name").select("n_nationkey")
+
+
+@query("""
+    WITH r AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), f AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 10 <> 0)
+    SELECT * FROM (SELECT coalesce(r.k, f.k) AS k, CASE WHEN f.k IS NULL THEN 'missing' WHEN r.k IS NULL THEN 'orphan' WHEN n > 1 THEN 'duplicate' END AS problem FROM r FULL JOIN f ON r.k = f.k) WHERE problem IS NOT NULL""")
+def parity_check(spark, d):
+    return reuse.parity_check(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("k")), "k")
+
+
+@query("""
+    WITH a AS (SELECT p_name AS k, max(p_size) AS s FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), b AS (SELECT p_name AS k, max(p_size) AS s FROM part WHERE p_partkey % 3 = 0 GROUP BY 1)
+    SELECT CASE WHEN b.k IS NULL THEN 'a' WHEN a.k IS NULL THEN 'b' ELSE 'both' END AS side, count(*) AS n, CAST(sum(coalesce(a.s, b.s)) AS BIGINT) AS size FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""")
+def inventory_compare(spark, d):
+    p = table(spark, d, "part")
+    return reuse.inventory_compare(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 3 = 0"), "p_name", "p_size")
+
+
+_CLAIMS = """c AS (SELECT item_id, CASE WHEN item_id % 9 = 0 THEN 'short one' WHEN item_id % 7 = 0 THEN substring(text, 61, 40) || ' ... ' || substring(text, 1, 40) ELSE substring(text, 1, 60) || ' ... ' || substring(text, 81, 30) END AS quote, text FROM benchmark)"""
+
+
+def _claims(spark, d):
+    part = lambda a, n: F.substring("text", a, n)
+    quote = F.when(F.col("item_id") % 9 == 0, "short one").when(F.col("item_id") % 7 == 0, F.concat(part(61, 40), F.lit(" ... "), part(1, 40))).otherwise(F.concat(part(1, 60), F.lit(" ... "), part(81, 30)))
+    return table(spark, d, "benchmark").select("item_id", quote.alias("quote"), "text")
+
+
+@query(rf"""
+    WITH {_CLAIMS}, s AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(quote, '\[\.\.\.\]|\(\.\.\.\)|…|\.\.\.'), lambda x: trim(x)), lambda x: x <> '') AS seg FROM c)
+    SELECT item_id, len(seg) AS segments, list_sum(list_transform(seg, lambda x: length(x))) >= 30 AND len(list_filter(seg, lambda x: length(x) < 8)) = 0 AS long_enough FROM s""")
+def quote_segments(spark, d):
+    c = _claims(spark, d)
+    return c.select("item_id", F.size(citations.quote_segments(F.col("quote"))).cast("long").alias("segments"), citations.quote_long_enough(F.col("quote")).alias("long_enough"))
+
+
+@query(r"""SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'))) AS norm_md5, md5(lower(regexp_replace(text, '[ \t\n\r\f.,;:!?"''()\[\]-]+', '', 'g'))) AS compact_md5 FROM documents""")
+def norm_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(citations.norm_text(F.col("text"))).alias("norm_md5"), F.md5(citations.compact_text(F.col("text"))).alias("compact_md5"))
+
+
+@query(rf"""
+    WITH {_CLAIMS}, n AS (SELECT item_id, quote, trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) AS t, list_filter(list_transform(string_split(trim(regexp_replace(quote, '[ \t\n\r\f]+', ' ', 'g')), '...'), lambda x: trim(x)), lambda x: x <> '') AS seg FROM c),
+    m AS (SELECT item_id, strpos(t, seg[1]) AS p1, CASE WHEN len(seg) > 1 THEN strpos(substring(t, strpos(t, seg[1]) + length(seg[1])), seg[2]) ELSE 1 END AS p2 FROM n)
+    SELECT item_id, CASE WHEN p1 > 0 AND p2 > 0 THEN p1 ELSE 0 END AS place FROM m""")
+def match_quote(spark, d):
+    c = _claims(spark, d)
+    return c.select("item_id", citations.match_quote(citations.norm_text(F.col("text")), citations.quote_segments(citations.norm_text(F.col("quote")))).cast("long").alias("place"))
+
+
+@query()
+def verify_claims(spark, d):
+    claims = _claims(spark, d).select("item_id", "quote", F.lit(None).cast("string").alias("article"))
+    docs = table(spark, d, "documents")
+    found = citations.candidate_pairs(claims, docs, "item_id", "doc_id", "quote", "text").withColumn("pos", F.col("doc_id"))
+    return citations.verify_claims(claims, docs.select("doc_id", F.lit(None).cast("string").alias("article"), "text"), found, "item_id", "doc_id")
+
+
+@query("""
+    WITH l AS (SELECT l_orderkey AS b, CASE WHEN l_returnflag = 'A' THEN 'VERIFIED' ELSE 'MISSING' END AS v FROM lineitem), p AS (SELECT b, count(*) AS total, count(*) FILTER (v = 'VERIFIED') AS verified FROM l GROUP BY b)
+    SELECT o_orderkey AS b, coalesce(total, 0) AS total, coalesce(verified, 0) AS verified, CASE WHEN total > 0 THEN round_even(verified / total, 3) ELSE 0.0 END AS confidence, coalesce(total > 0 AND round_even(verified / total, 3) >= 1.0, false) AS passes FROM orders LEFT JOIN p ON o_orderkey = b""")
+def evidence_score(spark, d):
+    v = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("b"), F.when(F.col("l_returnflag") == "A", "VERIFIED").otherwise("MISSING").alias("verdict"))
+    return citations.evidence_score(table(spark, d, "orders").select(F.col("o_orderkey").alias("b")), v, "b")
+
+
+@query("""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+    SELECT doc_id, CAST(line % 3 AS VARCHAR) AS article, md5(string_agg('Article ' || (line % 3) || ' x' || chr(10) || t, chr(10) ORDER BY line)) AS body_md5 FROM l GROUP BY doc_id, line % 3""")
+def article_blocks(spark, d):
+    marked = F.array_join(F.transform(F.split("text", "\n", -1), lambda l, i: F.concat(F.lit("Article "), ((i + 1) % 3).cast("string"), F.lit(" x\n"), l)), "\n")
+    return citations.article_blocks(table(spark, d, "documents").select("doc_id", marked.alias("text")), "doc_id", "text").select("doc_id", "article", F.md5("body").alias("body_md5"))
