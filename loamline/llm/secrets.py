@@ -67,14 +67,14 @@ def entropy_windows(run: str, window: int, bits: float) -> list[tuple[int, int]]
     spans: list[tuple[int, int]] = []
     most = (log2(window) - bits) * window + 1e-9  # entropy = log2(window) - total / window
     for i, ch in enumerate(run):
-        c = counts.get(ch, 0)
-        total += clog[c + 1] - clog[c]
-        counts[ch] = c + 1
         if i >= window:
             gone = run[i - window]
             c = counts[gone]
             total += clog[c - 1] - clog[c]
             counts[gone] = c - 1
+        c = counts.get(ch, 0)
+        total += clog[c + 1] - clog[c]
+        counts[ch] = c + 1
         if i >= window - 1 and total <= most:
             start = i - window + 1
             if spans and start <= spans[-1][1]:
