@@ -34,6 +34,7 @@ PHASES = 12
 REFRESH = 48
 ETA = 8.0
 RAISE = 0.05
+TIGHT = 0.995  # configurations that fill less are left to best-fit decreasing
 BUCKET_ROWS = 250_000
 
 
@@ -140,7 +141,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, phases: int = PHAS
         left[l] -= count
 
     running = 0.0
-    for config, x in sorted(solve(left, capacity, phases), key=lambda c: (-c[1], sorted(c[0].items()))):
+    full = [(c, x) for c, x in solve(left, capacity, phases) if sum(l * a for l, a in c.items()) >= TIGHT * capacity]
+    for config, x in sorted(full, key=lambda c: (-c[1], sorted(c[0].items()))):
         copies = int(running + x + 1e-9) - int(running + 1e-9)
         running += x
         items = [l for l, a in sorted(config.items(), reverse=True) for _ in range(a)]
