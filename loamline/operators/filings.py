@@ -118,7 +118,7 @@ def late_payment(bills: DataFrame, due: str, paid: str, amount: Column, daily: f
 def excise(goods: DataFrame, price: Column, quantity: Column, rate: Column, absolute: Column, included: Column) -> DataFrame:
     """Adds ``base`` and ``excise``: ad valorem plus an absolute amount a unit; with the tax included, the base is (price - absolute) / (1 + rate)."""
     base = F.when(included, (price - absolute) / (1 + rate)).otherwise(price)
-    return goods.withColumn("base", F.round(base, 2)).withColumn("excise", F.round((base * rate + absolute) * quantity, 2))
+    return goods.withColumn("base", F.round(base, 2)).withColumn("excise", (base * rate + absolute) * quantity)
 
 
 def contractor_tax(payments: DataFrame, amount: Column, rate: Column, net_agreed: Column) -> DataFrame:

@@ -99,10 +99,10 @@ def late_payment(spark, d):
     return filings.late_payment(j, "o_orderdate", "l_shipdate", F.col("l_extendedprice")).select("l_orderkey", "l_linenumber", "l_partkey", F.col("days").cast("long").alias("days"), F.round("interest", 6).alias("interest"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_returnflag = 'A' THEN (l_extendedprice - 5) / (1 + l_tax) ELSE l_extendedprice END, 2) AS base, round((CASE WHEN l_returnflag = 'A' THEN (l_extendedprice - 5) / (1 + l_tax) ELSE l_extendedprice END * l_tax + 5) * l_quantity, 2) AS excise FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_returnflag = 'A' THEN (l_extendedprice - 5) / (1 + l_tax) ELSE l_extendedprice END, 2) AS base, round((CASE WHEN l_returnflag = 'A' THEN (l_extendedprice - 5) / (1 + l_tax) ELSE l_extendedprice END * l_tax + 5) * l_quantity, 5) AS excise FROM lineitem")
 def excise(spark, d):
     out = filings.excise(table(spark, d, "lineitem"), F.col("l_extendedprice"), F.col("l_quantity"), F.col("l_tax"), F.lit(5), F.col("l_returnflag") == "A")
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", "base", "excise")
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "base", F.round("excise", 5).alias("excise"))
 
 
 @query("SELECT o_orderkey, round(CASE WHEN o_orderstatus = 'F' THEN o_totalprice / (1 - 0.05) ELSE o_totalprice END, 2) AS revenue FROM orders")
