@@ -1 +1,191 @@
-"""Registered queries."""
+"""Queries of the translation, layout, timeline and governance checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loamline.operators import checks
+from loamline.plans.core import query, table
+
+
+@query("""
+    WITH t AS (SELECT doc_id, text, unnest(list_distinct(list_concat(regexp_extract_all(text, '[A-Z][a-z]+, [A-Z]'), regexp_extract_all(text, '[0-9]+\\.[0-9]+')))) AS token FROM documents)
+    SELECT doc_id, token FROM t WHERE NOT contains(substring(text, 1, 500), token)""".replace("\\\\", "\\"))
+def missing_protected(spark, d):
+    docs = checks.protected_tokens(table(spark, d, "documents"), "text", ["[A-Z][a-z]+, [A-Z]", r"[0-9]+\.[0-9]+"]).withColumn("half", F.substring("text", 1, 500))
+    return checks.missing_protected(docs, "doc_id", "half")
+
+
+@query("""
+    WITH s AS (SELECT event_id, 'percent' AS unit, value FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 'kilo', value * 1000 FROM events WHERE event_id % 2 = 1)
+    SELECT event_id, unit, round(value, 4) AS value FROM s WHERE event_id % 7 = 0 AND value <> 0""")
+def value_integrity(spark, d):
+    kinds = spark.createDataFrame([("percent", r"([0-9.]+)%", 1.0), ("kilo", r"([0-9.]+) k\b", 1000.0)], "unit string, pattern string, factor double")
+    unit = F.when(F.col("event_id") % 2 == 0, "%").otherwise(" k")
+    e = table(spark, d, "events").select("event_id", F.concat(F.lit("about "), F.col("value").cast("decimal(12,2)").cast("string"), unit).alias("src"), F.concat(F.lit("etwa "), F.when(F.col("event_id") % 7 == 0, F.col("value") * 3).otherwise(F.col("value")).cast("decimal(12,2)").cast("string"), unit).alias("dst"))
+    lost = checks.value_integrity(checks.critical_values(e, "event_id", "src", kinds), checks.critical_values(e, "event_id", "dst", kinds), "event_id")
+    return lost.select("event_id", "unit", F.round("value", 4).alias("value"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '[À-ÿ]+')) AS runs, length(array_to_string(regexp_extract_all(text, '[À-ÿ]+'), '')) AS chars FROM documents")
+def residual_script(spark, d):
+    return checks.residual_script(table(spark, d, "documents"), "doc_id", "text", "[À-ÿ]")
+
+
+@query("SELECT doc_id, CASE WHEN length(trim(text)) > 0 THEN CASE WHEN doc_id % 5 = 0 THEN 'OMITTED' WHEN doc_id % 5 = 1 THEN 'PLACEHOLDER' ELSE 'OK' END END AS kind FROM documents")
+def placeholder_check(spark, d):
+    target = F.when(F.col("doc_id") % 5 == 1, "...").when(F.col("doc_id") % 5 > 1, F.concat(F.lit("x "), "source"))
+    return table(spark, d, "documents").select("doc_id", checks.placeholder_check(F.col("text"), target).alias("kind"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'id' WHEN lang = 'en' THEN 'text' ELSE 'fallback' END AS origin, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'i' || doc_id WHEN lang = 'en' THEN 'T' || lang ELSE lang END AS translated FROM documents")
+def apply_translations(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    by_id = docs.where("doc_id % 3 = 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("i"), F.col("doc_id").cast("string"))).otherwise(" ").alias("t"))
+    by_text = docs.where("lang = 'en'").select(F.col("lang").alias("source"), F.lit("Ten").alias("t"))
+    return checks.apply_translations(docs, by_id, by_text, "doc_id", "lang").select("doc_id", "origin", "translated")
+
+
+@query("SELECT p_partkey, t AS term, 'x' || t AS translation FROM part, (VALUES ('ring'), ('red'), ('bolt')) v(t) WHERE contains(lower(p_name), t)")
+def glossary_hits(spark, d):
+    terms = spark.createDataFrame([("ring", "xring"), ("red", "xred"), ("bolt", "xbolt")], "term string, translation string")
+    return checks.glossary_hits(table(spark, d, "part"), terms, "p_partkey", "p_name")
+
+
+@query("SELECT l_linestatus, count(*) AS detected, count(*) FILTER (l_returnflag = 'A') AS n_a, count(*) FILTER (l_returnflag = 'R') AS n_r FROM lineitem GROUP BY 1")
+def object_metrics(spark, d):
+    return checks.object_metrics(table(spark, d, "lineitem"), "l_linestatus", ["A", "R"], "l_returnflag")
+
+
+@query("SELECT l_returnflag, CASE WHEN l_discount >= 0.08 THEN 'HIGH' WHEN l_discount >= 0.04 THEN 'MEDIUM' ELSE 'LOW' END AS band, count(*) AS n FROM lineitem GROUP BY ALL")
+def confidence_bands(spark, d):
+    return checks.confidence_bands(table(spark, d, "lineitem"), "l_returnflag", "l_discount", 0.08, 0.04)
+
+
+@query("SELECT toxic, count(*) AS documents, count(*) FILTER (quality = 1 AND doc_id % 4 > 0) AS passed FROM labels GROUP BY toxic")
+def document_gate(spark, d):
+    l = table(spark, d, "labels").withColumns({"a": F.col("quality") == 1, "b": F.col("doc_id") % 4 > 0})
+    return checks.document_gate(l, "toxic", ["a", "b"])
+
+
+@query("""
+    WITH o AS (SELECT l_suppkey, count(*) AS old_n, min(l_quantity) AS old_min, round(avg(l_quantity), 4) AS old_mean FROM lineitem WHERE year(l_shipdate) = 1996 GROUP BY 1), n AS (SELECT l_suppkey, count(*) AS new_n, min(l_quantity) AS new_min, round(avg(l_quantity), 4) AS new_mean FROM lineitem WHERE year(l_shipdate) = 1997 GROUP BY 1)
+    SELECT * FROM o FULL JOIN n USING (l_suppkey)""")
+def version_compare(spark, d):
+    li = table(spark, d, "lineitem")
+    return checks.version_compare(li.where("year(l_shipdate) = 1996"), li.where("year(l_shipdate) = 1997"), "l_suppkey", "l_quantity")
+
+
+@query("""
+    WITH b AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber, l_quantity) AS id, CAST(l_partkey % 200 AS DOUBLE) AS x0, l_partkey % 200 + l_quantity * 3 AS x1, CAST(l_suppkey AS DOUBLE) AS y0, l_suppkey + l_quantity * 2 AS y1 FROM lineitem),
+    p AS (SELECT a.l_orderkey, a.id AS a, b.id AS b, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) AS p, (b.x1 - b.x0) * (b.y1 - b.y0) AS q
+        FROM b a JOIN b ON a.l_orderkey = b.l_orderkey AND a.id < b.id AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0))
+    SELECT l_orderkey, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, round(i / (p + q - i), 4) AS iou FROM p""")
+def box_pairs(spark, d):
+    from pyspark.sql import Window
+
+    li = table(spark, d, "lineitem")
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_linenumber", "l_quantity"))
+    x, y = (F.col("l_partkey") % 200).cast("double"), F.col("l_suppkey").cast("double")
+    boxes = li.select("l_orderkey", n.alias("id"), x.alias("x0"), (x + F.col("l_quantity") * 3).alias("x1"), y.alias("y0"), (y + F.col("l_quantity") * 2).alias("y1"))
+    return checks.box_pairs(boxes, "l_orderkey").select("l_orderkey", "a", "b", "iou")
+
+
+@query("""
+    WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS t FROM documents), s AS (SELECT source, t, count(*) AS n FROM l WHERE doc_id % 2 = 0 GROUP BY ALL), g AS (SELECT source, t, count(*) AS n FROM l WHERE doc_id % 2 = 1 GROUP BY ALL)
+    SELECT source, md5(g.t) AS line_md5, coalesce(s.n, 0) AS source_n, g.n AS target_n FROM g LEFT JOIN s USING (source, t) WHERE g.n > coalesce(s.n, 0) AND g.n > 1""")
+def repeat_audit(spark, d):
+    ls = table(spark, d, "documents").select("doc_id", "source", F.explode(F.split("text", "\n", -1)).alias("t"))
+    out = checks.repeat_audit(ls.where("doc_id % 2 = 0"), ls.where("doc_id % 2 = 1"), ["source", "t"])
+    return out.select("source", F.md5("t").alias("line_md5"), "source_n", "target_n")
+
+
+@query(r"""
+    WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, trim(unnest(string_split(text, chr(10)))) AS t FROM documents), n AS (SELECT *, regexp_extract(t, '^([0-9]+(?:\.[0-9]+)*)\.? +[A-Z]', 1) AS num FROM l)
+    SELECT CASE WHEN t = '' THEN 'blank' WHEN num <> '' THEN 'heading' WHEN regexp_matches(t, '^[-*•] ') THEN 'bullet' WHEN regexp_matches(t, '^[0-9a-z]+[.)] ') THEN 'item' WHEN regexp_matches(lower(t), '^note:') THEN 'note' ELSE 'text' END AS role, count(*) AS n FROM n GROUP BY 1""")
+def line_roles(spark, d):
+    return checks.line_roles(table(spark, d, "documents"), "doc_id").groupBy("role").agg(F.count("*").alias("n"))
+
+
+@query("""
+    WITH e AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p, value AS gap FROM events),
+    r AS (SELECT *, sum(CASE WHEN event_type IS NOT DISTINCT FROM p AND gap <= 18 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS paragraph FROM e)
+    SELECT user_id, paragraph, min(event_id) AS first, count(*) AS lines FROM r GROUP BY ALL""")
+def merge_paragraphs(spark, d):
+    return checks.merge_paragraphs(table(spark, d, "events"), "user_id", "event_id", "value", F.lit(10.0), "event_type")
+
+
+@query("SELECT l_orderkey, min(l_quantity) AS min_font, count(*) FILTER (l_quantity < 5) AS under_5, count(*) FILTER (l_quantity < 6) AS under_6 FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1")
+def readability(spark, d):
+    li = table(spark, d, "lineitem").withColumn("t", F.when(F.col("l_returnflag") == "N", "→").otherwise(F.col("l_returnflag")))
+    return checks.readability(li, "l_orderkey", "l_quantity", "t")
+
+
+@query("""SELECT event_id AS name, CASE WHEN value - 1 < 0 OR value + 30 > 45 THEN 'out_of_bounds' ELSE 'safe_area' END AS issue, CASE WHEN value - 1 < 0 OR value + 30 > 45 THEN 'FAIL' ELSE 'WARN' END AS level
+    FROM events WHERE value - 1 < 0 OR value + 30 > 45 OR value - 1 < 0.08 * 45 OR value + 30 > (1 - 0.08) * 45""")
+def element_issues(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").alias("name"), (F.col("value") - 1).alias("left"), F.lit(50.0).alias("top"), (F.col("value") + 30).alias("right"), F.lit(60.0).alias("bottom"))
+    return checks.element_issues(e, 45.0, 100.0)
+
+
+@query("SELECT event_id, CASE WHEN value < 1 THEN 'negative_start' WHEN value % 5 < value / 2 THEN 'end_before_start' ELSE 'beyond_scene' END AS error FROM events WHERE value < 1 OR value % 5 < value / 2 OR value % 5 > 4")
+def event_errors(spark, d):
+    v = F.col("value")
+    return checks.event_errors(table(spark, d, "events"), "event_id", F.when(v < 1, -1.0).otherwise(v / 2), F.when(v < 1, 0.0).otherwise(v % 5), F.lit(4.0))
+
+
+@query("""
+    WITH b AS (SELECT user_id, epoch_us(ts) / 1e6 AS t FROM events WHERE event_type = 'signup'), e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t FROM events WHERE event_type = 'click'),
+    n AS (SELECT e.user_id, e.event_id, e.t, (SELECT max(b.t) FROM b WHERE b.user_id = e.user_id AND b.t <= e.t) AS p, (SELECT min(b.t) FROM b WHERE b.user_id = e.user_id AND b.t >= e.t) AS q FROM e),
+    c AS (SELECT *, CASE WHEN q IS NULL OR t - p <= q - t THEN p ELSE q END AS near FROM n)
+    SELECT user_id, event_id, round(CASE WHEN abs(near - t) <= 20000 THEN near ELSE t END, 3) AS snapped FROM c""")
+def snap_to_beat(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    out = checks.snap_to_beat(e.where("event_type = 'click'"), e.where("event_type = 'signup'"), "user_id", "event_id", "t", 20000.0)
+    return out.select("user_id", "event_id", F.round("snapped", 3).alias("snapped"))
+
+
+@query("SELECT l_orderkey, CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) AS planned, count(*) AS scenes, round(CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) - 100, 4) AS difference FROM lineitem GROUP BY 1")
+def duration_check(spark, d):
+    return checks.duration_check(table(spark, d, "lineitem"), "l_orderkey", "l_quantity", F.lit(100.0)).drop("target")
+
+
+@query(r"SELECT doc_id, round(greatest(60.0, len(list_filter(regexp_split_to_array(text, '[ \t\n]+'), lambda w: w <> '')) / 2.8), 4) AS seconds FROM documents")
+def narration_estimate(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.round(checks.narration_estimate(F.col("text"), F.lit(60.0)), 4).alias("seconds"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'gone' ELSE 'changed' END AS problem FROM documents WHERE doc_id % 10 IN (3, 4)")
+def tampered(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    now = docs.where("doc_id % 10 <> 3").withColumn("hash", F.when(F.col("doc_id") % 10 == 4, "x").otherwise(F.col("hash")))
+    return checks.tampered(docs, now, "doc_id")
+
+
+@query("""
+    WITH s AS (SELECT l_orderkey, bool_or(l_returnflag = 'R' AND l_quantity < 5) AS f, count(*) FILTER (l_returnflag = 'A') AS v, bool_or(l_tax > 0.06) AS i, max(l_shipdate) AS t FROM lineitem GROUP BY 1)
+    SELECT l_orderkey, CASE WHEN f THEN 'FAILED' WHEN v = 0 THEN 'NOT_VERIFIED' WHEN NOT i THEN 'SELF_REVIEWED' WHEN t > TIMESTAMP '1998-01-01' THEN 'AWAITING_HUMAN_APPROVAL' ELSE 'VERIFIED' END AS status FROM s""")
+def pack_status(spark, d):
+    failed = (F.col("l_returnflag") == "R") & (F.col("l_quantity") < 5)
+    steps = table(spark, d, "lineitem").select("l_orderkey", F.when(failed, "FAILED").when(F.col("l_returnflag") == "A", "VERIFIED").otherwise("OPEN").alias("status"), (F.col("l_tax") > 0.06).alias("independent"), F.col("l_shipdate").alias("added_at"))
+    return checks.pack_status(steps, "l_orderkey", F.lit("1998-01-01").cast("timestamp"))
+
+
+@query("""
+    WITH t AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' OR o_custkey % 20 >= 15 THEN 'high' WHEN o_orderpriority = '2-HIGH' THEN 'medium' ELSE 'low' END AS tier FROM orders),
+    f AS (SELECT l_orderkey, bool_or(l_returnflag = 'A') AS e, bool_or(l_returnflag = 'R') AS r, bool_or(l_returnflag = 'N') AS a FROM lineitem GROUP BY 1)
+    SELECT o_orderkey, tier, CASE tier WHEN 'low' THEN true WHEN 'medium' THEN coalesce(e, false) ELSE coalesce(e AND r AND a, false) END AS passes FROM t LEFT JOIN f ON l_orderkey = o_orderkey""")
+def tier_gate(spark, d):
+    packs = table(spark, d, "orders").select("o_orderkey", checks.risk_tier(F.col("o_orderpriority"), F.col("o_custkey") % 20, ["1-URGENT"], ["2-HIGH"], 15).alias("tier"))
+    kind = F.when(F.col("l_returnflag") == "A", "executed").when(F.col("l_returnflag") == "R", "reviewer").otherwise("approval")
+    trusted = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), kind.alias("kind"))
+    return checks.tier_gate(packs, trusted, "o_orderkey").join(packs, "o_orderkey")
+
+
+@query("""
+    WITH s AS (SELECT user_id, event_type AS c, max(CASE WHEN event_id % 3 = 0 THEN least(value, 3.0) ELSE value END) AS s FROM events WHERE event_id % 4 > 0 GROUP BY ALL), w(c, w) AS (VALUES ('view', 40.0), ('click', 35.0), ('error', 25.0))
+    SELECT user_id, round(100 * sum(w) / 100.0, 1) AS coverage, CASE WHEN sum(w) >= 100 THEN round(sum(s * w) / 100.0, 6) END AS weighted FROM s JOIN w USING (c) GROUP BY 1""")
+def review_scores(spark, d):
+    criteria = spark.createDataFrame([("view", 40.0), ("click", 35.0), ("error", 25.0)], "criterion string, weight double")
+    e = table(spark, d, "events").select("user_id", F.col("event_type").alias("criterion"), F.col("value").alias("score"), (F.col("event_id") % 3 == 0).alias("same_context"), F.when(F.col("event_id") % 4 > 0, "x").alias("evidence"))
+    return checks.review_scores(e, criteria, "user_id")
