@@ -1 +1 @@
-"""Structured Streaming entry points for operators that are row- or key-local."""
+"""Structured Streaming entry points for operators that are local to a document."""
