@@ -189,3 +189,26 @@ def review_scores(spark, d):
     criteria = spark.createDataFrame([("view", 40.0), ("click", 35.0), ("error", 25.0)], "criterion string, weight double")
     e = table(spark, d, "events").select("user_id", F.col("event_type").alias("criterion"), F.col("value").alias("score"), (F.col("event_id") % 3 == 0).alias("same_context"), F.when(F.col("event_id") % 4 > 0, "x").alias("evidence"))
     return checks.review_scores(e, criteria, "user_id")
+
+
+@query("""
+    WITH t AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'high' ELSE 'low' END AS tier, o_orderstatus AS domain FROM orders), m(tier, domain, review, gate) AS (VALUES ('high', 'F', 'peer', true), ('low', 'O', 'none', false))
+    SELECT o_orderkey, review, gate FROM t LEFT JOIN m USING (tier, domain)""")
+def required_reviews(spark, d):
+    tasks = table(spark, d, "orders").select("o_orderkey", checks.risk_tier(F.col("o_orderpriority"), F.lit(0), ["1-URGENT"], [], 15).alias("tier"), F.col("o_orderstatus").alias("domain"))
+    matrix = spark.createDataFrame([("high", "F", "peer", True), ("low", "O", "none", False)], "tier string, domain string, review string, gate boolean")
+    return checks.required_reviews(tasks, matrix).select("o_orderkey", "review", "gate")
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'view' AND value > 10")
+def independence_errors(spark, d):
+    steps = table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "view", "same_context").otherwise("other").alias("reviewer_kind"), (F.col("value") > 10).alias("independent"))
+    return checks.independence_errors(steps, "event_id")
+
+
+@query("""
+    WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+    SELECT source, md5(CASE WHEN regexp_matches(trim(t), '^[0-9]+$') THEN '#' ELSE trim(t) END) AS text_md5, count(DISTINCT doc_id) AS pages FROM l WHERE line = 1 GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3""")
+def running_headers(spark, d):
+    first = table(spark, d, "documents").select("source", "doc_id", F.lit("top").alias("band"), F.get(F.split("text", "\n", -1), F.lit(0)).alias("t"))
+    return checks.running_headers(first, "source", "doc_id", "band", "t").select("source", F.md5("text").alias("text_md5"), "pages")
