@@ -38,7 +38,8 @@ CHECK_STEPS = 256
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
 BLOCK_TOKENS = LANES * CHECK_STEPS * 4
-GROUP_BLOCKS = 24
+GROUP_BLOCKS = 64  # blocks encoded side by side
+DECODE_BLOCKS = 24
 PART_TOKENS = 1 << 22
 
 
@@ -331,8 +332,8 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(freq)
         for b in batches:
-            for i in range(0, b.num_rows, GROUP_BLOCKS):
-                part = b.slice(i, GROUP_BLOCKS)
+            for i in range(0, b.num_rows, DECODE_BLOCKS):
+                part = b.slice(i, DECODE_BLOCKS)
                 docs, starts, sizes, crcs, raws, owner = [], [], [], [], [], []
                 for k, (d, n, ids) in enumerate(decode_blocks(part.column(2).to_pylist(), table)):
                     raw = ids.astype("<u4").tobytes()
