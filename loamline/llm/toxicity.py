@@ -244,7 +244,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 (toxic if y else clean).update({u for w in set(_WORD.findall(t.lower())) for u in units(w)})
                 docs[bool(y)] += 1
-        seen = [w for w in toxic if w not in clean or toxic[w] > clean[w] // 20]
+        # All units go out: how often one is clean elsewhere, or toxic at all, only the sum over tasks tells.
+        seen = list(toxic | clean)
         yield pa.RecordBatch.from_arrays(
             [pa.array(["", *seen], pa.string()), pa.array([docs[1], *(toxic[w] for w in seen)], pa.int64()), pa.array([docs[0], *(clean[w] for w in seen)], pa.int64())], names=["word", "toxic", "clean"]
         )
