@@ -14,7 +14,10 @@ distances to the page's routing object; inner nodes hold the routing objects
 below them; all have a covering radius and a distance to the parent.
 
 A query first visits its nearest shard, which gives a score that its results
-must reach, then, in blocks, every shard whose bound still reaches it.
+must reach, then every shard whose bound still reaches it. Queries are dealt by
+hash into blocks of about ``QUERY_ROWS``; a task holds one tree and one block,
+so a tree's rows are copied to each block that asks it. Results name a query by
+its id and the hash of its vector.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from loamline.llm.base import settle
 SAMPLE_ROWS = 2048
 MAX_SHARDS = 1024
 SHARD_ROWS = 50_000
+QUERY_ROWS = 20_000
 PAGE_ROWS = 256
 FANOUT = 32
 NODE = "shard int, sub int, node int, parent int, leaf boolean, radius double, parent_distance double, ids binary, vectors binary, distances binary, radii binary"
@@ -181,6 +185,18 @@ def _matrix(column, dim: int) -> np.ndarray:
     return out
 
 
+def _blocks(nodes: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` once for each block of routed queries ``rows(shard, sub, block, ...)`` that asks their tree, and ``rows``, both to be grouped by tree and block (``asked_by`` in the trees)."""
+    asking = rows.select(F.col("shard").alias("_shard"), F.col("sub").alias("_sub"), F.col("block").alias("asked_by")).distinct()
+    return nodes.join(asking, (F.col("shard") == F.col("_shard")) & (F.col("sub") == F.col("_sub"))).drop("_shard", "_sub"), rows
+
+
+def _dealt(asked: DataFrame, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """``vec_id, v, mark, block``: queries with the hash of their vector, in blocks of about ``query_rows``."""
+    blocks = max(1, -(-asked.count() // query_rows))
+    return asked.select("vec_id", "v", F.xxhash64("v").alias("mark"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` highest integer inner products of each query.
 
@@ -194,7 +210,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     """
     spark = vectors.sparkSession
     base = settle(_packed(vectors, id_col, vector_col), "vectors")
-    asked = _packed(queries, id_col, vector_col).distinct()
+    asked = settle(_packed(queries, id_col, vector_col).distinct(), "queries")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     stats = base.agg(F.count("*").alias("n"), F.max(square).alias("top"), F.max(F.size("v")).alias("dim")).first()
     if not stats["n"]:
@@ -242,15 +258,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
                 ids, d = np.frombuffer(r.ids, np.int64), np.frombuffer(r.distances)
                 made.append({"leaf": r.leaf, "ids": ids, "vectors": np.frombuffer(r.vectors).reshape(len(ids), -1), "distances": d, "radii": np.frombuffer(r.radii)})
             x = _matrix(pa.array(block["v"]), dim)
-            for i, (own, floor) in enumerate(zip(block["vec_id"].tolist(), block["floor"].tolist())):
-                found += [(own, block["v"].iloc[i], i_, s) for s, i_ in search(made, x[i], own, k, top, floor)]
-        return pd.DataFrame(found, columns=["query_id", "v", "vec_id", "score"])
+            for i, (own, mark, floor) in enumerate(zip(block["vec_id"].tolist(), block["mark"].tolist(), block["floor"].tolist())):
+                found += [(own, mark, i_, s) for s, i_ in search(made, x[i], own, k, top, floor)]
+        return pd.DataFrame(found, columns=["query_id", "mark", "vec_id", "score"])
 
-    result = "query_id long, v array<double>, vec_id long, score long"
+    result = "query_id long, mark long, vec_id long, score long"
     nowhere = float("-inf")
 
     def route(first: bool):
-        """Rows ``shard, sub, vec_id, v, floor``: the nearest shard's first tree, or all others within the bound."""
+        """Rows ``shard, sub, vec_id, v, floor, mark, block``: the nearest shard's first tree, or all others within the bound."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -270,18 +286,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
                         shard += [j] * len(of)
                         sub += [s] * len(of)
                 of = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(sub, pa.int32()), *(b.column(i).take(of) for i in range(3))], names=["shard", "sub", "vec_id", "v", "floor"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(sub, pa.int32()), *(b.column(i).take(of) for i in range(5))], names=["shard", "sub", "vec_id", "v", "floor", "mark", "block"])
 
         return run
 
     def ask(rows: DataFrame) -> DataFrame:
-        return nodes.groupBy("shard", "sub").cogroup(rows.groupBy("shard", "sub")).applyInPandas(visit, result)
-
-    routed = "shard int, sub int, vec_id long, v array<double>, floor double"
-    home = settle(ask(asked.withColumn("floor", F.lit(nowhere)).mapInArrow(route(True), routed)), "home")
-    worst = home.groupBy(F.col("query_id").alias("vec_id"), "v").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    bounded = asked.join(worst, ["vec_id", "v"], "left").select("vec_id", "v", F.coalesce(F.col("floor").cast("double"), F.lit(nowhere)).alias("floor"))
+        trees, blocks = _blocks(nodes, rows)
+        return trees.groupBy("shard", "sub", "asked_by").cogroup(blocks.groupBy("shard", "sub", "block")).applyInPandas(visit, result)
+
+    routed = "shard int, sub int, vec_id long, v array<double>, floor double, mark long, block int"
+    asked = _dealt(asked)
+    home = settle(ask(asked.select("vec_id", "v", F.lit(nowhere).alias("floor"), "mark", "block").mapInArrow(route(True), routed)), "home")
+    worst = home.groupBy(F.col("query_id").alias("vec_id"), "mark").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    bounded = asked.join(worst, ["vec_id", "mark"], "left").select("vec_id", "v", F.coalesce(F.col("floor").cast("double"), F.lit(nowhere)).alias("floor"), "mark", "block")
     others = ask(bounded.mapInArrow(route(False), routed))
-    order = Window.partitionBy("query_id", "v").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query_id", "mark").orderBy(F.col("score").desc(), "vec_id")
     ranked = home.unionAll(others).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
