@@ -21,7 +21,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     assessed = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return assessed.select("doc_id", "lang", "perplexity", "least", "most", "accepted")
+    return assessed.select("doc_id", "lang", "perplexity", "most", "accepted")
 
 
 def op4_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
