@@ -11,15 +11,18 @@ Turan system: any four of the eight positions contain one of them, so a pair
 with the guaranteed matches always meets in some list, and a list holds a
 2**24th of the fingerprints on average.
 
-``SIMILAR``: 256-bit fingerprints for a shingle similarity (Jaccard) of 0.8 or
-more. Such pairs differ in about 39 bits, 53 or fewer nearly always; that many
-bits guarantee no byte, so the index takes pairs of positions within each
-64-bit word, which 98 to 99 of 100 pairs at 0.8 share somewhere, and more above.
+``SIMILAR``: 256-bit fingerprints that propose pairs for a shingle similarity
+(Jaccard) of 0.8 or more. Such pairs differ in about 39 bits, 62 or fewer nearly
+always; that many bits guarantee no byte, so the index takes pairs of positions
+within each 64-bit word, which 99 of 100 pairs at 0.8 share somewhere, and more
+above. Texts of few shingles have noisy fingerprints; their pairs are proposed
+by an exact prefix filter as well. ``near_copies`` verifies every proposed pair
+on the shingles themselves.
 
 Within a list, shared positional bytes are tallied for each pair, pairs under
 the minimum are left out, and the rest are verified on all bits. A pair counts
 in the first list only that it shares. A list writes a spanning forest of its
-verified links, never all its pairs. Lists longer than ``LIST_ROWS`` are dealt
+links, or, for nodes with labels, its links between different labels. Lists longer than ``LIST_ROWS`` are dealt
 out as pairs of blocks, so that one task never holds more than two blocks of a
 hot list.
 """
@@ -36,12 +39,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamline.llm.base import settle, text_or_empty
+from loamline.llm.base import byte_slices, discard, fresh, settle, small, text_or_empty
 from loamline.llm.components import components
 
 SHINGLE_WORDS = 4
 SEED = 42
 LIST_ROWS = 8192
+SLICE_BYTES = 4_000_000
+SIMILARITY = 0.8
+SHORT = 50  # shingles; texts of up to SIMILARITY of this are linked through the prefix filter without loss
 
 
 def _turan_triples() -> tuple[tuple[int, ...], ...]:
@@ -74,7 +80,7 @@ class Index:
 
 
 EXACT = Index(words=1, keys=_turan_triples(), min_matches=4, max_bits=4)
-SIMILAR = Index(words=4, keys=tuple(combinations(range(8), 2)), min_matches=2, max_bits=53, distinct=True)
+SIMILAR = Index(words=4, keys=tuple(combinations(range(8), 2)), min_matches=2, max_bits=62, distinct=True)
 
 
 def _mixed(h: np.ndarray, word: int) -> np.ndarray:
@@ -87,31 +93,31 @@ def _mixed(h: np.ndarray, word: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: str | None, words_in_shingle: int = SHINGLE_WORDS, words: int = 1, distinct: bool = False) -> list[int]:
-    """The SimHash of a text in ``words`` 64-bit words; all 0 for a text without words."""
+def shingle_hashes(text: str | None, words_in_shingle: int = SHINGLE_WORDS) -> np.ndarray:
+    """XXH64 of each shingle of a text, repeats included; a text of fewer words is one shingle, one without words has none."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return [0] * words
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     n = max(1, len(tokens) - words_in_shingle + 1)
     digest = xxhash.xxh64_intdigest
     if n == 1:
-        h = np.array([digest(joined, SEED)], np.uint64)
-    else:
-        starts = np.zeros(len(tokens) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1, out=starts[1:])
-        at = starts.tolist()
-        h = np.fromiter((digest(joined[s : e - 1], SEED) for s, e in zip(at, at[words_in_shingle:])), np.uint64, n)
-    if distinct:
-        h = np.unique(h)
-        n = len(h)
+        return np.array([digest(joined, SEED)], np.uint64)
+    starts = np.zeros(len(tokens) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1, out=starts[1:])
+    at = starts.tolist()
+    return np.fromiter((digest(joined[s : e - 1], SEED) for s, e in zip(at, at[words_in_shingle:])), np.uint64, n)
+
+
+def simhash(h: np.ndarray, words: int = 1) -> list[int]:
+    """The SimHash of shingle hashes in ``words`` 64-bit words; all 0 without shingles."""
     out = []
     for word in range(words):
         ones = np.zeros(64, np.int64)
-        for i in range(0, n, 1 << 16):
+        for i in range(0, len(h), 1 << 16):
             part = _mixed(h[i : i + (1 << 16)], word)
             ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little"))
+        out.append(int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little"))
     return out
 
 
@@ -120,16 +126,30 @@ def _names(words: int) -> list[str]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = SHINGLE_WORDS, words: int = 1, distinct: bool = False) -> DataFrame:
-    """``doc_id, fp0, ...`` (longs with the fingerprint's bits), one row per row of ``docs``."""
+    """``doc_id, fp0, ..., n, mark``, one row per row of ``docs``.
+
+    The fingerprints are longs; ``n`` counts the different shingles, and
+    ``mark`` is a hash of their set (both 0 unless ``distinct``).
+    """
     names = _names(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.array([fingerprint(t, words_in_shingle, words, distinct) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(fps[:, w]) for w in range(words))], names=["doc_id", *names])
+        for b in (part for b in batches for part in byte_slices(b, 1, SLICE_BYTES)):
+            fps, sizes, marks = [], [], []
+            for t in b.column(1).to_pylist():
+                h = shingle_hashes(t, words_in_shingle)
+                if distinct:
+                    h = np.unique(h)
+                fps.append(simhash(h, words))
+                sizes.append(len(h) if distinct else 0)
+                marks.append(xxhash.xxh64_intdigest(h.tobytes()) if distinct else 0)
+            fps = np.array(fps, np.uint64).reshape(-1, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *(pa.array(fps[:, w]) for w in range(words)), pa.array(sizes, pa.int32()), pa.array(np.array(marks, np.uint64).view(np.int64))], names=["doc_id", *names, "n", "mark"]
+            )
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return source.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
+    return source.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names), "n int, mark long"]))
 
 
 def _postings(nodes: DataFrame, index: Index) -> DataFrame:
@@ -142,35 +162,28 @@ def _postings(nodes: DataFrame, index: Index) -> DataFrame:
         return out
 
     keys = [key(w, j, t) for w in range(index.words) for j, t in enumerate(index.keys)]
-    return nodes.select(F.explode(F.array(*keys)).alias("key"), *_names(index.words), "node")
+    return nodes.select(F.explode(F.array(*keys)).alias("key"), *_names(index.words), *(c for c in ("node", "label") if c in nodes.columns))
+
 
+def _close(at: np.ndarray, lag: int, key: np.ndarray, fp: np.ndarray, index: Index, first: np.ndarray) -> np.ndarray:
+    """Those of places ``at`` that link with the place ``lag`` further on and share no list before this one; ``key`` numbers the index's keys."""
+    x = fp[at] ^ fp[at + lag]
+    equal = np.packbits(x.view(np.uint8).reshape(-1, 8) == 0, axis=1, bitorder="little").reshape(-1, index.words)
+    keep = np.flatnonzero(np.bitwise_count(equal).sum(1) >= index.min_matches)
+    keep = keep[np.bitwise_count(x[keep]).sum(1) <= index.max_bits]
+    inside = first[equal[keep]]
+    word = (inside != 255).argmax(1)
+    shared = word * len(index.keys) + inside[np.arange(len(keep)), word]
+    return at[keep[shared == key[at[keep]]]]
 
-def _forest(key: np.ndarray, group: np.ndarray, fp: np.ndarray, index: Index) -> np.ndarray:
-    """Roots (indices) of a spanning forest of the links inside each run of equal ``group``; ``key`` numbers the index's keys."""
+
+def _forest(key: np.ndarray, group: np.ndarray, fp: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """Links (pairs of places) of a spanning forest of the links inside each run of equal ``group``."""
     first = index.first_key()
     root = np.arange(len(fp))
-    at = np.arange(len(fp))
-    lag = 0
-    while True:
-        lag += 1
-        at = at[at + lag < len(fp)]
-        at = at[group[at] == group[at + lag]]
-        if not len(at):
-            return root
+    for at, lag in _pairs_of(group):
         near = at[root[at] != root[at + lag]]
-        if not len(near):
-            continue
-        x = fp[near] ^ fp[near + lag]
-        equal = np.packbits(x.view(np.uint8).reshape(-1, 8) == 0, axis=1, bitorder="little").reshape(-1, index.words)
-        keep = np.flatnonzero(np.bitwise_count(equal).sum(1) >= index.min_matches)
-        keep = keep[np.bitwise_count(x[keep]).sum(1) <= index.max_bits]
-        if not len(keep):
-            continue
-        inside = first[equal[keep]]
-        word = (inside != 255).argmax(1)
-        shared = word * len(index.keys) + inside[np.arange(len(keep)), word]
-        keep = keep[shared == key[near[keep]]]
-        for i in near[keep].tolist():
+        for i in _close(near, lag, key, fp, index, first).tolist() if len(near) else ():
             a, b = i, i + lag
             while root[a] != a:
                 root[a] = root[root[a]]
@@ -181,20 +194,45 @@ def _forest(key: np.ndarray, group: np.ndarray, fp: np.ndarray, index: Index) ->
             root[max(a, b)] = min(a, b)
         while ((up := root[root]) != root).any():
             root = up
+    linked = np.flatnonzero(root != np.arange(len(root)))
+    return linked, root[linked]
+
+
+def _between(key: np.ndarray, group: np.ndarray, fp: np.ndarray, index: Index, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All links inside each run of equal ``group`` between places of different ``label``."""
+    first, found = index.first_key(), [(np.zeros(0, np.int64), 0)]
+    for at, lag in _pairs_of(group):
+        near = at[label[at] != label[at + lag]]
+        if len(near):
+            found.append((_close(near, lag, key, fp, index, first), lag))
+    return np.concatenate([i for i, _ in found]), np.concatenate([i + lag for i, lag in found])
+
+
+def _pairs_of(group: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """Places and lags that together make every pair of places inside a run of equal ``group``."""
+    at, lag = np.arange(len(group)), 0
+    while True:
+        lag += 1
+        at = at[at + lag < len(group)]
+        at = at[group[at] == group[at + lag]]
+        if not len(at):
+            return
+        yield at, lag
 
 
-def _links(index: Index):
+def _links(index: Index, labelled: bool):
     shift = 8 * len(index.keys[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
-        def out(key, block, node, *fps):
+        def out(key, block, node, *rest):
             change = np.ones(len(key), bool)
             change[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
-            root = _forest(key >> shift, np.cumsum(change), np.ascontiguousarray(np.stack(fps, 1)).view(np.uint64), index)
-            linked = np.flatnonzero(root != np.arange(len(root)))
-            return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], names=["a", "b"])
+            fp = np.ascontiguousarray(np.stack(rest[: index.words], 1)).view(np.uint64)
+            place = (key >> shift, np.cumsum(change), fp, index)
+            a, b = _between(*place, rest[-1]) if labelled else _forest(*place)
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
         for b in batches:
             now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
@@ -217,8 +255,11 @@ def near_links(nodes: DataFrame, index: Index = EXACT, list_rows: int = LIST_ROW
     """Links ``a, b`` between nodes that keep every component of the full link graph.
 
     ``nodes(fp0, ..., node)`` holds each fingerprint once. Under ``EXACT`` every
-    pair within its bits is in one component of the result.
+    pair within its bits is in one component of the result. With a column
+    ``label`` the result holds all links between nodes of different labels
+    instead (those that share a list), perhaps repeatedly.
     """
+    labels = ["label"] if "label" in nodes.columns else []
     lists = _postings(nodes, index)
     hot = lists.groupBy("key").count().where(F.col("count") > list_rows).select("key", F.ceil(F.col("count") / list_rows).cast("int").alias("blocks"))
     dealt = lists.join(hot, "key", "left")
@@ -226,9 +267,9 @@ def near_links(nodes: DataFrame, index: Index = EXACT, list_rows: int = LIST_ROW
     pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o))
     )
-    dealt = dealt.select("key", F.explode(pairs).alias("block"), "node", *_names(index.words))
+    dealt = dealt.select("key", F.explode(pairs).alias("block"), "node", *_names(index.words), *labels)
     dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block")
-    return dealt.mapInArrow(_links(index), "a long, b long")
+    return dealt.mapInArrow(_links(index, bool(labels)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index = EXACT, words_in_shingle: int = SHINGLE_WORDS) -> DataFrame:
@@ -243,24 +284,108 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     names = _names(index.words)
     marks = settle(fingerprints(docs, id_col, text_col, words_in_shingle, index.words, index.distinct), "simhash")
-    nodes = marks.groupBy(*names).agg(F.min("doc_id").alias("node"))
+    nodes = marks.select("doc_id", *names).groupBy(*names).agg(F.min("doc_id").alias("node"))
     roots = components(near_links(nodes.where("node is not null"), index))
     named = nodes.join(roots.withColumnRenamed("vertex", "node"), "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
     digits = F.concat(*(F.lower(F.lpad(F.hex(n), 16, "0")) for n in names))
     return marks.join(named, names).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index = SIMILAR, words_in_shingle: int = 5) -> DataFrame:
-    """One row of ``docs``, with all its columns, for each component of near copies.
+def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 5) -> DataFrame:
+    """``node, shingles``: the different shingles (32 bits of their hashes) of the rows of ``docs`` whose id is a ``node`` of ``wanted``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for b in batches for part in byte_slices(b, 1, SLICE_BYTES)):
+            sets = [np.unique(shingle_hashes(t, words_in_shingle).astype(np.uint32)).view(np.int32) for t in b.column(1).to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["node", "shingles"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("node"), text_or_empty(text_col).alias("text"))
+    return source.join(small(wanted), "node", "left_semi").mapInArrow(run, "node long, shingles array<int>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, alike``: whether each pair of nodes has ``SIMILARITY`` or more of its shingles in common (any two sets, where a node has several)."""
+    found = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return found.select("a", "b", (both >= SIMILARITY * (F.size("x") + F.size("y") - both) - 1e-9).alias("alike")).groupBy("a", "b").agg(F.max("alike").alias("alike"))
+
+
+def prefix_lists(sets: DataFrame) -> DataFrame:
+    """``h, small, large, node``: lists in one of which any two sets of ``SIMILARITY`` or more meet.
+
+    With shingles ordered from the rarest, two sets of ``small`` and ``large``
+    shingles that have enough in common share a shingle so early that enough
+    may still follow in either. Sets hold at most ``SHORT`` shingles.
+    """
+    one = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
+    rare = one.groupBy("h").agg(F.count("*").alias("f"))
+    ordered = one.join(rare, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("s"))
+    n, m = F.col("n"), F.col("m")
+    least = F.ceil(n * SIMILARITY - 1e-9).cast("int")
+    at = ordered.select("node", "n", F.posexplode(F.slice("s", F.lit(1), n - least + 1)).alias("i", "s"))
+    sized = at.select("node", "n", "i", "s.h", F.explode(F.sequence(least, F.floor(n / SIMILARITY + 1e-9).cast("int"))).alias("m"))
+    needed = F.ceil((n + m) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9)
+    return sized.where(needed <= n - F.col("i")).select("h", F.least(n, m).alias("small"), F.greatest(n, m).alias("large"), "node")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 5) -> DataFrame:
+    """``doc_id, component_id``: one row for each row of ``docs``.
+
+    Links are pairs of texts that have ``SIMILARITY`` or more of their different
+    shingles in common; ``component_id`` is the smallest doc_id that links
+    reach. Equal sets of shingles are one node, so texts without words are
+    linked. A node first links along a spanning forest of its proposed pairs;
+    where such a pair fails, all proposed pairs between what has not come
+    together are verified too. Rows with a null id have a null component.
+    """
+    index = SIMILAR
+    names = _names(index.words)
+    marks = settle(fingerprints(docs, id_col, text_col, words_in_shingle, index.words, True), "marks")
+    nodes = settle(marks.where("doc_id is not null").groupBy(*names, "n", "mark").agg(F.min("doc_id").alias("node")), "nodes")
+    proposed = settle(near_links(nodes, index).where("a <> b").distinct(), "proposed")
+    wanted = proposed.select(F.col("a").alias("node")).union(proposed.select("b")).union(nodes.where(f"n between 1 and {SHORT}").select("node")).distinct()
+    sets = settle(shingle_sets(docs.where(F.col(id_col).isNotNull()), settle(wanted, "wanted"), id_col, text_col, words_in_shingle), "sets")
+    lists = settle(prefix_lists(sets.where(F.size("shingles").between(1, SHORT))), "lists")
+    key = ["h", "small", "large"]
+    heads = lists.groupBy(*key).agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1")
+    stars = lists.join(heads, key).where("a <> node").select("a", F.col("node").alias("b"))
+    first = settle(verified(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(stars).distinct(), sets), "verified")
+    alike = first.where("alike").select("a", "b")
+    label = settle(components(alike).select(F.col("vertex").alias("node"), F.col("component").alias("label")), "labels")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    # What the fingerprints alone bring together, where one of its links failed.
+    rough = settle(components(proposed).select(F.col("vertex").alias("node"), F.col("component").alias("rough")), "rough")
+    failed = first.where("not alike").select(F.col("a").alias("node")).join(rough, "node").select("rough").distinct()
+    again = settle(labelled(nodes.join(rough.join(failed, "rough", "left_semi").select("node"), "node", "left_semi").select(*names, "node")), "again")
+    x = labelled(lists.join(heads.select(*key), key, "left_semi"))
+    y = x.select(*key, F.col("node").alias("other"), F.col("label").alias("other_label"))
+    across = x.join(y, key).where("node < other and label <> other_label").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    cross = near_links(again, index).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(across).where("a <> b").distinct()
+    second = settle(verified(cross.join(first.select("a", "b"), ["a", "b"], "left_anti"), sets), "verified")
+    roots = components(alike.union(second.where("alike").select("a", "b")))
+    named = nodes.join(roots.withColumnRenamed("vertex", "node"), "node", "left").select(*names, "n", "mark", F.coalesce("component", "node").alias("component_id"))
+    found = settle(marks.join(named, [*names, "n", "mark"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")), "copies")
+    discard(marks, nodes, proposed, sets, lists, first, label, rough, again, second)
+    return found
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 5) -> DataFrame:
+    """One row of ``docs``, with all their columns, for each component of ``near_copies``.
 
     It is the row whose id names the component; of rows that repeat this id, the
     one of smallest text hash. Rows with a null id are all kept.
     """
-    found = near_duplicates(docs, id_col, text_col, index, words_in_shingle)
-    keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_rows"))
-    kept = docs.join(keep, F.col(id_col).cast("long") == F.col("_keep"))
-    first = Window.partitionBy("_keep").orderBy(F.xxhash64(text_col), F.xxhash64(*[c for c, kind in docs.dtypes if "map" not in kind]))
+    names = [fresh(docs, n) for n in ("_keep", "_rows", "_place")]
+    keep, rows, place = names
+    found = near_copies(docs, id_col, text_col, words_in_shingle)
+    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(keep)).agg(F.count("*").alias(rows))
+    kept = docs.join(kept, F.col(id_col).cast("long") == F.col(keep))
+    first = Window.partitionBy(keep).orderBy(F.xxhash64(text_col), F.xxhash64(*[c for c, kind in docs.dtypes if "map" not in kind]))
     # Ids are unique in most tables, so only repeated ones are put in order.
-    once = kept.where("_rows = 1").select(*docs.columns)
-    again = kept.where("_rows > 1").withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
+    once = kept.where(F.col(rows) == 1).select(*docs.columns)
+    again = kept.where(F.col(rows) > 1).withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*docs.columns)
     return once.unionAll(again).unionAll(docs.where(F.col(id_col).isNull()))
