@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loamline.llm.base import settle, shared_dir, text_or_empty
-from loamline.llm.tokens import word_encoder, word_tokenizer_path
+from loamline.llm.base import byte_slices, discard, settle, shared_dir, text_or_empty
+from loamline.llm.tokens import SLICE_BYTES, word_encoder, word_tokenizer_path
 
 MAGIC = b"RANSBLK1"
 HEAD = struct.Struct("<8sIIIIIII")  # magic, table CRC, documents, ids, lanes, steps between checkpoints, segments, words
@@ -39,7 +39,7 @@ SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
 BLOCK_TOKENS = LANES * CHECK_STEPS * 4
 GROUP_BLOCKS = 64  # blocks encoded side by side
-DECODE_BLOCKS = 24
+DECODE_BYTES = 3_000_000
 PART_TOKENS = 1 << 22
 
 
@@ -204,19 +204,20 @@ def decode_blocks(payloads: Sequence[bytes], table: Table) -> list[tuple[np.ndar
 
 
 def tokenized(docs: DataFrame, end_id: int, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens, ids`` (little-endian unsigned 16-bit, ``end_id`` appended)."""
+    """``doc_id, n_tokens, tie, ids`` (little-endian unsigned 16-bit, ``end_id`` appended; ``tie`` is their CRC-32)."""
     path = path or word_tokenizer_path()
     end = end_id.to_bytes(2, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(path)
-        for b in batches:
+        for b in (part for b in batches for part in byte_slices(b, 1, SLICE_BYTES)):
             ids = [encode(t) + end for t in b.column(1).to_pylist()]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            tie = np.fromiter(map(zlib.crc32, ids), np.int64, len(ids))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(tie), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "tie", "ids"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return source.mapInArrow(run, "doc_id long, n_tokens long, tie long, ids binary")
 
 
 def symbol_counts(tokens: DataFrame, size: int = 1 << 16) -> DataFrame:
@@ -238,8 +239,9 @@ def write_corpus(docs: DataFrame, end_id: int = 2, path: str | None = None, id_c
 
     Null texts count as empty (only the end id). Rows with a null id come
     first, as id -2**63. Rows with the same id keep one entry each, ordered by
-    their ids. A document longer than a block makes one longer block. An empty
-    table makes files without blocks. Other columns are not read.
+    their token ids' CRC-32 and may lie in several parts. A document longer than
+    a block makes one longer block. An empty table makes files without blocks.
+    Other columns are not read.
     """
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/rans-{uuid.uuid4().hex}"
@@ -287,26 +289,32 @@ def write_corpus(docs: DataFrame, end_id: int = 2, path: str | None = None, id_c
             ready.clear()
             return out
 
-        waiting = 0
-        for b in batches:
+        for b in (part for b in batches for part in byte_slices(b, 1, SLICE_BYTES)):
             for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                # Blocks side by side take the room of the longest: a long document is a block of its own, coded alone.
+                long = len(x) // 2 >= BLOCK_TOKENS
+                if long and docs:
+                    close()
+                    docs, ids, held = [], [], 0
+                if long and ready:
+                    yield flush()
                 docs.append(-(1 << 63) if d is None else d)
                 ids.append(x)
                 held += len(x) // 2
                 if held >= BLOCK_TOKENS:
                     close()
-                    waiting += held
                     docs, ids, held = [], [], 0
-                    if len(ready) >= GROUP_BLOCKS or waiting >= 4 * GROUP_BLOCKS * BLOCK_TOKENS:
+                    if long or len(ready) >= GROUP_BLOCKS:
                         yield flush()
-                        waiting = 0
         if docs:
             close()
         if ready:
             yield flush()
 
-    ordered = tokens.select("doc_id", "ids").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    by = (F.col("doc_id").asc_nulls_first(), F.col("tie"))
+    ordered = tokens.select("doc_id", "tie", "ids").repartitionByRange(parts, *by).sortWithinPartitions(*by, "ids").select("doc_id", "ids")
     ordered.mapInArrow(run, "part int, block int, n_tokens long, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    discard(tokens)
     return path
 
 
@@ -332,8 +340,7 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(freq)
         for b in batches:
-            for i in range(0, b.num_rows, DECODE_BLOCKS):
-                part = b.slice(i, DECODE_BLOCKS)
+            for part in byte_slices(b, 2, DECODE_BYTES):
                 docs, starts, sizes, crcs, raws, owner = [], [], [], [], [], []
                 for k, (d, n, ids) in enumerate(decode_blocks(part.column(2).to_pylist(), table)):
                     raw = ids.astype("<u4").tobytes()

@@ -3,13 +3,15 @@
 The word tokenizer's pre-tokenizer never joins characters across white space, so
 a text's ids are those of its space-separated chunks in a row. Chunks repeat, so
 each worker keeps the ids of the chunks it has met; unseen chunks go to the
-library.
+library. The tokenizer is used as its file says: the strings of its special
+tokens, which hold no white space, become their ids.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import string
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,14 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.base import text_or_empty
+from loamline.llm.base import byte_slices, text_or_empty
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.tiktoken"
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 500_000  # chunks of at most CACHED_LETTERS
+CACHED_LETTERS = 64
+SLICE_BYTES = 4_000_000
 
-#: Letters that are single code points in NFC with single-letter lower cases, then punctuation that is one pre-token.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+#: Letters that are single code points in NFC with single-letter lower cases.
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: A run of these is one pre-token (an apostrophe may begin a suffix instead).
+_MARKS = string.punctuation.replace("'", "")
+#: What str.split takes for white space and the tokenizer does not.
+_NOT_SPACES = re.compile("[\x1c-\x1f]")
 
 
 def _byte_letters() -> list[str]:
@@ -43,8 +51,9 @@ class _Chunks(dict):
     """Chunk -> its ids as little-endian unsigned 16-bit integers; the library is asked on a miss."""
 
     def __init__(self, tokenizer):
-        super().__init__({"": b""})
+        super().__init__()
         self.tokenizer = tokenizer
+        self.model = tokenizer.model
         self.pieces: dict[str, bytes] = {}
 
     def _pack(self, ids) -> bytes:
@@ -55,25 +64,31 @@ class _Chunks(dict):
         found = self.pieces.get(word)
         if found is None:
             letters = word if word.isascii() else "".join([_BYTE_LETTERS[b] for b in word.encode()])
-            found = self.pieces[word] = self._pack([t.id for t in self.tokenizer.model.tokenize(letters)])
+            found = self.pieces[word] = self._pack([t.id for t in self.model.tokenize(letters)])
         return found
 
     def _other(self, chunk: str) -> bytes:
-        found = self.pieces.get(chunk)
+        return self._pack(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+
+    def _marks(self, marks: str) -> bytes:
+        found = self.pieces.get(marks)
         if found is None:
-            found = self.pieces[chunk] = self._pack(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+            found = self.pieces[marks] = self._other(marks)
         return found
 
     def __missing__(self, chunk: str) -> bytes:
+        if len(chunk) > CACHED_LETTERS:
+            return self._other(chunk)
         if len(self) > CACHE_ENTRIES:
             self.clear()
             self.pieces.clear()
-            self[""] = b""
-        m = _PLAIN.fullmatch(chunk)
-        if not m:
-            ids = self._other(chunk)
+        core = chunk.rstrip(_MARKS)
+        if (core.isascii() and core.isalpha()) or _LETTERS.fullmatch(core):
+            ids = self._word(core.lower())
+            if len(core) != len(chunk):
+                ids += self._marks(chunk[len(core) :])
         else:
-            ids = self._word(m[1].lower()) + (self._other(m[2]) if m[2] else b"")
+            ids = self._other(chunk)
         self[chunk] = ids
         return ids
 
@@ -87,12 +102,12 @@ def word_encoder(path: str):
     tokenizer = Tokenizer.from_file(path)
     if tokenizer.get_vocab_size() > 1 << 16:
         raise ValueError("ids of this tokenizer need more than 16 bits")
-    tokenizer.encode_special_tokens = True
     get = _Chunks(tokenizer).__getitem__
 
     def encode(text: str) -> bytes:
-        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join(map(get, chunks))
+        if _NOT_SPACES.search(text):
+            return b"".join(map(get, filter(None, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))))
+        return b"".join(map(get, text.split()))
 
     return encode
 
@@ -183,10 +198,8 @@ def section_token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, sizes = byte_encoder(path)
-        for b in batches:
+        for b in (part for b in batches for part in byte_slices(b, 1, SLICE_BYTES)):
             found = [one(t, encode, sizes) for t in b.column(1).to_pylist()]
-            if not found:
-                continue
             each = np.array([len(x[0]) for x in found])
             column = lambda i: np.concatenate([x[i] for x in found]).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
