@@ -7,6 +7,9 @@ exponentially with the share of its pieces already covered; the pricing step is
 a knapsack by dynamic programming over the capacity that finds the
 configurations of most weight. The fractional copies are then rounded along
 their running sum, and what the rounding leaves is placed best-fit decreasing.
+The rounding is done for several least fills of the configurations taken, from
+all of them to none, and the plan of fewest sequences is kept: it is never above
+plain best-fit decreasing.
 
 Only the histogram (at most one row for each length up to the capacity) reaches
 the driver. The plan goes back as a table of rank intervals; its size depends
@@ -26,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamline.llm.base import settle, text_or_empty
-from loamline.llm.tokens import word_encoder, word_tokenizer_path
+from loamline.llm.base import byte_slices, settle, text_or_empty
+from loamline.llm.tokens import SLICE_BYTES, word_encoder, word_tokenizer_path
 
 CAPACITY = 2048
 PHASES = 12
 REFRESH = 48
 ETA = 8.0
 RAISE = 0.05
-TIGHT = 0.995  # configurations that fill less are left to best-fit decreasing
+LEAST_FILLS = (0.0, 0.9, 0.98, 0.995, 2.0)  # of the configurations that a rounding takes; none fills 2.0
 BUCKET_ROWS = 250_000
 
 
@@ -120,9 +123,18 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, phases: int = PHA
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, phases: int = PHASES) -> list[tuple[int, int, int, int, int]]:
     """Rows ``length, first rank, end rank, first sequence, offset`` that place every rank once.
 
-    Rank r of a row goes to sequence ``first sequence + r - first rank``.
+    Rank r of a row goes to sequence ``first sequence + r - first rank``. Of
+    plans with equally many sequences the first of ``LEAST_FILLS`` is taken.
     """
-    left = {l: n for l, n in histogram.items() if n > 0}
+    need = {l: n for l, n in histogram.items() if n > 0}
+    configurations = solve(need, capacity, phases)
+    plans = [rounded([(c, x) for c, x in configurations if sum(l * a for l, a in c.items()) >= fill * capacity], need, capacity) for fill in LEAST_FILLS]
+    return min(plans, key=lambda p: p[1])[0]
+
+
+def rounded(configurations: list[tuple[dict[int, int], float]], histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """The rows of ``plan`` from whole copies of ``configurations`` and best-fit decreasing for the rest, and their number of sequences."""
+    left = dict(histogram)
     used = dict.fromkeys(left, 0)
     rows: list[tuple[int, int, int, int, int]] = []
     free: dict[int, list[tuple[int, int]]] = defaultdict(list)  # free room -> runs of sequences (first, count)
@@ -141,8 +153,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, phases: int = PHAS
         left[l] -= count
 
     running = 0.0
-    full = [(c, x) for c, x in solve(left, capacity, phases) if sum(l * a for l, a in c.items()) >= TIGHT * capacity]
-    for config, x in sorted(full, key=lambda c: (-c[1], sorted(c[0].items()))):
+    for config, x in sorted(configurations, key=lambda c: (-c[1], sorted(c[0].items()))):
         copies = int(running + x + 1e-9) - int(running + 1e-9)
         running += x
         items = [l for l, a in sorted(config.items(), reverse=True) for _ in range(a)]
@@ -175,7 +186,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, phases: int = PHAS
                         place(l, sequences, copies, k * l)
                     give(capacity - each * l, sequences, copies)
                     sequences += copies
-    return rows
+    return rows, sequences
 
 
 def pieces(docs: DataFrame, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
@@ -185,7 +196,7 @@ def pieces(docs: DataFrame, end_id: int, capacity: int = CAPACITY, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(path)
-        for b in batches:
+        for b in (part for b in batches for part in byte_slices(b, 1, SLICE_BYTES)):
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 raw = np.frombuffer(encode(text) + end, "<u2").astype("<u4").tobytes()
