@@ -21,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.base import text_or_empty
+from loamline.llm.base import byte_slices, text_or_empty
 
 SAMPLE_DOCS = 24_000
 LEARNED_UNITS = 4000
 LEAST_TOXIC_DOCS = 5
 LEAST_LOG_ODDS = 2.0
 STEM_LETTERS = range(4, 9)
-MEMO_WORDS = 300_000
+MEMO_WORDS = 300_000  # of at most MEMO_LETTERS
+MEMO_LETTERS = 40
+SLICE_BYTES = 4_000_000
 PREDICT_FROM = 0.7
 TREES, DEPTH, RATE, BINS, LEAST_LEAF, L2 = 80, 3, 0.15, 32, 5, 1.0
 
@@ -52,7 +54,9 @@ SECOND_PERSON = frozenset(
     """.split()
 )
 _WORD = re.compile(r"[^\W\d_]+")
-_OBFUSCATED = re.compile(r"(?<![\w@$*])(?=[\w@$*!]*[A-Za-z])(?=[\w@$*!]*[0-9@$*!][A-Za-z])[A-Za-z@$][\w@$*!]{2,}")
+#: A run with a sign or digit in it; the possessive parts and the look-behind make it one try a run.
+_MIXED = re.compile(r"(?<![\w@$*!])(?=[^\W\d_]*+[0-9@$*!])[\w@$*!]++")
+_SIGN_THEN_LETTER = re.compile(r"[0-9@$*!][A-Za-z]")
 _PLAIN_LETTERS = str.maketrans("013457@$!", "oieastasi")
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 _PUNCT_RUN = re.compile(r"[!?.#$%&*]{2,}")
@@ -78,15 +82,23 @@ class Lexicon(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> float:
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        found = self[word] = max(map(self.weights.get, units(word), [0.0] * (len(STEM_LETTERS) + 1)))
+        found = max(map(self.weights.get, units(word), [0.0] * (len(STEM_LETTERS) + 1)))
+        if len(word) <= MEMO_LETTERS:
+            if len(self) > MEMO_WORDS:
+                self.clear()
+            self[word] = found
         return found
 
     def __reduce__(self):
         return Lexicon, (self.weights,)
 
 
+def obfuscated(text: str) -> list[str]:
+    """Words of three or more characters that begin with a letter, @ or $ and hold a sign or digit before a letter."""
+    runs = (r.strip("!") for r in _MIXED.findall(text)) if any(c in text for c in "0134579@$*!") else ()
+    return [r for r in runs if len(r) > 2 and (r[0] in "@$" or r[0].isascii() and r[0].isalpha()) and _SIGN_THEN_LETTER.search(r)]
+
+
 def features(text: str, learned: Lexicon) -> list[float]:
     """The dense features of one text, in the order of ``FEATURES``."""
     words = _WORD.findall(text.lower())
@@ -105,7 +117,7 @@ def features(text: str, learned: Lexicon) -> list[float]:
             if ds:
                 near += 1
                 nearest = max(nearest, 1 / min(ds) if min(ds) else 1.0)
-    odd = _OBFUSCATED.findall(text) if any(c in text for c in "0134579@$*!") else []
+    odd = obfuscated(text)
     odd_hits = 0
     for o in odd:
         plain = o.lower().translate(_PLAIN_LETTERS)
@@ -190,16 +202,17 @@ def fit_trees(x: np.ndarray, y: np.ndarray) -> Trees:
 
 def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: ascending knots of the raw score and their calibrated values."""
-    order = np.argsort(raw, kind="stable")
-    xs, ys = raw[order], y[order].astype(float)
+    xs, group = np.unique(raw, return_inverse=True)
+    weights = np.bincount(group)
+    means = np.bincount(group, y) / weights  # rows of one raw score stay together
     blocks: list[list[float]] = []  # mean, weight, first x, last x
-    for a, b in zip(xs.tolist(), ys.tolist()):
-        blocks.append([b, 1.0, a, a])
-        while len(blocks) > 1 and (blocks[-2][0] >= blocks[-1][0] or blocks[-2][3] == blocks[-1][2]):
+    for x, mean, weight in zip(xs.tolist(), means.tolist(), weights.tolist()):
+        blocks.append([mean, weight, x, x])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             m, w, _, last = blocks.pop()
             p = blocks[-1]
             p[0], p[1], p[3] = (p[0] * p[1] + m * w) / (p[1] + w), p[1] + w, last
-    knots = [(x, b[0]) for b in blocks for x in ({b[2], b[3]} if b[2] == b[3] else (b[2], b[3]))]
+    knots = [(x, b[0]) for b in blocks for x in ((b[2],) if b[2] == b[3] else (b[2], b[3]))]
     return np.array([k[0] for k in knots]), np.array([k[1] for k in knots])
 
 
@@ -228,7 +241,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     """Fit on at most ``sample_docs`` labelled documents outside the held-out third.
 
     Labels that are null, or whose document is missing, take no part; of
-    contradicting labels of one document the larger counts.
+    contradicting labels of one document the larger counts. A null text counts
+    as an empty one with its label.
     """
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -240,7 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
         docs = [0, 0]
-        for b in batches:
+        for b in (part for b in batches for part in byte_slices(b, 0, SLICE_BYTES)):
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 (toxic if y else clean).update({u for w in set(_WORD.findall(t.lower())) for u in units(w)})
                 docs[bool(y)] += 1
@@ -260,7 +274,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     learned = Lexicon(weights)
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for b in batches for part in byte_slices(b, 0, SLICE_BYTES)):
             x = [features(t, learned) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "part", "x"])
 
@@ -281,8 +295,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                part = b.slice(i, 2000)
+            for part in byte_slices(b, 1, SLICE_BYTES):
                 s = model.scores(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= PREDICT_FROM).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
@@ -296,8 +309,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             i = b.schema.get_field_index(text_col)
-            for k in range(0, b.num_rows, 2000):
-                part = b.slice(k, 2000)
+            for part in byte_slices(b, i, SLICE_BYTES):
                 s = model.scores([t or "" for t in part.column(i).to_pylist()])
                 yield part.filter(pa.array(s < PREDICT_FROM))
 
