@@ -1,15 +1,15 @@
 """Document fingerprints: threshold-scaled sketches of word-shingle hashes.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash range, so
-sketches of texts of very different sizes are comparable and can be merged: the
-sketch of a union is the union of the sketches, cut at the lower threshold. A
-short text would keep next to nothing, so its own threshold is raised to its
-``FLOOR``-th smallest hash (or to the whole range when it has no more hashes
-than that). Every sketch is complete below its own threshold; two are compared
-below the lower of both.
-
-Everything here is DataFrame functions: one pass over the texts, one shuffle
-that brings each document next to its successor.
+A sketch keeps every shingle hash below a fixed fraction of the hash range,
+whatever the text's length, so sketches of texts of very different sizes are
+comparable and can be merged: the sketch of a union is the union of the
+sketches. Sketches of different fractions are compared below the lower
+threshold. A sketch also holds a digest of all shingles: of two texts that are
+so short that neither has a hash below the threshold, it tells whether they are
+alike.
+
+Everything here is DataFrame functions: one shuffle brings each text next to its
+successor, and sketches are made after it.
 """
 
 from __future__ import annotations
@@ -21,9 +21,8 @@ from pyspark.sql.window import Window
 from loamline.llm.base import text_or_empty
 
 SHINGLE_WORDS = 5
-FRACTION = 8  # one hash in eight is below the threshold
-FLOOR = 48
-LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
+FRACTION = 2  # one hash in two is below the threshold
+LOWEST = -(1 << 63)
 QUANTILES = 256
 BUCKET_ROWS = 20_000
 BROADCAST_HEADS = 1_000_000
@@ -34,14 +33,14 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def sketch(text: Column, shingle_words: int = SHINGLE_WORDS, fraction: int = FRACTION, floor: int = FLOOR) -> Column:
-    """``struct(threshold, hashes)`` of a text; hashes are sorted and distinct.
+def sketch(text: Column, shingle_words: int = SHINGLE_WORDS, fraction: int = FRACTION) -> Column:
+    """``struct(threshold, digest, hashes)`` of a text; hashes are sorted, distinct and at most the threshold.
 
     Words are runs without white space, in lower case. A text of fewer words
     than a shingle has the whole sequence as its one shingle; a text without
-    words has an empty sketch. Null counts as empty.
+    words has none. Null counts as empty.
     """
-    below = LOWEST + (1 << 64) // fraction
+    top = LOWEST + (1 << 64) // fraction - 1
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
     hashed = F.transform(words, lambda w: F.xxhash64(w))
 
@@ -50,38 +49,28 @@ def sketch(text: Column, shingle_words: int = SHINGLE_WORDS, fraction: int = FRA
         return F.when(F.size(h) >= shingle_words, many).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<long>"))
 
     def keep(s: Column) -> Column:
-        few = F.filter(s, lambda x: x < below)
-        return F.when(
-            F.size(few) >= floor, F.struct(F.lit(below - 1).cast("long").alias("threshold"), F.array_sort(few).alias("hashes"))
-        ).otherwise(
-            _let(
-                F.array_sort(s),
-                lambda a: F.struct(
-                    F.when(F.size(a) > floor, F.greatest(F.get(a, F.lit(floor - 1)), F.lit(below - 1))).otherwise(F.lit(HIGHEST)).cast("long").alias("threshold"),
-                    F.slice(a, 1, floor).alias("hashes"),
-                ),
-            )
-        )
-
-    return _let(hashed, lambda h: _let(F.array_distinct(shingles(h)), keep))
+        kept = F.array_sort(F.array_distinct(F.filter(s, lambda x: x <= top)))
+        return F.struct(F.lit(top).cast("long").alias("threshold"), F.xxhash64(s).alias("digest"), kept.alias("hashes"))
+
+    return _let(hashed, lambda h: _let(shingles(h), keep))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard estimate of two sketches, 0 to 1; two empty ones are alike."""
+    """Jaccard estimate of two sketches, 0 to 1. Two without hashes are alike (1) if their digests agree, else not (0)."""
     return _let(
         F.least(a["threshold"], b["threshold"]),
         lambda t: _let(
             F.struct(F.filter(a["hashes"], lambda x: x <= t).alias("a"), F.filter(b["hashes"], lambda x: x <= t).alias("b")),
             lambda p: _let(
                 F.size(F.array_intersect(p["a"], p["b"])),
-                lambda n: F.when(F.size(p["a"]) + F.size(p["b"]) == 0, F.lit(1.0)).otherwise(n / (F.size(p["a"]) + F.size(p["b"]) - n)),
+                lambda n: F.when(F.size(p["a"]) + F.size(p["b"]) == 0, a["digest"].eqNullSafe(b["digest"]).cast("double")).otherwise(n / (F.size(p["a"]) + F.size(p["b"]) - n)),
             ),
         ),
     )
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Share of ``a``'s shingles that ``b`` has, 0 to 1; null for an empty ``a``."""
+    """Share of ``a``'s shingles that ``b`` has, 0 to 1; null if ``a`` has no hashes."""
     return _let(
         F.least(a["threshold"], b["threshold"]),
         lambda t: _let(F.filter(a["hashes"], lambda x: x <= t), lambda p: F.size(F.array_intersect(p, b["hashes"])) / F.nullif(F.size(p), F.lit(0))),
@@ -89,17 +78,17 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def merged(a: Column, b: Column) -> Column:
-    """The sketch of both texts together (shingles across their border aside)."""
+    """The sketch of both texts together (shingles across their border aside; its digest is unknown, null)."""
     return _let(
         F.least(a["threshold"], b["threshold"]),
-        lambda t: F.struct(t.alias("threshold"), F.array_sort(F.filter(F.array_union(a["hashes"], b["hashes"]), lambda x: x <= t)).alias("hashes")),
+        lambda t: F.struct(t.alias("threshold"), F.lit(None).cast("long").alias("digest"), F.array_sort(F.filter(F.array_union(a["hashes"], b["hashes"]), lambda x: x <= t)).alias("hashes")),
     )
 
 
 def rendered(s: Column) -> Column:
-    """Lowercase hex: the threshold, a colon, then 16 digits for each hash."""
+    """Lowercase hex: the threshold, the digest, then 16 digits for each hash, with colons between."""
     digits = lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")
-    return F.concat(digits(s["threshold"]), F.lit(":"), F.array_join(F.transform(s["hashes"], digits), ""))
+    return F.concat(digits(s["threshold"]), F.lit(":"), F.coalesce(digits(s["digest"]), F.lit("")), F.lit(":"), F.array_join(F.transform(s["hashes"], digits), ""))
 
 
 def with_successor(docs: DataFrame, id_col: str, columns: list[str], ties: str, derive: dict[str, Column] | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -111,8 +100,9 @@ def with_successor(docs: DataFrame, id_col: str, columns: list[str], ties: str,
     finds its rows' successors alone. Only the quantiles reach the driver. The
     table of bucket heads has one row for about ``bucket_rows`` documents: up to
     ``BROADCAST_HEADS`` rows it is broadcast, beyond that joined by shuffle.
-    ``derive`` adds columns before the rows are dealt. Rows with the same id
-    follow one another in the order of ``ties``; null ids come first.
+    ``derive`` adds columns after the rows are dealt, so they are not shuffled. Rows with the same id
+    follow one another in the order of ``ties``; null ids come first. Ids should
+    be nearly unique: the rows of one id are in one bucket.
     """
     i = F.col(id_col).cast("long")
     stats = docs.select(i.alias("i")).agg(F.percentile_approx("i", [k / QUANTILES for k in range(QUANTILES + 1)], 10 * QUANTILES).alias("q"), F.count("*").alias("n")).first()
@@ -134,7 +124,8 @@ def with_successor(docs: DataFrame, id_col: str, columns: list[str], ties: str,
     if (len(cuts) + 1) * inner <= BROADCAST_HEADS:
         heads = F.broadcast(heads)
     ghosts = docs.join(heads, i.eqNullSafe(F.col("_head"))).select(*docs.columns, F.col("_to").alias("_bucket"), F.lit(1).alias("_ghost"))
-    both = dealt.withColumn("_ghost", F.lit(0)).select(*docs.columns, "_bucket", "_ghost").unionAll(ghosts).withColumns(derive or {})
+    both = dealt.withColumn("_ghost", F.lit(0)).select(*docs.columns, "_bucket", "_ghost").unionAll(ghosts)
+    both = both.repartition("_bucket").withColumns(derive or {})
     over = Window.partitionBy("_bucket").orderBy("_ghost", F.col(id_col).asc_nulls_first(), ties)
     return both.withColumns({f"next_{c}": F.lead(c).over(over) for c in columns}).where("_ghost = 0").drop("_bucket", "_ghost")
 
