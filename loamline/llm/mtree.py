@@ -168,8 +168,13 @@ def search(nodes: list[dict], query: np.ndarray, own: int, k: int, top: float, f
 def _packed(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``vec_id, v`` (components floor(256 x) as doubles) of the vectors that take part."""
     c = F.col(vector_col)
-    fine = c.isNotNull() & F.col(id_col).isNotNull() & (F.size(c) > 0) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return df.where(fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(c, lambda x: F.floor(F.lit(256.0) * x.cast("double")).cast("double")).alias("v"))
+    fine = c.isNotNull() & F.col(id_col).isNotNull() & ~F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+
+    def whole(x):  # doubles from 2**52 on are whole, and may be too large for a long
+        y = F.lit(256.0) * x.cast("double")
+        return F.when(F.abs(y) < float(1 << 52), F.floor(y).cast("double")).otherwise(y)
+
+    return df.where(fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(c, whole).alias("v"))
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -202,8 +207,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
 
     Components count as floor(256 x). Candidates are all rows of ``vectors``
     whose vec_id is not the query's; ties go to the smaller vec_id. Vectors
-    that are null or empty, hold a null or non-finite component or have a null
-    id take no part, as queries neither. Shorter vectors count as padded with
+    that are null, hold a null or non-finite component or have a null id take no
+    part, as queries neither. Shorter (also empty) vectors count as padded with
     zeros. Repeated rows are each a candidate; a query repeated with the same
     id and vector is answered once. With no vectors or no queries the result is
     empty. Other columns are not read.
@@ -216,7 +221,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     if not stats["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     top = float(stats["top"])
-    dim = max(int(stats["dim"]), int(asked.agg(F.max(F.size("v"))).first()[0] or 0))
+    dim = max(1, int(stats["dim"]), int(asked.agg(F.max(F.size("v"))).first()[0] or 0))
     # A bounded sample: the rows of lowest hash, at most SAMPLE_ROWS.
     sample = np.zeros((0, dim))
     rows = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("v").collect()

@@ -11,15 +11,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.base import text_or_empty
+from loamline.llm.base import byte_slices, text_or_empty
 
 #: The base kinds in the order of the contract, with the least length of what counts.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -31,6 +33,7 @@ KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SLICE_BYTES = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -92,23 +95,39 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+class _Covered:
+    """Whether a span lies inside one of some spans."""
+
+    def __init__(self, spans: Sequence[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts = [s for s, _ in spans]
+        self.furthest = list(accumulate((e for _, e in spans), max))
+
+    def __call__(self, start: int, end: int) -> bool:
+        i = bisect_right(self.starts, start)
+        return i > 0 and self.furthest[i - 1] >= end
+
+
 def entropy_spans(text: str, base: Sequence[tuple[int, int, int]], classes: Sequence[CharClass] = CLASSES, allow: Sequence[str] = ALLOW) -> list[tuple[int, int, int]]:
     """Spans that the entropy method adds: none inside a base span or an earlier class's span."""
-    taken = [(s, e) for s, _, e in base]
+    in_base = _Covered([(s, e) for s, _, e in base])
     out = []
     for m in CANDIDATE.finditer(text):
         run = m[0]
         if any(re.fullmatch(a, run) for a in allow):
             continue
+        found: list[tuple[int, int]] = []  # in this candidate, by earlier classes
         for c in classes:
+            in_earlier, now = _Covered(found), []
             for part in re.finditer(c.run, run):
                 if not re.match(c.mixed, part[0]):
                     continue
                 for s, e in entropy_windows(part[0], c.window, c.bits):
                     s, e = m.start() + part.start() + s, m.start() + part.start() + e
-                    if not any(a <= s and e <= b for a, b in taken):
-                        taken.append((s, e))
-                        out.append((s, KINDS.index(c.kind), e))
+                    if not in_base(s, e) and not in_earlier(s, e):
+                        now.append((s, e))
+            found += now
+            out += [(s, KINDS.index(c.kind), e) for s, e in now]
     return out
 
 
@@ -130,7 +149,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for b in batches for part in byte_slices(b, 1, SLICE_BYTES)):
             found = [tuple(map(render, scan(t))) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], names=["doc_id", "base_spans", "spans"])
 
@@ -157,7 +176,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
     """``docs`` with the secrets of ``text_col`` replaced by ``mark``; null stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for b in batches for part in byte_slices(b, b.schema.get_field_index(text_col), SLICE_BYTES)):
             i = b.schema.get_field_index(text_col)
             texts = pa.array([t if t is None else redact_text(t, mark) for t in b.column(i).to_pylist()], b.schema.field(i).type)
             yield b.set_column(i, b.schema.field(i), texts)

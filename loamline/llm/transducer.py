@@ -32,10 +32,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.base import text_or_empty
-from loamline.llm.tokens import BYTE_TOKENIZER
+from loamline.llm.base import byte_slices, text_or_empty
+from loamline.llm.tokens import BYTE_TOKENIZER, SLICE_BYTES
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 400_000  # chunks and pieces of at most CACHED_LETTERS
+CACHED_LETTERS = 64
 STATE_ENTRIES = 200_000
 APART_ENTRIES = 1_000_000
 
@@ -202,7 +203,9 @@ class Encoder(dict):
         raw = piece.encode("utf-8", "surrogatepass")
         whole = self.ranks.get(raw)
         ids = self.transducer.encode(raw) if whole is None else [whole]
-        packed = self.pieces[piece] = b"".join([i.to_bytes(4, "little") for i in ids])
+        packed = b"".join([i.to_bytes(4, "little") for i in ids])
+        if len(piece) <= CACHED_LETTERS:
+            self.pieces[piece] = packed
         return packed
 
     def __missing__(self, chunk: str) -> bytes:
@@ -211,6 +214,8 @@ class Encoder(dict):
             self.clear()
             self.pieces.clear()
         known = self.pieces
+        if len(chunk) > CACHED_LETTERS:
+            return b"".join([known.get(m) or self._piece(m) for m in self.split(chunk)])
         packed = self[chunk] = b"".join([known.get(m) or self._piece(m) for m in self.split(chunk)])
         return packed
 
@@ -330,7 +335,7 @@ def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tokens, memo = codec(path, pattern)
-        for b in batches:
+        for b in (part for b in batches for part in byte_slices(b, 1, SLICE_BYTES)):
             ids = [encoder.encode(t) for t in b.column(1).to_pylist()]
             texts = []
             for x in ids:
