@@ -53,6 +53,8 @@ def test_simhash_against_brute_force(spark):
 
         got = {r["vertex"]: r["component"] for r in components(simhash.near_links(nodes, list_rows=rows)).collect()}
         assert all(got.get(i, i) == label[i] for i in range(len(arr)))
+        every = {tuple(sorted(map(int, r))) for r in simhash.near_links(nodes.selectExpr("*", "node % 3 as label"), list_rows=rows).collect()}
+        assert every == {(j, i) for i in range(len(arr)) for j in range(i) if near[i, j] and i % 3 != j % 3}
 
 
 def test_simhash_edges(docs, none):
@@ -64,7 +66,7 @@ def test_simhash_edges(docs, none):
     assert simhash.near_duplicates(none).count() == 0
     kept = simhash.keep_representatives(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect() if r["doc_id"] is not None) == sorted({r["component_id"] for r in simhash.near_duplicates(docs, index=simhash.SIMILAR, words_in_shingle=5).collect() if r["component_id"] is not None})
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect() if r["doc_id"] is not None) == sorted({r["component_id"] for r in simhash.near_copies(docs).collect() if r["component_id"] is not None})
 
 
 def test_secrets(docs, none):
@@ -121,10 +123,10 @@ def test_rans_files(spark, docs, none):
 def test_word_cache_is_exact():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.word_tokenizer_path())
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(tokens.word_tokenizer_path())  # as it comes, its special tokens included
     encode = tokens.word_encoder(tokens.word_tokenizer_path())
-    for text in [*filter(None, TEXTS), "Ça va? don't ÉTÉ İstanbul ΣΑΣ áb x y z\x1cw", "ﬁ １２ ½ <|endoftext|>", " \n\t "]:
+    odd = ["a <|endoftext|> b", "x<|startoftext|>y <|endoftext|>.", "<|ENDOFTEXT|>", "it's 'twas 're!'s ?!'ll,", "a...b!?c", "wow!!! %%% a$$$ b&&&.", "z" * 300 + "." * 200]
+    for text in [*filter(None, TEXTS), "Ça va? don't ÉTÉ İstanbul ΣΑΣ áb x y z\x1cw", "ﬁ １２ ½", " \n\t \u2003\x85a\xa0b", *odd]:
         assert np.frombuffer(encode(text), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
@@ -155,7 +157,7 @@ def test_packing_places_every_piece_once(docs, none):
     for l, n in h.items():
         assert sorted(k for r in rows if r[0] == l for k in range(r[1], r[2])) == list(range(n))
     used = max(r[3] + r[2] - r[1] for r in rows)
-    assert used <= 1.08 * max(sum(l * n for l, n in h.items()) / 256, sum(n for l, n in h.items() if l > 128)) + 2
+    assert used <= packing.rounded([], h, 256)[1]
 
 
 def test_transducer_equals_the_library():
@@ -187,13 +189,13 @@ def test_sketches(docs, none, spark):
     assert len(got) == docs.count()
     by = {r["doc_id"]: r for r in got if r["doc_id"] not in (3, None)}
     assert by[0]["fingerprint"] == by[1]["fingerprint"] and by[0]["near_next"] == 1.0
-    assert 0.2 <= by[0]["near_edited"] <= 1.0 and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
     assert by[1]["edited_sha256"] == transducer.sha256_hex(TEXTS[1][: len(TEXTS[1]) - len(TEXTS[1]) // 2].encode())
     assert sketches.fingerprints_with_edits(none).count() == 0
     pair = spark.createDataFrame([(" ".join(f"w{i}" for i in range(3000)), " ".join(f"w{i}" for i in range(600)))], "a string, b string")
     a, b = sketches.sketch(F.col("a")), sketches.sketch(F.col("b"))
     r = pair.select(sketches.containment(b, a).alias("c"), sketches.likeness(a, b).alias("j"), sketches.merged(a, b).alias("m"), a.alias("a")).first()
-    assert r["c"] == 1.0 and abs(r["j"] - 0.2) < 0.08 and r["m"]["hashes"] == r["a"]["hashes"]
+    assert r["c"] == 1.0 and abs(r["j"] - 0.2) < 0.05 and r["m"]["hashes"] == r["a"]["hashes"]
 
 
 def test_top_k_against_brute_force(spark):
@@ -228,13 +230,6 @@ def test_quality_and_toxicity(spark, docs, none):
     assert toxicity.keep_clean(some, model).columns == some.columns
 
 
-def test_kneser_ney_sums_to_one(spark):
-    model = quality.train(spark.createDataFrame([("abracadabra abba",), ("banana",)], "text string"), order=3)
-    keys = spark.range(256).select((F.lit(ord("a") << 16 | ord("b") << 8) + F.col("id")).alias("key"))
-    p = [np.exp(r["lp"]) for r in quality.log_probabilities(keys, model).collect()]
-    assert len(p) == 256 and abs(sum(p) - 1) < 1e-9
-
-
 def test_pipeline_keeps_columns(spark):
     import corpus_pipeline
 
