@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.llm.base import byte_slices, settle, text_or_empty
-from loamline.llm.tokens import SLICE_BYTES, word_encoder, word_tokenizer_path
+from loamline.llm.tokens import WORD_SLICE_BYTES, word_encoder, word_tokenizer_path
 
 CAPACITY = 2048
 PHASES = 12
@@ -192,14 +192,16 @@ def rounded(configurations: list[tuple[dict[int, int], float]], histogram: dict[
 def pieces(docs: DataFrame, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``; only documents over the capacity have several."""
     path = tokenizer or word_tokenizer_path()
-    end = end_id.to_bytes(2, "little")
+    end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(path)
-        for b in (part for b in batches for part in byte_slices(b, 1, SLICE_BYTES)):
+        encoder = word_encoder(path)
+        for b in (part for b in batches for part in byte_slices(b, 1, WORD_SLICE_BYTES)):
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                raw = np.frombuffer(encode(text) + end, "<u2").astype("<u4").tobytes()
+            ids, ends = encoder.encode(b.column(1))
+            ids, at = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+            for i, (first, last) in enumerate(zip([0, *at], at)):
+                raw = ids[first:last] + end
                 for k, s in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[s : s + 4 * capacity]
                     row.append(i)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamline.llm.base import byte_slices, discard, settle, shared_dir, text_or_empty
-from loamline.llm.tokens import SLICE_BYTES, word_encoder, word_tokenizer_path
+from loamline.llm.tokens import SLICE_BYTES, WORD_SLICE_BYTES, word_encoder, word_tokenizer_path
 
 MAGIC = b"RANSBLK1"
 HEAD = struct.Struct("<8sIIIIIII")  # magic, table CRC, documents, ids, lanes, steps between checkpoints, segments, words
@@ -209,10 +209,12 @@ def tokenized(docs: DataFrame, end_id: int, id_col: str = "doc_id", text_col: st
     end = end_id.to_bytes(2, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(path)
-        for b in (part for b in batches for part in byte_slices(b, 1, SLICE_BYTES)):
-            ids = [encode(t) + end for t in b.column(1).to_pylist()]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        encoder = word_encoder(path)
+        for b in (part for b in batches for part in byte_slices(b, 1, WORD_SLICE_BYTES)):
+            raw, ends = encoder.encode(b.column(1))
+            raw, at = raw.tobytes(), (2 * ends).tolist()
+            ids = [raw[s:e] + end for s, e in zip([0, *at], at)]
+            sizes = np.diff(ends, prepend=0) + 1
             tie = np.fromiter(map(zlib.crc32, ids), np.int64, len(ids))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(tie), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "tie", "ids"])
 

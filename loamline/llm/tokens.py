@@ -2,8 +2,8 @@
 
 The word tokenizer's pre-tokenizer never joins characters across white space, so
 a text's ids are those of its space-separated chunks in a row. Chunks repeat, so
-each worker keeps the ids of the chunks it has met; unseen chunks go to the
-library. The tokenizer is used as its file says: the strings of its special
+a batch's texts are split and dictionary-encoded as a whole, each worker keeps
+the ids of the chunks it has met, and only unseen chunks go to the library. The tokenizer is used as its file says: the strings of its special
 tokens, which hold no white space, become their ids.
 """
 
@@ -18,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,16 +26,17 @@ from loamline.llm.base import byte_slices, text_or_empty
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.tiktoken"
-CACHE_ENTRIES = 500_000  # chunks of at most CACHED_LETTERS
-CACHED_LETTERS = 64
+CACHE_ENTRIES = 1_500_000  # chunks whose ids a worker keeps
+CACHE_BYTES = 64_000_000
 SLICE_BYTES = 4_000_000
+WORD_SLICE_BYTES = 16_000_000
 
 #: Letters that are single code points in NFC with single-letter lower cases.
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: A run of these is one pre-token (an apostrophe may begin a suffix instead).
 _MARKS = string.punctuation.replace("'", "")
-#: What str.split takes for white space and the tokenizer does not.
-_NOT_SPACES = re.compile("[\x1c-\x1f]")
+#: What splitting takes for white space and the tokenizer does not.
+_NOT_SPACES = r"[\x1c-\x1f]"
 
 
 def _byte_letters() -> list[str]:
@@ -47,69 +49,81 @@ def _byte_letters() -> list[str]:
 _BYTE_LETTERS = _byte_letters()
 
 
-class _Chunks(dict):
-    """Chunk -> its ids as little-endian unsigned 16-bit integers; the library is asked on a miss."""
+class WordEncoder:
+    """Ids of whole texts under a word tokenizer file; the ids of the chunks met last are kept, up to a bound."""
 
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-        self.model = tokenizer.model
-        self.pieces: dict[str, bytes] = {}
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    def _pack(self, ids) -> bytes:
-        return b"".join([i.to_bytes(2, "little") for i in ids])
+        self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of this tokenizer need more than 16 bits")
+        self.model = self.tokenizer.model
+        self._forget()
 
-    def _word(self, word: str) -> bytes:
+    def _forget(self) -> None:
+        self.chunks = pa.array([], pa.large_string())
+        self.ids = pa.array([], pa.list_(pa.uint16()))
+
+    def _word(self, word: str) -> list[int]:
         """Ids of one lower-case word: it is one pre-token, so the library's model is asked directly."""
-        found = self.pieces.get(word)
-        if found is None:
-            letters = word if word.isascii() else "".join([_BYTE_LETTERS[b] for b in word.encode()])
-            found = self.pieces[word] = self._pack([t.id for t in self.model.tokenize(letters)])
-        return found
-
-    def _other(self, chunk: str) -> bytes:
-        return self._pack(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-
-    def _marks(self, marks: str) -> bytes:
-        found = self.pieces.get(marks)
-        if found is None:
-            found = self.pieces[marks] = self._other(marks)
-        return found
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) > CACHED_LETTERS:
-            return self._other(chunk)
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-            self.pieces.clear()
-        core = chunk.rstrip(_MARKS)
-        if (core.isascii() and core.isalpha()) or _LETTERS.fullmatch(core):
-            ids = self._word(core.lower())
-            if len(core) != len(chunk):
-                ids += self._marks(chunk[len(core) :])
+        letters = word if word.isascii() else "".join([_BYTE_LETTERS[b] for b in word.encode()])
+        return [t.id for t in self.model.tokenize(letters)]
+
+    def _other(self, chunk: str) -> list[int]:
+        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+
+    def _ids(self, chunks: list[str]) -> pa.ListArray:
+        """Ids of each of some distinct chunks."""
+        words: dict[str, list[int]] = {"": []}
+        out, ends = [], [0]
+        for chunk in chunks:
+            core = chunk.rstrip(_MARKS)
+            if not core or (core.isascii() and core.isalpha()) or _LETTERS.fullmatch(core):
+                word, marks = core.lower(), chunk[len(core) :]
+                found = words.get(word)
+                if found is None:
+                    found = words[word] = self._word(word)
+                out += found
+                if marks:
+                    found = words.get(marks)
+                    if found is None:
+                        found = words[marks] = self._other(marks)
+                    out += found
+            else:
+                out += self._other(chunk)
+            ends.append(len(out))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.uint16()))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``texts`` (no nulls) in a row, and where each text's ids end."""
+        texts = texts.cast(pa.large_string())
+        if pc.any(pc.match_substring_regex(texts, _NOT_SPACES)).as_py():
+            split = pa.array([re.sub(r"[\n\t\r]", " ", t).split(" ") if re.search(_NOT_SPACES, t) else t.split() for t in texts.to_pylist()], pa.large_list(pa.large_string()))
+        else:
+            split = pc.utf8_split_whitespace(texts)
+        met = split.flatten().dictionary_encode()
+        if len(self.chunks) > CACHE_ENTRIES or self.chunks.nbytes > CACHE_BYTES:
+            self._forget()
+        if len(self.chunks) > 2 * len(met):  # so few words are not worth a look at all that is kept
+            ids, place = self._ids(met.dictionary.to_pylist()), np.arange(len(met.dictionary))
         else:
-            ids = self._other(chunk)
-        self[chunk] = ids
-        return ids
+            found = pc.index_in(met.dictionary, value_set=self.chunks)
+            new = met.dictionary.filter(pc.is_null(found))
+            place = found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            place[found.is_null().to_numpy(zero_copy_only=False)] = len(self.chunks) + np.arange(len(new))
+            ids = self.ids = pa.concat_arrays([self.ids, self._ids(new.to_pylist())])
+            self.chunks = pa.concat_arrays([self.chunks, new])
+        at = place[met.indices.to_numpy(zero_copy_only=False)]
+        lengths = np.diff(ids.offsets.to_numpy()).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(lengths[at])])
+        return ids.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False), ends[split.offsets.to_numpy()[1:] - split.offsets[0].as_py()]
 
 
 @lru_cache(maxsize=4)
-def word_encoder(path: str):
-    """``encode(text) -> bytes`` (ids as little-endian unsigned 16-bit integers) for the word tokenizer file at ``path``."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    if tokenizer.get_vocab_size() > 1 << 16:
-        raise ValueError("ids of this tokenizer need more than 16 bits")
-    get = _Chunks(tokenizer).__getitem__
-
-    def encode(text: str) -> bytes:
-        if _NOT_SPACES.search(text):
-            return b"".join(map(get, filter(None, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))))
-        return b"".join(map(get, text.split()))
-
-    return encode
+def word_encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def word_tokenizer_path() -> str:
