@@ -16,6 +16,12 @@ TEXTS = [
 ]
 
 
+def _encode(text):
+    import pyarrow as pa
+
+    return tokens.word_encoder(tokens.word_tokenizer_path()).encode(pa.array([text]))[0].tolist()
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(i, t, "en", "s", len(t or ""), 1, 2, 3) for i, t in enumerate(TEXTS)]
@@ -109,13 +115,13 @@ def test_rans_files(spark, docs, none):
     got = rans.read_corpus(spark, rans.write_corpus(docs)).orderBy("start").collect()
     ids = [r["doc_id"] for r in got]
     assert ids == [None, 0, 1, 2, 3, 3, 3, *range(4, len(TEXTS))]
-    encode = tokens.word_encoder(tokens.word_tokenizer_path())
+    encode = _encode
     at = 0
     for r in got:
         assert r["start"] == at
         at += r["n_tokens"]
         if r["doc_id"] not in (3, None):
-            want = np.append(np.frombuffer(encode(TEXTS[r["doc_id"]] or ""), "<u2"), 2).astype("<u4").tobytes()
+            want = np.append(encode(TEXTS[r["doc_id"]] or ""), 2).astype("<u4").tobytes()
             assert bytes(r["ids"]) == want and r["ids_crc32"] == zlib.crc32(want)
     assert rans.read_corpus(spark, rans.write_corpus(none)).count() == 0
 
@@ -124,10 +130,16 @@ def test_word_cache_is_exact():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.word_tokenizer_path())  # as it comes, its special tokens included
-    encode = tokens.word_encoder(tokens.word_tokenizer_path())
+    encode = _encode
     odd = ["a <|endoftext|> b", "x<|startoftext|>y <|endoftext|>.", "<|ENDOFTEXT|>", "it's 'twas 're!'s ?!'ll,", "a...b!?c", "wow!!! %%% a$$$ b&&&.", "z" * 300 + "." * 200]
     for text in [*filter(None, TEXTS), "Ça va? don't ÉTÉ İstanbul ΣΑΣ áb x y z\x1cw", "ﬁ １２ ½", " \n\t \u2003\x85a\xa0b", *odd]:
-        assert np.frombuffer(encode(text), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
+        assert encode(text) == t.encode(text, add_special_tokens=False).ids
+    import pyarrow as pa
+
+    texts = [*filter(None, TEXTS), *odd, "", "a\x1cb c"]
+    ids, ends = tokens.word_encoder(tokens.word_tokenizer_path()).encode(pa.array(texts))
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert ids.tolist() == sum(want, []) and ends.tolist() == np.cumsum([len(x) for x in want]).tolist()
 
 
 def test_sections_add_up(docs, none):
