@@ -22,7 +22,7 @@ on the shingles themselves.
 Within a list, shared positional bytes are tallied for each pair, pairs under
 the minimum are left out, and the rest are verified on all bits. A pair counts
 in the first list only that it shares. A list writes a spanning forest of its
-links, or, for nodes with labels, its links between different labels. Lists longer than ``LIST_ROWS`` are dealt
+links, the nearest first, never all its pairs. Lists longer than ``LIST_ROWS`` are dealt
 out as pairs of blocks, so that one task never holds more than two blocks of a
 hot list.
 """
@@ -68,6 +68,7 @@ class Index:
     min_matches: int
     max_bits: int
     distinct: bool = False  # repeats of a shingle count once
+    nearer: tuple[int, ...] = ()  # fewer bits, ascending, that a forest takes its links at first
 
     def first_key(self) -> np.ndarray:
         """For each set of equal positions of a word (as eight bits) the first key inside it, or 255."""
@@ -80,7 +81,7 @@ class Index:
 
 
 EXACT = Index(words=1, keys=_turan_triples(), min_matches=4, max_bits=4)
-SIMILAR = Index(words=4, keys=tuple(combinations(range(8), 2)), min_matches=2, max_bits=62, distinct=True)
+SIMILAR = Index(words=4, keys=tuple(combinations(range(8), 2)), min_matches=2, max_bits=62, distinct=True, nearer=(48,))
 
 
 def _mixed(h: np.ndarray, word: int) -> np.ndarray:
@@ -162,50 +163,45 @@ def _postings(nodes: DataFrame, index: Index) -> DataFrame:
         return out
 
     keys = [key(w, j, t) for w in range(index.words) for j, t in enumerate(index.keys)]
-    return nodes.select(F.explode(F.array(*keys)).alias("key"), *_names(index.words), *(c for c in ("node", "label") if c in nodes.columns))
+    return nodes.select(F.explode(F.array(*keys)).alias("key"), *_names(index.words), "node")
 
 
-def _close(at: np.ndarray, lag: int, key: np.ndarray, fp: np.ndarray, index: Index, first: np.ndarray) -> np.ndarray:
-    """Those of places ``at`` that link with the place ``lag`` further on and share no list before this one; ``key`` numbers the index's keys."""
+def _close(at: np.ndarray, lag: int, key: np.ndarray, fp: np.ndarray, index: Index, first: np.ndarray, bits: int) -> np.ndarray:
+    """Those of places ``at`` that are within ``bits`` of the place ``lag`` further on and share no list before this one; ``key`` numbers the index's keys."""
     x = fp[at] ^ fp[at + lag]
-    equal = np.packbits(x.view(np.uint8).reshape(-1, 8) == 0, axis=1, bitorder="little").reshape(-1, index.words)
-    keep = np.flatnonzero(np.bitwise_count(equal).sum(1) >= index.min_matches)
-    keep = keep[np.bitwise_count(x[keep]).sum(1) <= index.max_bits]
-    inside = first[equal[keep]]
+    keep = np.flatnonzero(np.bitwise_count(x).sum(1) <= bits)
+    equal = np.packbits(x[keep].view(np.uint8).reshape(-1, 8) == 0, axis=1, bitorder="little").reshape(-1, index.words)
+    enough = np.bitwise_count(equal).sum(1) >= index.min_matches
+    keep, equal = keep[enough], equal[enough]
+    inside = first[equal]
     word = (inside != 255).argmax(1)
     shared = word * len(index.keys) + inside[np.arange(len(keep)), word]
     return at[keep[shared == key[at[keep]]]]
 
 
 def _forest(key: np.ndarray, group: np.ndarray, fp: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
-    """Links (pairs of places) of a spanning forest of the links inside each run of equal ``group``."""
+    """Links (pairs of places) of a spanning forest of the links inside each run of equal ``group``, those of fewer bits first."""
     first = index.first_key()
     root = np.arange(len(fp))
-    for at, lag in _pairs_of(group):
-        near = at[root[at] != root[at + lag]]
-        for i in _close(near, lag, key, fp, index, first).tolist() if len(near) else ():
-            a, b = i, i + lag
-            while root[a] != a:
-                root[a] = root[root[a]]
-                a = root[a]
-            while root[b] != b:
-                root[b] = root[root[b]]
-                b = root[b]
-            root[max(a, b)] = min(a, b)
-        while ((up := root[root]) != root).any():
-            root = up
-    linked = np.flatnonzero(root != np.arange(len(root)))
-    return linked, root[linked]
-
-
-def _between(key: np.ndarray, group: np.ndarray, fp: np.ndarray, index: Index, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All links inside each run of equal ``group`` between places of different ``label``."""
-    first, found = index.first_key(), [(np.zeros(0, np.int64), 0)]
-    for at, lag in _pairs_of(group):
-        near = at[label[at] != label[at + lag]]
-        if len(near):
-            found.append((_close(near, lag, key, fp, index, first), lag))
-    return np.concatenate([i for i, _ in found]), np.concatenate([i + lag for i, lag in found])
+    found: list[tuple[int, int]] = []
+    for bits in (*index.nearer, index.max_bits):
+        for at, lag in _pairs_of(group):
+            near = at[root[at] != root[at + lag]]
+            for i in _close(near, lag, key, fp, index, first, bits).tolist() if len(near) else ():
+                a, b = i, i + lag
+                while root[a] != a:
+                    root[a] = root[root[a]]
+                    a = root[a]
+                while root[b] != b:
+                    root[b] = root[root[b]]
+                    b = root[b]
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    found.append((i, i + lag))
+            while ((up := root[root]) != root).any():
+                root = up
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def _pairs_of(group: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
@@ -220,18 +216,16 @@ def _pairs_of(group: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
         yield at, lag
 
 
-def _links(index: Index, labelled: bool):
+def _links(index: Index):
     shift = 8 * len(index.keys[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
-        def out(key, block, node, *rest):
+        def out(key, block, node, *fps):
             change = np.ones(len(key), bool)
             change[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
-            fp = np.ascontiguousarray(np.stack(rest[: index.words], 1)).view(np.uint64)
-            place = (key >> shift, np.cumsum(change), fp, index)
-            a, b = _between(*place, rest[-1]) if labelled else _forest(*place)
+            a, b = _forest(key >> shift, np.cumsum(change), np.ascontiguousarray(np.stack(fps, 1)).view(np.uint64), index)
             return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
         for b in batches:
@@ -255,21 +249,21 @@ def near_links(nodes: DataFrame, index: Index = EXACT, list_rows: int = LIST_ROW
     """Links ``a, b`` between nodes that keep every component of the full link graph.
 
     ``nodes(fp0, ..., node)`` holds each fingerprint once. Under ``EXACT`` every
-    pair within its bits is in one component of the result. With a column
-    ``label`` the result holds all links between nodes of different labels
-    instead (those that share a list), perhaps repeatedly.
+    pair within its bits is in one component of the result. How long lists are
+    is counted on a sixteenth of the nodes: this only decides how they are dealt.
     """
-    labels = ["label"] if "label" in nodes.columns else []
     lists = _postings(nodes, index)
-    hot = lists.groupBy("key").count().where(F.col("count") > list_rows).select("key", F.ceil(F.col("count") / list_rows).cast("int").alias("blocks"))
+    share = 16 if list_rows >= 1024 else 1
+    some = _postings(nodes.where(F.pmod(F.hash("node"), F.lit(share)) == 0), index).groupBy("key").count()
+    hot = some.where(F.col("count") * share > list_rows).select("key", F.ceil(F.col("count") * share / list_rows).cast("int").alias("blocks"))
     dealt = lists.join(hot, "key", "left")
     own = F.pmod(F.hash(*_names(index.words)), F.col("blocks"))
     pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o))
     )
-    dealt = dealt.select("key", F.explode(pairs).alias("block"), "node", *_names(index.words), *labels)
+    dealt = dealt.select("key", F.explode(pairs).alias("block"), "node", *_names(index.words))
     dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block")
-    return dealt.mapInArrow(_links(index, bool(labels)), "a long, b long")
+    return dealt.mapInArrow(_links(index), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index = EXACT, words_in_shingle: int = SHINGLE_WORDS) -> DataFrame:
@@ -335,41 +329,36 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Links are pairs of texts that have ``SIMILARITY`` or more of their different
     shingles in common; ``component_id`` is the smallest doc_id that links
     reach. Equal sets of shingles are one node, so texts without words are
-    linked. A node first links along a spanning forest of its proposed pairs;
-    where such a pair fails, all proposed pairs between what has not come
-    together are verified too. Rows with a null id have a null component.
+    linked. Every link is verified on the shingles. Fingerprints propose a
+    spanning forest of each list, nearest pairs first, so a link is only lost
+    where the way between its ends that is nearer in bits fails. Among short
+    texts the heads of the prefix lists are tried first, then all pairs of a
+    list that have not come together: there no link is lost. Rows with a null id
+    have a null component.
     """
     index = SIMILAR
     names = _names(index.words)
     marks = settle(fingerprints(docs, id_col, text_col, words_in_shingle, index.words, True), "marks")
     nodes = settle(marks.where("doc_id is not null").groupBy(*names, "n", "mark").agg(F.min("doc_id").alias("node")), "nodes")
-    proposed = settle(near_links(nodes, index).where("a <> b").distinct(), "proposed")
+    proposed = settle(near_links(nodes, index).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "proposed")
     wanted = proposed.select(F.col("a").alias("node")).union(proposed.select("b")).union(nodes.where(f"n between 1 and {SHORT}").select("node")).distinct()
     sets = settle(shingle_sets(docs.where(F.col(id_col).isNotNull()), settle(wanted, "wanted"), id_col, text_col, words_in_shingle), "sets")
-    lists = settle(prefix_lists(sets.where(F.size("shingles").between(1, SHORT))), "lists")
     key = ["h", "small", "large"]
+    lists = prefix_lists(sets.where(F.size("shingles").between(1, SHORT)))
     heads = lists.groupBy(*key).agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1")
-    stars = lists.join(heads, key).where("a <> node").select("a", F.col("node").alias("b"))
-    first = settle(verified(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(stars).distinct(), sets), "verified")
+    lists = settle(lists.join(heads, key).select(*key, "a", "node"), "lists")
+    stars = lists.where("a <> node").select("a", F.col("node").alias("b"))
+    first = settle(verified(proposed.union(stars).distinct(), sets), "verified")
     alike = first.where("alike").select("a", "b")
-    label = settle(components(alike).select(F.col("vertex").alias("node"), F.col("component").alias("label")), "labels")
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    # What the fingerprints alone bring together, where one of its links failed.
-    rough = settle(components(proposed).select(F.col("vertex").alias("node"), F.col("component").alias("rough")), "rough")
-    failed = first.where("not alike").select(F.col("a").alias("node")).join(rough, "node").select("rough").distinct()
-    again = settle(labelled(nodes.join(rough.join(failed, "rough", "left_semi").select("node"), "node", "left_semi").select(*names, "node")), "again")
-    x = labelled(lists.join(heads.select(*key), key, "left_semi"))
+    label = components(alike).select(F.col("vertex").alias("node"), F.col("component").alias("label"))
+    x = settle(lists.join(label, "node", "left").select(*key, "node", F.coalesce("label", "node").alias("label")), "labels")
     y = x.select(*key, F.col("node").alias("other"), F.col("label").alias("other_label"))
-    across = x.join(y, key).where("node < other and label <> other_label").select(F.col("node").alias("a"), F.col("other").alias("b"))
-    cross = near_links(again, index).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(across).where("a <> b").distinct()
-    second = settle(verified(cross.join(first.select("a", "b"), ["a", "b"], "left_anti"), sets), "verified")
-    roots = components(alike.union(second.where("alike").select("a", "b")))
+    across = x.join(y, key).where("node < other and label <> other_label").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    second = verified(across.join(first.select("a", "b"), ["a", "b"], "left_anti"), sets.where(F.size("shingles") <= SHORT)).where("alike").select("a", "b")
+    roots = components(alike.union(second))
     named = nodes.join(roots.withColumnRenamed("vertex", "node"), "node", "left").select(*names, "n", "mark", F.coalesce("component", "node").alias("component_id"))
     found = settle(marks.join(named, [*names, "n", "mark"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")), "copies")
-    discard(marks, nodes, proposed, sets, lists, first, label, rough, again, second)
+    discard(marks, nodes, proposed, sets, lists, first, x)
     return found
 
 
