@@ -244,3 +244,138 @@ def review_scores(scores: DataFrame, criteria: DataFrame, item: str) -> DataFram
     total = criteria.agg(F.sum("weight").alias("_w"))
     per = j.groupBy(item).agg(F.sum("weight").alias("_r"), F.sum(F.col("_s") * F.col("weight")).alias("_x")).crossJoin(F.broadcast(total))
     return per.select(item, F.round(100 * F.col("_r") / F.col("_w"), 1).alias("coverage"), F.when(F.col("_r") >= F.col("_w"), F.round(F.col("_x") / F.col("_w"), 6)).alias("weighted"))
+
+
+# --- numbers, fragments, captions, overlays, flow and storyboards ----------------
+
+#: Vietnamese number words.
+MULTIPLIERS = {"nghìn": 1e3, "triệu": 1e6, "tỷ": 1e9}
+
+
+def target_numbers(text: Column) -> Column:
+    """The values of numbers before a multiplier word, in order; a dot or comma before three digits groups thousands, else it is the decimal point."""
+    words = "|".join(MULTIPLIERS)
+    found = F.regexp_extract_all(F.lower(text), F.lit(rf"[0-9][0-9.,]*\s*(?:{words})"), F.lit(0))
+
+    def value(s: Column) -> Column:
+        number = F.regexp_extract(s, "^([0-9][0-9.,]*)", 1)
+        number = F.regexp_replace(number, "[.,]+$", "")
+        plain = F.when(number.rlike("^[0-9]{1,3}([.,][0-9]{3})+$"), F.regexp_replace(number, "[.,]", "")).otherwise(F.replace(number, F.lit(","), F.lit(".")))
+        times = F.lit(1.0)
+        for word, factor in MULTIPLIERS.items():
+            times = F.when(s.endswith(word), factor).otherwise(times)
+        return plain.try_cast("double") * times
+
+    return F.transform(found, value)
+
+
+def best_fragment(blocks: DataFrame, translations: DataFrame, key: str, text: str, least_ratio: float = 0.85) -> DataFrame:
+    """Adds ``translated`` and ``match`` (exact, compact or null): the translation of the same text, else of the same letters.
+
+    ``translations(source, target)``. A fragment never takes the translation of
+    a longer text: a compact match needs lengths within ``least_ratio``. Of
+    several translations of one text the smallest counts.
+    """
+    normal = lambda c: F.trim(F.regexp_replace(c, r"[ \t\n\r\f]+", " "))
+    compact = lambda c: F.lower(F.regexp_replace(c, r"""[ \t\n\r\f.,;:!?"'()\[\]-]+""", ""))
+    exact = translations.groupBy(normal(F.col("source")).alias("_n")).agg(F.min("target").alias("_exact"))
+    loose = translations.where(compact(F.col("source")) != "").groupBy(compact(F.col("source")).alias("_c")).agg(F.min_by("target", "source").alias("_loose"), F.length(F.min("source")).alias("_length"))
+    j = blocks.join(exact, normal(F.col(text)) == F.col("_n"), "left").join(loose, compact(F.col(text)) == F.col("_c"), "left")
+    close = F.least(F.length(text), F.col("_length")) >= F.greatest(F.length(text), F.col("_length")) * least_ratio
+    match = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_loose").isNotNull() & close, "compact")
+    return j.withColumn("match", match).withColumn("translated", F.when(match == "exact", F.col("_exact")).when(match == "compact", F.col("_loose"))).drop("_n", "_c", "_exact", "_loose", "_length")
+
+
+def caption_of(objects: DataFrame, edges: DataFrame, key: str, relation: str = "DESCRIBES") -> DataFrame:
+    """``objects`` plus ``caption``: the smallest object with an edge ``(src, dst, relation)`` to each, null without one."""
+    best = edges.where(F.col("relation") == relation).groupBy(F.col("dst").alias("_d")).agg(F.min("src").alias("caption"))
+    return objects.join(best, F.col(key) == F.col("_d"), "left").drop("_d")
+
+
+def duplicate_overlays(boxes: DataFrame, page: str, text: str, key: str = "id", ratio: float = 0.15, iou: float = 0.10, near: float = 50.0) -> DataFrame:
+    """``page, a, b``: boxes of a page where one text holds the other and the boxes overlap or stand near in height.
+
+    ``ratio`` is the overlap over the smaller box. Boxes meet by equal text, or
+    by a word of the contained text, so one page's boxes are never all paired.
+    """
+    words = F.array_distinct(F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != ""))
+    cut = boxes.withColumn("_w", F.explode(words))
+    side = lambda p: cut.select(page, "_w", *(F.col(c).alias(p + c) for c in (key, text, "x0", "y0", "x1", "y1")))
+    j = side("a").join(side("b"), [page, "_w"]).where(f"a{key} < b{key}").drop("_w").distinct()
+    holds = F.col("a" + text).contains(F.col("b" + text)) | F.col("b" + text).contains(F.col("a" + text))
+    w = F.greatest(F.least("ax1", "bx1") - F.greatest("ax0", "bx0"), F.lit(0.0))
+    h = F.greatest(F.least("ay1", "by1") - F.greatest("ay0", "by0"), F.lit(0.0))
+    area = lambda p: (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0"))
+    close = (w * h > ratio * F.least(area("a"), area("b"))) | (w * h > iou * (area("a") + area("b") - w * h)) | (F.abs(F.col("ay0") - F.col("by0")) < near)
+    return j.where(holds & close).select(page, F.col("a" + key).alias("a"), F.col("b" + key).alias("b"))
+
+
+def right_limit(boxes: DataFrame, group: list[str], container_right: Column, page_width: Column, gap: float = 2.0, edge: float = 15.0, grow: float = 4.0) -> DataFrame:
+    """Adds ``right_limit`` (the nearest left side further right, less ``gap``, else the container's), ``near_edge`` and ``clamped_x1``."""
+    later = F.expr(f"min(x0) over (partition by {', '.join(group)} order by x0 range between 1e-9D following and unbounded following)")
+    return boxes.withColumns({
+        "right_limit": F.coalesce(later - gap, container_right), "near_edge": page_width - F.col("x1") < edge, "clamped_x1": F.least(page_width - gap, F.col("x1") + grow),
+    })
+
+
+def caption_link(images: DataFrame, texts: DataFrame, page: str, gap: float = 20.0) -> DataFrame:
+    """``page, image, caption, method, distance``: for each image the text at most ``gap`` below it, else null.
+
+    A text whose middle lies below the image is DIRECT_BELOW and goes first; one
+    below the row of images only is ROW_SHARED_GRID. Nearer ones win, then the
+    smaller id. Boxes are ``id, x0, y0, x1, y1``; a page's images and texts meet
+    in bands of ``gap``.
+    """
+    i = images.select(page, F.col("id").alias("image"), F.col("x0").alias("_l"), F.col("x1").alias("_r"), F.col("y1").alias("_b"))
+    band = F.floor(F.col("_b") / gap)
+    i2 = i.withColumn("_band", F.explode(F.array(band, band + 1)))
+    t = texts.select(page, F.col("id").alias("caption"), ((F.col("x0") + F.col("x1")) / 2).alias("_m"), F.col("y0").alias("_t"), F.floor(F.col("y0") / gap).alias("_band"))
+    distance = F.col("_t") - F.col("_b")
+    j = i2.join(t, [page, "_band"]).where((distance >= 0) & (distance <= gap))
+    j = j.withColumns({"distance": distance, "_shared": F.when(F.col("_m").between(F.col("_l"), F.col("_r")), 0).otherwise(1)})
+    best = j.groupBy(page, "image").agg(F.min(F.struct("_shared", "distance", "caption")).alias("_best"))
+    out = i.select(page, "image").join(best, [page, "image"], "left")
+    method = F.when(F.col("_best._shared") == 0, "DIRECT_BELOW").when(F.col("_best._shared") == 1, "ROW_SHARED_GRID")
+    return out.select(page, "image", F.col("_best.caption").alias("caption"), method.alias("method"), F.col("_best.distance").alias("distance"))
+
+
+def flow_defects(df: DataFrame, key: str, text: str, heading: str = r"[^\s.!?:;|] [0-9]+\. [A-Z]", sign: str = r"^\s*[-+±−–=×·]\s*$") -> DataFrame:
+    """``key, heading_merges, detached, heading_integrity, inline_integrity``: headings glued to prose and signs alone on a line."""
+    per = lines(df, [key], text).groupBy(key).agg(F.count_if(F.col("text").rlike(heading)).alias("heading_merges"), F.count_if(F.col("text").rlike(sign)).alias("detached"))
+    verdict = lambda c: F.when(F.col(c) == 0, "PASS").otherwise("FAIL")
+    return per.withColumns({"heading_integrity": verdict("heading_merges"), "inline_integrity": verdict("detached")})
+
+
+#: Fixed values of storyboards.
+STORYBOARD_VERSION = "2.0"
+FRAME_RATES = (24, 30, 60)
+ASPECTS = {"16:9": 16 / 9, "9:16": 9 / 16, "1:1": 1.0, "4:5": 4 / 5}
+SIZES = (360, 3840)
+LEAST_SCENE = 0.5
+
+
+def storyboard_errors(boards: DataFrame, scenes: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """``board, error``: what is wrong with each storyboard, one row for each kind.
+
+    ``boards(board, version, project, fps, width, height, aspect)``,
+    ``scenes(board, scene, duration, transition, asset)``, ``assets(asset)``
+    (what exists; none: assets are not checked). Null transitions and assets are fine.
+    """
+    aspect = F.lit(None).cast("double")
+    for name, value in ASPECTS.items():
+        aspect = F.when(F.col("aspect") == name, value).otherwise(aspect)
+    size = lambda c: ~F.coalesce(F.col(c).between(*SIZES), F.lit(False))
+    rules = {
+        "version": ~F.col("version").eqNullSafe(STORYBOARD_VERSION), "project": ~F.coalesce(F.col("project").rlike("^[A-Za-z0-9_-]+$"), F.lit(False)),
+        "fps": ~F.coalesce(F.col("fps").isin(*FRAME_RATES), F.lit(False)), "width": size("width"), "height": size("height"), "aspect": aspect.isNull(),
+        "aspect_mismatch": F.abs(F.col("width") / F.col("height") - aspect) > 0.02,
+    }
+    found = boards.select("board", F.explode(F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in rules.items())), lambda e: e.isNotNull())).alias("error"))
+    twice = scenes.groupBy("board", "scene").count().where("count > 1").select("board", F.lit("duplicate_scene").alias("error"))
+    short = scenes.where(~F.coalesce(F.col("duration") >= LEAST_SCENE, F.lit(False))).select("board", F.lit("duration").alias("error"))
+    long = scenes.where("transition > duration").select("board", F.lit("transition").alias("error"))
+    found = found.unionAll(twice).unionAll(short).unionAll(long)
+    if assets is not None:
+        lost = scenes.where("asset is not null").join(assets, "asset", "left_anti").select("board", F.lit("missing_asset").alias("error"))
+        found = found.unionAll(lost)
+    return found.distinct()

@@ -52,17 +52,40 @@ def match_quote(text: Column, segments: Column) -> Column:
     return F.aggregate(segments, start, step, lambda a: F.when(a["ok"], a["first"]).otherwise(0))
 
 
-def candidate_pairs(claims: DataFrame, sources: DataFrame, claim: str, source: str, quote: str, text: str, k: int = 6) -> DataFrame:
-    """``claim, source``: sources that hold the first ``k`` words of a quote's first segment, by word shingles.
+#: Sizes of character blocks, largest first; a segment of 2 * size - 1 characters holds a whole block wherever it lies.
+BLOCKS = (8, 4, 2)
 
-    A claim has one shingle, so only the sources' shingles that some claim asks
-    for are joined; no claim meets every source.
+
+def candidate_pairs(claims: DataFrame, sources: DataFrame, claim: str, source: str, quote: str, text: str, declared: str | None = None) -> DataFrame:
+    """``claim, source, declared``: sources that may hold a quote, the declared one included.
+
+    Texts are compared in ``compact_text``, so in any script. A source is cut
+    into consecutive blocks of characters; of a quote's longest segment every
+    block of that size is taken that could be one of them. A source that holds
+    the segment shares such a block, so no claim is lost and none meets every
+    source. A quote without any segment of three compact characters has no
+    candidates but the declared one. Repeated pairs come once.
     """
-    words = lambda c: F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != "")
-    shingle = lambda ws, i: F.xxhash64(F.array_join(F.slice(ws, i + 1, F.lit(k)), " "))
-    asked = claims.withColumn("_w", words(F.get(quote_segments(F.col(quote)), F.lit(0)))).where(F.size("_w") > k + 1).select(claim, shingle(F.col("_w"), F.lit(1)).alias("_h"))
-    had = sources.withColumn("_w", words(F.col(text))).where(F.size("_w") >= k).select(source, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_w") - k), lambda i: shingle(F.col("_w"), i)))).alias("_h"))
-    return asked.join(had, "_h").select(claim, source).distinct()
+    segments = F.filter(F.transform(quote_segments(F.col(quote)), lambda s: compact_text(s)), lambda s: F.length(s) >= 2 * BLOCKS[-1] - 1)
+    longest = F.get(F.array_sort(segments, lambda x, y: F.length(y) - F.length(x)), F.lit(0))
+    size = None
+    for k in BLOCKS:
+        size = F.when(F.length("_s") >= 2 * k - 1, k) if size is None else size.when(F.length("_s") >= 2 * k - 1, k)
+    asked = claims.select(claim, longest.alias("_s")).where("_s is not null").withColumn("_k", size)
+    asked = asked.select(claim, "_k", F.explode(F.transform(F.sequence(F.lit(1), F.col("_k")), lambda i: F.substring(F.col("_s"), i, F.col("_k")))).alias("_b")).distinct()
+    had = None
+    for k in sorted(r["_k"] for r in asked.select("_k").distinct().collect()):  # at most len(BLOCKS) rows
+        blocks = F.array_distinct(F.regexp_extract_all(compact_text(F.col(text)), F.lit(f"(?s).{{{k}}}"), F.lit(0)))
+        one = sources.select(source, F.lit(k).alias("_k"), F.explode(blocks).alias("_b"))
+        had = one if had is None else had.unionAll(one)
+    if had is None:
+        found = claims.select(claim).limit(0).join(sources.select(source).limit(0), F.lit(True))
+    else:
+        found = asked.join(had, ["_k", "_b"]).select(claim, source).distinct()
+    if declared is None:
+        return found.withColumn("declared", F.lit(False))
+    own = claims.where(F.col(declared).isNotNull()).select(claim, F.col(declared).alias(source), F.lit(True).alias("declared"))
+    return own.unionByName(found.withColumn("declared", F.lit(False))).groupBy(claim, source).agg(F.max("declared").alias("declared"))
 
 
 def article_blocks(sources: DataFrame, key: str, text: str, heading: str = r"^(?:Article|Section) ([0-9]+)\b") -> DataFrame:
@@ -77,7 +100,8 @@ def verify_claims(claims: DataFrame, sources: DataFrame, candidates: DataFrame,
     """``claim, verdict, source``: INVALID, VERIFIED (first candidate that has the quote), WRONG_ARTICLE or MISSING.
 
     ``claims(claim, quote, article)``, ``sources(source, article, text)`` (null
-    article: the whole source), ``candidates(claim, source, pos)``.
+    article: the whole source), ``candidates(claim, source, pos)``; the
+    candidate of smallest ``pos`` counts, so give a declared source the smallest.
     """
     invalid = F.col("quote").isNull() | ~quote_long_enough(F.col("quote")) | F.col("quote").rlike("^https?://")
     checked = claims.withColumn("_invalid", F.coalesce(invalid, F.lit(True)))

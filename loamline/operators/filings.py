@@ -166,3 +166,26 @@ def statement_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     both = first.withColumn("n", nums).where(F.size("n") >= 3)
     each = both.select(key, "code", F.posexplode(F.slice("n", F.size("n") - 1, F.lit(2))).alias("p", "v"))
     return each.select(key, "code", F.when(F.col("p") == 0, "curr").otherwise("prev").alias("period"), parse_number(F.col("v")).alias("value"))
+
+
+def scenario_tax(facts: DataFrame, salary: Column, insurance_rate: Column, dependants: Column, freelance: Column, withholding_rate: Column, personal: float, dependant: float, brackets: list) -> DataFrame:
+    """Adds ``taxable`` (a month), ``salary_tax`` and ``withheld`` (a year) and their sum ``total``, from monthly gross amounts.
+
+    The salary less insurance and deductions is taxed month by month on the
+    brackets; freelance income only bears its flat withholding.
+    """
+    taxable = F.greatest(salary * (1 - insurance_rate) - F.lit(personal) - dependants * dependant, F.lit(0.0))
+    out = facts.withColumns({"taxable": taxable, "_w": freelance * 12 * withholding_rate})
+    out = out.withColumn("_t", tax_expression(F.col("taxable"), brackets) * 12)
+    return out.withColumns({"salary_tax": F.bround("_t", 0), "withheld": F.bround("_w", 0), "total": F.bround(F.col("_t") + F.col("_w"), 0)}).drop("_t", "_w")
+
+
+def regime_switch(filings: DataFrame, date: str, entity: str, revenue: Column, regimes: list[tuple[str, str]], always: list[str], threshold: float) -> DataFrame:
+    """Adds ``regime``, the latest of ``(first day, rule)`` in force on the date (null before the first), and ``mandatory``.
+
+    Electronic filing is mandatory for the entities ``always``, and for others above the threshold of revenue.
+    """
+    regime = F.lit(None).cast("string")
+    for since, rule in sorted(regimes):
+        regime = F.when(F.col(date) >= F.lit(since).cast("date"), F.lit(rule)).otherwise(regime)
+    return filings.withColumns({"regime": regime, "mandatory": F.col(entity).isin(*always) | (revenue > threshold)})

@@ -175,17 +175,18 @@ def corpus_census(df: DataFrame, levels: list[str], chars: str, long_chars: int
 
 
 def unique_slugs(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Adds ``slug``: the name in lower case with hyphens, 80 characters, ``-n`` for the nth that collides.
+    """Adds ``slug``: the name in lower case without marks, with hyphens, 80 characters; later rows of a slug take ``-n``.
 
-    A numbered slug that equals another row's plain slug takes a further ``-x``.
+    ``n`` is the next number from 2 whose slug is no other row's plain slug.
     """
-    base = F.substring(F.regexp_replace(F.regexp_replace(F.lower(F.translate(F.coalesce(F.col(name), F.lit("")), "đĐ", "dd")), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 80)
+    plain = F.regexp_replace(normal_form("NFD")(F.translate(F.coalesce(F.col(name), F.lit("")), "đĐ", "dd")), r"\p{M}+", "")
+    base = F.substring(F.regexp_replace(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 80)
     df = df.withColumn("_base", F.when(base == "", "file").otherwise(base))
-    n = F.row_number().over(Window.partitionBy("_base").orderBy(key))
-    df = df.withColumn("slug", F.when(n == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", n)))
-    taken = df.select(F.col("_base").alias("_t")).distinct()
-    clash = df.where("slug <> _base").join(taken, F.col("slug") == F.col("_t"), "left_semi").select(F.col(key).alias("_k"))
-    return df.join(clash, F.col(key) == F.col("_k"), "left").withColumn("slug", F.when(F.col("_k").isNull(), F.col("slug")).otherwise(F.concat("slug", F.lit("-x")))).drop("_base", "_k")
+    numbered = df.select("_base").distinct().where(F.col("_base").rlike("-[1-9][0-9]{0,8}$"))
+    taken = numbered.groupBy(F.regexp_extract("_base", "^(.*)-[0-9]+$", 1).alias("_base")).agg(F.sort_array(F.collect_set(F.regexp_extract("_base", "([0-9]+)$", 1).cast("int"))).alias("_taken"))
+    df = df.withColumn("_n", F.row_number().over(Window.partitionBy("_base").orderBy(key))).join(taken, "_base", "left")
+    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), F.col("_n"), lambda n, t: F.when((t > 1) & (t <= n), n + 1).otherwise(n))
+    return df.withColumn("slug", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", free))).drop("_base", "_n", "_taken")
 
 
 def dedup_assets(df: DataFrame, group: str, key: str, content: str, limit: int = 2000) -> DataFrame:

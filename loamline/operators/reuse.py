@@ -31,21 +31,39 @@ def banned_hits(files: DataFrame, bans: DataFrame, key: str, text: str, allow_ma
     return ls.join(F.broadcast(bans), F.expr("text rlike pattern")).groupBy(key, "id").agg(F.min("line").cast("long").alias("line"))
 
 
-def near_duplicates(files: DataFrame, key: str, owner: str, block: list[str], text: str, ratio: float = 0.8) -> DataFrame:
-    """``a, b, ratio``: files of one block and different owners whose lines agree in ``ratio`` or more, not exact copies.
-
-    The ratio is twice the common lines (with repeats) over all lines. Lengths
-    rule out most pairs before lines are compared; equal contents of one owner
-    enter once.
+def owner_of(path: Column, root: str = ".agents/skills", shared: str = "scripts") -> Column:
+    """The owner of a file: the folder below ``root`` of a file inside one, else the first folder of its path."""
+    parts = F.split(path, "/")
+    depth = root.count("/") + 1
+    inside = path.startswith(root + "/") & (F.size(parts) > depth + 1)
+    return F.when(inside, F.get(parts, F.lit(depth))).when(F.get(parts, F.lit(0)) == shared, shared).otherwise(F.get(parts, F.lit(0)))
+
+
+def near_duplicates(files: DataFrame, key: str, owner: str, text: str, ratio: float = 0.8, block: list[str] | None = None) -> DataFrame:
+    """``a, b, ratio``: files of different owners whose lines agree in ``ratio`` or more, not exact copies.
+
+    The ratio is twice the common lines (with repeats) over all lines. Only
+    files alike in the columns ``block`` (a file name, say) are compared; equal
+    contents of one owner enter once. Lines are ordered from the rarest, the nth
+    repeat of a line being a line of its own: two files that agree so far share
+    one of the first lines that leave too few others, so only files that share
+    such a line are compared, and no pair is lost.
     """
-    one = files.groupBy(*block, owner, F.md5(text).alias("_h")).agg(F.min(key).alias("k"), F.first(text).alias("_t")).withColumn("n", F.size(F.split("_t", "\n", -1)))
-    a = one.select(*block, F.col(owner).alias("oa"), F.col("_h").alias("ha"), F.col("k").alias("a"), F.col("n").alias("na"))
-    b = one.select(*block, F.col(owner).alias("ob"), F.col("_h").alias("hb"), F.col("k").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, block).where((F.col("a") < F.col("b")) & (F.col("oa") != F.col("ob")) & (F.col("ha") != F.col("hb")) & (2 * F.least("na", "nb") >= ratio * (F.col("na") + F.col("nb"))))
-    rows = one.select("k", F.explode(F.split("_t", "\n", -1)).alias("l")).groupBy("k", F.xxhash64("l").alias("l")).agg(F.count("*").alias("c"))
-    common = pairs.join(rows.select(F.col("k").alias("a"), "l", F.col("c").alias("ca")), "a").join(rows.select(F.col("k").alias("b"), "l", F.col("c").alias("cb")), ["b", "l"])
-    scored = common.groupBy("a", "b", "na", "nb").agg(F.sum(F.least("ca", "cb")).alias("m")).withColumn("ratio", F.round(2 * F.col("m") / (F.col("na") + F.col("nb")), 4))
-    return scored.where(F.col("ratio") >= ratio).select("a", "b", "ratio")
+    block = block or []
+    one = files.groupBy(*block, owner, F.md5(text).alias("_h")).agg(F.min(key).alias("k"), F.first(text).alias("_t"))
+    rows = one.select(*block, F.col(owner).alias("o"), F.col("_h").alias("h"), "k", F.explode(F.split("_t", "\n", -1)).alias("l"))
+    nth = F.row_number().over(Window.partitionBy("k", "l").orderBy(F.lit(0)))
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("k"))).withColumn("token", F.xxhash64(*block, "l", nth)).drop("l")
+    often = rows.groupBy("token").agg(F.count("*").alias("f"))
+    place = F.row_number().over(Window.partitionBy("k").orderBy("f", "token"))
+    # A pair needs ratio / 2 of all lines in common, so of a file at least ratio / (2 - ratio) of its own.
+    first = rows.join(often, "token").withColumn("i", place).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * (ratio / (2 - ratio)) - 1e-9) + 1)
+    x, y = (first.select("token", F.col("k").alias(s), F.col("o").alias("o" + s), F.col("h").alias("h" + s), F.col("n").alias("n" + s)) for s in "ab")
+    met = x.join(y, "token").where("a < b and oa <> ob and ha <> hb").where(2 * F.least("na", "nb") >= ratio * (F.col("na") + F.col("nb")))
+    pairs = met.select("a", "b", "na", "nb").distinct()
+    own = lambda s: rows.select(F.col("k").alias(s), "token")
+    scored = pairs.join(own("a"), "a").join(own("b"), ["b", "token"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("m"))
+    return scored.withColumn("ratio", F.round(2 * F.col("m") / (F.col("na") + F.col("nb")), 4)).where(F.col("ratio") >= ratio).select("a", "b", "ratio")
 
 
 def oversize_shims(files: DataFrame, key: str, text: str, marker: str, most_lines: int = 30) -> DataFrame:

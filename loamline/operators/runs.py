@@ -230,3 +230,12 @@ def validate_records(df: DataFrame, key: str, required: list[str], enums: dict[s
     missing = [F.when(F.col(c).isNull(), F.struct(F.lit(c).alias("field"), F.lit("missing").alias("problem"))) for c in required]
     wrong = [F.when(F.col(c).isNotNull() & ~F.col(c).isin(*vs), F.struct(F.lit(c).alias("field"), F.lit("not allowed").alias("problem"))) for c, vs in enums.items()]
     return df.select(key, F.explode(F.array_compact(F.array(*missing, *wrong))).alias("p")).select(key, "p.field", "p.problem")
+
+
+def run_records(runs: DataFrame, run: str, parts: dict[str, DataFrame]) -> DataFrame:
+    """``run, record``: one nested record a run; ``parts`` are tables of one row a run, each a field of its own (null where it has none)."""
+    out = runs.select(run).distinct()
+    for name, part in parts.items():
+        fields = [c for c in part.columns if c != run]
+        out = out.join(part.select(run, F.struct(*fields).alias(name)), run, "left")
+    return out.select(run, F.struct(*parts).alias("record"))

@@ -15,11 +15,11 @@ def classify_title(spark, d):
 
 
 @query("""
-    WITH l AS (SELECT o_orderkey AS pos, o_custkey AS id, 'c' || (o_orderkey % 977) AS slug, 'f' || o_orderkey AS folder FROM orders WHERE o_orderkey % 3 = 0),
+    WITH l AS (SELECT o_orderkey AS pos, o_custkey AS id, 'c' || (o_orderkey % 977) AS slug, 'f' || o_orderkey AS folder FROM orders),
     m AS (SELECT c_custkey, pos, folder FROM customer JOIN l ON id = c_custkey UNION ALL SELECT c_custkey, pos, folder FROM customer JOIN l ON slug = 'c' || c_custkey)
     SELECT c.c_custkey, f.folder FROM customer c LEFT JOIN (SELECT c_custkey, arg_min(folder, pos) AS folder FROM m GROUP BY 1) f USING (c_custkey)""")
 def sync_status(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 3 = 0")
+    o = table(spark, d, "orders")
     local = o.select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("local_id"), F.concat(F.lit("c"), (F.col("o_orderkey") % 977).cast("string")).alias("local_slug"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("folder"))
     items = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("slug"))
     return catalog.sync_status(items, local, "c_custkey", "slug")
@@ -63,11 +63,11 @@ def apply_status(spark, d):
 
 
 @query("""
-    WITH p AS (SELECT o_custkey AS k, o_orderkey AS seq, CASE WHEN o_orderstatus = 'F' THEN 'c_mktsegment' ELSE 'c_name' END AS f, 'v' || o_orderkey AS v FROM orders WHERE o_orderkey % 5 = 0),
+    WITH p AS (SELECT o_custkey AS k, o_orderkey AS seq, CASE WHEN o_orderstatus = 'F' THEN 'c_mktsegment' ELSE 'c_name' END AS f, 'v' || o_orderkey AS v FROM orders),
     l AS (SELECT k, arg_max(v, seq) FILTER (f = 'c_name') AS n, arg_max(v, seq) FILTER (f = 'c_mktsegment') AS s, count(*) AS c FROM p GROUP BY k)
     SELECT c_custkey, coalesce(n, c_name) AS c_name, coalesce(s, c_mktsegment) AS c_mktsegment, coalesce(c, 0) AS patches FROM customer LEFT JOIN l ON c_custkey = k""")
 def apply_patches(spark, d):
-    p = table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "F", "c_mktsegment").alias("field"), F.concat(F.lit("v"), F.col("o_orderkey").cast("string")).alias("new_value"))
+    p = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "F", "c_mktsegment").alias("field"), F.concat(F.lit("v"), F.col("o_orderkey").cast("string")).alias("new_value"))
     return catalog.apply_patches(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), p, "c_custkey", ["c_name", "c_mktsegment"])
 
 

@@ -212,3 +212,101 @@ def independence_errors(spark, d):
 def running_headers(spark, d):
     first = table(spark, d, "documents").select("source", "doc_id", F.lit("top").alias("band"), F.get(F.split("text", "\n", -1), F.lit(0)).alias("t"))
     return checks.running_headers(first, "source", "doc_id", "band", "t").select("source", F.md5("text").alias("text_md5"), "pages")
+
+
+@query("""
+    SELECT o_orderkey, CAST(o_custkey % 900 + 1 AS DOUBLE) * 1000 + (o_orderkey % 9 + 1) * 1e6 + (o_orderkey % 7) * 1e8 + CASE WHEN o_orderkey % 2 = 0 THEN 1200.0 * 1000 ELSE 0 END AS total, 3 + CAST(o_orderkey % 2 = 0 AS INTEGER) AS n FROM orders""")
+def target_numbers(spark, d):
+    text = lambda c: c.cast("string")
+    k = F.col("o_orderkey")
+    said = F.concat(text(F.col("o_custkey") % 900 + 1), F.lit(" nghìn đồng, "), text(k % 9 + 1), F.lit(" Triệu và 0,"), text(k % 7), F.lit(" tỷ; năm 2026"), F.when(k % 2 == 0, "; 1.200 nghìn").otherwise(""))
+    found = checks.target_numbers(said)
+    return table(spark, d, "orders").select("o_orderkey", F.aggregate(found, F.lit(0.0), lambda a, x: a + x).alias("total"), F.size(found).alias("n"))
+
+
+@query(r"""
+    WITH s AS (SELECT DISTINCT text AS source FROM documents WHERE doc_id % 2 = 0), c AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, ',', ' ,') WHEN doc_id % 3 = 1 THEN substring(text, 1, 40) ELSE text END AS t FROM documents),
+    n AS (SELECT trim(regexp_replace(source, '[ \t\n\r\f]+', ' ', 'g')) AS n, min(md5(source)) AS target FROM s GROUP BY 1),
+    l AS (SELECT lower(regexp_replace(source, '[ \t\n\r\f.,;:!?"''()\[\]-]+', '', 'g')) AS k, arg_min(md5(source), source) AS target, length(min(source)) AS len FROM s GROUP BY 1 HAVING k <> '')
+    SELECT doc_id, CASE WHEN n.target IS NOT NULL THEN 'exact' WHEN l.target IS NOT NULL AND least(length(t), len) >= 0.85 * greatest(length(t), len) THEN 'compact' END AS match,
+        CASE WHEN n.target IS NOT NULL THEN n.target WHEN l.target IS NOT NULL AND least(length(t), len) >= 0.85 * greatest(length(t), len) THEN l.target END AS translated
+    FROM c LEFT JOIN n ON trim(regexp_replace(t, '[ \t\n\r\f]+', ' ', 'g')) = n.n LEFT JOIN l ON lower(regexp_replace(t, '[ \t\n\r\f.,;:!?"''()\[\]-]+', '', 'g')) = l.k""")
+def best_fragment(spark, d):
+    docs = table(spark, d, "documents")
+    known = docs.where("doc_id % 2 = 0").select(F.col("text").alias("source")).distinct().withColumn("target", F.md5("source"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit(","), F.lit(" ,"))).when(F.col("doc_id") % 3 == 1, F.substring("text", 1, 40)).otherwise(F.col("text"))
+    return checks.best_fragment(docs.select("doc_id", text.alias("t")), known, "doc_id", "t").select("doc_id", "match", "translated")
+
+
+@query("SELECT c_custkey, caption FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS caption FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON o_custkey = c_custkey")
+def caption_of(spark, d):
+    edges = table(spark, d, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"), F.when(F.col("o_orderstatus") == "F", "DESCRIBES").otherwise("NEAR").alias("relation"))
+    return checks.caption_of(table(spark, d, "customer"), edges, "c_custkey").select("c_custkey", "caption")
+
+
+_BOXES = """bx AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber, l_quantity) AS id, CAST(l_partkey % 500 AS DOUBLE) AS x0, l_partkey % 500 + CAST(l_quantity AS DOUBLE) * 2 AS x1,
+        CAST(l_suppkey * 7 % 300 AS DOUBLE) AS y0, l_suppkey * 7 % 300 + CAST(l_quantity AS DOUBLE) AS y1, CASE WHEN l_returnflag = 'N' THEN 'total' ELSE 'total of ' || l_linestatus END AS t FROM lineitem)"""
+
+
+def _boxes(spark, d):
+    from pyspark.sql import Window
+
+    li = table(spark, d, "lineitem")
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_linenumber", "l_quantity"))
+    x, y, q = (F.col("l_partkey") % 500).cast("double"), (F.col("l_suppkey") * 7 % 300).cast("double"), F.col("l_quantity").cast("double")
+    text = F.when(F.col("l_returnflag") == "N", "total").otherwise(F.concat(F.lit("total of "), "l_linestatus"))
+    return li.select("l_orderkey", n.alias("id"), x.alias("x0"), (x + q * 2).alias("x1"), y.alias("y0"), (y + q).alias("y1"), text.alias("t"))
+
+
+@query(f"""
+    WITH {_BOXES}, p AS (SELECT a.l_orderkey, a.id AS a, b.id AS b, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS i,
+        (a.x1 - a.x0) * (a.y1 - a.y0) AS p, (b.x1 - b.x0) * (b.y1 - b.y0) AS q, abs(a.y0 - b.y0) AS dy FROM bx a JOIN bx b ON a.l_orderkey = b.l_orderkey AND a.id < b.id AND (contains(a.t, b.t) OR contains(b.t, a.t)))
+    SELECT l_orderkey, a, b FROM p WHERE i > 0.15 * least(p, q) OR i > 0.1 * (p + q - i) OR dy < 50""")
+def duplicate_overlays(spark, d):
+    return checks.duplicate_overlays(_boxes(spark, d), "l_orderkey", "t")
+
+
+@query(f"""
+    WITH {_BOXES}
+    SELECT a.l_orderkey, a.id, coalesce((SELECT min(b.x0) FROM bx b WHERE b.l_orderkey = a.l_orderkey AND b.x0 > a.x0) - 2, 560.0) AS right_limit, 595 - x1 < 15 AS near_edge, least(593.0, x1 + 4) AS clamped_x1 FROM bx a""")
+def right_limit(spark, d):
+    return checks.right_limit(_boxes(spark, d), ["l_orderkey"], F.lit(560.0), F.lit(595.0)).select("l_orderkey", "id", "right_limit", "near_edge", "clamped_x1")
+
+
+@query(f"""
+    WITH {_BOXES}, i AS (SELECT * FROM bx WHERE t = 'total'), c AS (SELECT * FROM bx WHERE t <> 'total'),
+    j AS (SELECT i.l_orderkey, i.id AS image, c.id AS caption, c.y0 - i.y1 AS distance, CASE WHEN (c.x0 + c.x1) / 2 BETWEEN i.x0 AND i.x1 THEN 0 ELSE 1 END AS s FROM i JOIN c ON i.l_orderkey = c.l_orderkey AND c.y0 - i.y1 BETWEEN 0 AND 20),
+    r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, image ORDER BY s, distance, caption) AS n FROM j)
+    SELECT i.l_orderkey, i.id AS image, caption, CASE s WHEN 0 THEN 'DIRECT_BELOW' WHEN 1 THEN 'ROW_SHARED_GRID' END AS method, distance FROM i LEFT JOIN r ON r.l_orderkey = i.l_orderkey AND r.image = i.id AND n = 1""")
+def caption_link(spark, d):
+    b = _boxes(spark, d)
+    return checks.caption_link(b.where("t = 'total'"), b.where("t <> 'total'"), "l_orderkey")
+
+
+@query(r"""
+    WITH l AS (SELECT doc_id, unnest(string_split(CASE WHEN doc_id % 5 = 0 THEN text || ' see 2. Scope' WHEN doc_id % 7 = 0 THEN text || chr(10) || ' - ' ELSE text END, chr(10))) AS t FROM documents),
+    p AS (SELECT doc_id, count(*) FILTER (regexp_matches(t, '[^\s.!?:;|] [0-9]+\. [A-Z]')) AS heading_merges, count(*) FILTER (regexp_matches(t, '^\s*[-+±−–=×·]\s*$')) AS detached FROM l GROUP BY 1)
+    SELECT *, CASE WHEN heading_merges = 0 THEN 'PASS' ELSE 'FAIL' END AS heading_integrity, CASE WHEN detached = 0 THEN 'PASS' ELSE 'FAIL' END AS inline_integrity FROM p""")
+def flow_defects(spark, d):
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" see 2. Scope"))).when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("\n - "))).otherwise(F.col("text"))
+    return checks.flow_defects(table(spark, d, "documents").select("doc_id", text.alias("t")), "doc_id", "t")
+
+
+@query("""
+    WITH b AS (SELECT o_orderkey AS board, CASE WHEN o_orderkey % 11 = 0 THEN '1.0' ELSE '2.0' END AS version, CASE WHEN o_orderstatus = 'P' THEN 'a b' ELSE o_orderpriority END AS project, CASE WHEN o_custkey % 4 = 0 THEN 25 ELSE 30 END AS fps,
+        CASE WHEN o_custkey % 9 = 0 THEN 100 ELSE 1920 END AS width, CASE WHEN o_orderkey % 2 = 0 THEN 1080 ELSE 1920 END AS height, CASE WHEN o_custkey % 5 = 0 THEN '21:9' WHEN o_custkey % 3 = 0 THEN '1:1' ELSE '16:9' END AS aspect FROM orders),
+    s AS (SELECT l_orderkey AS board, l_suppkey % 5 AS scene, l_quantity / 10.0 AS duration, l_discount * 20 AS transition, l_partkey * 2 AS asset FROM lineitem)
+    SELECT board, 'version' AS error FROM b WHERE version <> '2.0' UNION SELECT board, 'project' FROM b WHERE NOT regexp_matches(project, '^[A-Za-z0-9_-]+$') UNION SELECT board, 'fps' FROM b WHERE fps NOT IN (24, 30, 60)
+    UNION SELECT board, 'width' FROM b WHERE width < 360 UNION SELECT board, 'aspect' FROM b WHERE aspect = '21:9'
+    UNION SELECT board, 'aspect_mismatch' FROM b WHERE aspect <> '21:9' AND abs(width / height - CASE aspect WHEN '1:1' THEN 1.0 ELSE 16.0 / 9 END) > 0.02
+    UNION SELECT board, 'duplicate_scene' FROM s GROUP BY board, scene HAVING count(*) > 1 UNION SELECT board, 'duration' FROM s WHERE duration < 0.5 UNION SELECT board, 'transition' FROM s WHERE transition > duration
+    UNION SELECT board, 'missing_asset' FROM s WHERE asset NOT IN (SELECT p_partkey FROM part)""")
+def storyboard_errors(spark, d):
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    cust, key = F.col("o_custkey"), F.col("o_orderkey")
+    boards = o.select(
+        key.alias("board"), F.when(key % 11 == 0, "1.0").otherwise("2.0").alias("version"), F.when(F.col("o_orderstatus") == "P", "a b").otherwise(F.col("o_orderpriority")).alias("project"), F.when(cust % 4 == 0, 25).otherwise(30).alias("fps"),
+        F.when(cust % 9 == 0, 100).otherwise(1920).alias("width"), F.when(key % 2 == 0, 1080).otherwise(1920).alias("height"), F.when(cust % 5 == 0, "21:9").when(cust % 3 == 0, "1:1").otherwise("16:9").alias("aspect"),
+    )
+    scenes = li.select(F.col("l_orderkey").alias("board"), (F.col("l_suppkey") % 5).alias("scene"), (F.col("l_quantity") / 10.0).alias("duration"), (F.col("l_discount") * 20).alias("transition"), (F.col("l_partkey") * 2).alias("asset"))
+    return checks.storyboard_errors(boards, scenes, table(spark, d, "part").select(F.col("p_partkey").alias("asset")))

@@ -61,13 +61,14 @@ def dedup_assets(spark, d):
     return ingest.dedup_assets(table(spark, d, "documents"), "source", "doc_id", "text", 40)
 
 
-@query("""
-    WITH b AS (SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS base FROM part),
-    n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS n FROM b),
-    s AS (SELECT p_partkey, base, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS slug FROM n)
-    SELECT p_partkey, CASE WHEN slug <> base AND slug IN (SELECT base FROM b) THEN slug || '-x' ELSE slug END AS slug FROM s""")
+@query(r"""
+    WITH b AS (SELECT p_partkey, regexp_replace(regexp_replace(lower(strip_accents(p_name || CASE p_partkey % 4 WHEN 0 THEN ' 2' WHEN 1 THEN ' é' ELSE '' END)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS base FROM part),
+    r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS n FROM b), m AS (SELECT base, max(n) AS most FROM r GROUP BY 1),
+    f AS (SELECT base, k, row_number() OVER (PARTITION BY base ORDER BY k) + 1 AS n FROM (SELECT base, unnest(range(2, most + 30)) AS k FROM m) WHERE base || '-' || k NOT IN (SELECT base FROM b))
+    SELECT p_partkey, CASE WHEN n = 1 THEN base ELSE base || '-' || k END AS slug FROM r LEFT JOIN f USING (base, n)""")
 def unique_slugs(spark, d):
-    return ingest.unique_slugs(table(spark, d, "part"), "p_partkey", "p_name").select("p_partkey", "slug")
+    tail = F.when(F.col("p_partkey") % 4 == 0, " 2").when(F.col("p_partkey") % 4 == 1, " é").otherwise("")
+    return ingest.unique_slugs(table(spark, d, "part").withColumn("name", F.concat("p_name", tail)), "p_partkey", "name").select("p_partkey", "slug")
 
 
 @query("""

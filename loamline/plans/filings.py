@@ -140,3 +140,24 @@ def statement_lines(spark, d):
     k = F.replace(F.format_number(F.col("o_orderkey") * 1000, 0), F.lit(","), F.lit("."))
     text = F.concat(F.lit("Report\n110 Cash and such "), k, F.lit(" ("), F.col("o_custkey").cast("string"), F.lit(")\n110 Again 1 2\nnote"))
     return filings.statement_lines(table(spark, d, "orders").select("o_orderkey", text.alias("t")), "o_orderkey", "t")
+
+
+@query("""
+    WITH f AS (SELECT c_custkey, greatest((c_acctbal * 5000 + 12000000) * 0.895 - 11000000 - (c_nationkey % 3) * 4400000, 0) AS taxable, greatest(c_acctbal, 0) * 1000 * 12 * 0.1 AS w FROM customer),
+    t AS (SELECT *, 12 * (least(taxable, 5e6) * 0.05 + greatest(least(taxable, 1e7) - 5e6, 0) * 0.1 + greatest(least(taxable, 18e6) - 1e7, 0) * 0.15 + greatest(taxable - 18e6, 0) * 0.2) AS t FROM f)
+    SELECT c_custkey, round(taxable, 2) AS taxable, round_even(t, 0) AS salary_tax, round_even(w, 0) AS withheld, round_even(t + w, 0) AS total FROM t""")
+def scenario_tax(spark, d):
+    c = table(spark, d, "customer")
+    brackets = [(0.0, 5e6, 0.05), (5e6, 1e7, 0.1), (1e7, 18e6, 0.15), (18e6, None, 0.2)]
+    salary = F.col("c_acctbal").cast("double") * 5000 + 12000000
+    freelance = F.greatest(F.col("c_acctbal").cast("double"), F.lit(0.0)) * 1000
+    out = filings.scenario_tax(c, salary, F.lit(0.105), F.col("c_nationkey") % 3, freelance, F.lit(0.1), 11e6, 4.4e6, brackets)
+    return out.select("c_custkey", F.round("taxable", 2).alias("taxable"), "salary_tax", "withheld", "total")
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN o_orderdate >= DATE '1997-01-01' THEN 'second' WHEN o_orderdate >= DATE '1994-07-01' THEN 'first' END AS regime,
+        o_orderstatus = 'F' OR o_totalprice > 150000 AS mandatory FROM orders""")
+def regime_switch(spark, d):
+    o = table(spark, d, "orders")
+    return filings.regime_switch(o, "o_orderdate", "o_orderstatus", F.col("o_totalprice"), [("1997-01-01", "second"), ("1994-07-01", "first")], ["F"], 150000.0).select("o_orderkey", "regime", "mandatory")

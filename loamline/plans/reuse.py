@@ -34,14 +34,23 @@ def banned_hits(spark, d):
 
 
 @query("""
-    WITH o AS (SELECT lang, substring(text, 1, 25) AS head, source, md5(text) AS h, min(doc_id) AS k, any_value(text) AS t FROM documents GROUP BY ALL), n AS (SELECT *, len(string_split(t, chr(10))) AS n FROM o),
-    p AS (SELECT a.k AS a, b.k AS b, a.n AS na, b.n AS nb FROM n a JOIN n b ON a.lang = b.lang AND a.head = b.head AND a.k < b.k AND a.source <> b.source AND a.h <> b.h AND 2 * least(a.n, b.n) >= 0.5 * (a.n + b.n)),
+    SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN 'scripts' ELSE '.agents' END AS owner FROM documents""")
+def owner_of(spark, d):
+    name = F.col("doc_id").cast("string")
+    path = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(".agents/skills/"), "source", F.lit("/"), name)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("scripts/lib/"), name)).otherwise(F.concat(F.lit(".agents/skills/"), name))
+    return table(spark, d, "documents").select("doc_id", reuse.owner_of(path).alias("owner"))
+
+
+@query("""
+    WITH o AS (SELECT lang, source, md5(text) AS h, min(doc_id) AS k, any_value(text) AS t FROM documents GROUP BY ALL),
+    n AS (SELECT *, len(string_split(t, chr(10))) AS n FROM o),
     l AS (SELECT k, l, count(*) AS c FROM (SELECT k, unnest(string_split(t, chr(10))) AS l FROM n) GROUP BY ALL),
-    s AS (SELECT p.a, p.b, na, nb, sum(least(x.c, y.c)) AS m FROM p JOIN l x ON x.k = p.a JOIN l y ON y.k = p.b AND y.l = x.l GROUP BY ALL)
-    SELECT a, b, round(2 * m / (na + nb), 4) AS ratio FROM s WHERE round(2 * m / (na + nb), 4) >= 0.5""")
+    s AS (SELECT x.k AS a, y.k AS b, sum(least(x.c, y.c)) AS m FROM l x JOIN l y ON x.l = y.l AND x.k < y.k GROUP BY ALL)
+    SELECT a, b, round(2 * m / (p.n + q.n), 4) AS ratio
+    FROM s JOIN n p ON p.k = a JOIN n q ON q.k = b
+    WHERE p.lang = q.lang AND p.source <> q.source AND p.h <> q.h AND round(2 * m / (p.n + q.n), 4) >= 0.5""")
 def near_duplicate_files(spark, d):
-    docs = table(spark, d, "documents").withColumn("head", F.substring("text", 1, 25))
-    return reuse.near_duplicates(docs, "doc_id", "source", ["lang", "head"], "text", 0.5)
+    return reuse.near_duplicates(table(spark, d, "documents"), "doc_id", "source", "text", 0.5, ["lang"])
 
 
 @query("SELECT doc_id, len(string_split(text, chr(10))) AS n_lines FROM documents WHERE contains(substring(text, 1, 400), 'the') AND len(string_split(text, chr(10))) > 12")
@@ -92,26 +101,27 @@ def registry_gaps(spark, d):
 
 
 @query("""
-    WITH r AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), f AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 10 <> 0)
+    WITH r AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), f AS (SELECT p_partkey AS k FROM part)
     SELECT * FROM (SELECT coalesce(r.k, f.k) AS k, CASE WHEN f.k IS NULL THEN 'missing' WHEN r.k IS NULL THEN 'orphan' WHEN n > 1 THEN 'duplicate' END AS problem FROM r FULL JOIN f ON r.k = f.k) WHERE problem IS NOT NULL""")
 def parity_check(spark, d):
-    return reuse.parity_check(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("k")), "k")
+    return reuse.parity_check(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "part").select(F.col("p_partkey").alias("k")), "k")
 
 
 @query("""
-    WITH a AS (SELECT p_name AS k, max(p_size) AS s FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), b AS (SELECT p_name AS k, max(p_size) AS s FROM part WHERE p_partkey % 3 = 0 GROUP BY 1)
+    WITH a AS (SELECT p_partkey AS k, max(p_size) AS s FROM part GROUP BY 1), b AS (SELECT l_suppkey * 3 AS k, CAST(max(l_quantity) AS INTEGER) AS s FROM lineitem GROUP BY 1)
     SELECT CASE WHEN b.k IS NULL THEN 'a' WHEN a.k IS NULL THEN 'b' ELSE 'both' END AS side, count(*) AS n, CAST(sum(coalesce(a.s, b.s)) AS BIGINT) AS size FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""")
 def inventory_compare(spark, d):
-    p = table(spark, d, "part")
-    return reuse.inventory_compare(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 3 = 0"), "p_name", "p_size")
+    a = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+    b = table(spark, d, "lineitem").select((F.col("l_suppkey") * 3).alias("k"), F.col("l_quantity").cast("int").alias("s"))
+    return reuse.inventory_compare(a, b, "k", "s")
 
 
-_CLAIMS = """c AS (SELECT item_id, CASE WHEN item_id % 9 = 0 THEN 'short one' WHEN item_id % 7 = 0 THEN substring(text, 61, 40) || ' ... ' || substring(text, 1, 40) ELSE substring(text, 1, 60) || ' ... ' || substring(text, 81, 30) END AS quote, text FROM benchmark)"""
+_CLAIMS = """c AS (SELECT item_id, CASE WHEN item_id % 9 = 0 THEN 'short one' WHEN item_id % 7 = 0 THEN substring(text, 61, 40) || ' ... ' || substring(text, 1, 40) WHEN item_id % 5 = 0 THEN substring(text, 3, 32) ELSE substring(text, 1, 60) || ' ... ' || substring(text, 81, 30) END AS quote, text FROM benchmark)"""
 
 
 def _claims(spark, d):
     part = lambda a, n: F.substring("text", a, n)
-    quote = F.when(F.col("item_id") % 9 == 0, "short one").when(F.col("item_id") % 7 == 0, F.concat(part(61, 40), F.lit(" ... "), part(1, 40))).otherwise(F.concat(part(1, 60), F.lit(" ... "), part(81, 30)))
+    quote = F.when(F.col("item_id") % 9 == 0, "short one").when(F.col("item_id") % 7 == 0, F.concat(part(61, 40), F.lit(" ... "), part(1, 40))).when(F.col("item_id") % 5 == 0, part(3, 32)).otherwise(F.concat(part(1, 60), F.lit(" ... "), part(81, 30)))
     return table(spark, d, "benchmark").select("item_id", quote.alias("quote"), "text")
 
 
@@ -137,12 +147,22 @@ def match_quote(spark, d):
     return c.select("item_id", citations.match_quote(citations.norm_text(F.col("text")), citations.quote_segments(citations.norm_text(F.col("quote")))).cast("long").alias("place"))
 
 
-@query()
+@query(rf"""
+    WITH {_CLAIMS}, g AS (SELECT item_id, quote, list_filter(list_transform(string_split(quote, '...'), lambda x: trim(x)), lambda x: x <> '') AS seg FROM c),
+    q AS (SELECT item_id, list_sum(list_transform(seg, lambda x: length(x))) < 30 OR len(list_filter(seg, lambda x: length(x) < 8)) > 0 AS invalid,
+        list_transform(seg, lambda x: trim(regexp_replace(x, '[ \t\n\r\f]+', ' ', 'g'))) AS n, list_transform(seg, lambda x: lower(regexp_replace(x, '[ \t\n\r\f.,;:!?"''()\[\]-]+', '', 'g'))) AS s FROM g),
+    t AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) AS n, lower(regexp_replace(text, '[ \t\n\r\f.,;:!?"''()\[\]-]+', '', 'g')) AS s FROM documents),
+    m AS (SELECT item_id, doc_id FROM q JOIN t ON contains(t.s, q.s[1]) WHERE NOT invalid AND (
+        (contains(t.n, q.n[1]) AND (len(q.n) = 1 OR contains(substring(t.n, strpos(t.n, q.n[1]) + length(q.n[1])), q.n[2])))
+        OR len(q.s) = 1 OR contains(substring(t.s, strpos(t.s, q.s[1]) + length(q.s[1])), q.s[2])))
+    SELECT item_id, CASE WHEN invalid THEN 'INVALID' WHEN source IS NULL THEN 'MISSING' ELSE 'VERIFIED' END AS verdict, source
+    FROM q LEFT JOIN (SELECT item_id, min(doc_id) AS source FROM m GROUP BY 1) USING (item_id)""")
 def verify_claims(spark, d):
     claims = _claims(spark, d).select("item_id", "quote", F.lit(None).cast("string").alias("article"))
     docs = table(spark, d, "documents")
-    found = citations.candidate_pairs(claims, docs, "item_id", "doc_id", "quote", "text").withColumn("pos", F.col("doc_id"))
-    return citations.verify_claims(claims, docs.select("doc_id", F.lit(None).cast("string").alias("article"), "text"), found, "item_id", "doc_id")
+    found = citations.candidate_pairs(claims, docs, "item_id", "doc_id", "quote", "text").select("item_id", "doc_id", F.col("doc_id").alias("pos"))
+    sources = docs.select("doc_id", F.lit(None).cast("string").alias("article"), "text")
+    return citations.verify_claims(claims, sources, found, "item_id", "doc_id").withColumnRenamed("doc_id", "source")
 
 
 @query("""

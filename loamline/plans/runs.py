@@ -226,3 +226,13 @@ def validate_records(spark, d):
 def clarification(spark, d):
     conv = table(spark, d, "conversations")
     return conv.select("conv_id", "turn", runs.clarification(F.col("turn") % 2 == 0, F.when(F.col("turn") < 4, 0).otherwise(1), F.col("text"), ["the"]).alias("kind"))
+
+
+@query(f"""
+    WITH {_CALLS}, n AS (SELECT run, count(*) AS calls FROM c WHERE name <> '' GROUP BY 1), r AS (SELECT run, count(*) AS reads, count(DISTINCT arg) AS distinct_reads FROM c WHERE name = 'view_file' GROUP BY 1)
+    SELECT u.run, calls, reads, distinct_reads, n.run IS NULL AS idle FROM (SELECT DISTINCT run FROM c) u LEFT JOIN n ON n.run = u.run LEFT JOIN r ON r.run = u.run""")
+def run_records(spark, d):
+    c = _calls(spark, d)
+    reads = runs.file_reads(c.where("name = 'view_file'"), "run").select("run", "reads", "distinct_reads")
+    out = runs.run_records(c, "run", {"tools": c.where("name <> ''").groupBy("run").agg(F.count("*").alias("calls")), "files": reads})
+    return out.select("run", "record.tools.calls", "record.files.reads", "record.files.distinct_reads", F.col("record.tools").isNull().alias("idle"))

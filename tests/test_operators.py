@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loamline.operators import citations, filings, ingest, linting, runs
+from loamline.operators import citations, filings, ingest, linting, reuse, runs
 from loamline.sources import readers
 
 
@@ -85,3 +85,34 @@ def test_read_files_and_manifest(spark, tmp_path):
     assert [(r["ext"], r["size"]) for r in got] == [(".md", 1)]
     readers.sink_manifest(spark.createDataFrame([(1, "ok"), (2, "bad")], "id int, status string"), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def test_short_and_other_scripts_are_verified(spark):
+    sources = [(1, "…; a plan for internationalisation of telecommunications infrastructure, and more"), (2, "本事業では、ベトナムのハノイ医科大学との国際交流活動を実施する。"), (3, "Điều 5. Người nộp thuế phải khai   đúng thời hạn quy định."), (4, "nothing")]
+    claims = [
+        (1, "internationalisation of telecommunications infrastructure", None), (2, "ハノイ医科大学との国際交流活動を実施", None), (3, "người nộp thuế phải khai đúng thời hạn", 4), (4, "internationalisation of tele-communications infra structures", None),
+        (5, "short", None), (6, None, None), (7, "医科大学 ... 国際交流活動を実施する", 2),
+    ]
+    c = spark.createDataFrame(claims, "claim int, quote string, declared_source int").withColumn("article", F.lit(None).cast("string"))
+    s = spark.createDataFrame(sources, "source int, text string").withColumn("article", F.lit(None).cast("string"))
+    found = citations.candidate_pairs(c, s, "claim", "source", "quote", "text", "declared_source")
+    assert {(r["claim"], r["source"]) for r in found.where("declared").collect()} == {(3, 4), (7, 2)}
+    found = found.withColumn("pos", F.when(F.col("declared"), -1).otherwise(F.col("source"))).drop("declared")
+    got = {r["claim"]: (r["verdict"], r["source"]) for r in citations.verify_claims(c, s.select("source", "article", "text"), found, "claim", "source").collect()}
+    assert got == {1: ("VERIFIED", 1), 2: ("VERIFIED", 2), 3: ("VERIFIED", 3), 4: ("MISSING", None), 5: ("INVALID", None), 6: ("INVALID", None), 7: ("VERIFIED", 2)}
+    none = c.where("quote is null")
+    assert citations.candidate_pairs(none, s, "claim", "source", "quote", "text").count() == 0
+
+
+def test_near_duplicates_do_not_need_a_common_opening(spark):
+    body = [f"line {i}" for i in range(20)]
+    rows = [(1, "a", "\n".join(body)), (2, "b", "\n".join(["new first line", *body[1:]])), (3, "b", "\n".join(["license"] * 20)), (4, "c", "\n".join(["license"] * 19 + ["x"])), (5, "a", "\n".join(body[::-1])), (6, "d", "")]
+    got = reuse.near_duplicates(spark.createDataFrame(rows, "k int, o string, t string"), "k", "o", "t", 0.8).collect()
+    assert {(r["a"], r["b"], r["ratio"]) for r in got} == {(1, 2, 0.95), (2, 5, 0.95), (3, 4, 0.95)}
+
+
+def test_slugs_take_the_next_free_number(spark):
+    names = ["a", "a", "a-2", "a 2 x", "A", "é", "Đỗ", "", None, "a 2"]
+    got = ingest.unique_slugs(spark.createDataFrame(list(enumerate(names)), "k int, n string"), "k", "n").orderBy("k").collect()
+    slugs = [r["slug"] for r in got]
+    assert len(set(slugs)) == len(slugs) and slugs == ["a", "a-3", "a-2", "a-2-x", "a-4", "e", "do", "file", "file-2", "a-2-2"]
