@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 2_000_000  # of ids, hashes and the like
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +58,13 @@ def discard(*settled: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose session hands Python tasks batches of ``BATCH_BYTES`` at most, unless it has a limit of its own."""
+    if df.sparkSession.conf.get(BATCH_LIMIT, None) is None:
+        df.sparkSession.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+    return df
+
+
 def small(rows: DataFrame) -> DataFrame:
     """``rows``, to be broadcast if they are at most ``BROADCAST_ROWS``, else as they are for a shuffled join."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamline.llm.base import byte_slices, settle, text_or_empty
+from loamline.llm.base import bounded, byte_slices, settle, text_or_empty
 from loamline.llm.tokens import WORD_SLICE_BYTES, word_encoder, word_tokenizer_path
 
 CAPACITY = 2048
@@ -214,7 +214,7 @@ def pieces(docs: DataFrame, end_id: int, capacity: int = CAPACITY, id_col: str =
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    source = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

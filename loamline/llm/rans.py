@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loamline.llm.base import byte_slices, discard, settle, shared_dir, text_or_empty
+from loamline.llm.base import bounded, byte_slices, discard, settle, shared_dir, text_or_empty
 from loamline.llm.tokens import SLICE_BYTES, WORD_SLICE_BYTES, word_encoder, word_tokenizer_path
 
 MAGIC = b"RANSBLK1"
@@ -218,7 +218,7 @@ def tokenized(docs: DataFrame, end_id: int, id_col: str = "doc_id", text_col: st
             tie = np.fromiter(map(zlib.crc32, ids), np.int64, len(ids))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(tie), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "tie", "ids"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    source = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id long, n_tokens long, tie long, ids binary")
 
 

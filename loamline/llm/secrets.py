@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.base import byte_slices, text_or_empty
+from loamline.llm.base import bounded, byte_slices, text_or_empty
 
 #: The base kinds in the order of the contract, with the least length of what counts.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -153,7 +153,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [tuple(map(render, scan(t))) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], names=["doc_id", "base_spans", "spans"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    source = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id long, base_spans string, spans string")
 
 
@@ -181,7 +181,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
             texts = pa.array([t if t is None else redact_text(t, mark) for t in b.column(i).to_pylist()], b.schema.field(i).type)
             yield b.set_column(i, b.schema.field(i), texts)
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

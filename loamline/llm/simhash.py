@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamline.llm.base import byte_slices, discard, fresh, settle, small, text_or_empty
+from loamline.llm.base import bounded, byte_slices, discard, fresh, settle, small, text_or_empty
 from loamline.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -149,7 +149,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [b.column(0), *(pa.array(fps[:, w]) for w in range(words)), pa.array(sizes, pa.int32()), pa.array(np.array(marks, np.uint64).view(np.int64))], names=["doc_id", *names, "n", "mark"]
             )
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    source = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return source.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names), "n int, mark long"]))
 
 
@@ -256,7 +256,7 @@ def near_links(nodes: DataFrame, index: Index = EXACT, list_rows: int = LIST_ROW
     share = 16 if list_rows >= 1024 else 1
     some = _postings(nodes.where(F.pmod(F.hash("node"), F.lit(share)) == 0), index).groupBy("key").count()
     hot = some.where(F.col("count") * share > list_rows).select("key", F.ceil(F.col("count") * share / list_rows).cast("int").alias("blocks"))
-    dealt = lists.join(hot, "key", "left")
+    dealt = lists.join(small(settle(hot, "hot")), "key", "left")
     own = F.pmod(F.hash(*_names(index.words)), F.col("blocks"))
     pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o))
@@ -294,7 +294,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", tex
             ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["node", "shingles"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("node"), text_or_empty(text_col).alias("text"))
+    source = bounded(docs).select(F.col(id_col).cast("long").alias("node"), text_or_empty(text_col).alias("text"))
     return source.join(small(wanted), "node", "left_semi").mapInArrow(run, "node long, shingles array<int>")
 
 

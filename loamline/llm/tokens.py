@@ -22,14 +22,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.base import byte_slices, text_or_empty
+from loamline.llm.base import bounded, byte_slices, text_or_empty
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.tiktoken"
-CACHE_ENTRIES = 1_500_000  # chunks whose ids a worker keeps
+CACHE_ENTRIES = 600_000  # chunks whose ids a worker keeps
 CACHE_BYTES = 64_000_000
 SLICE_BYTES = 4_000_000
-WORD_SLICE_BYTES = 16_000_000
+WORD_SLICE_BYTES = 5_000_000
 
 #: Letters that are single code points in NFC with single-letter lower cases.
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -228,5 +228,5 @@ def section_token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 names=["doc_id", "section", "start", "end", "n_tokens", "n_crossing"],
             )
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    source = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id long, section long, start long, end long, n_tokens long, n_crossing long")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.base import byte_slices, text_or_empty
+from loamline.llm.base import bounded, byte_slices, text_or_empty
 
 SAMPLE_DOCS = 24_000
 LEARNED_UNITS = 4000
@@ -248,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # Bounded by the parameter, so it may be broadcast.
     picked = spark.createDataFrame(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).collect(), "doc_id long, toxic int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(picked), "doc_id")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(10)))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +299,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 s = model.scores(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= PREDICT_FROM).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    source = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
@@ -313,4 +313,4 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
                 s = model.scores([t or "" for t in part.column(i).to_pylist()])
                 yield part.filter(pa.array(s < PREDICT_FROM))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.base import byte_slices, text_or_empty
+from loamline.llm.base import bounded, byte_slices, text_or_empty
 from loamline.llm.tokens import BYTE_TOKENIZER, SLICE_BYTES
 
 CACHE_ENTRIES = 400_000  # chunks and pieces of at most CACHED_LETTERS
@@ -346,7 +346,7 @@ def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    source = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
