@@ -368,13 +368,13 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     It is the row whose id names the component; of rows that repeat this id, the
     one of smallest text hash. Rows with a null id are all kept.
     """
-    names = [fresh(docs, n) for n in ("_keep", "_rows", "_place")]
-    keep, rows, place = names
-    found = near_copies(docs, id_col, text_col, words_in_shingle)
-    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(keep)).agg(F.count("*").alias(rows))
-    kept = docs.join(kept, F.col(id_col).cast("long") == F.col(keep))
-    first = Window.partitionBy(keep).orderBy(F.xxhash64(text_col), F.xxhash64(*[c for c, kind in docs.dtypes if "map" not in kind]))
+    key, place = fresh(docs, "_key"), fresh(docs, "_place")
+    found = near_copies(docs, id_col, text_col, words_in_shingle).where("doc_id is not null")
+    ids = settle(found.groupBy(F.col("doc_id").alias(key)).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count("*").alias("n")), "ids")
+    dropped, repeated = small(ids.where("not kept").select(key)), small(ids.where("kept and n > 1").select(key))
+    same = F.col(id_col).cast("long") == F.col(key)
+    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.xxhash64(*[c for c, kind in docs.dtypes if "map" not in kind]))
     # Ids are unique in most tables, so only repeated ones are put in order.
-    once = kept.where(F.col(rows) == 1).select(*docs.columns)
-    again = kept.where(F.col(rows) > 1).withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*docs.columns)
-    return once.unionAll(again).unionAll(docs.where(F.col(id_col).isNull()))
+    once = docs.join(dropped, same, "left_anti").join(repeated, same, "left_anti")
+    again = docs.join(repeated, same, "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*docs.columns)
+    return once.unionAll(again)
