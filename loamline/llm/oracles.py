@@ -41,3 +41,33 @@ DIVERGENCE = rf"""
     FROM both_parts
     QUALIFY part = 'pair' OR rank <= 10
 """
+
+COLLOCATIONS = rf"""
+    WITH pieces AS (
+        SELECT lang, row_number() OVER () AS piece, regexp_extract_all(text, '[^\x20\x09]+') AS w FROM (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {LOWER}), '[.,;:!?\x0A-\x0D]')) AS text
+            FROM documents
+        )
+    ), grams AS (
+        SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+        FROM pieces, range(1, 6) AS sizes(size) WHERE len(w) >= size
+    ), f AS (
+        SELECT lang, CAST(size AS INTEGER) AS size, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100
+    ), totals AS (
+        SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang
+    ), cuts AS (
+        SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w, size, unnest(range(1, size)) AS k FROM f WHERE size > 1
+    ), scored AS (
+        SELECT c.lang, c.phrase, c.a, c.size, c.k, x.f AS l, y.f AS r, n, CAST(1000 AS HUGEINT) * c.a * n // (CAST(x.f AS HUGEINT) * y.f) AS score
+        FROM cuts c JOIN totals t ON t.lang = c.lang
+        JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+        JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')
+        QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, c.k) = 1
+    ), kept AS (
+        SELECT s.* FROM scored s WHERE NOT EXISTS (
+            SELECT 1 FROM f g WHERE g.lang = s.lang AND g.size > s.size AND contains(' ' || g.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * g.f >= 100 * s.a
+        )
+    )
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+    FROM kept QUALIFY rank <= 2000
+"""
