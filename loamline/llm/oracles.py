@@ -71,3 +71,23 @@ COLLOCATIONS = rf"""
     SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
     FROM kept QUALIFY rank <= 2000
 """
+
+NEAR_EMBEDDINGS = """
+    WITH RECURSIVE usable AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ), unit AS (
+        SELECT vec_id, len(e) AS length, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM usable
+    ), links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.vec_id <> b.vec_id AND a.length = b.length
+        WHERE list_dot_product(a.e, b.e) >= 0.9
+    ), reach(a, b) AS (
+        SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+    ), counted AS (
+        SELECT a, count(*) AS n FROM links GROUP BY a
+    ), smallest AS (
+        SELECT a, min(b) AS b FROM reach GROUP BY a
+    )
+    SELECT e.vec_id, coalesce(n, 0) AS n_links, least(e.vec_id, coalesce(s.b, e.vec_id)) AS component_id, e.vec_id <= coalesce(s.b, e.vec_id) AS kept
+    FROM embeddings e LEFT JOIN counted c ON c.a = e.vec_id LEFT JOIN smallest s ON s.a = e.vec_id
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import collocations, divergence, mtree, oracles, packing, quality, rans, secrets, simhash, sketches, tokens, toxicity, transducer
+from loamline.llm import collocations, divergence, mtree, neargraph, oracles, packing, quality, rans, secrets, simhash, sketches, tokens, toxicity, transducer
 from loamline.llm.base import table
 
 
@@ -59,6 +59,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neargraph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op13_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -71,11 +75,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DEALT = [
     op1_document_fingerprints, op2_toxicity, op3_quality_classifier, op4_rans_token_files, op5_simhash_near_dedup, op6_token_counts, op7_exact_top_k,
-    op8_best_fit_packing, op9_byte_bpe_transducer, op10_secret_scans, op11_collocations, op13_source_divergence_audit, pipeline,
+    op8_best_fit_packing, op9_byte_bpe_transducer, op10_secret_scans, op11_collocations, op12_embedding_near_dedup, op13_source_divergence_audit, pipeline,
 ]
 QUERIES = {f.__name__: f for f in DEALT}
 ORACLES: dict[str, str] = {
     "op11_collocations": oracles.COLLOCATIONS,
+    "op12_embedding_near_dedup": oracles.NEAR_EMBEDDINGS,
     "op13_source_divergence_audit": oracles.DIVERGENCE,
     "op7_exact_top_k": """
         WITH v AS (
