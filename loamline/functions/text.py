@@ -14,6 +14,16 @@ def lines(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     return df.select(*keys, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("_pos", "text")).select(*keys, (F.col("_pos") + 1).alias("line"), "text")
 
 
+#: What ends a line besides a line feed (Unicode line boundaries).
+LINE_END = "\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
+
+
+def split_lines(text: Column) -> Column:
+    """The lines of a text, ended by any Unicode line boundary; the last may lack its end. None for an empty text."""
+    body = F.regexp_replace(text, f"(?:{LINE_END})\\z", "")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_END, -1))
+
+
 def run_id(flag: Column, partition: list[str], order: str) -> Column:
     """Number of rows with ``flag`` up to this one: constant within a run."""
     return F.sum(F.when(flag, 1).otherwise(0)).over(Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))

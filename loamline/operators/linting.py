@@ -6,11 +6,16 @@ category, severity, pattern, suggestion``; patterns are in lower case.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from loamline.functions.patterns import prefilter
 from loamline.functions.text import lines, run_id
 
+OPEN, CLOSE = "\ue000", "\ue001"
+
 RULE_SCHEMA = "rule_order int, profile string, kind string, category string, severity string, pattern string, suggestion string"
 
 
@@ -39,27 +44,71 @@ def mask_phrases(df: DataFrame, text: str, patterns: list[str]) -> DataFrame:
 
 
 def match_places(line: Column, pattern: Column) -> Column:
-    """Array of ``struct(start, end, text)`` (1-based, end exclusive) of all matches in a line."""
-    kind = "struct<p:int,o:array<struct<start:int,end:int,text:string>>>"
+    """Array of ``struct(start, end, text)`` (1-based, end exclusive) of all matches in a line.
+
+    Each match is put between two marks where it is found, so look-around counts
+    as it stands; the marks' own characters (private use) are no part of a match.
+    """
+    kind = "array<struct<start:int,end:int,text:string>>"
+    clean = F.translate(line, OPEN + CLOSE, "\ufffd\ufffd")
+    parts = F.split(F.regexp_replace(clean, pattern, F.lit(OPEN + "$0" + CLOSE)), OPEN, -1)
+
+    def step(state: Column, part: Column) -> Column:
+        matched = F.substring_index(part, CLOSE, 1)
+        end = state["at"] + F.length(matched)
+        place = F.struct(state["at"].alias("start"), end.alias("end"), matched.alias("text"))
+        found = F.when(matched == "", state["found"]).otherwise(F.array_append(state["found"], place))
+        return F.struct((state["at"] + F.length(part) - 1).alias("at"), found.alias("found"))
+
+    start = F.struct((F.length(F.get(parts, F.lit(0))) + 1).alias("at"), F.array().cast(kind).alias("found"))
+    return F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), start, step, lambda state: state["found"])
+
+
+@dataclass(frozen=True)
+class RulePack:
+    """The rules of a profile in their order, with ``needed``: an expression that any text with a match has, or None."""
+
+    rules: tuple[Row, ...]
+    needed: str | None
+
+    def may_match(self, text: Column) -> Column:
+        """Whether a text, split into lines or not, can have a match at all."""
+        return F.lower(text).rlike(self.needed) if self.needed else F.lit(bool(self.rules)) & text.isNotNull()
+
+
+def compile_rules(rules: DataFrame, profile: str = "general", most: int = 10_000) -> RulePack:
+    """The pack of ``profile``; rule packs are small, one of more than ``most`` rules is an error."""
+    own = rules.where(F.col("profile").isin("general", profile)).orderBy("rule_order").limit(most + 1).collect()
+    if len(own) > most:
+        raise ValueError(f"a pack has {most} rules at most")
+    return RulePack(tuple(own), prefilter(r["pattern"] for r in own))
 
-    def step(a, m):
-        at = F.locate_from(m, line, a["p"]) if hasattr(F, "locate_from") else F.call_function("locate", m, line, a["p"])
-        return F.struct((at + F.length(m)).alias("p"), F.array_append(a["o"], F.struct(at.alias("start"), (at + F.length(m)).alias("end"), m.alias("text"))).alias("o"))
 
-    start = F.struct(F.lit(1).alias("p"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("o")).cast(kind)
-    return F.aggregate(F.filter(F.regexp_extract_all(line, pattern, F.lit(0)), lambda m: m != ""), start, step, lambda a: a["o"])
+def lintable(docs: DataFrame, pack: RulePack, text: str = "text") -> DataFrame:
+    """The documents whose whole text has a literal of some rule: no others can have a finding."""
+    return docs.where(pack.may_match(F.col(text)))
 
 
-def rule_matches(ls: DataFrame, rules: DataFrame, keys: list[str], text: str, profile: str = "general") -> DataFrame:
+def rule_matches(ls: DataFrame, rules: DataFrame | RulePack, keys: list[str], text: str, profile: str = "general") -> DataFrame:
     """``keys, rule columns, start, end, matched``: every match of every rule of the profile.
 
-    A line meets the rules only if it matches their alternation; the rule pack
-    is a small table, broadcast.
+    One automaton of the literals that the rules need is run over a line first
+    (and over whole texts, see ``lintable``); a line that has one meets the
+    rules, each a constant of the plan. A line enters no join.
     """
-    packs = rules.where(F.col("profile").isin("general", profile))
-    pairs = ls.join(F.broadcast(packs), F.expr(f"{text} rlike pattern"))
-    found = pairs.withColumn("_m", F.explode(match_places(F.col(text), F.col("pattern"))))
-    return found.select(*keys, text, "rule_order", "kind", "category", "severity", "suggestion", F.col("_m.start").alias("start"), F.col("_m.end").alias("end"), F.col("_m.text").alias("matched"))
+    pack = rules if isinstance(rules, RulePack) else compile_rules(rules, profile)
+    line = F.col(text)
+    names = ["rule_order", "kind", "category", "severity", "suggestion"]
+
+    def found(rule: Row) -> Column:
+        about = [F.lit(rule[n]).cast("int" if n == "rule_order" else "string").alias(n) for n in names]
+        places = F.when(line.rlike(rule["pattern"]), match_places(line, F.lit(rule["pattern"])))
+        return F.transform(places, lambda m: F.struct(*about, m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("matched")))
+
+    kind = "array<struct<rule_order:int,kind:string,category:string,severity:string,suggestion:string,start:int,end:int,matched:string>>"
+    every = F.filter(F.array(*map(found, pack.rules)), lambda one: one.isNotNull()) if pack.rules else F.array()
+    matches = ls.where(pack.may_match(line)).select(*keys, text, F.explode(F.flatten(every) if pack.rules else every.cast(kind)).alias("_m"))
+    return matches.select(*keys, text, *(F.col(f"_m.{n}").alias(n) for n in [*names, "start", "end", "matched"]))
 
 
 def drop_mentions(matches: DataFrame, text: str, negation: str = r"(not|never|no)\s*$", cue: str = r"(avoid|instead of|do not (use|say)|replace)") -> DataFrame:

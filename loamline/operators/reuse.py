@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamline.functions.text import lines
+from loamline.functions import sequences
+from loamline.functions.text import lines, split_lines
 
 
 def exact_duplicates(files: DataFrame, owner: str, key: str, text: str, least: int = 200) -> DataFrame:
@@ -39,31 +44,77 @@ def owner_of(path: Column, root: str = ".agents/skills", shared: str = "scripts"
     return F.when(inside, F.get(parts, F.lit(depth))).when(F.get(parts, F.lit(0)) == shared, shared).otherwise(F.get(parts, F.lit(0)))
 
 
-def near_duplicates(files: DataFrame, key: str, owner: str, text: str, ratio: float = 0.8, block: list[str] | None = None) -> DataFrame:
-    """``a, b, ratio``: files of different owners whose lines agree in ``ratio`` or more, not exact copies.
+def _shared_contents(files: DataFrame, owner: str, text: str, least: int) -> DataFrame:
+    """``h`` of the contents of ``least`` bytes or more that several owners hold."""
+    own = files.where(F.octet_length(text) >= least).groupBy(F.md5(text).alias("h")).agg(F.countDistinct(owner).alias("_owners"))
+    return own.where("_owners > 1").select("h", F.lit(True).alias("shared"))
 
-    The ratio is twice the common lines (with repeats) over all lines. Only
-    files alike in the columns ``block`` (a file name, say) are compared; equal
-    contents of one owner enter once. Lines are ordered from the rarest, the nth
-    repeat of a line being a line of its own: two files that agree so far share
-    one of the first lines that leave too few others, so only files that share
-    such a line are compared, and no pair is lost.
-    """
-    block = block or []
-    one = files.groupBy(*block, owner, F.md5(text).alias("_h")).agg(F.min(key).alias("k"), F.first(text).alias("_t"))
-    rows = one.select(*block, F.col(owner).alias("o"), F.col("_h").alias("h"), "k", F.explode(F.split("_t", "\n", -1)).alias("l"))
-    nth = F.row_number().over(Window.partitionBy("k", "l").orderBy(F.lit(0)))
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("k"))).withColumn("token", F.xxhash64(*block, "l", nth)).drop("l")
+
+def _candidates(lined: DataFrame, block: list[str], ratio: float) -> DataFrame:
+    """``x, y``: contents whose bags of lines agree in ``ratio`` or more, by a prefix filter over lines from the rarest."""
+    rows = lined.select(*block, "c", F.size("lines").alias("n"), F.explode("lines").alias("l"))
+    nth = F.row_number().over(Window.partitionBy("c", "l").orderBy(F.lit(0)))
+    rows = rows.withColumn("token", F.xxhash64(*block, "l", nth)).drop("l", *block)
     often = rows.groupBy("token").agg(F.count("*").alias("f"))
-    place = F.row_number().over(Window.partitionBy("k").orderBy("f", "token"))
-    # A pair needs ratio / 2 of all lines in common, so of a file at least ratio / (2 - ratio) of its own.
+    place = F.row_number().over(Window.partitionBy("c").orderBy("f", "token"))
+    # A pair needs ratio / 2 of all lines in common, so of a content at least ratio / (2 - ratio) of its own.
     first = rows.join(often, "token").withColumn("i", place).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * (ratio / (2 - ratio)) - 1e-9) + 1)
-    x, y = (first.select("token", F.col("k").alias(s), F.col("o").alias("o" + s), F.col("h").alias("h" + s), F.col("n").alias("n" + s)) for s in "ab")
-    met = x.join(y, "token").where("a < b and oa <> ob and ha <> hb").where(2 * F.least("na", "nb") >= ratio * (F.col("na") + F.col("nb")))
-    pairs = met.select("a", "b", "na", "nb").distinct()
-    own = lambda s: rows.select(F.col("k").alias(s), "token")
-    scored = pairs.join(own("a"), "a").join(own("b"), ["b", "token"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("m"))
-    return scored.withColumn("ratio", F.round(2 * F.col("m") / (F.col("na") + F.col("nb")), 4)).where(F.col("ratio") >= ratio).select("a", "b", "ratio")
+    one, two = (first.select("token", F.col("c").alias(s), F.col("n").alias("n" + s)) for s in "xy")
+    met = one.join(two, "token").where("x < y").where(2.0 * F.least("nx", "ny") / (F.col("nx") + F.col("ny")) >= ratio)
+    pairs = met.select("x", "y", "nx", "ny").distinct()
+    own = lambda s: rows.select(F.col("c").alias(s), "token")
+    common = pairs.join(own("x"), "x").join(own("y"), ["y", "token"]).groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("m"))
+    return common.where(2.0 * F.col("m") / (F.col("nx") + F.col("ny")) >= ratio)
+
+
+def _in_sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the matched lines of rows ``x, y, lx, ly``, from either side (``xy``, ``yx``), as blocks may differ by that."""
+    for batch in batches:
+        sides = [[np.asarray(v.values) for v in batch.column(c)] for c in (2, 3)]
+        found = [[sequences.matched(a, b), sequences.matched(b, a)] for a, b in zip(*sides)]
+        both = np.array(found, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both[:, 0]), pa.array(both[:, 1])], ["x", "y", "xy", "yx"])
+
+
+def near_duplicates(files: DataFrame, key: str, owner: str, text: str, ratio: float = 0.8, block: list[str] | None = None, sequence: bool = True, least_bytes: int = 200) -> DataFrame:
+    """``a, b, ratio``: files of different owners, ``a`` the one of smaller key, that agree in ``ratio`` or more of their lines.
+
+    The ratio is twice the lines in matching blocks over all lines, so their
+    order counts; without ``sequence`` it is twice the common lines (with
+    repeats), which is never less. Only files alike in the columns ``block`` (a
+    file name, say) are compared. Two files whose contents, of ``least_bytes``
+    or more, other owners hold as well are exact copies, and left out. Equal
+    contents of one owner enter once. Null and empty texts have no lines and no
+    partner. The ratio is rounded to 4 digits after the threshold.
+
+    Lines are ordered from the rarest, the nth repeat of a line being a line of
+    its own: two contents that agree so far share one of the first lines that
+    leave too few others, so only such contents are compared, and none is lost.
+    """
+    block = block or []
+    held = files.where(F.length(text) > 0).groupBy(*block, F.col(owner).alias("o"), F.md5(text).alias("h")).agg(F.min(key).alias("k"), F.first(text).alias("_t"))
+    contents = held.groupBy(*block, "h").agg(F.min("k").alias("c"), F.first("_t").alias("_t"), F.count("*").alias("owners"))
+    contents = contents.join(_shared_contents(files, owner, text, least_bytes), "h", "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
+    lined = contents.select(*block, "c", "h", "owners", "shared", F.transform(split_lines(F.col("_t")), lambda line: F.xxhash64(line)).alias("lines"))
+    pairs = _candidates(lined, block, ratio)
+    if sequence:
+        side = lambda s: lined.select(F.col("c").alias(s), F.col("lines").alias("l" + s))
+        texts = pairs.select("x", "y").join(side("x"), "x").join(side("y"), "y").select("x", "y", "lx", "ly")
+        kind = dict(texts.dtypes)["x"]
+        matched = texts.mapInArrow(_in_sequence, f"x {kind}, y {kind}, xy long, yx long")
+        pairs = pairs.drop("m").join(matched, ["x", "y"])
+    else:
+        pairs = pairs.withColumns({"xy": F.col("m"), "yx": F.col("m")})
+    whole = F.size("lines")
+    same = lined.where(~F.col("shared") & (F.col("owners") > 1)).select(F.col("c").alias("x"), F.col("c").alias("y"), *(whole.cast("long").alias(c) for c in ("nx", "ny", "xy", "yx")))
+    pairs = pairs.select("x", "y", "nx", "ny", "xy", "yx").unionByName(same)
+    member = held.join(contents.select(*block, "h", "c", "shared"), [*block, "h"])
+    side = lambda s: member.select(F.col("c").alias(s), F.col("k").alias("k" + s), F.col("o").alias("o" + s), F.col("shared").alias("s" + s))
+    met = pairs.join(side("x"), "x").join(side("y"), "y").where("ox <> oy and not (sx and sy) and (x <> y or kx < ky)")
+    turned = F.col("kx") < F.col("ky")
+    agreed = 2.0 * F.when(turned, F.col("xy")).otherwise(F.col("yx")) / (F.col("nx") + F.col("ny"))
+    found = met.select(F.least("kx", "ky").alias("a"), F.greatest("kx", "ky").alias("b"), agreed.alias("ratio"))
+    return found.where(F.col("ratio") >= ratio).withColumn("ratio", F.round("ratio", 4))
 
 
 def oversize_shims(files: DataFrame, key: str, text: str, marker: str, most_lines: int = 30) -> DataFrame:

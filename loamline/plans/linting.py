@@ -29,9 +29,12 @@ def _rules(spark):
 
 def _findings(spark, d, profile="general"):
     docs = table(spark, d, "documents")
-    ls = linting.mask_phrases(linting.lint_lines(docs, "doc_id"), "text", ["not worthless"])
-    matches = linting.suppress_overlaps(linting.rule_matches(ls, _rules(spark), ["doc_id", "line"], "masked", profile), ["doc_id", "line"])
-    cited = linting.citation_ok(ls, linting.footnotes(docs, "doc_id"), "doc_id", "text")
+    pack = linting.compile_rules(_rules(spark), profile)
+    some = linting.lintable(docs, pack)
+    ls = linting.mask_phrases(linting.lint_lines(some, "doc_id"), "text", ["not worthless"])
+    ls = ls.where(pack.may_match(F.col("masked")))
+    matches = linting.suppress_overlaps(linting.rule_matches(ls, pack, ["doc_id", "line"], "masked"), ["doc_id", "line"])
+    cited = linting.citation_ok(ls, linting.footnotes(some, "doc_id"), "doc_id", "text")
     return docs, linting.conditional_claims(matches, cited, ["doc_id", "line"], profile)
 
 
@@ -88,3 +91,25 @@ def footnotes(spark, d):
     last = F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit("\n[^a]: Report "), (F.col("doc_id") % 4 + 2000).cast("string")))
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("x[^a]\n[^a]: First\n[^b]: Internal 2001"), last).alias("text"))
     return linting.footnotes(docs, "doc_id")
+
+
+_TOLD = r"""
+    t AS (SELECT doc_id, string_split(lower(text || chr(10) || 'not idiot but stupid' || chr(10) || 'avoid "stupid" and stupid: ' || lang), chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+    l AS (SELECT doc_id, unnest(ls) AS t, generate_subscripts(ls, 1) AS line FROM t),
+    w AS (SELECT doc_id, line, t, word, unnest(list_filter(range(1, length(t) + 1), lambda i: substring(t, i, length(word)) = word)) AS start
+          FROM l, (VALUES ('idiot'), ('stupid'), ('moron')) AS words(word) WHERE contains(t, word)),
+    q AS (SELECT *, substring(t, greatest(start - 14, 1), least(start - 1, 14)) AS before,
+          list_filter(regexp_extract_all(t, '["“”«»''][^"“”«»''\n]{1,120}["“”«»'']|\*[^*\n]{1,120}\*'), lambda s: instr(t, s) <= start AND start + length(word) <= instr(t, s) + length(s)) AS spans FROM w)"""
+
+
+@query(rf"""
+    WITH {_TOLD}
+    SELECT doc_id, line, start, word AS matched FROM q
+    WHERE NOT regexp_matches(before, '(not|never|no)\s*$') AND NOT (regexp_matches(t, '(avoid|instead of|do not (use|say)|replace)') AND len(spans) > 0)""")
+def drop_mentions(spark, d):
+    told = F.concat_ws("\n", "text", F.lit("not idiot but stupid"), F.concat(F.lit('avoid "stupid" and stupid: '), "lang"))
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", told.alias("text"))
+    pack = linting.compile_rules(_rules(spark).where("rule_order = 2"))
+    ls = linting.mask_phrases(linting.lint_lines(linting.lintable(docs, pack), "doc_id"), "text", [])
+    found = linting.drop_mentions(linting.rule_matches(ls, pack, ["doc_id", "line"], "masked"), "masked")
+    return found.select("doc_id", "line", F.col("start").cast("long").alias("start"), "matched")

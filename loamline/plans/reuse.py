@@ -41,16 +41,50 @@ def owner_of(spark, d):
     return table(spark, d, "documents").select("doc_id", reuse.owner_of(path).alias("owner"))
 
 
-@query("""
-    WITH o AS (SELECT lang, source, md5(text) AS h, min(doc_id) AS k, any_value(text) AS t FROM documents GROUP BY ALL),
-    n AS (SELECT *, len(string_split(t, chr(10))) AS n FROM o),
-    l AS (SELECT k, l, count(*) AS c FROM (SELECT k, unnest(string_split(t, chr(10))) AS l FROM n) GROUP BY ALL),
-    s AS (SELECT x.k AS a, y.k AS b, sum(least(x.c, y.c)) AS m FROM l x JOIN l y ON x.l = y.l AND x.k < y.k GROUP BY ALL)
-    SELECT a, b, round(2 * m / (p.n + q.n), 4) AS ratio
-    FROM s JOIN n p ON p.k = a JOIN n q ON q.k = b
-    WHERE p.lang = q.lang AND p.source <> q.source AND p.h <> q.h AND round(2 * m / (p.n + q.n), 4) >= 0.5""")
+_LINES = r"regexp_split_to_array(regexp_replace(t, '(?:\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}])\z', ''), '\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]')"
+
+
+@query(f"""
+    WITH RECURSIVE docs AS (
+        SELECT doc_id AS k, lang, source AS o, text AS t FROM documents WHERE text <> ''
+        UNION ALL
+        SELECT 10000000 + doc_id, lang, 'mirror', array_to_string(list_reverse(string_split(text, chr(10))), chr(10)) FROM documents WHERE text <> ''
+    ), shared AS (
+        SELECT md5(t) AS h FROM docs WHERE strlen(t) >= 200 GROUP BY 1 HAVING count(DISTINCT o) > 1
+    ), held AS (
+        SELECT lang, o, md5(t) AS h, md5(t) IN (FROM shared) AS shared, min(k) AS k, {_LINES.replace("(t,", "(any_value(t),")} AS ls FROM docs GROUP BY ALL
+    ), l AS (
+        SELECT k, l, list(i ORDER BY i) AS places FROM (SELECT k, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM held) GROUP BY ALL
+    ), bag AS (
+        SELECT x.k AS a, y.k AS b, sum(least(len(x.places), len(y.places))) AS m FROM l x JOIN l y ON x.l = y.l AND x.k < y.k GROUP BY ALL
+    ), pair AS (
+        SELECT a, b, len(p.ls) AS na, len(q.ls) AS nb FROM bag JOIN held p ON p.k = a JOIN held q ON q.k = b
+        WHERE p.lang = q.lang AND p.o <> q.o AND NOT (p.shared AND q.shared) AND 2.0 * m / (len(p.ls) + len(q.ls)) >= 0.5
+    ), place AS (
+        SELECT a, b, unnest(x.places) AS i, y.places AS js FROM pair JOIN l x ON x.k = a JOIN l y ON y.k = b AND y.l = x.l
+    ), run AS (
+        SELECT a, b, min(i) AS x, min(j) AS y, count(*) AS n FROM (
+            SELECT *, i - row_number() OVER (PARTITION BY a, b, j - i ORDER BY i) AS island FROM (SELECT a, b, i, unnest(js) AS j FROM place)
+        ) GROUP BY a, b, j - i, island
+    ), part AS (
+        SELECT a, b, CAST(1 AS BIGINT) AS al, CAST(na + 1 AS BIGINT) AS ah, CAST(1 AS BIGINT) AS bl, CAST(nb + 1 AS BIGINT) AS bh, CAST(0 AS BIGINT) AS size FROM pair
+        UNION ALL
+        SELECT a, b, CASE side WHEN 0 THEN al ELSE u + z END, CASE side WHEN 0 THEN u ELSE ah END, CASE side WHEN 0 THEN bl ELSE v + z END,
+            CASE side WHEN 0 THEN v ELSE bh END, CASE side WHEN 0 THEN z ELSE 0 END
+        FROM (
+            SELECT a, b, al, ah, bl, bh, x + cut AS u, y + cut AS v, least(n, ah - x, bh - y) - cut AS z
+            FROM (SELECT p.*, x, y, n, greatest(0, al - x, bl - y) AS cut FROM part p JOIN run USING (a, b))
+            WHERE least(n, ah - x, bh - y) > cut
+            QUALIFY row_number() OVER (PARTITION BY a, b, al, ah, bl, bh ORDER BY least(n, ah - x, bh - y) - cut DESC, x + cut, y + cut) = 1
+        ), (VALUES (0), (1)) AS sides(side)
+    )
+    SELECT a, b, round(2.0 * m / (na + nb), 4) AS ratio
+    FROM (SELECT a, b, sum(size) AS m FROM part GROUP BY a, b) JOIN pair USING (a, b) WHERE 2.0 * m / (na + nb) >= 0.5""")
 def near_duplicate_files(spark, d):
-    return reuse.near_duplicates(table(spark, d, "documents"), "doc_id", "source", "text", 0.5, ["lang"])
+    """Documents against each other and against copies whose lines are in reverse, which bags of lines would take for the same."""
+    docs = table(spark, d, "documents").where("text <> ''").select("doc_id", "lang", "source", "text")
+    mirror = docs.select(F.col("doc_id") + 10_000_000, "lang", F.lit("mirror"), F.array_join(F.reverse(F.split("text", "\n", -1)), "\n"))
+    return reuse.near_duplicates(docs.union(mirror), "doc_id", "source", "text", 0.5, ["lang"])
 
 
 @query("SELECT doc_id, len(string_split(text, chr(10))) AS n_lines FROM documents WHERE contains(substring(text, 1, 400), 'the') AND len(string_split(text, chr(10))) > 12")

@@ -107,8 +107,11 @@ def test_short_and_other_scripts_are_verified(spark):
 def test_near_duplicates_do_not_need_a_common_opening(spark):
     body = [f"line {i}" for i in range(20)]
     rows = [(1, "a", "\n".join(body)), (2, "b", "\n".join(["new first line", *body[1:]])), (3, "b", "\n".join(["license"] * 20)), (4, "c", "\n".join(["license"] * 19 + ["x"])), (5, "a", "\n".join(body[::-1])), (6, "d", "")]
-    got = reuse.near_duplicates(spark.createDataFrame(rows, "k int, o string, t string"), "k", "o", "t", 0.8).collect()
+    df = spark.createDataFrame(rows, "k int, o string, t string")
+    got = reuse.near_duplicates(df, "k", "o", "t", 0.8, sequence=False).collect()
     assert {(r["a"], r["b"], r["ratio"]) for r in got} == {(1, 2, 0.95), (2, 5, 0.95), (3, 4, 0.95)}
+    got = reuse.near_duplicates(df, "k", "o", "t", 0.8).collect()  # lines in reverse are no copy
+    assert {(r["a"], r["b"], r["ratio"]) for r in got} == {(1, 2, 0.95), (3, 4, 0.95)}
 
 
 def test_slugs_take_the_next_free_number(spark):
