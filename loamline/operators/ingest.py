@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,34 +60,108 @@ def detect_encoding(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("encoding", out)
 
 
-def legacy_signals(df: DataFrame, text: str, unicode_class: str, strong_class: str, token_class: str) -> DataFrame:
-    """Adds counts that tell a legacy encoding: ``uni, strong, tok, vow`` of characters and tokens.
-
-    The three classes are character classes of a regular expression. Only head
-    and tail of very long texts count.
+#: Letters of the Vietnamese alphabet that are no Latin-1 letters of other languages, and TCVN 5712-3 (TCVN3): letters and their codes, seen as Latin-1.
+VIETNAMESE = "[\u1EA0-\u1EF9\u0102\u0103\u0110\u0111\u01A0\u01A1\u01AF\u01B0\u0128\u0129\u0168\u0169]"
+TCVN3_LETTERS = "áàảãạăắằẳẵặâấầẩẫậđéèẻẽẹêếềểễệíìỉĩịóòỏõọôốồổỗộơớờởỡợúùủũụưứừửữựýỳỷỹỵĂÂÊÔƠƯĐ"
+TCVN3_CODES = bytes.fromhex(
+    "B8B5B6B7B9 A8BEBBBCBDC6 A9CAC7C8C9CB AE D0CCCECFD1 AAD5D2D3D4D6 DDD7D8DCDE E3DFE1E2E4 ABE8E5E6E7E9 ACEDEAEBECEE F3EFF1F2F4 ADF8F5F6F7F9 FDFAFBFCFE A1A2A3A4A5A6A7"
+).decode("latin-1")
+TCVN3 = f"[{TCVN3_CODES}]"
+#: Codes of A1 to BE, rare signs in other languages; not the quotation marks AB and BB.
+TCVN3_STRONG = "[" + "".join(sorted(c for c in TCVN3_CODES if "\xa1" <= c <= "\xbe" and c not in "\xab\xbb")) + "]"
+#: VNI for Windows. A vowel is followed by a mark, which stands for one or two combining characters; some letters have codes of their own.
+VNI = "[aeouyAEOUYôöÔÖ][ùøûõïâáàåãäêéèúüë]"
+VNI_VOWELS = "aeouyAEOUYôöÔÖ"
+VNI_MARKS = {
+    "ù": "\u0301", "ø": "\u0300", "û": "\u0309", "õ": "\u0303", "ï": "\u0323", "â": "\u0302", "á": "\u0302\u0301", "à": "\u0302\u0300", "å": "\u0302\u0309", "ã": "\u0302\u0303", "ä": "\u0302\u0323",
+    "ê": "\u0306", "é": "\u0306\u0301", "è": "\u0306\u0300", "ú": "\u0306\u0309", "ü": "\u0306\u0303", "ë": "\u0306\u0323",
+}
+VNI_LETTERS = ("ôöñæóòîÔÖÑÆÓÒÎ", "ơưđỉĩịỵƠƯĐỈĨỊỴ")
+NON_SPACE, LETTER = r"(?U)\S+", r"\p{L}"
+
+
+def legacy_signals(df: DataFrame, text: str, unicode_class: str = VIETNAMESE, strong_class: str = TCVN3_STRONG, token_class: str = TCVN3, pair_class: str = VNI, letter: str = LETTER, most: int = 400_000) -> DataFrame:
+    """Adds counts that tell a legacy encoding: characters ``uni`` and ``strong``, tokens with a letter (``words``), those of a code (``tok``), vowel and mark ``pairs``.
+
+    The classes are regular expressions. Of a text of more than ``most``
+    characters the two ends count, half of these each.
     """
-    t = F.when(F.length(text) > 400_000, F.concat(F.substring(text, 1, 200_000), F.right(F.col(text), F.lit(200_000)))).otherwise(F.coalesce(F.col(text), F.lit("")))
-    tokens = F.filter(F.split(t, r"\s+"), lambda w: w.rlike("[A-Za-z]"))
-    return df.withColumns({"uni": F.regexp_count(t, F.lit(unicode_class)), "strong": F.regexp_count(t, F.lit(strong_class)), "words": F.size(tokens), "tok": F.size(F.filter(tokens, lambda w: w.rlike(token_class)))})
+    ends = F.concat(F.substring(text, 1, most // 2), F.lit("\n"), F.right(F.col(text), F.lit(most // 2)))
+    t = F.when(F.length(text) > most, ends).otherwise(F.coalesce(F.col(text), F.lit("")))
+    tokens = F.filter(F.regexp_extract_all(t, F.lit(NON_SPACE), F.lit(0)), lambda w: w.rlike(letter))
+    count = lambda pattern: F.regexp_count(t, F.lit(pattern))
+    return df.withColumns({"uni": count(unicode_class), "strong": count(strong_class), "words": F.size(tokens), "tok": F.size(F.filter(tokens, lambda w: w.rlike(token_class))), "pairs": count(pair_class)})
 
 
 def detect_legacy(df: DataFrame, hint: Column | None = None) -> DataFrame:
-    """Adds ``legacy``: whether the signals say that the text is in the legacy encoding."""
-    ratio = F.col("tok") / F.greatest("words", F.lit(1))
-    hinted = F.lit(False) if hint is None else hint
-    enough = (hinted & (ratio >= 0.1)) | ((F.col("strong") >= 3) & (ratio >= 0.2)) | ((F.col("strong") >= 2) & (ratio >= 0.35))
-    return df.withColumn("legacy", (F.col("uni") * 4 <= F.greatest(F.col("strong").cast("double"), F.col("tok") / 2)) & enough)
+    """Adds ``legacy``: ``tcvn3``, ``vni`` or null, by the signals and a ``hint`` of the fonts that a document names."""
+    words = F.greatest("words", F.lit(1))
+    ratio = F.col("tok") / words
+    hinted = lambda kind: F.lit(False) if hint is None else F.coalesce(hint == kind, F.lit(False))
+    enough = (hinted("tcvn3") & (ratio >= 0.1)) | ((F.col("strong") >= 3) & (ratio >= 0.2)) | ((F.col("strong") >= 2) & (ratio >= 0.35))
+    coded = (F.col("uni") * 4 <= F.greatest("strong", F.floor(F.col("tok") / 2))) & enough
+    paired = (F.col("uni") * 4 <= F.col("pairs")) & (((F.col("pairs") >= 5) & (F.col("pairs") / words >= 0.1)) | (hinted("vni") & (F.col("pairs") >= 1)))
+    return df.withColumn("legacy", F.when(F.col("words") > 0, F.when(coded, "tcvn3").when(paired, "vni")))
+
+
+def _by_line(text: str, wrong: Callable[[Column], Column], fix: Callable[[Column], Column]) -> dict[str, Column]:
+    parts = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+    return {"fixed": F.array_join(F.transform(parts, lambda l: F.when(wrong(l), fix(l)).otherwise(l)), "\n"), "lines_changed": F.size(F.filter(parts, wrong))}
+
 
+def _share_of_tokens(line: Column, pattern: str) -> Column:
+    tokens = F.filter(F.regexp_extract_all(line, F.lit(NON_SPACE), F.lit(0)), lambda w: w.rlike(LETTER))
+    return F.size(F.filter(tokens, lambda w: w.rlike(pattern))) / F.greatest(F.size(tokens), F.lit(1))
 
-def repair_legacy(df: DataFrame, text: str, source: str, target: str) -> DataFrame:
-    """Translates ``source`` characters to ``target`` ones in lines that hold them and no target character.
 
-    Adds ``fixed`` and ``lines_changed``.
+def repair_legacy(df: DataFrame, text: str, source: str = TCVN3_CODES, target: str = TCVN3_LETTERS, strong: str = TCVN3_STRONG, done: str = VIETNAMESE, least: float = 0.3) -> DataFrame:
+    """Translates ``source`` codes to ``target`` letters, line by line; adds ``fixed`` and ``lines_changed``.
+
+    A line that has a letter of ``done`` is left alone, as is one without a
+    ``strong`` code and with codes in under ``least`` of its tokens. Codes do not
+    tell capitals: a token is put in capitals if its line's three or more ASCII
+    letters, or its own two or more, all are.
     """
-    esc = lambda s: "[" + "".join("\\" + c if c in r"\]^-[" else c for c in s) + "]"
-    parts = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    wrong = lambda l: l.rlike(esc(source)) & ~l.rlike(esc(target))
-    return df.withColumns({"fixed": F.array_join(F.transform(parts, lambda l: F.when(wrong(l), F.translate(l, source, target)).otherwise(l)), "\n"), "lines_changed": F.size(F.filter(parts, wrong))})
+    codes = _class(source)
+
+    def wrong(line: Column) -> Column:
+        return ~line.rlike(done) & line.rlike(codes) & (line.rlike(strong) | (_share_of_tokens(line, codes) >= least))
+
+    def capitals(part: Column, least_letters: int) -> Column:
+        return ~part.rlike("[a-z]") & (F.regexp_count(part, F.lit("[A-Z]")) >= least_letters)
+
+    def fix(line: Column) -> Column:
+        def token(w: Column) -> Column:
+            letters = F.translate(w, source, target)
+            return F.when(w.rlike(codes) & (capitals(line, 3) | capitals(w, 2)), F.upper(letters)).otherwise(letters)
+
+        return F.array_join(F.transform(F.regexp_extract_all(line, F.lit(r"(?U)\S+|\s+"), F.lit(0)), token), "")
+
+    return df.withColumns(_by_line(text, wrong, fix))
+
+
+def repair_vni(df: DataFrame, text: str, least: float = 0.3) -> DataFrame:
+    """Turns vowels with VNI marks, and VNI's own letters, into Unicode, line by line; adds ``fixed`` and ``lines_changed``.
+
+    A line needs such pairs in ``least`` of its tokens, and no Unicode letter of
+    Vietnamese. A vowel and its mark are taken before single codes.
+    """
+    pair = f"[{VNI_VOWELS}][{''.join(VNI_MARKS)}{''.join(VNI_MARKS).upper()}]"
+
+    def wrong(line: Column) -> Column:
+        return ~line.rlike(VIETNAMESE) & line.rlike(pair) & (_share_of_tokens(line, pair) >= least)
+
+    def fix(line: Column) -> Column:
+        for mark, combining in VNI_MARKS.items():
+            line = F.regexp_replace(line, f"(?<=[{VNI_VOWELS}])[{mark}{mark.upper()}]", combining)
+        return F.translate(line, *VNI_LETTERS)
+
+    out = df.withColumns(_by_line(text, wrong, fix))
+    return out.withColumn("fixed", F.when(F.col("lines_changed") > 0, normal_form("NFC")(F.when(F.col("lines_changed") > 0, F.col("fixed")))).otherwise(F.col("fixed")))
+
+
+def _class(letters: str) -> str:
+    return "[" + "".join("\\" + c if c in r"\]^-[&" else c for c in letters) + "]"
 
 
 def diacritic_damage(df: DataFrame, text: str = "text", accented: str = "[À-ÖØ-öø-ÿ]", vowels: str = "[aeiouyAEIOUYÀ-ÖØ-öø-ÿ]") -> DataFrame:

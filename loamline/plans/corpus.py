@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import functions as F
 
 from loamline.operators import ingest
@@ -84,25 +86,64 @@ def triage_pages(spark, d):
     return ingest.triage_pages(pages).select("l_orderkey", "l_linenumber", "reason")
 
 
-@query(r"""
-    WITH t AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda w: regexp_matches(w, '[A-Za-z]')) AS words FROM documents),
-    s AS (SELECT doc_id, len(regexp_extract_all(text, '[À-ÿ]')) AS uni, len(regexp_extract_all(text, '[#$%&*]')) AS strong, len(words) AS words,
-        len(list_filter(words, lambda w: regexp_matches(w, '[#$%&*]'))) AS tok FROM t)
-    SELECT doc_id, uni, strong, words, tok, uni * 4 <= greatest(strong, tok / 2) AND ((strong >= 3 AND tok / greatest(words, 1) >= 0.2) OR (strong >= 2 AND tok / greatest(words, 1) >= 0.35)) AS legacy
-    FROM s""")
+#: Documents in legacy encodings: one in five with TCVN3 codes, one with them in capitals, one with VNI marks, one with codes beside Unicode letters, and one as it is.
+_CODED = "CASE doc_id % 5 WHEN 0 THEN translate(text, 'aeou', 'µÖéø') WHEN 1 THEN translate(translate(text, '{lower}', '{upper}'), 'AEOU', 'µÖéø') WHEN 2 THEN replace(replace(replace(translate(text, 'u', 'ö'), 'a', 'aù'), 'e', 'eä'), 'd', 'ñ') WHEN 3 THEN translate(text, 'aq', '¸ệ') ELSE text END".format(
+    lower=string.ascii_lowercase, upper=string.ascii_uppercase
+)
+_LEGACY = rf"""t AS (SELECT doc_id, {_CODED} AS t FROM documents WHERE text IS NOT NULL), k(codes, letters, strong, done, pair) AS (VALUES (
+    '¸µ¶·¹¨¾»¼½Æ©ÊÇÈÉË®ÐÌÎÏÑªÕÒÓÔÖÝ×ØÜÞãßáâä«èåæçé¬íêëìîóïñòôøõö÷ùýúûüþ¡¢£¤¥¦§' || chr(173), 'áàảãạăắằẳẵặâấầẩẫậđéèẻẽẹêếềểễệíìỉĩịóòỏõọôốồổỗộơớờởỡợúùủũụứừửữựýỳỷỹỵĂÂÊÔƠƯĐ' || 'ư',
+    '[¡¢£¤¥¦§¨©ª¬®µ¶·¸¹¼½¾' || chr(173) || ']', '[Ạ-ỹĂăĐđƠơƯưĨĩŨũ]', '[aeouyAEOUYôöÔÖ][ùøûõïâáàåãäêéèúüë]'))"""
+
+
+def _coded(spark, d):
+    k, t = F.col("doc_id") % 5, F.col("text")
+    coded = F.translate(t, "aeou", "µÖéø")
+    upper = F.translate(F.translate(t, string.ascii_lowercase, string.ascii_uppercase), "AEOU", "µÖéø")
+    marked = F.translate(t, "u", "ö")
+    for letter, code in (("a", "aù"), ("e", "eä"), ("d", "ñ")):
+        marked = F.replace(marked, F.lit(letter), F.lit(code))
+    out = F.when(k == 0, coded).when(k == 1, upper).when(k == 2, marked).when(k == 3, F.translate(t, "aq", "¸ệ")).otherwise(t)
+    return table(spark, d, "documents").where("text is not null").select("doc_id", out.alias("text"))
+
+
+@query(rf"""
+    WITH {_LEGACY}, w AS (SELECT doc_id, t, k.*, list_filter(regexp_extract_all(t, '\S+'), lambda w: regexp_matches(w, '\p{{L}}')) AS words FROM t, k),
+    s AS (SELECT doc_id, len(regexp_extract_all(t, done)) AS uni, len(regexp_extract_all(t, strong)) AS strong, len(words) AS words,
+        len(list_filter(words, lambda w: regexp_matches(w, '[' || codes || ']'))) AS tok, len(regexp_extract_all(t, pair)) AS pairs FROM w)
+    SELECT doc_id, uni, strong, words, tok, pairs, CASE WHEN words = 0 THEN NULL
+        WHEN uni * 4 <= greatest(strong, tok // 2) AND ((strong >= 3 AND tok / words >= 0.2) OR (strong >= 2 AND tok / words >= 0.35)) THEN 'tcvn3'
+        WHEN uni * 4 <= pairs AND pairs >= 5 AND pairs / words >= 0.1 THEN 'vni' END AS legacy FROM s""")
 def detect_legacy(spark, d):
-    signals = ingest.legacy_signals(table(spark, d, "documents"), "text", "[À-ÿ]", "[#$%&*]", "[#$%&*]")
-    out = ingest.detect_legacy(signals)
-    return out.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("uni", "strong", "words", "tok")), "legacy")
-
-
-@query("""
-    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
-    f AS (SELECT doc_id, n, l, regexp_matches(l, '[$%]') AND NOT regexp_matches(l, '[sp]') AS wrong FROM l)
-    SELECT doc_id, md5(string_agg(CASE WHEN wrong THEN translate(l, '$%', 'sp') ELSE l END, chr(10) ORDER BY n)) AS fixed_md5, count(*) FILTER (wrong) AS lines_changed
+    out = ingest.detect_legacy(ingest.legacy_signals(_coded(spark, d), "text"))
+    return out.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("uni", "strong", "words", "tok", "pairs")), "legacy")
+
+
+@query(rf"""
+    WITH {_LEGACY}, l AS (SELECT doc_id, codes, letters, strong, done, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM t, k),
+    w AS (SELECT *, list_filter(regexp_extract_all(l, '\S+'), lambda w: regexp_matches(w, '\p{{L}}')) AS words, regexp_extract_all(l, '\S+|\s+') AS parts,
+        len(regexp_extract_all(l, '[A-Z]')) >= 3 AND NOT regexp_matches(l, '[a-z]') AS capitals FROM l),
+    f AS (SELECT *, NOT regexp_matches(l, done) AND regexp_matches(l, '[' || codes || ']') AND (regexp_matches(l, strong)
+        OR len(list_filter(words, lambda w: regexp_matches(w, '[' || codes || ']'))) >= 0.3 * greatest(len(words), 1)) AS wrong FROM w)
+    SELECT doc_id, md5(string_agg(CASE WHEN wrong THEN array_to_string(list_transform(parts, lambda w:
+        CASE WHEN regexp_matches(w, '[' || codes || ']') AND (capitals OR len(regexp_extract_all(w, '[A-Z]')) >= 2 AND NOT regexp_matches(w, '[a-z]')) THEN upper(translate(w, codes, letters))
+        ELSE translate(w, codes, letters) END), '') ELSE l END, chr(10) ORDER BY n)) AS fixed_md5, count(*) FILTER (wrong) AS lines_changed
     FROM f GROUP BY doc_id""")
 def repair_legacy(spark, d):
-    return ingest.repair_legacy(table(spark, d, "documents"), "text", "$%", "sp").select("doc_id", F.md5("fixed").alias("fixed_md5"), F.col("lines_changed").cast("long").alias("lines_changed"))
+    return ingest.repair_legacy(_coded(spark, d), "text").select("doc_id", F.md5("fixed").alias("fixed_md5"), F.col("lines_changed").cast("long").alias("lines_changed"))
+
+
+@query(rf"""
+    WITH {_LEGACY}, l AS (SELECT doc_id, done, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM t, k WHERE doc_id % 5 = 2),
+    w AS (SELECT *, list_filter(regexp_extract_all(l, '\S+'), lambda w: regexp_matches(w, '\p{{L}}')) AS words, '[aeouyAEOUYôöÔÖ][ùøûõïâáàåãäêéèúüëÙØÛÕÏÂÁÀÅÃÄÊÉÈÚÜË]' AS pair FROM l),
+    f AS (SELECT *, NOT regexp_matches(l, done) AND regexp_matches(l, pair) AND len(list_filter(words, lambda w: regexp_matches(w, pair))) >= 0.3 * greatest(len(words), 1) AS wrong FROM w)
+    SELECT doc_id, string_agg(CASE WHEN wrong THEN translate(replace(replace(l, 'aù', 'á'), 'eä', 'ệ'), 'öñ', 'ưđ') ELSE l END, chr(10) ORDER BY n) AS fixed, count(*) FILTER (wrong) AS lines_changed
+    FROM f GROUP BY doc_id
+    HAVING NOT regexp_matches(string_agg(l, ' '), '[ôæóòîÔÖÑÆÓÒÎ]|[aouyAEOUYôöÔÖ][øûõïâáàåãäêéèúüëÙØÛÕÏÂÁÀÅÃÄÊÉÈÚÜË]|[eouyAEOUYôöÔÖ][ù]|[e][øûõïâáàåãêéèúüë]')""")
+def repair_vni(spark, d):
+    """Texts of VNI letters and marks that the SQL's own table has."""
+    others = "[ôæóòîÔÖÑÆÓÒÎ]|[aouyAEOUYôöÔÖ][øûõïâáàåãäêéèúüëÙØÛÕÏÂÁÀÅÃÄÊÉÈÚÜË]|[eouyAEOUYôöÔÖ][ù]|[e][øûõïâáàåãêéèúüë]"
+    some = _coded(spark, d).where(F.col("doc_id") % 5 == 2).where(~F.replace("text", F.lit("\n"), F.lit(" ")).rlike(others))
+    return ingest.repair_vni(some, "text").select("doc_id", "fixed", F.col("lines_changed").cast("long").alias("lines_changed"))
 
 
 @query(r"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import functions as F
 
 from loamline.operators import citations, reuse
@@ -150,47 +152,56 @@ def inventory_compare(spark, d):
     return reuse.inventory_compare(a, b, "k", "s")
 
 
-_CLAIMS = """c AS (SELECT item_id, CASE WHEN item_id % 9 = 0 THEN 'short one' WHEN item_id % 7 = 0 THEN substring(text, 61, 40) || ' ... ' || substring(text, 1, 40) WHEN item_id % 5 = 0 THEN substring(text, 3, 32) ELSE substring(text, 1, 60) || ' ... ' || substring(text, 81, 30) END AS quote, text FROM benchmark)"""
+#: Quotes of the benchmark's texts as people give them: in capitals, in wide letters, with typographic marks and gaps, over breaks, out of order, too short.
+_CLAIMS = r"""raw AS (SELECT item_id, text, item_id % 11 AS k, substring(text, 1, 60) AS a, substring(text, 61, 40) AS b, substring(text, 81, 30) AS c FROM benchmark),
+    c AS (SELECT item_id, text, CASE k WHEN 0 THEN 'short one' WHEN 1 THEN translate(a, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 2 THEN translate(a || b, 'abcde', 'ａｂｃｄｅ') WHEN 3 THEN '“' || a || '” [ … ] ' || b
+        WHEN 4 THEN b || ' ... ' || substring(text, 1, 40) WHEN 5 THEN replace(a, ' ', '、') WHEN 6 THEN replace(a, ' ', chr(160) || chr(8239)) WHEN 7 THEN a || '(…)' || c ELSE a || ' […] ' || c END AS quote FROM raw)"""
+#: The normal form of these quotes and texts, which hold no other compatibility characters than those put in.
+_NORM = r"trim(regexp_replace(replace(translate({0}, 'ａｂｃｄｅ', 'abcde'), '…', '...'), '[\s\x{{A0}}\x{{202F}}]+', ' ', 'g'))"
+_COMPACT = r"regexp_replace(lower({0}), '[\s,.;:!?\x22''«»“”‘’「」『』、。・（）()\[\]]+', '', 'g')"
+_SEGMENTS = r"list_filter(list_transform(regexp_split_to_array({0}, '\[\s*\.\.\.\s*\]|\(\s*\.\.\.\s*\)|\.\.\.'), lambda x: trim(x)), lambda x: x <> '')"
+_QUOTES = f"""{_CLAIMS}, n AS (SELECT item_id, text, {_SEGMENTS.format(_NORM.format("quote"))} AS seg FROM c),
+    q AS (SELECT item_id, text, seg, list_transform(seg, lambda x: lower(x)) AS low, list_transform(seg, lambda x: {_COMPACT.format("x")}) AS com FROM n),
+    v AS (SELECT *, coalesce(list_sum(list_transform(com, lambda x: length(x))), 0) >= 30 AND len(list_filter(com, lambda x: length(x) < 8)) = 0 AS long_enough FROM q)"""
+_PLACE = """CASE WHEN {1}[2] IS NULL THEN strpos({0}, {1}[1]) WHEN strpos({0}, {1}[1]) > 0 AND strpos(substring({0}, strpos({0}, {1}[1]) + length({1}[1])), {1}[2]) > 0 THEN strpos({0}, {1}[1]) ELSE 0 END"""
 
 
 def _claims(spark, d):
     part = lambda a, n: F.substring("text", a, n)
-    quote = F.when(F.col("item_id") % 9 == 0, "short one").when(F.col("item_id") % 7 == 0, F.concat(part(61, 40), F.lit(" ... "), part(1, 40))).when(F.col("item_id") % 5 == 0, part(3, 32)).otherwise(F.concat(part(1, 60), F.lit(" ... "), part(81, 30)))
+    a, b, c, k = part(1, 60), part(61, 40), part(81, 30), F.col("item_id") % 11
+    wide = F.translate(F.concat(a, b), "abcde", "ａｂｃｄｅ")
+    quote = F.when(k == 0, "short one").when(k == 1, F.translate(a, string.ascii_lowercase, string.ascii_uppercase)).when(k == 2, wide).when(k == 3, F.concat(F.lit("“"), a, F.lit("” [ … ] "), b))
+    quote = quote.when(k == 4, F.concat(b, F.lit(" ... "), part(1, 40))).when(k == 5, F.replace(a, F.lit(" "), F.lit("、"))).when(k == 6, F.replace(a, F.lit(" "), F.lit("  ")))
+    quote = quote.when(k == 7, F.concat(a, F.lit("(…)"), c)).otherwise(F.concat(a, F.lit(" […] "), c))
     return table(spark, d, "benchmark").select("item_id", quote.alias("quote"), "text")
 
 
-@query(rf"""
-    WITH {_CLAIMS}, s AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(quote, '\[\.\.\.\]|\(\.\.\.\)|…|\.\.\.'), lambda x: trim(x)), lambda x: x <> '') AS seg FROM c)
-    SELECT item_id, len(seg) AS segments, list_sum(list_transform(seg, lambda x: length(x))) >= 30 AND len(list_filter(seg, lambda x: length(x) < 8)) = 0 AS long_enough FROM s""")
+@query(rf"""WITH {_QUOTES} SELECT item_id, len(seg) AS segments, long_enough FROM v""")
 def quote_segments(spark, d):
-    c = _claims(spark, d)
-    return c.select("item_id", F.size(citations.quote_segments(F.col("quote"))).cast("long").alias("segments"), citations.quote_long_enough(F.col("quote")).alias("long_enough"))
+    c = _claims(spark, d).withColumn("seg", citations.quote_segments(F.col("quote")))
+    return c.select("item_id", F.size("seg").cast("long").alias("segments"), citations.quote_long_enough(F.col("quote")).alias("long_enough"))
 
 
-@query(r"""SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'))) AS norm_md5, md5(lower(regexp_replace(text, '[ \t\n\r\f.,;:!?"''()\[\]-]+', '', 'g'))) AS compact_md5 FROM documents""")
+@query(rf"""SELECT doc_id, md5({_NORM.format("text")}) AS norm_md5, md5({_COMPACT.format(_NORM.format("text"))}) AS compact_md5 FROM documents
+    UNION ALL SELECT -item_id - 1, md5(n), md5({_COMPACT.format("n")}) FROM (SELECT item_id, {_NORM.format("quote")} AS n FROM (WITH {_CLAIMS} FROM c))""")
 def norm_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(citations.norm_text(F.col("text"))).alias("norm_md5"), F.md5(citations.compact_text(F.col("text"))).alias("compact_md5"))
+    texts = table(spark, d, "documents").select("doc_id", "text").union(_claims(spark, d).select(-F.col("item_id") - 1, "quote"))
+    return texts.select("doc_id", F.md5(citations.norm_text(F.col("text"))).alias("norm_md5"), F.md5(citations.compact_text(F.col("text"))).alias("compact_md5"))
 
 
 @query(rf"""
-    WITH {_CLAIMS}, n AS (SELECT item_id, quote, trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) AS t, list_filter(list_transform(string_split(trim(regexp_replace(quote, '[ \t\n\r\f]+', ' ', 'g')), '...'), lambda x: trim(x)), lambda x: x <> '') AS seg FROM c),
-    m AS (SELECT item_id, strpos(t, seg[1]) AS p1, CASE WHEN len(seg) > 1 THEN strpos(substring(t, strpos(t, seg[1]) + length(seg[1])), seg[2]) ELSE 1 END AS p2 FROM n)
-    SELECT item_id, CASE WHEN p1 > 0 AND p2 > 0 THEN p1 ELSE 0 END AS place FROM m""")
+    WITH {_QUOTES}, t AS (SELECT *, lower({_NORM.format("text")}) AS t, {_COMPACT.format(_NORM.format("text"))} AS s FROM v),
+    p AS (SELECT item_id, {_PLACE.format("t", "low")} AS exact, {_PLACE.format("s", "com")} AS loose FROM t)
+    SELECT item_id, CASE WHEN exact > 0 THEN exact ELSE loose END AS place FROM p""")
 def match_quote(spark, d):
-    c = _claims(spark, d)
-    return c.select("item_id", citations.match_quote(citations.norm_text(F.col("text")), citations.quote_segments(citations.norm_text(F.col("quote")))).cast("long").alias("place"))
+    c = _claims(spark, d).select("item_id", citations.norm_text(F.col("text")).alias("t"), citations.quote_segments(F.col("quote")).alias("seg"))
+    return c.select("item_id", citations.quote_place(F.col("t"), F.col("seg")).cast("long").alias("place"))
 
 
 @query(rf"""
-    WITH {_CLAIMS}, g AS (SELECT item_id, quote, list_filter(list_transform(string_split(quote, '...'), lambda x: trim(x)), lambda x: x <> '') AS seg FROM c),
-    q AS (SELECT item_id, list_sum(list_transform(seg, lambda x: length(x))) < 30 OR len(list_filter(seg, lambda x: length(x) < 8)) > 0 AS invalid,
-        list_transform(seg, lambda x: trim(regexp_replace(x, '[ \t\n\r\f]+', ' ', 'g'))) AS n, list_transform(seg, lambda x: lower(regexp_replace(x, '[ \t\n\r\f.,;:!?"''()\[\]-]+', '', 'g'))) AS s FROM g),
-    t AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) AS n, lower(regexp_replace(text, '[ \t\n\r\f.,;:!?"''()\[\]-]+', '', 'g')) AS s FROM documents),
-    m AS (SELECT item_id, doc_id FROM q JOIN t ON contains(t.s, q.s[1]) WHERE NOT invalid AND (
-        (contains(t.n, q.n[1]) AND (len(q.n) = 1 OR contains(substring(t.n, strpos(t.n, q.n[1]) + length(q.n[1])), q.n[2])))
-        OR len(q.s) = 1 OR contains(substring(t.s, strpos(t.s, q.s[1]) + length(q.s[1])), q.s[2])))
-    SELECT item_id, CASE WHEN invalid THEN 'INVALID' WHEN source IS NULL THEN 'MISSING' ELSE 'VERIFIED' END AS verdict, source
-    FROM q LEFT JOIN (SELECT item_id, min(doc_id) AS source FROM m GROUP BY 1) USING (item_id)""")
+    WITH {_QUOTES}, t AS (SELECT doc_id, lower({_NORM.format("text")}) AS t, {_COMPACT.format(_NORM.format("text"))} AS s FROM documents),
+    m AS (SELECT item_id, min(doc_id) AS source FROM v JOIN t ON contains(t.s, v.com[1]) WHERE long_enough AND ({_PLACE.format("t.t", "low")} > 0 OR {_PLACE.format("t.s", "com")} > 0) GROUP BY item_id)
+    SELECT item_id, CASE WHEN NOT long_enough THEN 'INVALID' WHEN source IS NULL THEN 'MISSING' ELSE 'VERIFIED' END AS verdict, source FROM v LEFT JOIN m USING (item_id)""")
 def verify_claims(spark, d):
     claims = _claims(spark, d).select("item_id", "quote", F.lit(None).cast("string").alias("article"))
     docs = table(spark, d, "documents")
@@ -199,6 +210,46 @@ def verify_claims(spark, d):
     return citations.verify_claims(claims, sources, found, "item_id", "doc_id").withColumnRenamed("doc_id", "source")
 
 
+_STATUTES = """s AS (SELECT item_id, item_id % 5 AS k, item_id % 7 AS o, substring(text, 1, 60) AS a, substring(text, 61, 60) AS b, substring(text, 121, 60) AS c, substring(text, 65, 45) AS quote FROM benchmark)"""
+
+
+def _statutes(spark, d):
+    """One text of four articles an item: 1, 67 (in kanji), 5 and a second 67, as an amendment repeats it; the quote is from the kanji one."""
+    part = lambda a, n: F.substring("text", a, n)
+    body = F.concat(F.lit("Preamble\nĐiều 1. "), part(1, 60), F.lit("\n (第六十七条　"), part(61, 60), F.lit("\n\n> Điều  ５: "), part(121, 60), F.lit("\r\n第67条の二 "), part(1, 60))
+    named = F.when(F.col("item_id") % 5 == 0, "Điều 67").when(F.col("item_id") % 5 == 1, "第六十七条").when(F.col("item_id") % 5 == 2, "Art. ６７").when(F.col("item_id") % 5 == 3, "Điều 1")
+    return table(spark, d, "benchmark").select("item_id", body.alias("body"), part(65, 45).alias("quote"), named.alias("article"))
+
+
+@query(rf"""
+    WITH {_STATUTES}
+    SELECT item_id, unnest([1, 67, 5, 67]) AS number, unnest([1, 2, 3, 4]) AS place, unnest([
+        md5('Điều 1. ' || {_NORM.format("a")} || chr(10)), md5(' (第六十七条 ' || {_NORM.format("b")} || chr(10)), md5(chr(10) || '> Điều 5: ' || {_NORM.format("c")} || chr(10)), md5('第67条の二 ' || {_NORM.format("a")})]) AS body_md5
+    FROM s""")
+def text_articles(spark, d):
+    """Bodies are compared without line breaks inside the items' texts, which the SQL collapses."""
+    one = lambda c: F.trim(F.regexp_replace(c, r"[\s ]+", " "))
+    part = lambda a: one(F.substring("text", a, 60))
+    body = F.concat(F.lit("Preamble\nĐiều 1. "), part(1), F.lit("\n (第六十七条　"), part(61), F.lit("\n\n> Điều  ５: "), part(121), F.lit("\r\n第67条の二 "), part(1))
+    found = table(spark, d, "benchmark").select("item_id", F.posexplode(citations.text_articles(body)).alias("place", "p"))
+    return found.select("item_id", "p.number", (F.col("place") + 1).alias("place"), F.md5("p.body").alias("body_md5"))
+
+
+@query(rf"""
+    WITH {_STATUTES}, n AS (SELECT item_id, k, o, {_NORM.format("quote")} AS q, {_COMPACT.format(_NORM.format("a || chr(10) || c"))} AS elsewhere FROM s), v AS (SELECT *, {_COMPACT.format("q")} AS com FROM n)
+    SELECT item_id, CASE WHEN length(com) < 30 OR o IN (3, 4) THEN 'INVALID' WHEN k = 3 THEN 'WRONG_ARTICLE' ELSE 'VERIFIED' END AS verdict,
+        CASE WHEN length(com) < 30 OR o IN (3, 4) THEN NULL ELSE item_id END AS source FROM v""")
+def verify_articles(spark, d):
+    """Claims with an article (found by its number in any script), a web address (one in seven) or no source at all (one in seven)."""
+    rows = _statutes(spark, d)
+    place = F.col("item_id") % 7
+    declared = F.when(place == 3, "https://example.org/law").when(place != 4, F.col("item_id").cast("string"))
+    claims = rows.select("item_id", "quote", "article", declared.alias("declared"))
+    sources = rows.select(F.col("item_id").alias("source"), F.lit(None).cast("string").alias("article"), F.col("body").alias("text"))
+    found = rows.select("item_id", F.col("item_id").alias("source"), F.lit(0).alias("pos"))
+    return citations.verify_claims(claims, sources, found, "item_id", "source", "declared", defaults=False)
+
+
 @query("""
     WITH l AS (SELECT l_orderkey AS b, CASE WHEN l_returnflag = 'A' THEN 'VERIFIED' ELSE 'MISSING' END AS v FROM lineitem), p AS (SELECT b, count(*) AS total, count(*) FILTER (v = 'VERIFIED') AS verified FROM l GROUP BY b)
     SELECT o_orderkey AS b, coalesce(total, 0) AS total, coalesce(verified, 0) AS verified, CASE WHEN total > 0 THEN round_even(verified / total, 3) ELSE 0.0 END AS confidence, coalesce(total > 0 AND round_even(verified / total, 3) >= 1.0, false) AS passes FROM orders LEFT JOIN p ON o_orderkey = b""")
