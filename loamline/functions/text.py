@@ -34,6 +34,17 @@ def share(part: Column, whole: Column, digits: int = 3) -> Column:
     return F.bround(part / F.greatest(whole, F.lit(1)), digits)
 
 
+FIXED = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp"}
+MOST_BROADCAST_BYTES = 64_000_000
+
+
+def sized(rows: DataFrame, most: int = MOST_BROADCAST_BYTES) -> DataFrame:
+    """``rows`` with a broadcast hint if they are ``most`` bytes at most, by their own count and mean width; else as they are."""
+    width = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) if t in ("string", "binary") else F.length(F.to_json(F.struct(c)))) if t not in FIXED else F.lit(16) for c, t in rows.dtypes)
+    size = rows.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(rows) if size <= most else rows
+
+
 def normal_form(form: str):
     """Unicode normal form ``form`` of a string column (Spark has no such function), in Arrow batches."""
 

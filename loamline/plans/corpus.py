@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import string
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loamline.functions.storage import shared_folder
 from loamline.operators import ingest
 from loamline.plans.core import query, table
-from loamline.sources import readers
+from loamline.sources import readers, records
 
 
 @query("""
@@ -276,3 +278,47 @@ def language_runs(spark, d):
     tokens = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("pos", "t"))
     runs = ingest.language_runs(tokens, words, ["doc_id"], "pos", "t").where("lang is not null")
     return runs.select("doc_id", F.col("first").cast("long").alias("first_pos"), F.col("last").cast("long").alias("last_pos"), "lang")
+
+
+@query("""
+    WITH r AS (SELECT role, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS line, conv_id, turn, length(text) AS n FROM conversations)
+    SELECT role, line, CASE WHEN line % 7 = 3 THEN 'bad' ELSE 'good' END AS kind, CASE WHEN line % 7 <> 3 THEN conv_id END AS conv_id, CASE WHEN line % 7 <> 3 THEN n END AS n FROM r WHERE line % 11 <> 5""")
+def read_jsonl(spark, d):
+    """Conversations as files of JSON lines, one a role, with blank and broken lines, read back with their places."""
+    folder = shared_folder(spark, "jsonl")
+    place = F.row_number().over(Window.partitionBy("role").orderBy("conv_id", "turn"))
+    rows = table(spark, d, "conversations").select("role", "conv_id", "turn", F.length("text").alias("n"), place.alias("line"))
+    text = F.when(F.col("line") % 11 == 5, " ").when(F.col("line") % 7 == 3, '{"conv_id": oops').otherwise(F.to_json(F.struct("conv_id", "n")))
+    rows.select("role", text.alias("value")).write.partitionBy("role").text(folder)
+    good, bad = records.read_jsonl(spark, folder, "conv_id long, n long", "*.txt")
+    role = F.regexp_extract("path", "role=([^/]+)/", 1).alias("role")
+    return good.select(role, "line", F.lit("good").alias("kind"), "r.conv_id", "r.n").union(bad.select(role, "line", F.lit("bad"), F.lit(None).cast("long"), F.lit(None).cast("long")))
+
+
+_CELLS = """c AS (SELECT c_nationkey AS file, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS row, c_custkey % 5 AS k, c_name, c_mktsegment, c_nationkey % 4 AS q FROM customer),
+    v AS (SELECT file, row, [c_name, CASE k WHEN 0 THEN 'a "b" ' || c_mktsegment WHEN 1 THEN 'x' || chr(10) || 'y' WHEN 2 THEN '' WHEN 3 THEN c_name || ',;|' || chr(9) ELSE '5" pipe' END, CASE WHEN k = 2 THEN '' ELSE c_mktsegment END] AS cells FROM c)"""
+
+
+@query(rf"""WITH {_CELLS} SELECT file, CAST(row AS INTEGER) AS row, len(cells) AS n, array_to_string(cells, '~') AS cells FROM v""")
+def delimited_rows(spark, d):
+    """Customers of a nation as one text in one of four dialects: quoted quotes, line ends and delimiters, empty cells."""
+    c = table(spark, d, "customer").withColumn("k", F.col("c_custkey") % 5)
+    note = F.when(F.col("k") == 0, F.concat(F.lit('a "b" '), "c_mktsegment")).when(F.col("k") == 1, "x\ny").when(F.col("k") == 2, "").when(F.col("k") == 3, F.concat("c_name", F.lit(",;|\t"))).otherwise('5" pipe')
+    mark = F.element_at(F.array(*map(F.lit, records.DELIMITERS)), (F.col("c_nationkey") % 4 + 1).cast("int"))
+    quoted = F.when(F.col("k").isin(0, 1, 3), F.concat(F.lit('"'), F.replace(note, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(note)
+    line = F.concat("c_name", mark, quoted, mark, F.when(F.col("k") == 2, "").otherwise(F.col("c_mktsegment")))
+    files = c.groupBy(F.col("c_nationkey").cast("long").alias("file"), mark.alias("delimiter")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", line.alias("l")))), lambda s: s["l"]), "\r\n").alias("text"))
+    rows = records.delimited_rows(files, "file", "text")
+    return rows.select("file", "row", F.size("cells").cast("long").alias("n"), F.array_join("cells", "~").alias("cells"))
+
+
+@query("""
+    WITH m AS (SELECT source, count(*) AS files, max(CASE WHEN text IS NULL OR trim(text) = '' THEN 1 ELSE 0 END) AS empty FROM documents GROUP BY source)
+    SELECT 'f-' || source AS folder, CASE WHEN files % 3 = 0 THEN 3 ELSE 0 END AS exit_code, files AS chars, max(CASE WHEN files % 3 = 0 THEN 3 ELSE 0 END) OVER () AS batch_code FROM m""")
+def publish_manifest(spark, d):
+    """One manifest a source, published with its index, which is read back."""
+    per = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("chars"))
+    rows = per.select(F.concat(F.lit("f-"), "source").alias("folder"), F.when(F.col("chars") % 3 == 0, 3).otherwise(0).alias("exit_code"), "chars", F.array("source").alias("parts"))
+    path = shared_folder(spark, "manifests")
+    records.publish_manifest(rows, path)
+    return records.read_index(spark, path).select("folder", F.col("exit_code").cast("int").alias("exit_code"), "chars", F.col("batch_code").cast("int").alias("batch_code"))
