@@ -29,6 +29,20 @@ def run_id(flag: Column, partition: list[str], order: str) -> Column:
     return F.sum(F.when(flag, 1).otherwise(0)).over(Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
 
 
+def running_max(df: DataFrame, keys: list[str], index: str, value: Column, name: str, block: int = 1000) -> DataFrame:
+    """Adds ``name``: the largest non-null ``value`` of the rows of smaller ``index`` (0, 1, 2, ...) with the same ``keys``.
+
+    Rows are taken in blocks of ``block``; a block's own maximum and those of
+    the blocks before it are put together, so no window holds all rows of a key.
+    """
+    cut = df.withColumns({"_value": value, "_block": F.floor(F.col(index) / block)})
+    before = lambda order: Window.partitionBy(*keys, *(["_block"] if order == index else [])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    tops = cut.groupBy(*keys, "_block").agg(F.max("_value").alias("_top"))
+    tops = tops.select(*keys, "_block", F.max("_top").over(before("_block")).alias("_before"))
+    inside = cut.withColumn("_inside", F.max("_value").over(before(index)))
+    return inside.join(tops, [*keys, "_block"]).withColumn(name, F.greatest("_inside", "_before")).drop("_value", "_block", "_inside", "_before")
+
+
 def share(part: Column, whole: Column, digits: int = 3) -> Column:
     """``part / whole`` rounded half to even; 0 for an empty whole."""
     return F.bround(part / F.greatest(whole, F.lit(1)), digits)

@@ -55,15 +55,27 @@ def apply_status(calendar: DataFrame, updates: DataFrame, key: str, status: str)
     return done, updates.join(calendar.select(key), key, "left_anti")
 
 
-def apply_patches(entities: DataFrame, patches: DataFrame, key: str, fields: list[str]) -> DataFrame:
+def apply_patches(entities: DataFrame, patches: DataFrame, key: str, fields: list[str], style: str | None = None) -> DataFrame:
     """The entities with the last patch of each field applied, and ``patches``, how many hit them.
 
-    ``patches(key, seq, field, new_value)``; a null field means the first one.
+    ``patches(key, seq, field, new_value)``; a null field means the first one,
+    a null value is a value. With ``style``, the name of a map of both tables,
+    the maps are merged by their keys: the last patch that has a key gives its
+    value, and keys that no patch has stay.
     """
     p = patches.withColumn("field", F.coalesce("field", F.lit(fields[0])))
-    last = p.groupBy(F.col(key).alias("_k")).agg(*(F.max_by(F.when(F.col("field") == f, F.col("new_value")), F.when(F.col("field") == f, F.col("seq"))).alias(f"_{f}") for f in fields), F.count("*").alias("_n"))
+    value = lambda f: F.max_by(F.when(F.col("field") == f, F.struct("new_value")), F.when(F.col("field") == f, F.col("seq"))).alias(f"_{f}")
+    last = p.groupBy(F.col(key).alias("_k")).agg(*map(value, fields), F.count("*").alias("_n"))
     j = entities.join(last, F.col(key) == F.col("_k"), "left")
-    return j.withColumns({f: F.coalesce(f"_{f}", f) for f in fields} | {"patches": F.coalesce("_n", F.lit(0))}).drop("_k", "_n", *(f"_{f}" for f in fields))
+    set_ = {f: F.when(F.col(f"_{f}").isNotNull(), F.col(f"_{f}.new_value")).otherwise(F.col(f)) for f in fields}
+    j = j.withColumns(set_ | {"patches": F.coalesce("_n", F.lit(0))}).drop("_k", "_n", *(f"_{f}" for f in fields))
+    if style is None:
+        return j
+    entries = patches.select(F.col(key).alias("_k"), "seq", F.explode(style).alias("_name", "_set")).groupBy("_k", "_name").agg(F.max_by(F.struct("_set"), "seq").alias("_s"))
+    maps = entries.groupBy("_k").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_name", F.col("_s._set"))))).alias("_style"))
+    own = F.coalesce(F.col(style), F.map_from_arrays(F.array(), F.array()).cast(dict(entities.dtypes)[style]))
+    merged = F.when(F.col("_style").isNull(), F.col(style)).otherwise(F.map_concat(F.map_filter(own, lambda k, v: ~F.map_contains_key("_style", k)), F.col("_style")))
+    return j.join(maps, F.col(key) == F.col("_k"), "left").withColumn(style, merged).drop("_k", "_style")
 
 
 def retain_snapshots(revisions: DataFrame, group: str, order: list, n: int = 20) -> DataFrame:

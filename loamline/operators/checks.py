@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamline.functions.text import lines, run_id
+from loamline.functions.text import lines, run_id, running_max
 
 
 # --- translations -------------------------------------------------------------
@@ -96,19 +96,44 @@ def version_compare(old: DataFrame, new: DataFrame, key: str, value: str) -> Dat
 # --- pages ---------------------------------------------------------------------
 
 
-def box_pairs(boxes: DataFrame, page: str, cell: float = 50.0) -> DataFrame:
-    """``page, a, b, iou, ratio`` of overlapping boxes ``id, x0, y0, x1, y1`` of a page.
+def _grid(boxes: DataFrame, page: str, columns: list[str], cell: float, prefix: str, native: bool) -> DataFrame:
+    """Boxes with the cells they cover: of their own level only (``native``), or of every level of their page from theirs on.
 
-    Boxes meet in the grid cells they cover, so pairs that cannot overlap are
-    never made; a pair is taken in the cell of its common corner only.
+    A level's cells are twice as wide as those of the level below; a box's own
+    level is the first where it covers four cells at most.
+    """
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(cell))
+    own = boxes.withColumn("_own", F.ceil(F.log2(side / cell)).cast("int"))
+    if native:
+        rows = own.withColumn("_level", F.col("_own"))
+    else:
+        rows = own.join(own.select(page, F.col("_own").alias("_level")).distinct(), page).where("_level >= _own")
+    size = F.pow(F.lit(2.0), F.col("_level")) * cell
+    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
+    rows = rows.withColumn("_size", size).withColumn("_cx", F.explode(span("x0", "x1"))).withColumn("_cy", F.explode(span("y0", "y1")))
+    kept = [F.col(c).alias(prefix + c) for c in ("_own", *columns)]
+    return rows.select(page, "_level", "_cx", "_cy", *kept, *([] if native else ["_size"]))
+
+
+def met_boxes(boxes: DataFrame, page: str, columns: list[str], cell: float = 50.0) -> DataFrame:
+    """``page`` and ``columns`` (``id, x0, y0, x1, y1`` among them) of both boxes, ``a`` and ``b`` before their names, of all that overlap; ``aid < bid``.
+
+    Boxes of very unequal size meet on a grid of several levels: a box is held in
+    four cells at most of each level from its own on, and a pair is looked for
+    on the level of its larger box, in the cell of the common corner.
     """
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    cut = boxes.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
-    side = lambda p: cut.select(page, "cx", "cy", *(F.col(c).alias(p + c) for c in ("id", "x0", "y0", "x1", "y1")))
-    j = side("a").join(side("b"), [page, "cx", "cy"]).where("aid < bid")
+    j = _grid(boxes, page, columns, cell, "a", False).join(_grid(boxes, page, columns, cell, "b", True), [page, "_level", "_cx", "_cy"])
     left, top = F.greatest("ax0", "bx0"), F.greatest("ay0", "by0")
-    inter = (F.least("ax1", "bx1") - left) * (F.least("ay1", "by1") - top)
-    j = j.where((F.least("ax1", "bx1") > left) & (F.least("ay1", "by1") > top) & (F.floor(left / cell) == F.col("cx")) & (F.floor(top / cell) == F.col("cy")))
+    j = j.where((F.least("ax1", "bx1") > left) & (F.least("ay1", "by1") > top) & (F.floor(left / F.col("_size")) == F.col("_cx")) & (F.floor(top / F.col("_size")) == F.col("_cy")))
+    j = j.where((F.col("a_own") < F.col("b_own")) | (F.col("aid") < F.col("bid"))).where("aid <> bid")
+    first = F.col("aid") < F.col("bid")
+    return j.select(page, *(F.when(first, F.col(p + c)).otherwise(F.col(q + c)).alias(p + c) for p, q in ("ab", "ba") for c in columns))
+
+
+def box_pairs(boxes: DataFrame, page: str, cell: float = 50.0) -> DataFrame:
+    """``page, a, b, iou, ratio`` of overlapping boxes ``id, x0, y0, x1, y1`` of a page."""
+    j = met_boxes(boxes, page, ["id", "x0", "y0", "x1", "y1"], cell)
+    inter = (F.least("ax1", "bx1") - F.greatest("ax0", "bx0")) * (F.least("ay1", "by1") - F.greatest("ay0", "by0"))
     area = lambda p: (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0"))
     return j.select(page, F.col("aid").alias("a"), F.col("bid").alias("b"), F.round(inter / (area("a") + area("b") - inter), 4).alias("iou"), F.round(inter / F.least(area("a"), area("b")), 4).alias("ratio"))
 
@@ -144,17 +169,70 @@ def merge_paragraphs(ls: DataFrame, doc: str, order: str, gap: str, typical: Col
     return ls.withColumn("_b", F.coalesce(new, F.lit(True))).withColumn("paragraph", run_id(F.col("_b"), [doc], order)).groupBy(doc, "paragraph").agg(F.min(order).alias("first"), F.count("*").alias("lines"))
 
 
+#: How a sentence ends, quotation marks and brackets after it included.
+SENTENCE_END = r"[.!?:;…。！？：；][\"'”’»」』)\]）]*$"
+
+
+def page_paragraphs(ls: DataFrame, doc: str, page: str, line: str, text: str, role: str, gap: str, typical: Column, body: str = "text", block: int = 1000) -> DataFrame:
+    """``doc, page, place, pages, lines, text``: paragraphs, from where they begin, with the pages they run over.
+
+    Inside a page lines are joined until the role changes or the gap is over 1.8
+    times the typical one. A page's last ``body`` paragraph, if its text ends in
+    mid-sentence, goes on in the next page's first one, if that is ``body`` too,
+    over any number of pages; a page without lines ends it. Windows are of one
+    page; the pages of a document are merged in blocks (``running_max``).
+    """
+    w = Window.partitionBy(doc, page).orderBy(line)
+    new = ~F.col(role).eqNullSafe(F.lag(role).over(w)) | (F.col(gap) > 1.8 * typical) | (F.row_number().over(w) == 1)
+    rows = ls.withColumn("_new", new.cast("int")).withColumn("_place", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    per = rows.groupBy(doc, page).agg(
+        F.max("_place").alias("_n"), F.min_by(role, line).alias("_first"), F.max_by(role, line).alias("_last"), F.max_by(F.rtrim(text), line).alias("_end"),
+    )
+    is_body, open_ = F.col("_first") == body, (F.col("_last") == body) & ~F.col("_end").rlike(SENTENCE_END)
+    before = per.where(open_).select(doc, (F.col(page) + 1).alias(page), F.lit(True).alias("_open"))
+    per = per.join(before, [doc, page], "left").withColumn("_goes_on", F.coalesce(F.col("_open"), F.lit(False)) & F.coalesce(is_body, F.lit(False)))
+    # A page that is nothing but the middle of a paragraph passes it on; the paragraph began on the last page that is not.
+    begins = ~F.col("_goes_on") | (F.col("_n") > 1)
+    heads = F.when(begins, F.struct(F.col(page).alias("page"), F.col("_n").alias("place")))
+    per = running_max(per, [doc], page, heads, "_head", block).select(doc, page, "_goes_on", "_head")
+    joined = rows.join(per, [doc, page])
+    carried = F.col("_goes_on") & (F.col("_place") == 1)
+    joined = joined.withColumns({"_p": F.when(carried, F.col("_head.page")).otherwise(F.col(page)), "_q": F.when(carried, F.col("_head.place")).otherwise(F.col("_place"))})
+    parts = F.sort_array(F.collect_list(F.struct(F.col(page).alias("p"), F.col(line).alias("l"), F.col(text).alias("t"))))
+    out = joined.groupBy(doc, F.col("_p").alias("page"), F.col("_q").alias("place")).agg(F.sort_array(F.collect_set(page)).alias("pages"), F.count("*").alias("lines"), parts.alias("_t"))
+    return out.select(doc, "page", "place", "pages", "lines", F.array_join(F.transform("_t", lambda s: s["t"]), " ").alias("text"))
+
+
 def readability(spans: DataFrame, doc: str, size: str, text: str) -> DataFrame:
     """Least font and spans under 5 and 6 points, symbol-only spans left out."""
     return spans.where(F.col(text).rlike("[A-Za-z0-9]")).groupBy(doc).agg(F.min(size).alias("min_font"), F.count_if(F.col(size) < 5).alias("under_5"), F.count_if(F.col(size) < 6).alias("under_6"))
 
 
 def element_issues(elements: DataFrame, width: float, height: float, safe: float = 0.08) -> DataFrame:
-    """``name, issue, level``: elements out of the viewport (FAIL) or of its safe area (WARN)."""
+    """``name, issue, level``: content out of the viewport (FAIL) or of its safe area (WARN); without ``is_content``, all is content.
+
+    Logos (``is_logo``) out of the viewport, and texts (``is_text``) wider or
+    higher than their box (``scroll_width`` over ``client_width``, heights
+    alike), are issues of their own (FAIL). For texts over texts see
+    ``text_collisions``. An element may have several issues.
+    """
+    has = lambda name: F.coalesce(F.col(name), F.lit(False)) if name in elements.columns else F.lit(name == "is_content")
+    over = lambda side: F.coalesce(F.col(f"scroll_{side}") > F.col(f"client_{side}"), F.lit(False)) if f"scroll_{side}" in elements.columns else F.lit(False)
     out = (F.col("left") < 0) | (F.col("top") < 0) | (F.col("right") > width) | (F.col("bottom") > height)
     edge = (F.col("left") < safe * width) | (F.col("top") < safe * height) | (F.col("right") > (1 - safe) * width) | (F.col("bottom") > (1 - safe) * height)
-    issue = F.when(out, F.struct(F.lit("out_of_bounds").alias("issue"), F.lit("FAIL").alias("level"))).when(edge, F.struct(F.lit("safe_area").alias("issue"), F.lit("WARN").alias("level")))
-    return elements.select("name", issue.alias("_i")).where("_i is not null").select("name", "_i.issue", "_i.level")
+    rules = [
+        (has("is_text") & (over("width") | over("height")), "text_overflow", "FAIL"), (has("is_logo") & out, "logo_out_of_bounds", "FAIL"), (has("is_content") & out, "out_of_bounds", "FAIL"),
+        (has("is_content") & ~out & edge, "safe_area", "WARN"),
+    ]
+    found = F.array(*(F.when(rule, F.struct(F.lit(issue).alias("issue"), F.lit(level).alias("level"))) for rule, issue, level in rules))
+    return elements.select("name", F.explode(F.filter(found, lambda i: i.isNotNull())).alias("_i")).select("name", "_i.issue", "_i.level")
+
+
+def text_collisions(elements: DataFrame, scene: str, cell: float = 50.0) -> DataFrame:
+    """``scene, name, other, issue, level``: texts of a scene that lie over each other, the smaller name first (FAIL)."""
+    texts = elements.where("is_text").select(scene, F.col("name").alias("id"), F.col("left").alias("x0"), F.col("top").alias("y0"), F.col("right").alias("x1"), F.col("bottom").alias("y1"))
+    met = met_boxes(texts, scene, ["id", "x0", "y0", "x1", "y1"], cell)
+    return met.select(scene, F.col("aid").alias("name"), F.col("bid").alias("other"), F.lit("text_collision").alias("issue"), F.lit("FAIL").alias("level"))
 
 
 # --- timelines -----------------------------------------------------------------

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from loamline.functions import sequences
 from loamline.functions.text import lines, split_lines
@@ -173,6 +174,46 @@ def parity_check(registry: DataFrame, files: DataFrame, key: str) -> DataFrame:
     return j.select(key, problem.alias("problem")).where("problem is not null")
 
 
+def nested_references(registry: DataFrame, key: str, column: str, fields: list[str]) -> DataFrame:
+    """``key, path, target``: every string that a nested ``column`` holds in one of ``fields``, in a list or by itself, at any depth.
+
+    Structs, lists and maps are walked down their type; the path names fields
+    and map keys, and has the places of lists from 0.
+    """
+    none = F.array().cast("array<struct<path:string,target:string>>")
+
+    def walk(value: Column, kind: DataType, path: Column, wanted: bool) -> Column:
+        if isinstance(kind, StringType):
+            return F.when(value.isNotNull(), F.array(F.struct(path.alias("path"), value.alias("target")))).otherwise(none) if wanted else none
+        if isinstance(kind, ArrayType):
+            parts = F.transform(value, lambda x, i: walk(x, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), wanted))
+            return F.coalesce(F.flatten(parts), none)
+        if isinstance(kind, MapType):
+            parts = F.transform(F.map_entries(value), lambda e: walk(e["value"], kind.valueType, F.concat(path, F.lit("."), e["key"].cast("string")), wanted))
+            return F.coalesce(F.flatten(parts), none)
+        if isinstance(kind, StructType):
+            parts = [walk(value[f.name], f.dataType, F.concat(path, F.lit(f".{f.name}")), f.name in fields) for f in kind.fields if _holds_strings(f.dataType)]
+            return F.concat(*parts) if parts else none
+        return none
+
+    found = walk(F.col(column), registry.schema[column].dataType, F.lit(column), column in fields)
+    return registry.select(key, F.explode(found).alias("_r")).select(key, "_r.path", "_r.target")
+
+
+def _holds_strings(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _holds_strings(kind.elementType)
+    if isinstance(kind, MapType):
+        return _holds_strings(kind.valueType)
+    return isinstance(kind, StringType) or isinstance(kind, StructType) and any(_holds_strings(f.dataType) for f in kind.fields)
+
+
+def invalid_references(registry: DataFrame, key: str, column: str, fields: list[str], existing: DataFrame, name: str) -> DataFrame:
+    """``key, path, target`` of nested references to what is not in ``existing``."""
+    there = existing.select(F.col(name).alias("target")).distinct()
+    return nested_references(registry, key, column, fields).join(there, "target", "left_anti").select(key, "path", "target")
+
+
 def inventory_compare(a: DataFrame, b: DataFrame, key: str, size: str) -> DataFrame:
     """``side (a | b | both), n, size`` of the distinct keys of two inventories."""
     x = a.groupBy(key).agg(F.max(size).alias("_a"))

@@ -91,3 +91,21 @@ def category_default(spark, d):
     defaults = spark.createDataFrame([("Brand#1", "first"), ("Brand#2", "second")], "name string, category string")
     p = table(spark, d, "part").withColumn("category", F.when(F.col("p_size") % 3 == 0, F.col("p_type")).when(F.col("p_size") % 3 == 1, ""))
     return catalog.category_default(p, defaults, "p_brand", "category").select("p_partkey", "resolved")
+
+
+@query("""
+    WITH p AS (SELECT o_custkey AS k, o_orderkey AS seq, CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 4 = 1 THEN [('color', o_orderpriority), ('font', 'f' || o_orderkey % 7)] ELSE [('p' || o_orderkey % 3, o_orderstatus)] END AS style FROM orders),
+    e AS (SELECT k, seq, unnest(style) AS s FROM p), l AS (SELECT k, s[1] AS name, arg_max(s[2], seq) AS v FROM e GROUP BY ALL),
+    own AS (SELECT c_custkey AS k, unnest(CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE [('color', 'own'), ('size', c_mktsegment)] END) AS s FROM customer),
+    m AS (SELECT k, name, v FROM l UNION ALL SELECT k, s[1], s[2] FROM own WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.k = own.k AND l.name = own.s[1])),
+    t AS (SELECT k, string_agg(name || '=' || v, ';' ORDER BY name) AS style FROM m GROUP BY k), n AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1)
+    SELECT c_custkey, style, coalesce(n, 0) AS patches FROM customer LEFT JOIN t ON t.k = c_custkey LEFT JOIN n ON n.k = c_custkey""")
+def apply_styles(spark, d):
+    """Style maps of customers, patched by their orders: different keys survive, of one key the last patch counts."""
+    k = F.col("o_orderkey")
+    style = F.when(k % 4 == 0, F.lit(None)).when(k % 4 == 1, F.create_map(F.lit("color"), "o_orderpriority", F.lit("font"), F.concat(F.lit("f"), (k % 7).cast("string")))).otherwise(F.create_map(F.concat(F.lit("p"), (k % 3).cast("string")), "o_orderstatus"))
+    patches = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), k.alias("seq"), F.lit(None).cast("string").alias("field"), F.lit("v").alias("new_value"), style.alias("style"))
+    own = F.when(F.col("c_custkey") % 3 != 0, F.create_map(F.lit("color"), F.lit("own"), F.lit("size"), "c_mktsegment"))
+    done = catalog.apply_patches(table(spark, d, "customer").select("c_custkey", "c_name", own.alias("style")), patches, "c_custkey", ["c_name"], "style")
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("style")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return done.select("c_custkey", told.alias("style"), "patches")

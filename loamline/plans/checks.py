@@ -310,3 +310,60 @@ def storyboard_errors(spark, d):
     )
     scenes = li.select(F.col("l_orderkey").alias("board"), (F.col("l_suppkey") % 5).alias("scene"), (F.col("l_quantity") / 10.0).alias("duration"), (F.col("l_discount") * 20).alias("transition"), (F.col("l_partkey") * 2).alias("asset"))
     return checks.storyboard_errors(boards, scenes, table(spark, d, "part").select(F.col("p_partkey").alias("asset")))
+
+
+_WORD_LINES = r"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+    l AS (SELECT doc_id, w, unnest(range(0, (len(w) + 3) // 4)) AS i FROM w),
+    n AS (SELECT doc_id, i // 3 AS page, i % 3 AS line, i, array_to_string(w[4 * i + 1:4 * i + 4], ' ') AS t, CASE WHEN i % 29 = 7 THEN 'heading' ELSE 'text' END AS role, CASE WHEN i % 23 = 11 THEN 9.0 ELSE 1.0 END AS gap FROM l)"""
+
+
+@query(rf"""
+    WITH {_WORD_LINES}, f AS (SELECT *, lag(t) OVER o AS before, lag(role) OVER o AS role_before FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    g AS (SELECT *, CASE WHEN before IS NULL THEN 1 WHEN line > 0 THEN CAST(role <> role_before OR gap > 1.8 * 2 AS INTEGER)
+        ELSE CAST(role <> 'text' OR role_before <> 'text' OR regexp_matches(before, '[.!?:;…。！？：；]["''”’»」』)\]）]*$') AS INTEGER) END AS new FROM f),
+    p AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS paragraph FROM g)
+    SELECT doc_id, min(page) AS page, count(DISTINCT page) AS n_pages, count(*) AS lines, md5(string_agg(t, ' ' ORDER BY i)) AS text_md5 FROM p GROUP BY doc_id, paragraph""")
+def page_paragraphs(spark, d):
+    """Documents as pages of three lines of four words, so that most paragraphs run over several pages."""
+    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", words.alias("w")).where(F.size("w") > 0)
+    lines = docs.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.ceil(F.size("w") / 4).cast("int") - 1)).alias("i"))
+    role, gap = F.when(F.col("i") % 29 == 7, "heading").otherwise("text"), F.when(F.col("i") % 23 == 11, 9.0).otherwise(1.0)
+    lines = lines.select("doc_id", F.floor(F.col("i") / 3).alias("page"), (F.col("i") % 3).alias("line"), F.array_join(F.slice("w", F.col("i") * 4 + 1, F.lit(4)), " ").alias("t"), role.alias("role"), gap.alias("gap"))
+    out = checks.page_paragraphs(lines, "doc_id", "page", "line", "t", "role", "gap", F.lit(2.0))
+    return out.select("doc_id", "page", F.size("pages").cast("long").alias("n_pages"), "lines", F.md5("text").alias("text_md5"))
+
+
+_ELEMENTS = """e AS (SELECT l_orderkey AS scene, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity) AS name, l_partkey % 900 - 20.0 AS "left", l_suppkey * 11 % 900 - 20.0 AS top, l_quantity AS q,
+    l_returnflag <> 'N' AS is_text, l_returnflag = 'R' AS is_logo, l_linenumber % 3 <> 0 AS is_content FROM lineitem),
+    b AS (SELECT *, "left" + CASE WHEN q > 45 THEN 700 ELSE q * 4 END AS "right", top + CASE WHEN q > 45 THEN 500 ELSE q END AS bottom FROM e)"""
+
+
+def _elements(spark, d):
+    from pyspark.sql import Window
+
+    name = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity"))
+    q, left, top = F.col("l_quantity").cast("double"), (F.col("l_partkey") % 900 - 20).cast("double"), (F.col("l_suppkey") * 11 % 900 - 20).cast("double")
+    right, bottom = left + F.when(q > 45, 700).otherwise(q * 4), top + F.when(q > 45, 500).otherwise(q)
+    flags = {"is_text": F.col("l_returnflag") != "N", "is_logo": F.col("l_returnflag") == "R", "is_content": F.col("l_linenumber") % 3 != 0}
+    return table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("scene"), name.cast("long").alias("name"), left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom"), q.alias("q"), *(c.alias(n) for n, c in flags.items()),
+    )
+
+
+@query(f"""
+    WITH {_ELEMENTS}, o AS (SELECT *, "left" < 0 OR top < 0 OR "right" > 1000 OR bottom > 900 AS out, "left" < 80 OR top < 72 OR "right" > 920 OR bottom > 828 AS edge FROM b)
+    SELECT scene, name, 'text_overflow' AS issue, 'FAIL' AS level FROM o WHERE is_text AND q < 5 UNION ALL SELECT scene, name, 'logo_out_of_bounds', 'FAIL' FROM o WHERE is_logo AND out
+    UNION ALL SELECT scene, name, 'out_of_bounds', 'FAIL' FROM o WHERE is_content AND out UNION ALL SELECT scene, name, 'safe_area', 'WARN' FROM o WHERE is_content AND NOT out AND edge""")
+def element_rules(spark, d):
+    e = _elements(spark, d).withColumns({"scroll_width": F.when(F.col("q") < 5, 500), "client_width": F.lit(400), "scroll_height": F.lit(1), "client_height": F.lit(1)})
+    named = e.withColumn("name", F.struct("scene", "name"))
+    return checks.element_issues(named, 1000.0, 900.0).select("name.scene", "name.name", "issue", "level")
+
+
+@query(f"""
+    WITH {_ELEMENTS} SELECT x.scene, x.name, y.name AS other, 'text_collision' AS issue, 'FAIL' AS level FROM b x JOIN b y
+    ON x.scene = y.scene AND x.name < y.name AND x.is_text AND y.is_text AND least(x."right", y."right") > greatest(x."left", y."left") AND least(x.bottom, y.bottom) > greatest(x.top, y.top)""")
+def text_collisions(spark, d):
+    """Small texts, and some that cover most of their scene."""
+    return checks.text_collisions(_elements(spark, d), "scene")

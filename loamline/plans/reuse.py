@@ -143,6 +143,25 @@ def parity_check(spark, d):
     return reuse.parity_check(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "part").select(F.col("p_partkey").alias("k")), "k")
 
 
+@query("""
+    WITH s AS (SELECT s_suppkey, s_nationkey AS n, s_suppkey % 6 AS k FROM supplier),
+    r AS (
+        SELECT s_suppkey, 'spec.skills[' || i || ']' AS path, 'N' || (n + i * 7) AS target FROM s, range(0, 2) AS t(i)
+        UNION ALL SELECT s_suppkey, 'spec.steps[' || i || '].uses', 'N' || (n + i * 3) FROM s, range(0, 2) AS t(i) WHERE k <> 1
+        UNION ALL SELECT s_suppkey, 'spec.steps[' || i || '].more.' || m || '.skills[0]', CASE WHEN k = 2 THEN 'lost' ELSE 'N' || n END FROM s, range(0, 2) AS t(i), (VALUES ('a'), ('b')) AS v(m)
+    )
+    SELECT * FROM r WHERE target NOT IN (SELECT 'N' || n_nationkey FROM nation)""")
+def invalid_references(spark, d):
+    """Suppliers with nested specifications; names of skills may dangle in a list, in a struct of a list, or in a map inside it."""
+    n, k = F.col("s_nationkey"), F.col("s_suppkey") % 6
+    name = lambda c: F.concat(F.lit("N"), c.cast("string"))
+    inner = F.struct(F.array(F.when(k == 2, "lost").otherwise(name(n))).alias("skills"), F.lit("free text").alias("note"))
+    steps = F.array(*(F.struct(F.when(k != 1, name(n + i * 3)).alias("uses"), F.create_map(F.lit("a"), inner, F.lit("b"), inner).alias("more"), F.lit(i).alias("order")) for i in range(2)))
+    spec = F.struct(F.array(name(n), name(n + 7)).alias("skills"), steps.alias("steps"), F.lit("N999").alias("title"))
+    existing = table(spark, d, "nation").select(name(F.col("n_nationkey")).alias("name"))
+    return reuse.invalid_references(table(spark, d, "supplier").select("s_suppkey", spec.alias("spec")), "s_suppkey", "spec", ["skills", "uses"], existing, "name")
+
+
 @query("""
     WITH a AS (SELECT p_partkey AS k, max(p_size) AS s FROM part GROUP BY 1), b AS (SELECT l_suppkey * 3 AS k, CAST(max(l_quantity) AS INTEGER) AS s FROM lineitem GROUP BY 1)
     SELECT CASE WHEN b.k IS NULL THEN 'a' WHEN a.k IS NULL THEN 'b' ELSE 'both' END AS side, count(*) AS n, CAST(sum(coalesce(a.s, b.s)) AS BIGINT) AS size FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""")
