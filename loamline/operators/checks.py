@@ -36,9 +36,13 @@ def value_integrity(source: DataFrame, target: DataFrame, key: str, tolerance: f
     return source.join(t, same, "left_anti")
 
 
-def residual_script(df: DataFrame, key: str, text: str, script: str) -> DataFrame:
-    """``key, runs, chars``: how much of a script is left in each text."""
-    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"{script}+"), F.lit(0))
+def residual_script(df: DataFrame, key: str, text: str, script: str, protected: str | None = None) -> DataFrame:
+    """``key, runs, chars``: how much of a script is left in each text, without its ``protected`` tokens (an array), the longest first."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    if protected is not None:
+        tokens = F.array_sort(F.array_compact(F.coalesce(F.col(protected), F.array().cast("array<string>"))), lambda x, y: F.length(y) - F.length(x))
+        t = F.aggregate(tokens, t, lambda rest, token: F.when(token == "", rest).otherwise(F.replace(rest, token, F.lit(" "))))
+    found = F.regexp_extract_all(t, F.lit(f"{script}+"), F.lit(0))
     return df.select(key, F.size(found).cast("long").alias("runs"), F.length(F.array_join(found, "")).cast("long").alias("chars"))
 
 
@@ -152,13 +156,17 @@ def running_headers(ls: DataFrame, doc: str, page: str, band: str, text: str, le
     return per.where(F.col("pages") >= least)
 
 
+#: A short name, a sign of equality, and a value with a digit or an operator.
+FORMULA = r"^[\p{L}][\p{L}\p{N}_()]{0,12} *[=≈≤≥] *(?=.*[0-9+×÷/^√∑-])[^.!?。]{1,200}$"
+
+
 def line_roles(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key, line, role, level``: headings by numbering depth, bullets, numbered items, notes, text."""
+    """``key, line, role, level``: headings by numbering depth, formulas (``name = value``), bullets, numbered items, notes, text."""
     ls = lines(df, [key], text)
     t = F.trim("text")
     numbered = F.regexp_extract(t, r"^([0-9]+(?:\.[0-9]+)*)\.? +[A-Z]", 1)
     depth = F.length(numbered) - F.length(F.replace(numbered, F.lit("."), F.lit(""))) + 1
-    role = F.when(t == "", "blank").when(numbered != "", "heading").when(t.rlike("^[-*•] "), "bullet").when(t.rlike(r"^[0-9a-z]+[.)] "), "item").when(F.lower(t).rlike("^note:"), "note").otherwise("text")
+    role = F.when(t == "", "blank").when(numbered != "", "heading").when(t.rlike(FORMULA), "formula").when(t.rlike("^[-*•・] ?"), "bullet").when(t.rlike(r"^[0-9a-z]+[.)] "), "item").when(F.lower(t).rlike("^(note|注) ?[:：]"), "note").otherwise("text")
     return ls.select(key, "line", role.alias("role"), F.when(numbered != "", depth).alias("level"))
 
 

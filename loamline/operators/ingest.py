@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamline.functions.text import lines, normal_form, run_id
+from loamline.functions.text import lines, normal_form, run_id, sized, split_lines
 
 #: Exit codes of the ingest statuses, worst first when a batch is summed up.
 STATUS_CODES = {"ok": 0, "unreadable": 2, "partial": 3, "missing_dependency": 4}
@@ -176,20 +176,24 @@ def diacritic_damage(df: DataFrame, text: str = "text", accented: str = "[À-Ö
     return df.withColumn("damage", F.when(few, F.lit(0.0)).otherwise(F.size(bad) / F.size(tokens)))
 
 
+def _stripped_length(text: str) -> Column:
+    return F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)^\s+|\s+$", ""))
+
+
 def choose_extraction(primary: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
     """The text to keep for each key: the primary, unless a candidate is far less damaged.
 
     ``primary(key, text, damage)``, ``candidates(key, pos, text, damage)``. Candidates
     are taken in order; one replaces the best so far when it has at least half the
-    primary's length and under half the best one's damage. Returns ``key, chosen``
+    primary's length, both without white space at the ends, and under half the best one's damage. Returns ``key, chosen``
     (position, 0 for the primary) and ``damage``.
     """
-    tried = candidates.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", F.length("text").alias("n"), "damage"))).alias("c"))
+    tried = candidates.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", _stripped_length("text").alias("n"), "damage"))).alias("c"))
     best = F.aggregate(
         F.coalesce("c", F.array().cast("array<struct<pos:int,n:int,damage:double>>")), F.struct(F.lit(0).alias("pos"), F.col("damage").alias("damage")),
-        lambda b, x: F.when((x["n"] * 2 >= F.length("text")) & (x["damage"] * 2 < b["damage"]), F.struct(x["pos"].alias("pos"), x["damage"].alias("damage"))).otherwise(b),
+        lambda b, x: F.when((x["n"] * 2 >= F.col("_n")) & (x["damage"] * 2 < b["damage"]), F.struct(x["pos"].alias("pos"), x["damage"].alias("damage"))).otherwise(b),
     )
-    out = primary.join(tried, key, "left").withColumn("_b", F.when(F.col("damage") < 0.06, F.struct(F.lit(0).alias("pos"), F.col("damage").alias("damage"))).otherwise(best))
+    out = primary.join(tried, key, "left").withColumn("_n", _stripped_length("text")).withColumn("_b", F.when(F.col("damage") < 0.06, F.struct(F.lit(0).alias("pos"), F.col("damage").alias("damage"))).otherwise(best))
     return out.select(key, F.col("_b.pos").alias("chosen"), F.col("_b.damage").alias("damage"))
 
 
@@ -319,30 +323,73 @@ def layout_rows(boxes: DataFrame, page: str) -> DataFrame:
     return cells.groupBy(page, "row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "t"))), lambda s: s["t"]), " | ").alias("text"))
 
 
-def doc_findings(df: DataFrame, key: str, text: str = "text", empty_run: int = 3) -> DataFrame:
-    """``key, kind, line, detail``: placeholders, runs of empty lines, heading jumps, em dashes."""
+def doc_findings(df: DataFrame, key: str, text: str = "text", empty_run: int = 3, flag: str = r"\[(?:CẦN XÁC MINH|TO VERIFY)[^\]]*\]") -> DataFrame:
+    """``key, kind, line, detail``: placeholders, runs of empty lines, heading jumps, em dashes, decomposed letters, flags to verify.
+
+    ``detail`` is a count (of placeholders, lines, levels, flags), else 1. Lines
+    that start with a heading mark are headings.
+    """
     ls = lines(df, [key], text)
-    placeholder = ls.where(F.col("text").rlike(r"TODO|TBD|XXX|\[\.\.\.\]|Lorem ipsum")).select(key, F.lit("placeholder").alias("kind"), "line", F.lit(1).alias("detail"))
-    dash = ls.where(F.col("text").contains("—")).select(key, F.lit("em_dash").alias("kind"), "line", F.lit(1).alias("detail"))
-    blank = ls.withColumn("_run", run_id(F.trim("text") != "", [key], "line")).where(F.trim("text") == "").groupBy(key, "_run").agg(F.min("line").alias("line"), F.count("*").cast("int").alias("detail"))
-    blank = blank.where(F.col("detail") >= empty_run).select(key, F.lit("empty_run").alias("kind"), "line", "detail")
+    one = F.lit(1)
+    count = lambda pattern: F.regexp_count("text", F.lit(pattern))
+    placeholder = r"TODO|TBD|XXX|\[\.\.\.\]|Lorem ipsum|\{\{[^}\n]+\}\}"
+    # a base letter and a mark that have one character together (compared in NFC, of such lines only)
+    marked = ls.where(F.col("text").rlike(r"\p{L}\p{M}"))
+    kinds = [
+        (ls.where(F.col("text").rlike(placeholder)), "placeholder", count(placeholder)), (ls.where(F.col("text").contains("—")), "em_dash", one),
+        (marked.where(normal_form("NFC")(F.col("text")) != F.col("text")), "decomposed", one), (ls.where(F.col("text").rlike(flag)), "verify_flag", count(flag)),
+    ]
+    blank = ls.withColumn("_run", run_id(F.trim("text") != "", [key], "line")).where(F.trim("text") == "").groupBy(key, "_run").agg(F.min("line").alias("line"), F.count("*").cast("int").alias("n"))
     heads = ls.where(F.col("text").rlike("^#{1,6} ")).withColumn("level", F.length(F.regexp_extract("text", "^(#+)", 1)))
     before = F.lag("level").over(Window.partitionBy(key).orderBy("line"))
-    jump = heads.withColumn("_b", before).where(F.col("level") > F.col("_b") + 1).select(key, F.lit("heading_jump").alias("kind"), "line", (F.col("level") - F.col("_b")).alias("detail"))
-    return placeholder.unionAll(dash).unionAll(blank).unionAll(jump)
-
+    jumps = heads.withColumn("_b", before).where(F.col("level") > F.col("_b") + 1)
+    kinds += [(blank.where(F.col("n") >= empty_run), "empty_run", F.col("n")), (jumps, "heading_jump", F.col("level") - F.col("_b"))]
+    out = None
+    for rows, kind, detail in kinds:
+        found = rows.select(key, F.lit(kind).alias("kind"), "line", detail.alias("detail"))
+        out = found if out is None else out.unionAll(found)
+    return out
 
-def publishable_text(df: DataFrame, key: str, heading: str, text: str = "text") -> DataFrame:
-    """``key, body``: the section under ``## heading`` up to the next ``## `` or ``---`` if there is one, else all; comments and bold marks dropped."""
-    t = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?s)<!--.*?-->", ""), r"\*\*", "")
-    section = F.regexp_extract(t, rf"(?ms)^## {heading}[^\n]*\n(.*?)(?=^## |^---\s*$|\z)", 1)
-    body = F.when(t.rlike(rf"(?m)^## {heading}"), section).otherwise(t)
-    return df.select(key, F.trim(F.regexp_replace(body, r"(?m)^#+ +", "")).alias("body"))
 
+def publishable_text(df: DataFrame, key: str, heading: str, text: str = "text", mark: str = "📌 ") -> DataFrame:
+    """``key, body``: the lines under the first ``## heading`` (a regular expression, in any case) up to ``---`` or the next ``## ``, else all lines.
 
-def language_runs(tokens: DataFrame, words: DataFrame, keys: list[str], pos: str, token: str) -> DataFrame:
-    """``keys, first, last, lang``: neighbouring tokens of one language merged; ``words(word, lang)``, others are null."""
-    labelled = tokens.join(words, F.lower(F.col(token)) == F.col("word"), "left")
+    Comment lines go, headings are put in capitals after ``mark``, marks of bold
+    letters are taken off, and the ends are trimmed. Nulls give ''.
+    """
+    trimmed = lambda l: F.regexp_replace(l, r"(?U)^\s+|\s+$", "")
+    wanted = lambda l: trimmed(l).rlike(rf"(?i)^##\s+{heading}")
+    all_ = split_lines(F.coalesce(F.col(text), F.lit("")))
+    first = F.array_position(F.transform(all_, wanted), F.lit(True))
+    rest = F.slice(all_, first + 1, F.size(all_))
+    ends = lambda l: ~wanted(l) & ((trimmed(l) == "---") | trimmed(l).startswith("## "))
+    end = F.array_position(F.transform(rest, ends), F.lit(True))
+    section = F.when(end > 0, F.slice(rest, F.lit(1), end - 1)).otherwise(rest)
+    section = F.when(first > 0, F.filter(section, lambda l: ~wanted(l))).otherwise(all_)
+    shown = F.filter(section, lambda l: ~(trimmed(l).startswith("<!--") & trimmed(l).endswith("-->")))
+
+    def plain(l: Column) -> Column:
+        title = F.concat(F.lit(mark), F.upper(trimmed(F.regexp_replace(trimmed(l), "^#+", ""))))
+        return F.when(trimmed(l).startswith("#"), title).otherwise(F.regexp_replace(F.regexp_replace(l, r"\*\*(.+?)\*\*", "$1"), "__(.+?)__", "$1"))
+
+    return df.select(key, trimmed(F.array_join(F.transform(shown, plain), "\n")).alias("body"))
+
+
+def language_runs(tokens: DataFrame, words: DataFrame, keys: list[str], pos: str, token: str, overrides: DataFrame | None = None) -> DataFrame:
+    """``keys, first, last, lang``: neighbouring tokens of one language merged; ``words(word, lang)``, of which ``overrides`` replace some; others are null."""
     w = Window.partitionBy(*keys).orderBy(pos)
+    labelled = tokens.join(sized(_known(words, overrides)), F.lower(F.col(token)) == F.col("word"), "left")
     change = ~F.col("lang").eqNullSafe(F.lag("lang").over(w)) | (F.row_number().over(w) == 1)
     return labelled.withColumn("_c", change).withColumn("_run", run_id(F.col("_c"), keys, pos)).groupBy(*keys, "_run").agg(F.min(pos).alias("first"), F.max(pos).alias("last"), F.first("lang").alias("lang")).drop("_run")
+
+
+def unknown_words(tokens: DataFrame, words: DataFrame, token: str, overrides: DataFrame | None = None) -> DataFrame:
+    """``word, n``: tokens with a letter, in lower case, that no list has."""
+    own = tokens.select(F.lower(F.col(token)).alias("word")).where(F.col("word").rlike(LETTER)).groupBy("word").agg(F.count("*").alias("n"))
+    return own.join(sized(_known(words, overrides).select("word")), "word", "left_anti")
+
+
+def _known(words: DataFrame, overrides: DataFrame | None) -> DataFrame:
+    if overrides is None:
+        return words
+    return words.join(overrides.select("word"), "word", "left_anti").unionByName(overrides.select("word", "lang"))

@@ -14,9 +14,23 @@ from loamline.functions import sequences
 from loamline.functions.text import lines, split_lines
 
 
-def exact_duplicates(files: DataFrame, owner: str, key: str, text: str, least: int = 200) -> DataFrame:
-    """``hash, owners, files, first``: contents of ``least`` characters or more that several owners hold."""
-    own = files.where(F.length(text) >= least).groupBy(F.md5(text).alias("hash")).agg(F.countDistinct(owner).alias("owners"), F.count("*").alias("files"), F.min(key).alias("first"))
+#: Extensions of files that are compared, binary assets first.
+ASSETS = (".ttf", ".otf", ".woff", ".woff2", ".onnx", ".bin", ".pt", ".safetensors")
+SOURCES = (".py", ".js", ".mjs", ".ts", ".sh", ".md", ".json", ".html", ".css", ".txt", ".yaml", ".yml", ".typ")
+
+
+def exact_duplicates(files: DataFrame, owner: str, key: str, text: str, least: int = 200, path: str | None = None) -> DataFrame:
+    """``hash, owners, files, first``: contents of ``least`` bytes or more that several owners hold.
+
+    With ``path``, only files of known extensions count, and ``kind`` is ASSET
+    or DUP by the extension of the first file.
+    """
+    own = files.where(F.octet_length(text) >= least)
+    if path is not None:
+        ext = F.lower(F.regexp_extract(F.col(path), r"(\.[^./]+)$", 1))
+        own = own.withColumn("_ext", ext).where(F.col("_ext").isin(*ASSETS, *SOURCES))
+    kind = [] if path is None else [F.when(F.min_by("_ext", key).isin(*ASSETS), "ASSET").otherwise("DUP").alias("kind")]
+    own = own.groupBy(F.md5(text).alias("hash")).agg(F.countDistinct(owner).alias("owners"), F.count("*").alias("files"), F.min(key).alias("first"), *kind)
     return own.where("owners >= 2")
 
 

@@ -239,3 +239,77 @@ def run_records(runs: DataFrame, run: str, parts: dict[str, DataFrame]) -> DataF
         fields = [c for c in part.columns if c != run]
         out = out.join(part.select(run, F.struct(*fields).alias(name)), run, "left")
     return out.select(run, F.struct(*parts).alias("record"))
+
+
+#: The record of an agent run, what it must hold, and the values allowed.
+_STATUS = ["PASS", "FAIL", "UNKNOWN"]
+_VERIFIER = "array<struct<verifier:string,command:string,exit_code:int,step_index:int>>"
+RECORD = {
+    "run_id": "string", "task_id": "string", "timestamp": "string",
+    "environment": {"interface": "string", "interface_version": "string", "git_commit": "string", "branch": "string", "conversation_id": "string", "transcript_path": "string"},
+    "input": {"raw_prompt": "string", "model": "string", "model_source": "string"},
+    "expected": {"skill": "string", "required_rules": "array<string>", "required_verifiers": "array<string>", "expected_artifacts": "array<string>"},
+    "observed": {
+        "skill_intake": {"skill_read": "string", "evidence_file": "string", "step_index": "int", "evidence_level": "string"}, "rules_explicitly_read": "array<string>", "tools_called": "array<string>",
+        "commands_run": "array<string>", "files_read": "array<string>", "files_modified": "array<string>", "artifacts_created": "array<string>", "agent_verifiers_executed": _VERIFIER,
+    },
+    "output": {"final_response": "string", "artifact_paths": "array<string>"},
+    "metrics": {
+        "elapsed_seconds": "double", "total_turns": "int", "token_usage": {"input_tokens": "long", "output_tokens": "long", "thinking_tokens": "long", "cache_read_tokens": "long", "total_tokens": "long"}, "retry_count": "int",
+        "file_read_count": "int", "unique_file_read_count": "int", "repeated_file_read_count": "int", "top_repeated_files": "array<struct<path:string,reads:int>>", "observed_tool_result_chars": "long",
+        "categorized_reads": {"skills_read_count": "int", "rules_read_count": "int", "repo_files_read_count": "int", "fixtures_read_count": "int"},
+        "execution_loop_complexity": {
+            "total_agent_steps": "int", "steps_before_first_skill_read": "int", "steps_before_first_artifact_write": "int", "steps_after_artifact_before_completion": "int", "tool_density": "double",
+            "file_read_duplication": "double", "output_efficiency": "double",
+        },
+    },
+    "evaluation": {
+        "layer_l0_infrastructure": "string",
+        "layer_l1_agent_behavior": {
+            "skill_routing": "string", "workflow_compliance": "string", "agent_verification": "string", "false_done_detected": "boolean", "termination": "string", "completion_claim_observed": "boolean",
+            "completion_claim_evidence": "array<string>", "interruption_reason": "string", "clarification_type": "string",
+        },
+        "layer_l2_artifact_quality": "map<string,string>", "overall_status": "string",
+    },
+}
+RECORD_REQUIRED = [
+    "run_id", "task_id", "timestamp", "environment.interface", "environment.git_commit", "input.raw_prompt", "expected.skill", "observed.skill_intake.evidence_level", "observed.rules_explicitly_read", "observed.tools_called",
+    "observed.commands_run", "observed.files_read", "observed.files_modified", "observed.artifacts_created", "observed.agent_verifiers_executed", "output.artifact_paths", "evaluation.layer_l0_infrastructure",
+    "evaluation.layer_l1_agent_behavior.skill_routing", "evaluation.layer_l1_agent_behavior.workflow_compliance", "evaluation.layer_l1_agent_behavior.agent_verification",
+    "evaluation.layer_l1_agent_behavior.false_done_detected", "evaluation.layer_l2_artifact_quality", "evaluation.overall_status",
+]
+RECORD_ENUMS = {
+    "environment.interface": ["antigravity_cli", "antigravity_ide", "unknown"], "input.model_source": ["CLI_FLAG", "TRANSCRIPT_SETTINGS", "HUMAN_ATTESTATION", "UNKNOWN"],
+    "observed.skill_intake.evidence_level": ["DIRECT_BEHAVIORAL_EVIDENCE", "INDIRECT_EVIDENCE", "NONE"], "evaluation.layer_l0_infrastructure": _STATUS,
+    "evaluation.layer_l1_agent_behavior.skill_routing": _STATUS, "evaluation.layer_l1_agent_behavior.workflow_compliance": _STATUS, "evaluation.layer_l1_agent_behavior.agent_verification": _STATUS,
+    "evaluation.layer_l1_agent_behavior.termination": ["COMPLETED", "INTERRUPTED_IN_PROGRESS", "FAILED", "BLOCKED", "UNKNOWN"],
+    "evaluation.layer_l1_agent_behavior.clarification_type": ["VALID_CLARIFICATION", "NONE", "UNNECESSARY_CLARIFICATION"], "evaluation.overall_status": ["PASS", "FAIL", "BLOCKED", "UNKNOWN"],
+}
+
+
+def agent_run_records(facts: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+    """``facts`` (one row a run) as ``record``, nested as ``RECORD`` says; what a run does not tell stays null, never 0 or ''.
+
+    A leaf is taken from the column of its own name, or from the one that
+    ``names`` gives for its path. ``run_id`` stands beside the record as well.
+    """
+    names = names or {}
+    have = set(facts.columns)
+
+    def build(fields: dict, path: str) -> list[Column]:
+        out = []
+        for name, kind in fields.items():
+            at = f"{path}{name}"
+            if isinstance(kind, dict):
+                out.append(F.struct(*build(kind, f"{at}.")).alias(name))
+            else:
+                column = names.get(at, name)
+                out.append((F.col(column) if column in have else F.lit(None)).cast(kind).alias(name))
+        return out
+
+    return facts.select(F.col(names.get("run_id", "run_id")).cast("string").alias("run_id"), F.struct(*build(RECORD, "")).alias("record"))
+
+
+def record_errors(records: DataFrame) -> DataFrame:
+    """``run_id, field, problem`` of records that lack what they must hold, or have values that are not allowed."""
+    return validate_records(records.select(F.col("run_id").alias("_key"), "record.*"), "_key", RECORD_REQUIRED, RECORD_ENUMS).withColumnRenamed("_key", "run_id")

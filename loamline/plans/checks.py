@@ -367,3 +367,37 @@ def element_rules(spark, d):
 def text_collisions(spark, d):
     """Small texts, and some that cover most of their scene."""
     return checks.text_collisions(_elements(spark, d), "scene")
+
+
+@query(r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') || ' サクラ 技術仕様 サクラの' AS t, doc_id % 3 AS k FROM documents),
+    p AS (SELECT doc_id, CASE k WHEN 0 THEN replace(replace(t, 'サクラの', ' '), 'サクラ', ' ') WHEN 1 THEN replace(t, '技術', ' ') ELSE t END AS t FROM d),
+    f AS (SELECT doc_id, regexp_extract_all(t, '[\x{3040}-\x{30ff}\x{4e00}-\x{9fff}]+') AS f FROM p)
+    SELECT doc_id, len(f) AS runs, CAST(length(array_to_string(f, '')) AS BIGINT) AS chars FROM f""")
+def residual_protected(spark, d):
+    k = F.col("doc_id") % 3
+    tokens = F.when(k == 0, F.array(F.lit("サクラ"), F.lit("サクラの"), F.lit(""), F.lit(None))).when(k == 1, F.array(F.lit("技術")))
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" サクラ 技術仕様 サクラの")).alias("text"), tokens.alias("keep"))
+    return checks.residual_script(docs, "doc_id", "text", "[぀-ヿ一-鿿]", "keep")
+
+
+@query(r"""
+    WITH d AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda l: len(string_split(l, ' '))) AS n FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, doc_id % 3 <> 0 AS same FROM d""")
+def table_shape_check(spark, d):
+    """Lines as rows and words as cells; the second table of every third document lacks its last cell."""
+    rows = F.transform(F.split("text", "\n", -1), lambda l: F.split(l, " ", -1))
+    cut = F.transform(rows, lambda r, i: F.when(i == F.size(rows) - 1, F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r))
+    docs = table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", checks.table_shape_check(rows, F.when(F.col("doc_id") % 3 == 0, cut).otherwise(rows)).alias("same"))
+
+
+@query(r"""
+    WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, '') || chr(10) || 'Cm = ' || length(coalesce(text, '')) || ' / 5' || chr(10) || '・one' || chr(10) || '注：see', chr(10))) AS t FROM documents)
+    SELECT doc_id, count(*) FILTER (regexp_matches(trim(t), '^[\p{L}][\p{L}\p{N}_()]{0,12} *[=≈≤≥] *.*[0-9+×÷/^√∑-]') AND regexp_matches(trim(t), '^[\p{L}][\p{L}\p{N}_()]{0,12} *[=≈≤≥] *[^.!?。]{1,200}$')) AS formulas,
+        count(*) FILTER (regexp_matches(trim(t), '^[-*•・] ?')) AS bullets, count(*) FILTER (regexp_matches(lower(trim(t)), '^(note|注) ?[:：]')) AS notes FROM l GROUP BY doc_id""")
+def line_roles_by_document(spark, d):
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, d, "documents").select("doc_id", F.concat(text, F.lit("\nCm = "), F.length(text).cast("string"), F.lit(" / 5\n・one\n注：see")).alias("text"))
+    count = lambda role: F.count_if(F.col("role") == role)
+    return checks.line_roles(docs, "doc_id").groupBy("doc_id").agg(count("formula").alias("formulas"), count("bullet").alias("bullets"), count("note").alias("notes"))

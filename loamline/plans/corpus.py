@@ -167,14 +167,24 @@ def stale_formula_cells(spark, d):
     return ingest.stale_formula_cells(cells)
 
 
-@query("""
-    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
-    SELECT doc_id, 'placeholder' AS kind, line, CAST(1 AS BIGINT) AS detail FROM l WHERE regexp_matches(t, 'TODO|TBD|XXX|\\[\\.\\.\\.\\]|Lorem ipsum')
+_FLAWED = r"""t AS (SELECT doc_id, coalesce(text, '') || CASE doc_id % 6 WHEN 0 THEN chr(10) || 'dear {{name}}, TODO and TBD' WHEN 1 THEN chr(10) || chr(10) || chr(10) || chr(10) || 'end' WHEN 2 THEN chr(10) || '# a' || chr(10) || 'x' || chr(10) || '#### b'
+    WHEN 3 THEN chr(10) || 'cafe' || chr(769) || ' is decomposed' WHEN 4 THEN chr(10) || 'so [TO VERIFY: year] and [CẦN XÁC MINH]' ELSE ' — dash' END AS text FROM documents)"""
+
+
+@query(rf"""
+    WITH {_FLAWED}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM t)
+    SELECT doc_id, 'placeholder' AS kind, line, len(regexp_extract_all(t, 'TODO|TBD|XXX|\[\.\.\.\]|Lorem ipsum|\{{\{{[^}}\n]+\}}\}}')) AS detail FROM l WHERE regexp_matches(t, 'TODO|TBD|XXX|\[\.\.\.\]|Lorem ipsum|\{{\{{[^}}\n]+\}}\}}')
     UNION ALL SELECT doc_id, 'em_dash', line, 1 FROM l WHERE contains(t, '—')
+    UNION ALL SELECT doc_id, 'decomposed', line, 1 FROM l WHERE nfc_normalize(t) <> t
+    UNION ALL SELECT doc_id, 'verify_flag', line, len(regexp_extract_all(t, '\[(?:CẦN XÁC MINH|TO VERIFY)[^\]]*\]')) FROM l WHERE regexp_matches(t, '\[(CẦN XÁC MINH|TO VERIFY)[^\]]*\]')
     UNION ALL SELECT doc_id, 'empty_run', min(line), count(*) FROM (SELECT *, sum(CASE WHEN trim(t) <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS r FROM l) WHERE trim(t) = '' GROUP BY doc_id, r HAVING count(*) >= 3
-    UNION ALL SELECT doc_id, 'heading_jump', line, lev - b FROM (SELECT *, lag(lev) OVER (PARTITION BY doc_id ORDER BY line) AS b FROM (SELECT *, length(regexp_extract(t, '^(#+)', 1)) AS lev FROM l WHERE regexp_matches(t, '^#{1,6} '))) WHERE lev > b + 1""".replace("\\\\", "\\"))
+    UNION ALL SELECT doc_id, 'heading_jump', line, lev - b FROM (SELECT *, lag(lev) OVER (PARTITION BY doc_id ORDER BY line) AS b FROM (SELECT *, length(regexp_extract(t, '^(#+)', 1)) AS lev FROM l WHERE regexp_matches(t, '^#{{1,6}} '))) WHERE lev > b + 1""")
 def doc_findings(spark, d):
-    return ingest.doc_findings(table(spark, d, "documents"), "doc_id").withColumns({"line": F.col("line").cast("long"), "detail": F.col("detail").cast("long")})
+    """Documents, each with one of six flaws added."""
+    more = ["\ndear {{name}}, TODO and TBD", "\n\n\n\nend", "\n# a\nx\n#### b", "\ncafé is decomposed", "\nso [TO VERIFY: year] and [CẦN XÁC MINH]", " — dash"]
+    added = F.element_at(F.array(*map(F.lit, more)), (F.col("doc_id") % 6 + 1).cast("int"))
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), added).alias("text"))
+    return ingest.doc_findings(docs, "doc_id").withColumns({"line": F.col("line").cast("long"), "detail": F.col("detail").cast("long")})
 
 
 @query("""
@@ -249,23 +259,33 @@ def parse_frontmatter(spark, d):
     return readers.parse_frontmatter(table(spark, d, "documents").select("doc_id", head.alias("text")), "doc_id")
 
 
-@query()
+@query("""
+    SELECT doc_id, ['pdf', 'image', 'html', 'binary', 'zip', e, e, e][k + 1] AS format, ['utf-8', 'legacy', 'utf-8', 'utf-8', 'utf-8', 'utf-16-le', 'utf-8-sig', 'legacy'][k + 1] AS encoding, CASE WHEN k = 4 THEN 'docx' END AS kind
+    FROM (SELECT doc_id, doc_id % 8 AS k, ['csv', 'md', 'text'][doc_id % 3 + 1] AS e FROM documents WHERE text IS NOT NULL)""")
 def detect_format(spark, d):
+    """Documents with the leading bytes of eight kinds of files, and extensions that say something else."""
+    raw = lambda h: F.unhex(F.lit(h))
+    t = F.col("text").cast("binary")
+    kinds = [
+        F.concat(F.lit("%PDF-1.7\n").cast("binary"), t), F.concat(raw("89504E470D0A1A0A"), t), F.concat(F.lit("<!DOCTYPE html>").cast("binary"), t), F.concat(raw("41004243"), t), F.concat(raw("504B0304"), F.lit("word/document.xml").cast("binary"), t),
+        F.concat(raw("FFFE"), F.encode("text", "UTF-16LE")), F.concat(raw("EFBBBF"), t), F.concat(raw("63616661E9"), F.lit(" is latin").cast("binary")),
+    ]
     ext = F.element_at(F.array(F.lit(".csv"), F.lit(".md"), F.lit(".txt")), (F.col("doc_id") % 3 + 1).cast("int"))
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content"), ext.alias("ext"))
-    return ingest.detect_encoding(ingest.detect_format(docs)).groupBy("format", "encoding").agg(F.count("*").alias("n"))
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.element_at(F.array(*kinds), (F.col("doc_id") % 8 + 1).cast("int")).alias("content"), ext.alias("ext"))
+    return ingest.zip_kind(ingest.detect_encoding(ingest.detect_format(docs))).select("doc_id", "format", "encoding", "kind")
 
 
-@query("""
-    WITH p AS (SELECT source, lang, text, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS pos, least(doc_id % 10, 9) / 20.0 AS damage FROM documents),
-    s AS (SELECT a.source || a.lang AS key, a.damage AS d0, length(a.text) AS n0, b.pos, length(b.text) AS n, b.damage FROM p a LEFT JOIN p b ON a.source = b.source AND a.lang = b.lang AND b.pos = 1 WHERE a.pos = 0)
-    SELECT key, CAST(CASE WHEN d0 >= 0.06 AND n * 2 >= n0 AND damage * 2 < d0 THEN 1 ELSE 0 END AS INTEGER) AS chosen,
-        CAST(CASE WHEN d0 >= 0.06 AND n * 2 >= n0 AND damage * 2 < d0 THEN damage ELSE d0 END AS DOUBLE) AS damage FROM s""")
+@query(r"""
+    WITH p AS (SELECT doc_id // 4 AS key, doc_id % 4 AS pos, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS n, (doc_id * 7 % 10) / 20.0 AS damage FROM documents),
+    g AS (SELECT key, max(damage) FILTER (pos = 0) AS d0, max(n) FILTER (pos = 0) AS n0, max(damage) FILTER (pos = 1) AS d1, max(n) FILTER (pos = 1) AS n1,
+        max(damage) FILTER (pos = 2) AS d2, max(n) FILTER (pos = 2) AS n2, max(damage) FILTER (pos = 3) AS d3, max(n) FILTER (pos = 3) AS n3 FROM p GROUP BY key HAVING n0 IS NOT NULL),
+    a AS (SELECT *, d0 >= 0.06 AS open, CASE WHEN d0 >= 0.06 AND n1 * 2 >= n0 AND d1 * 2 < d0 THEN 1 ELSE 0 END AS c1, CASE WHEN d0 >= 0.06 AND n1 * 2 >= n0 AND d1 * 2 < d0 THEN d1 ELSE d0 END AS e1 FROM g),
+    b AS (SELECT *, CASE WHEN open AND n2 * 2 >= n0 AND d2 * 2 < e1 THEN 2 ELSE c1 END AS c2, CASE WHEN open AND n2 * 2 >= n0 AND d2 * 2 < e1 THEN d2 ELSE e1 END AS e2 FROM a)
+    SELECT key, CAST(CASE WHEN open AND n3 * 2 >= n0 AND d3 * 2 < e2 THEN 3 ELSE c2 END AS INTEGER) AS chosen, CAST(CASE WHEN open AND n3 * 2 >= n0 AND d3 * 2 < e2 THEN d3 ELSE e2 END AS DOUBLE) AS damage FROM b""")
 def choose_extraction(spark, d):
-    from pyspark.sql import Window
-
-    docs = table(spark, d, "documents").select(F.concat("source", "lang").alias("key"), "text", (F.least(F.col("doc_id") % 10, F.lit(9)) / 20).alias("damage"), (F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id")) - 1).alias("pos"))
-    return ingest.choose_extraction(docs.where("pos = 0").drop("pos"), docs.where("pos = 1"), "key")
+    """All documents, in groups of one extraction and three further ones."""
+    docs = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 4).alias("key"), "text", (F.col("doc_id") * 7 % 10 / 20).alias("damage"), (F.col("doc_id") % 4).cast("int").alias("pos"))
+    return ingest.choose_extraction(docs.where("pos = 0").drop("pos"), docs.where("pos > 0"), "key")
 
 
 @query("""
@@ -322,3 +342,73 @@ def publish_manifest(spark, d):
     path = shared_folder(spark, "manifests")
     records.publish_manifest(rows, path)
     return records.read_index(spark, path).select("folder", F.col("exit_code").cast("int").alias("exit_code"), "chars", F.col("batch_code").cast("int").alias("batch_code"))
+
+
+@query(r"""
+    WITH w AS (SELECT lower(unnest(string_split(text, ' '))) AS word FROM documents), n AS (SELECT word, count(*) AS n FROM w WHERE regexp_matches(word, '\p{L}') GROUP BY word)
+    SELECT word, n FROM n WHERE word NOT IN ('the', 'of', 'de', 'la', 'der', 'die', 'und', 'et')""")
+def unknown_words(spark, d):
+    words = spark.createDataFrame([("the", "en"), ("of", "en"), ("de", "fr"), ("la", "fr"), ("der", "de"), ("die", "en")], "word string, lang string")
+    overrides = spark.createDataFrame([("die", "de"), ("und", "de"), ("et", "fr")], "word string, lang string")
+    return ingest.unknown_words(table(spark, d, "documents").select(F.explode(F.split("text", " ", -1)).alias("t")), words, "t", overrides)
+
+
+_POSTS = r"""p AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '# Plan' || chr(10) || 'not this' || chr(10) || '## Post CONTENT now' || chr(10) || '<!-- a note -->' || chr(10) || '### big title' || chr(10) || a || ' **bold** and __more__' || chr(10) || '## Next' || chr(10) || 'nor this'
+    WHEN 1 THEN '## Post content' || chr(10) || a || chr(10) || '---' || chr(10) || 'tail' ELSE '  # All of it  ' || chr(10) || a || chr(10) || ' <!-- gone --> ' || chr(10) || 'end <!-- stays -->' END AS text, a
+    FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[#*_<>\s-]+', ' ', 'g') AS a FROM documents))"""
+
+
+@query(rf"""
+    WITH {_POSTS} SELECT doc_id, md5(trim(CASE doc_id % 3 WHEN 0 THEN '📌 BIG TITLE' || chr(10) || a || ' bold and more' WHEN 1 THEN a ELSE '📌 ALL OF IT' || chr(10) || a || chr(10) || 'end <!-- stays -->' END)) AS body_md5 FROM p""")
+def publishable_text(spark, d):
+    a = F.regexp_replace(F.coalesce("text", F.lit("")), r"[#*_<>\s-]+", " ")
+    one = F.concat(F.lit("# Plan\nnot this\n## Post CONTENT now\n<!-- a note -->\n### big title\n"), a, F.lit(" **bold** and __more__\n## Next\nnor this"))
+    two = F.concat(F.lit("## Post content\n"), a, F.lit("\n---\ntail"))
+    three = F.concat(F.lit("  # All of it  \n"), a, F.lit("\n <!-- gone --> \nend <!-- stays -->"))
+    k = F.col("doc_id") % 3
+    docs = table(spark, d, "documents").select("doc_id", F.when(k == 0, one).when(k == 1, two).otherwise(three).alias("text"))
+    return ingest.publishable_text(docs, "doc_id", "Post content").select("doc_id", F.md5("body").alias("body_md5"))
+
+
+_OCR = """o AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity) AS id, l_linenumber % 2 + 1 AS pass, CASE WHEN l_suppkey % 3 = 0 THEN '漢字' ELSE 'latin' END AS text,
+    l_partkey % 40.0 AS x0, l_suppkey % 30.0 AS y0, l_quantity AS q FROM lineitem), b AS (SELECT *, x0 + q AS x1, y0 + q / 2 AS y1 FROM o)"""
+
+
+def _ocr(spark, d):
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity"))
+    x, y, q = (F.col("l_partkey") % 40).cast("double"), (F.col("l_suppkey") % 30).cast("double"), F.col("l_quantity").cast("double")
+    return table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("page"), number.alias("id"), (F.col("l_linenumber") % 2 + 1).alias("pass"), F.when(F.col("l_suppkey") % 3 == 0, "漢字").otherwise("latin").alias("text"), x.alias("x0"), y.alias("y0"), (x + q).alias("x1"), (y + q / 2).alias("y1"),
+    )
+
+
+@query(f"""
+    WITH {_OCR}, a AS (SELECT * FROM b WHERE pass = 2 AND text = '漢字')
+    SELECT page, CAST(id AS INTEGER) AS id FROM a UNION ALL
+    SELECT page, CAST(id AS INTEGER) FROM b x WHERE pass = 1 AND NOT (text = 'latin' AND EXISTS (SELECT 1 FROM a WHERE a.page = x.page AND least(a.x1, x.x1) > greatest(a.x0, x.x0) AND least(a.y1, x.y1) > greatest(a.y0, x.y0)
+        AND (least(a.x1, x.x1) - greatest(a.x0, x.x0)) * (least(a.y1, x.y1) - greatest(a.y0, x.y0)) > 0.5 * least((a.x1 - a.x0) * (a.y1 - a.y0), (x.x1 - x.x0) * (x.y1 - x.y0))))""")
+def merge_ocr_passes(spark, d):
+    return ingest.merge_ocr_passes(_ocr(spark, d), "page").select("page", "id")
+
+
+@query(f"""
+    WITH RECURSIVE {_OCR}, s AS (SELECT page, (y0 + y1) / 2 AS cy, x0, text || id AS t, row_number() OVER (PARTITION BY page ORDER BY (y0 + y1) / 2, x0, text || id) AS n,
+        list_sort(list(y1 - y0) OVER (PARTITION BY page)) AS h FROM b),
+    r AS (SELECT page, n, cy, x0, t, h, cy AS anchor, 1 AS row FROM s WHERE n = 1
+        UNION ALL SELECT s.page, s.n, s.cy, s.x0, s.t, s.h, CASE WHEN abs(s.cy - r.anchor) > greatest(2.0, 0.5 * s.h[len(s.h) // 2 + 1]) THEN s.cy ELSE r.anchor END,
+            r.row + CASE WHEN abs(s.cy - r.anchor) > greatest(2.0, 0.5 * s.h[len(s.h) // 2 + 1]) THEN 1 ELSE 0 END FROM r JOIN s ON s.page = r.page AND s.n = r.n + 1)
+    SELECT page, row, string_agg(t, ' | ' ORDER BY x0, t) AS text FROM r GROUP BY page, row""")
+def layout_rows(spark, d):
+    boxes = _ocr(spark, d).withColumn("text", F.concat("text", F.col("id").cast("string")))
+    return ingest.layout_rows(boxes, "page")
+
+
+@query("""SELECT 'source=' || source AS folder, '.txt' AS ext, count(*) AS rows_written, sum(strlen(text) + 1) AS bytes FROM documents WHERE text IS NOT NULL GROUP BY source""")
+def read_files(spark, d):
+    """Documents as text files, a folder a source, listed with their sizes; the lines written are counted beside them."""
+    folder = shared_folder(spark, "files")
+    docs = table(spark, d, "documents").where("text is not null")
+    docs.select("source", "text").write.partitionBy("source").text(folder)
+    found = readers.read_files(spark, folder, "*.txt").withColumn("folder", F.regexp_extract("path", "/(source=[^/]+)/", 1))
+    sizes = found.groupBy("folder", "ext").agg(F.sum("size").alias("bytes"))
+    return sizes.join(docs.groupBy(F.concat(F.lit("source="), "source").alias("folder")).agg(F.count("*").alias("rows_written")), "folder").select("folder", "ext", "rows_written", "bytes")

@@ -15,6 +15,14 @@ def exact_duplicates(spark, d):
     return reuse.exact_duplicates(table(spark, d, "documents"), "source", "doc_id", "text")
 
 
+@query("""
+    WITH f AS (SELECT doc_id, source, text, ['x.ttf', 'x.md', 'x.py', 'x.xyz', 'none'][doc_id % 5 + 1] AS name FROM documents WHERE strlen(text) >= 200 AND doc_id % 5 < 3)
+    SELECT md5(text) AS hash, count(DISTINCT source) AS owners, count(*) AS files, min(doc_id) AS first, CASE WHEN arg_min(name, doc_id) = 'x.ttf' THEN 'ASSET' ELSE 'DUP' END AS kind FROM f GROUP BY 1 HAVING count(DISTINCT source) >= 2""")
+def duplicate_kinds(spark, d):
+    name = F.element_at(F.array(*map(F.lit, ["x.TTF", "x.md", "x.py", "x.xyz", "none"])), (F.col("doc_id") % 5 + 1).cast("int"))
+    return reuse.exact_duplicates(table(spark, d, "documents").withColumn("path", F.concat(F.lit("a.b/"), name)), "source", "doc_id", "text", path="path")
+
+
 _ENGINES = [("e1", "src1", "idiot|moron"), ("e2", "src2", "Apache License")]
 
 

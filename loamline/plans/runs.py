@@ -208,9 +208,10 @@ def command_audit(spark, d):
     return runs.command_audit(table(spark, d, "events").select("event_id", cmd.alias("cmd")), rules, ["event_id"], "cmd")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT')")
 def pending_runs(spark, d):
-    return runs.pending_runs(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    done = table(spark, d, "orders").where("o_orderstatus = 'O' and o_orderpriority = '1-URGENT'")
+    return runs.pending_runs(table(spark, d, "customer").select("c_custkey"), done.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("""
@@ -236,3 +237,45 @@ def run_records(spark, d):
     reads = runs.file_reads(c.where("name = 'view_file'"), "run").select("run", "reads", "distinct_reads")
     out = runs.run_records(c, "run", {"tools": c.where("name <> ''").groupBy("run").agg(F.count("*").alias("calls")), "files": reads})
     return out.select("run", "record.tools.calls", "record.files.reads", "record.files.distinct_reads", F.col("record.tools").isNull().alias("idle"))
+
+
+_FACTS = f"""{_CALLS}, f AS (SELECT run, count(*) FILTER (name = 'view_file') AS reads, count(DISTINCT arg) FILTER (name = 'view_file') AS unique_reads, list(arg ORDER BY idx) FILTER (name = 'view_file') AS files,
+    list(arg ORDER BY idx) FILTER (name = 'run_command') AS commands, max(idx) + 1 AS steps FROM c GROUP BY run)"""
+
+
+def _facts(spark, d):
+    """One row a run; some runs lack a prompt, have a status that is not allowed, or no commands at all."""
+    c = _calls(spark, d)
+    told = lambda name: F.transform(F.sort_array(F.collect_list(F.when(F.col("name") == name, F.struct("idx", "arg")))), lambda s: s["arg"])
+    is_read = F.col("name") == "view_file"
+    per = c.groupBy("run").agg(F.count_if(is_read).alias("file_read_count"), F.countDistinct(F.when(is_read, F.col("arg"))).alias("unique_file_read_count"), told("view_file").alias("files_read"), told("run_command").alias("commands_run"), (F.max("idx") + 1).alias("total_agent_steps"))
+    none = F.array().cast("array<string>")
+    return per.select(
+        F.concat(F.lit("run-"), F.col("run").cast("string")).alias("run_id"), F.concat(F.lit("T"), (F.col("run") % 12).cast("string")).alias("task_id"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.lit("antigravity_cli").alias("interface"),
+        F.lit("0abc").alias("git_commit"), F.when(F.col("run") % 7 != 0, "do it").alias("raw_prompt"), F.lit("writer").alias("skill"), F.lit("NONE").alias("evidence_level"), none.alias("rules_explicitly_read"), none.alias("tools_called"),
+        "files_read", F.when(F.size("commands_run") > 0, F.col("commands_run")).alias("commands_run"), none.alias("files_modified"), none.alias("artifacts_created"), none.alias("artifact_paths"), F.array().alias("agent_verifiers_executed"),
+        F.when(F.col("run") % 5 == 0, "MAYBE").otherwise("PASS").alias("overall_status"), F.lit("PASS").alias("status"), F.lit(False).alias("false_done_detected"), F.create_map(F.lit("table"), F.lit("PASS")).alias("layer_l2_artifact_quality"),
+        "file_read_count", "unique_file_read_count", "total_agent_steps",
+    )
+
+
+def _records(spark, d):
+    behavior = "evaluation.layer_l1_agent_behavior."
+    status = {f"{behavior}{name}": "status" for name in ("skill_routing", "workflow_compliance", "agent_verification")} | {"evaluation.layer_l0_infrastructure": "status"}
+    return runs.agent_run_records(_facts(spark, d).drop("agent_verifiers_executed").withColumn("agent_verifiers_executed", F.array().cast(runs.RECORD["observed"]["agent_verifiers_executed"])), status)
+
+
+@query(f"""
+    WITH {_FACTS} SELECT 'run-' || run AS run_id, 'T' || (run % 12) AS task_id, CAST(reads AS INTEGER) AS reads, CAST(unique_reads AS INTEGER) AS unique_reads, CAST(steps AS INTEGER) AS steps, array_to_string(coalesce(files, []), ',') AS files,
+        CAST(NULL AS DOUBLE) AS elapsed, CASE WHEN run % 5 = 0 THEN 'MAYBE' ELSE 'PASS' END AS overall FROM f""")
+def agent_run_records(spark, d):
+    r = _records(spark, d)
+    loop = "record.metrics.execution_loop_complexity.total_agent_steps"
+    return r.select("run_id", "record.task_id", F.col("record.metrics.file_read_count").alias("reads"), F.col("record.metrics.unique_file_read_count").alias("unique_reads"), F.col(loop).alias("steps"), F.array_join("record.observed.files_read", ",").alias("files"), F.col("record.metrics.elapsed_seconds").alias("elapsed"), F.col("record.evaluation.overall_status").alias("overall"))
+
+
+@query(f"""
+    WITH {_FACTS} SELECT 'run-' || run AS run_id, 'input.raw_prompt' AS field, 'missing' AS problem FROM f WHERE run % 7 = 0 UNION ALL SELECT 'run-' || run, 'observed.commands_run', 'missing' FROM f WHERE commands IS NULL
+    UNION ALL SELECT 'run-' || run, 'evaluation.overall_status', 'not allowed' FROM f WHERE run % 5 = 0""")
+def record_errors(spark, d):
+    return runs.record_errors(_records(spark, d))
