@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamline.functions.text import sized
+
 
 def classify_title(items: DataFrame, keywords: DataFrame, key: str, title: str, fallback: str) -> DataFrame:
     """``key, category``: the first category (by ``category_order``) with a keyword in the title."""
-    hits = items.join(F.broadcast(keywords), F.lower(F.col(title)).contains(F.lower(F.col("keyword"))))
+    hits = items.join(sized(keywords), F.lower(F.col(title)).contains(F.lower(F.col("keyword"))))
     best = hits.groupBy(key).agg(F.min_by("category", "category_order").alias("category"))
     return items.select(key).join(best, key, "left").withColumn("category", F.coalesce("category", F.lit(fallback)))
 
@@ -91,5 +93,5 @@ def handoff_edges(contracts: DataFrame, key: str, gives: str, takes: str) -> Dat
 
 def category_default(items: DataFrame, defaults: DataFrame, name: str, category: str) -> DataFrame:
     """Adds ``resolved``: the own category, else the default of the name, else ``other``."""
-    m = F.broadcast(defaults.select(F.col("name").alias("_n"), F.col("category").alias("_c")))
+    m = sized(defaults.select(F.col("name").alias("_n"), F.col("category").alias("_c")))
     return items.join(m, F.col(name) == F.col("_n"), "left").withColumn("resolved", F.coalesce(F.nullif(F.col(category), F.lit("")), F.col("_c"), F.lit("other"))).drop("_n", "_c")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamline.functions.text import lines, run_id, running_max
+from loamline.functions.text import lines, run_id, running_max, sized
 
 
 # --- translations -------------------------------------------------------------
@@ -24,7 +24,7 @@ def missing_protected(df: DataFrame, key: str, translated: str) -> DataFrame:
 
 def critical_values(df: DataFrame, key: str, text: str, kinds: DataFrame) -> DataFrame:
     """``key, unit, value``: numbers with a unit, ``kinds(unit, pattern, factor)``; the pattern's first group is the number."""
-    j = df.join(F.broadcast(kinds), F.expr(f"{text} rlike pattern"))
+    j = df.join(sized(kinds), F.expr(f"{text} rlike pattern"))
     found = j.withColumn("_v", F.explode(F.expr(f"regexp_extract_all({text}, pattern, 1)")))
     return found.select(key, "unit", (F.replace("_v", F.lit(","), F.lit("")).cast("double") * F.col("factor")).alias("value"))
 
@@ -70,7 +70,7 @@ def apply_translations(units: DataFrame, by_id: DataFrame, by_text: DataFrame, k
 
 def glossary_hits(df: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
     """``key, term, translation``: terms (a small table) contained in each text."""
-    return df.join(F.broadcast(terms), F.lower(F.col(text)).contains(F.lower(F.col("term")))).select(key, "term", "translation")
+    return df.join(sized(terms), F.lower(F.col(text)).contains(F.lower(F.col("term")))).select(key, "term", "translation")
 
 
 def object_metrics(objects: DataFrame, kind: str, states: list[str], state: str) -> DataFrame:
@@ -306,7 +306,7 @@ def risk_tier(kind: Column, radius: Column, high: list[str], medium: list[str],
 
 def required_reviews(tasks: DataFrame, matrix: DataFrame) -> DataFrame:
     """Tasks with the reviews that their tier and domain ask for; ``matrix`` is a small table."""
-    return tasks.join(F.broadcast(matrix), ["tier", "domain"], "left")
+    return tasks.join(sized(matrix), ["tier", "domain"], "left")
 
 
 def tier_gate(packs: DataFrame, trusted: DataFrame, key: str) -> DataFrame:
@@ -326,7 +326,7 @@ def review_scores(scores: DataFrame, criteria: DataFrame, item: str) -> DataFram
     Rows need evidence; a same-context reviewer is capped at 3.
     """
     fine = scores.where(F.col("evidence").isNotNull()).withColumn("_s", F.when(F.col("same_context"), F.least("score", F.lit(3.0))).otherwise(F.col("score")))
-    j = fine.groupBy(item, "criterion").agg(F.max("_s").alias("_s")).join(F.broadcast(criteria), "criterion")
+    j = fine.groupBy(item, "criterion").agg(F.max("_s").alias("_s")).join(sized(criteria), "criterion")
     total = criteria.agg(F.sum("weight").alias("_w"))
     per = j.groupBy(item).agg(F.sum("weight").alias("_r"), F.sum(F.col("_s") * F.col("weight")).alias("_x")).crossJoin(F.broadcast(total))
     return per.select(item, F.round(100 * F.col("_r") / F.col("_w"), 1).alias("coverage"), F.when(F.col("_r") >= F.col("_w"), F.round(F.col("_x") / F.col("_w"), 6)).alias("weighted"))

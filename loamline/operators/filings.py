@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamline.functions.text import lines, sized
+
 MONEY = "decimal(20,4)"
 
 
@@ -21,14 +23,14 @@ def param_asof(facts: DataFrame, params: DataFrame, date: str, name: Column) ->
     until = F.lead("effective_from").over(Window.partitionBy("name").orderBy("effective_from"))
     spans = params.withColumn("_until", until).select(F.col("name").alias("_name"), "value", "effective_from", "_until", "verification_status")
     on = (name == F.col("_name")) & (F.col(date) >= F.col("effective_from")) & (F.col("_until").isNull() | (F.col(date) < F.col("_until")))
-    j = facts.join(F.broadcast(spans), on, "left")
+    j = facts.join(sized(spans), on, "left")
     bad = F.col("value").isNull() | (F.col("verification_status") != "VERIFIED")
     return j.withColumn("rejected", F.coalesce(bad, F.lit(True))).drop("_name", "_until", "verification_status")
 
 
 def progressive_tax(facts: DataFrame, brackets: DataFrame, key: list[str], income: Column) -> DataFrame:
     """``key, tax``: the sum over brackets ``(lo, hi, rate)`` of the income inside each times its rate; ``hi`` null is open."""
-    j = facts.select(*key, income.alias("_x")).crossJoin(F.broadcast(brackets))
+    j = facts.select(*key, income.alias("_x")).crossJoin(sized(brackets))
     part = F.greatest(F.least(F.greatest(F.col("_x").cast(MONEY), F.lit(0).cast(MONEY)), F.coalesce(F.col("hi").cast(MONEY), F.col("_x").cast(MONEY))) - F.col("lo").cast(MONEY), F.lit(0).cast(MONEY))
     return j.groupBy(*key).agg(F.sum(part * F.col("rate").cast("decimal(9,6)")).cast(MONEY).alias("tax"))
 
@@ -87,7 +89,7 @@ def lump_sum(before: Column, after: Column, wage: Column) -> Column:
 
 def activity_tax(revenue: DataFrame, rates: DataFrame, activity: str, amount: str, total: Column, threshold: float) -> DataFrame:
     """Adds ``vat`` and ``income_tax`` of each activity; none up to the threshold of total revenue."""
-    j = revenue.join(F.broadcast(rates), activity, "left")
+    j = revenue.join(sized(rates), activity, "left")
     taxed = lambda r: F.when(total <= threshold, F.lit(0.0)).otherwise(F.col(amount) * F.col(r))
     return j.withColumns({"vat": taxed("vat_rate"), "income_tax": taxed("income_rate")}).drop("vat_rate", "income_rate")
 
@@ -151,15 +153,13 @@ def parse_number(text: Column, machine: Column | None = None) -> Column:
 
 def reconcile(rows: DataFrame, formulas: DataFrame, keys: list[str], code: str, value: str, tolerance: float = 0.5) -> DataFrame:
     """``keys, total, stated, computed, diff, ok``: totals recomputed from signed components ``formulas(total, part, sign)``."""
-    parts = rows.join(F.broadcast(formulas), F.col(code) == F.col("part")).groupBy(*keys, "total").agg(F.sum(F.col(value).cast(MONEY) * F.col("sign")).alias("computed"))
+    parts = rows.join(sized(formulas), F.col(code) == F.col("part")).groupBy(*keys, "total").agg(F.sum(F.col(value).cast(MONEY) * F.col("sign")).alias("computed"))
     stated = rows.select(*keys, F.col(code).alias("total"), F.col(value).cast(MONEY).alias("stated"))
     return parts.join(stated, [*keys, "total"]).withColumn("diff", F.col("stated") - F.col("computed")).withColumn("ok", F.abs("diff") <= tolerance)
 
 
 def statement_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     """``key, code, period, value``: loose text lines ``code name current previous``; a code's first line counts."""
-    from loamline.functions.text import lines
-
     ls = lines(texts, [key], text).withColumn("code", F.regexp_extract("text", r"^\s*([0-9]{2,3})\s", 1)).where("code <> ''")
     first = ls.groupBy(key, "code").agg(F.min_by("text", "line").alias("t"))
     nums = F.regexp_extract_all("t", F.lit(r"(\(?-?[0-9][0-9.]*(?:,[0-9]+)?\)?)(?=\s|$)"), F.lit(1))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from loamline.functions.patterns import prefilter
-from loamline.functions.text import lines, run_id
+from loamline.functions.text import lines, run_id, sized
 
 OPEN, CLOSE = "\ue000", "\ue001"
 
@@ -171,7 +171,7 @@ def publish_gate(posts: DataFrame, status: DataFrame, key: str) -> DataFrame:
 
 def first_hits(ls: DataFrame, patterns: DataFrame, keys: list[str], text: str) -> DataFrame:
     """First line of each ``keys`` and pattern ``id`` that matches: ``keys, id, line``."""
-    return ls.join(F.broadcast(patterns), F.expr(f"{text} rlike pattern")).groupBy(*keys, "id").agg(F.min("line").alias("line"))
+    return ls.join(sized(patterns), F.expr(f"{text} rlike pattern")).groupBy(*keys, "id").agg(F.min("line").alias("line"))
 
 
 def top_phrases(findings: DataFrame, n: int) -> DataFrame:

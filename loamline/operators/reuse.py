@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from loamline.functions import sequences
-from loamline.functions.text import lines, split_lines
+from loamline.functions.text import lines, sized, split_lines
 
 
 #: Extensions of files that are compared, binary assets first.
@@ -39,8 +39,8 @@ def signature_hits(files: DataFrame, engines: DataFrame, allowed: DataFrame, key
 
     ``engines(id, module, signature)``, ``allowed(id, allowed_owner)``; both are small.
     """
-    pairs = files.join(F.broadcast(engines), F.expr(f"{owner} <> module and {text} rlike signature"))
-    pairs = pairs.join(F.broadcast(allowed.withColumnRenamed("id", "_id")), (F.col("id") == F.col("_id")) & (F.col(owner) == F.col("allowed_owner")), "left_anti")
+    pairs = files.join(sized(engines), F.expr(f"{owner} <> module and {text} rlike signature"))
+    pairs = pairs.join(sized(allowed.withColumnRenamed("id", "_id")), (F.col("id") == F.col("_id")) & (F.col(owner) == F.col("allowed_owner")), "left_anti")
     before = F.expr(f"substring({text}, 1, regexp_instr({text}, signature) - 1)")
     return pairs.select(key, "id", (F.length(before) - F.length(F.replace(before, F.lit("\n"))) + 1).cast("long").alias("line"))
 
@@ -48,7 +48,7 @@ def signature_hits(files: DataFrame, engines: DataFrame, allowed: DataFrame, key
 def banned_hits(files: DataFrame, bans: DataFrame, key: str, text: str, allow_marker: str) -> DataFrame:
     """``key, id, line``: first line of each file that a banned pattern matches and that lacks the allow marker."""
     ls = lines(files, [key], text).where(~F.col("text").contains(allow_marker))
-    return ls.join(F.broadcast(bans), F.expr("text rlike pattern")).groupBy(key, "id").agg(F.min("line").cast("long").alias("line"))
+    return ls.join(sized(bans), F.expr("text rlike pattern")).groupBy(key, "id").agg(F.min("line").cast("long").alias("line"))
 
 
 def owner_of(path: Column, root: str = ".agents/skills", shared: str = "scripts") -> Column:
@@ -167,7 +167,7 @@ def contract_score(docs: DataFrame, checks: DataFrame, key: str, text: str, pass
 
     ``checks(layer, pattern, points, level)`` is a small table.
     """
-    j = docs.crossJoin(F.broadcast(checks)).withColumn("_ok", F.expr(f"{text} rlike pattern"))
+    j = docs.crossJoin(sized(checks)).withColumn("_ok", F.expr(f"{text} rlike pattern"))
     per = j.groupBy(key).agg(F.coalesce(F.sum(F.when(F.col("_ok"), F.col("points"))), F.lit(0)).alias("score"), F.count_if(~F.col("_ok") & (F.col("level") == "error")).alias("errors"))
     return per.withColumn("validated", (F.col("score") >= pass_mark) & (F.col("errors") == 0))
 
@@ -176,7 +176,7 @@ def registry_gaps(items: DataFrame, registry: DataFrame, name: str, text: str) -
     """Items that no registry text mentions as they are, with hyphens or with underscores for blanks."""
     n = F.lower(F.col(name))
     mentioned = F.lower(F.col(text)).contains(n) | F.lower(F.col(text)).contains(F.replace(n, F.lit(" "), F.lit("-"))) | F.lower(F.col(text)).contains(F.replace(n, F.lit(" "), F.lit("_")))
-    return items.join(F.broadcast(registry.select(text)), mentioned, "left_anti")
+    return items.join(sized(registry.select(text)), mentioned, "left_anti")
 
 
 def parity_check(registry: DataFrame, files: DataFrame, key: str) -> DataFrame:

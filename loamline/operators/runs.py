@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamline.functions.text import share
+from loamline.functions.text import share, sized
 
 #: Step types whose content is tool output; prefixes of checks that do not make a run unknown.
 TOOL_OUTPUT = ("GENERIC", "RUN_COMMAND", "VIEW_FILE", "LIST_DIRECTORY", "GREP_SEARCH", "CODE_ACTION")
@@ -217,7 +217,7 @@ def command_audit(commands: DataFrame, rules: DataFrame, keys: list[str], comman
     """
     segment = F.regexp_replace(F.trim("seg"), r"^((sudo|env|time|nohup|command)\s+|[A-Za-z_][A-Za-z0-9_]*=\S*\s+)+", "")
     segs = commands.select(*keys, F.explode(F.split(command, r"&&|\|\||[;|\n]")).alias("seg")).withColumn("seg", segment)
-    hits = segs.join(F.broadcast(rules), F.expr("seg rlike pattern"))
+    hits = segs.join(sized(rules), F.expr("seg rlike pattern"))
     return hits.groupBy(*keys).agg(F.min_by("reason", "rule_order").alias("reason"))
 
 
