@@ -58,6 +58,17 @@ def discard(*settled: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_heap(spark: SparkSession) -> None:
+    """Let the executors' JVMs collect their garbage and give back the heap that is free then.
+
+    A JVM keeps the heap it has once grown to, which the Python workers of a
+    later stage then lack; between the stages of a long job little is alive. One
+    short task for each core; best effort, nothing depends on it.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """``df``, whose session hands Python tasks batches of ``BATCH_BYTES`` at most, unless it has a limit of its own."""
     if df.sparkSession.conf.get(BATCH_LIMIT, None) is None:

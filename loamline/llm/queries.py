@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamline.llm import collocations, divergence, mtree, neargraph, oracles, packing, quality, rans, secrets, simhash, sketches, tokens, toxicity, transducer
+from loamline.llm import pipeline as stages
 from loamline.llm.base import table
 
 
@@ -68,9 +69,7 @@ def op13_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 DEALT = [
