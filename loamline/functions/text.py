@@ -70,3 +70,8 @@ def normal_form(form: str):
             yield s.map(lambda t: None if t is None else unicodedata.normalize(form, t))
 
     return normalize
+
+
+def in_form(form: str, text: Column) -> Column:
+    """``text`` in a Unicode normal form; texts in ASCII are in every form and are not sent to Python."""
+    return F.coalesce(normal_form(form)(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamline.functions.text import lines, normal_form, run_id
+from loamline.functions.text import in_form, lines, run_id
 
 #: Least weighted length of a quote and of each of its segments.
 LEAST_QUOTE, LEAST_SEGMENT = 30, 8
@@ -22,14 +22,9 @@ SPACE = r"(?U)[\s\x1C-\x1F]+"
 MARK = "\ue000"
 
 
-def compatible(text: Column) -> Column:
-    """NFKC of a text; texts in ASCII are left as they are and not sent to Python."""
-    return F.coalesce(normal_form("NFKC")(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
-
-
 def norm_text(text: Column, normalize: bool = True) -> Column:
     """NFKC (unless ``normalize`` is off), white space of any kind collapsed, ends trimmed."""
-    return F.trim(F.regexp_replace(compatible(text) if normalize else text, SPACE, " "))
+    return F.trim(F.regexp_replace(in_form("NFKC", text) if normalize else text, SPACE, " "))
 
 
 def compact_text(text: Column, normalize: bool = True) -> Column:
@@ -110,14 +105,14 @@ def kanji_number(text: Column) -> Column:
 
 def article_number(article: Column) -> Column:
     """The number that an article's name holds, in digits of any width or in kanji; null without one."""
-    digits = F.regexp_extract(compatible(article), r"(\d+)", 1)
+    digits = F.regexp_extract(in_form("NFKC", article), r"(\d+)", 1)
     kanji = F.regexp_extract(article, f"第([{KANJI_DIGITS}十百千]+)条", 1)
     return F.when(digits != "", digits.cast("int")).when(kanji != "", kanji_number(kanji))
 
 
 def text_articles(text: Column) -> Column:
     """Array of ``struct(number, body)``: a text's headed parts in their order, each from its heading to the next of any number."""
-    ended = F.regexp_replace(F.translate(compatible(text), MARK, " "), "\r\n|[\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x85\u2028\u2029]", "\n")
+    ended = F.regexp_replace(F.translate(in_form("NFKC", text), MARK, " "), "\r\n|[\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x85\u2028\u2029]", "\n")
     plain = F.regexp_replace(ended, r"[ \t]+", " ")
     parts = F.split(F.regexp_replace(plain, HEADING, MARK + "$0"), MARK, -1)
 

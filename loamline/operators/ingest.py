@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamline.functions.text import lines, normal_form, run_id, sized, split_lines
+from loamline.functions.text import in_form, lines, normal_form, run_id, sized, split_lines
 
 #: Exit codes of the ingest statuses, worst first when a batch is summed up.
 STATUS_CODES = {"ok": 0, "unreadable": 2, "partial": 3, "missing_dependency": 4}
@@ -213,7 +213,7 @@ def clean_text(df: DataFrame, text: str = "text", normalize: bool = True) -> Dat
     """Adds ``clean``: line feeds only, no NUL, NFC, no trailing blanks, at most three newlines in a row, one at the end."""
     t = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n"), "\x00", "")
     if normalize:
-        t = normal_form("NFC")(t)
+        t = in_form("NFC", t)
     t = F.regexp_replace(F.regexp_replace(t, "[ \t]+(\n|$)", "$1"), "\n{4,}", "\n\n\n")
     t = F.regexp_replace(t, r"^[ \t\n]+|[ \t\n]+$", "")
     return df.withColumn("clean", F.when(t == "", "").otherwise(F.concat(t, F.lit("\n"))))
@@ -238,15 +238,21 @@ def ingest_status(df: DataFrame, chars: Column, ocr_pages: Column, missing: Colu
     return df.withColumns({"status": status, "exit_code": code})
 
 
-def batch_status(df: DataFrame, keys: list[str], item: str) -> DataFrame:
-    """``keys, exit_code`` (the worst), ``n_files, n_bad`` and ``bad``, the sorted items that are not ok."""
+def _severity(code: str) -> Column:
     rank = F.when(F.lit(False), F.lit(-1))
     for i, c in enumerate(SEVERITY):
-        rank = rank.when(F.col("exit_code") == c, i)
-    return df.groupBy(*keys).agg(
-        F.min_by("exit_code", rank).alias("exit_code"), F.count("*").alias("n_files"), F.count_if(F.col("exit_code") != 0).alias("n_bad"),
-        F.array_join(F.sort_array(F.collect_list(F.when(F.col("exit_code") != 0, F.col(item)))), ",").alias("bad"),
-    )
+        rank = rank.when(F.col(code) == c, i)
+    return rank
+
+
+def batch_status(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, exit_code`` (the worst), ``n_files, n_bad``; the items themselves are rows of ``batch_problems``."""
+    return df.groupBy(*keys).agg(F.min_by("exit_code", _severity("exit_code")).alias("exit_code"), F.count("*").alias("n_files"), F.count_if(F.col("exit_code") != 0).alias("n_bad"))
+
+
+def batch_problems(df: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """``keys, item, exit_code, severity`` (0 the worst) of the items that are not ok."""
+    return df.where(F.col("exit_code") != 0).select(*keys, item, "exit_code", _severity("exit_code").alias("severity"))
 
 
 def corpus_census(df: DataFrame, levels: list[str], chars: str, long_chars: int = 300_000) -> DataFrame:
@@ -259,7 +265,7 @@ def unique_slugs(df: DataFrame, key: str, name: str) -> DataFrame:
 
     ``n`` is the next number from 2 whose slug is no other row's plain slug.
     """
-    plain = F.regexp_replace(normal_form("NFD")(F.translate(F.coalesce(F.col(name), F.lit("")), "đĐ", "dd")), r"\p{M}+", "")
+    plain = F.regexp_replace(in_form("NFD", F.translate(F.coalesce(F.col(name), F.lit("")), "đĐ", "dd")), r"\p{M}+", "")
     base = F.substring(F.regexp_replace(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 80)
     df = df.withColumn("_base", F.when(base == "", "file").otherwise(base))
     numbered = df.select("_base").distinct().where(F.col("_base").rlike("-[1-9][0-9]{0,8}$"))

@@ -151,9 +151,15 @@ def findings_report(findings: DataFrame, level: str, code: str) -> DataFrame:
 
 
 def folder_fingerprint(files: DataFrame, owner: str, key: str, text: str) -> DataFrame:
-    """``owner, fingerprint``: hash of the ordered hashes of an owner's files."""
-    per = F.transform(F.sort_array(F.collect_list(F.struct(key, F.sha2(text, 256).alias("h")))), lambda s: s["h"])
-    return files.groupBy(owner).agg(F.sha2(F.array_join(per, ""), 256).alias("fingerprint"))
+    """``owner, fingerprint``: hash of the hashes of an owner's parts, each the hash of its files' hashes in order of their keys.
+
+    A file's part is the first three digits of its key's MD5, so an owner of any
+    number of files has 4096 parts at most.
+    """
+    part = F.substring(F.md5(F.col(key).cast("string")), 1, 3).alias("part")
+    ordered = lambda order, h: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, h))), lambda s: s["h"]), "")
+    parts = files.groupBy(owner, part).agg(F.sha2(ordered(key, F.sha2(text, 256).alias("h")), 256).alias("h"))
+    return parts.groupBy(owner).agg(F.sha2(ordered("part", F.col("h")), 256).alias("fingerprint"))
 
 
 def changed_since(current: DataFrame, certified: DataFrame, owner: str) -> DataFrame:

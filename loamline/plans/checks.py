@@ -8,12 +8,14 @@ from loamline.operators import checks
 from loamline.plans.core import query, table
 
 
-@query("""
-    WITH t AS (SELECT doc_id, text, unnest(list_distinct(list_concat(regexp_extract_all(text, '[A-Z][a-z]+, [A-Z]'), regexp_extract_all(text, '[0-9]+\\.[0-9]+')))) AS token FROM documents)
-    SELECT doc_id, token FROM t WHERE NOT contains(substring(text, 1, 500), token)""".replace("\\\\", "\\"))
+@query(r"""
+    WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(text, '.', ',') ELSE replace(text, ', ', ' ') END AS target, unnest(list_distinct(list_concat(regexp_extract_all(text, '[A-Z][a-z]+, [A-Z]'), regexp_extract_all(text, '[0-9]+\.[0-9]+')))) AS token FROM documents)
+    SELECT doc_id, token FROM t WHERE NOT contains(target, token)""")
 def missing_protected(spark, d):
-    docs = checks.protected_tokens(table(spark, d, "documents"), "text", ["[A-Z][a-z]+, [A-Z]", r"[0-9]+\.[0-9]+"]).withColumn("half", F.substring("text", 1, 500))
-    return checks.missing_protected(docs, "doc_id", "half")
+    """Whole texts, in which a translation has put other decimal marks, or left out commas."""
+    target = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("."), F.lit(","))).otherwise(F.replace("text", F.lit(", "), F.lit(" ")))
+    docs = checks.protected_tokens(table(spark, d, "documents"), "text", ["[A-Z][a-z]+, [A-Z]", r"[0-9]+\.[0-9]+"]).withColumn("target", target)
+    return checks.missing_protected(docs, "doc_id", "target")
 
 
 @query("""
@@ -207,11 +209,16 @@ def independence_errors(spark, d):
 
 
 @query("""
-    WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
-    SELECT source, md5(CASE WHEN regexp_matches(trim(t), '^[0-9]+$') THEN '#' ELSE trim(t) END) AS text_md5, count(DISTINCT doc_id) AS pages FROM l WHERE line = 1 GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3""")
+    WITH l AS (SELECT source, doc_id, trim(unnest(string_split(text, chr(10)))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line, len(string_split(text, chr(10))) AS n FROM documents)
+    SELECT source, CASE WHEN line = 1 THEN 'top' WHEN line = n THEN 'bottom' ELSE 'body' END AS band, md5(CASE WHEN regexp_matches(t, '^[0-9]+$') THEN '#' ELSE t END) AS text_md5, count(DISTINCT doc_id) AS pages
+    FROM l GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3""")
 def running_headers(spark, d):
-    first = table(spark, d, "documents").select("source", "doc_id", F.lit("top").alias("band"), F.get(F.split("text", "\n", -1), F.lit(0)).alias("t"))
-    return checks.running_headers(first, "source", "doc_id", "band", "t").select("source", F.md5("text").alias("text_md5"), "pages")
+    """Every line of the documents, in the bands of their first, last and other lines."""
+    docs = table(spark, d, "documents").select("source", "doc_id", F.split("text", "\n", -1).alias("l"))
+    lines = docs.select("source", "doc_id", F.size("l").alias("n"), F.posexplode("l").alias("i", "t"))
+    band = F.when(F.col("i") == 0, "top").when(F.col("i") == F.col("n") - 1, "bottom").otherwise("body")
+    out = checks.running_headers(lines.withColumn("band", band), "source", "doc_id", "band", "t")
+    return out.select("source", "band", F.md5("text").alias("text_md5"), "pages")
 
 
 @query("""

@@ -21,15 +21,23 @@ def ingest_status(spark, d):
     return ingest.ingest_status(docs, F.length("text"), (F.col("doc_id") % 7 == 0).cast("int"), F.lit(False)).select("doc_id", "status", "exit_code")
 
 
-@query("""
-    WITH s AS (SELECT source, doc_id, CASE WHEN doc_id % 7 = 0 THEN 3 WHEN length(text) = 0 THEN 2 ELSE 0 END AS code FROM documents)
-    SELECT source, CASE WHEN bool_or(code = 2) THEN 2 WHEN bool_or(code = 3) THEN 3 ELSE 0 END AS exit_code, count(*) AS n_files,
-        count(*) FILTER (code <> 0) AS n_bad, coalesce(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FILTER (code <> 0), '') AS bad
-    FROM s GROUP BY source""")
+_CODES = "s AS (SELECT source, doc_id, CASE WHEN doc_id % 7 = 0 THEN 3 WHEN length(text) = 0 OR doc_id % 11 = 0 THEN 2 ELSE 0 END AS code FROM documents)"
+
+
+def _coded_files(spark, d):
+    chars = F.when(F.col("doc_id") % 11 == 0, 0).otherwise(F.length("text"))
+    return ingest.ingest_status(table(spark, d, "documents"), chars, (F.col("doc_id") % 7 == 0).cast("int"), F.lit(False))
+
+
+@query(f"""
+    WITH {_CODES} SELECT source, CASE WHEN bool_or(code = 2) THEN 2 WHEN bool_or(code = 3) THEN 3 ELSE 0 END AS exit_code, count(*) AS n_files, count(*) FILTER (code <> 0) AS n_bad FROM s GROUP BY source""")
 def batch_status(spark, d):
-    docs = table(spark, d, "documents")
-    coded = ingest.ingest_status(docs, F.length("text"), (F.col("doc_id") % 7 == 0).cast("int"), F.lit(False))
-    return ingest.batch_status(coded, ["source"], "doc_id")
+    return ingest.batch_status(_coded_files(spark, d), ["source"])
+
+
+@query(f"WITH {_CODES} SELECT source, doc_id, code AS exit_code, CASE code WHEN 2 THEN 1 ELSE 2 END AS severity FROM s WHERE code <> 0")
+def batch_problems(spark, d):
+    return ingest.batch_problems(_coded_files(spark, d), ["source"], "doc_id")
 
 
 @query("""

@@ -115,13 +115,17 @@ def findings_report(spark, d):
     return reuse.findings_report(e, "level", "code")
 
 
-@query("SELECT source, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source")
+_PARTS = """SELECT source, sha256(string_agg(h, '' ORDER BY part)) AS {1} FROM (
+    SELECT source, substring(md5(CAST(doc_id AS VARCHAR)), 1, 3) AS part, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS h FROM documents {0} GROUP BY ALL) GROUP BY source"""
+
+
+@query(_PARTS.format("", "fingerprint"))
 def folder_fingerprint(spark, d):
     return reuse.folder_fingerprint(table(spark, d, "documents"), "source", "doc_id", "text")
 
 
-@query("""
-    WITH c AS (SELECT source, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS f FROM documents GROUP BY source), o AS (SELECT source, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS f FROM documents WHERE source <> 'src4' AND doc_id % 97 <> 3 GROUP BY source)
+@query(f"""
+    WITH c AS ({_PARTS.format("", "f")}), o AS ({_PARTS.format("WHERE source <> 'src4' AND doc_id % 97 <> 3", "f")})
     SELECT c.source, CASE WHEN o.source IS NULL THEN 'new' ELSE 'changed' END AS change FROM c LEFT JOIN o USING (source) WHERE c.f IS DISTINCT FROM o.f""")
 def changed_since(spark, d):
     docs = table(spark, d, "documents")
