@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamline.llm.base import text_or_empty
+from loamline.llm.base import settle, text_or_empty
 
 SHINGLE_WORDS = 5
 FRACTION = 2  # one hash in two is below the threshold
@@ -26,6 +26,7 @@ LOWEST = -(1 << 63)
 QUANTILES = 256
 BUCKET_ROWS = 20_000
 BROADCAST_HEADS = 1_000_000
+BROADCAST_CUTS = 4_000_000  # ids
 
 
 def _let(value: Column, body) -> Column:
@@ -94,8 +95,9 @@ def rendered(s: Column) -> Column:
 def with_successor(docs: DataFrame, id_col: str, columns: list[str], ties: str, derive: dict[str, Column] | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``docs`` plus ``next_<column>`` of the row with the next id; the last row's next is the first.
 
-    Ids are dealt into buckets: between each two of ``QUANTILES`` quantiles,
-    evenly by value. The smallest row of each bucket also goes, marked, to the
+    Ids are dealt into buckets by rank: between each two of ``QUANTILES``
+    quantiles by further quantiles of the ids there, so that ids with a coded
+    prefix, or any other gaps, fill buckets alike. The smallest row of each bucket also goes, marked, to the
     end of the bucket before (that of the first to the last), so each bucket
     finds its rows' successors alone. Only the quantiles reach the driver. The
     table of bucket heads has one row for about ``bucket_rows`` documents: up to
@@ -109,15 +111,17 @@ def with_successor(docs: DataFrame, id_col: str, columns: list[str], ties: str,
     cuts = sorted(set(stats["q"] or [0]))
     inner = max(1, -(-stats["n"] // (QUANTILES * bucket_rows)))
     q = F.array(*(F.lit(int(x)).cast("long") for x in cuts))
-
-    def bucket_of(k: Column) -> Column:
-        low, high = F.get(q, F.greatest(k - 1, F.lit(0))), F.get(q, F.least(k, F.lit(len(cuts) - 1)))
-        share = (i.cast("double") - low.cast("double")) / F.greatest(high.cast("double") - low.cast("double"), F.lit(1.0))
-        return k.cast("long") * inner + F.least(F.greatest(F.floor(share * inner), F.lit(0)), F.lit(inner - 1))
-
-    bucket = F.when(i.isNull(), F.lit(-1)).otherwise(_let(F.size(F.filter(q, lambda x: x <= i)), bucket_of)).cast("long")
-    dealt = docs.withColumn("_bucket", bucket)
-    heads = docs.select(i.alias("_head"), bucket.alias("_bucket")).groupBy("_bucket").agg(F.min("_head").alias("_head"))
+    coarse = F.size(F.filter(q, lambda x: x <= i))
+    if inner == 1:
+        dealt = docs.withColumn("_bucket", F.when(i.isNull(), F.lit(-1)).otherwise(coarse).cast("long"))
+    else:
+        share = [k / inner for k in range(1, inner)]
+        finer = docs.where(i.isNotNull()).select(i.alias("i"), coarse.alias("_coarse")).groupBy("_coarse").agg(F.percentile_approx("i", share, 10 * inner).alias("_cuts"))
+        finer = settle(finer.select("_coarse", F.array_distinct("_cuts").alias("_cuts")), "quantiles")
+        near = docs.join(F.broadcast(finer) if (QUANTILES + 2) * inner <= BROADCAST_CUTS else finer, coarse == F.col("_coarse"), "left")
+        fine = F.size(F.filter("_cuts", lambda x: x <= i))
+        dealt = near.withColumn("_bucket", F.when(i.isNull(), F.lit(-1)).otherwise(coarse * inner + fine).cast("long")).select(*docs.columns, "_bucket")
+    heads = dealt.select(i.alias("_head"), "_bucket").groupBy("_bucket").agg(F.min("_head").alias("_head"))
     whole = Window.orderBy("_bucket")  # one row for each bucket
     last = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select("_head", F.coalesce(F.lag("_bucket").over(whole), F.last("_bucket").over(last)).alias("_to"))
