@@ -100,9 +100,13 @@ def triage_pages(spark, d):
 _CODED = "CASE doc_id % 5 WHEN 0 THEN translate(text, 'aeou', 'µÖéø') WHEN 1 THEN translate(translate(text, '{lower}', '{upper}'), 'AEOU', 'µÖéø') WHEN 2 THEN replace(replace(replace(translate(text, 'u', 'ö'), 'a', 'aù'), 'e', 'eä'), 'd', 'ñ') WHEN 3 THEN translate(text, 'aq', '¸ệ') ELSE text END".format(
     lower=string.ascii_lowercase, upper=string.ascii_uppercase
 )
-_LEGACY = rf"""t AS (SELECT doc_id, {_CODED} AS t FROM documents WHERE text IS NOT NULL), k(codes, letters, strong, done, pair) AS (VALUES (
-    '¸µ¶·¹¨¾»¼½Æ©ÊÇÈÉË®ÐÌÎÏÑªÕÒÓÔÖÝ×ØÜÞãßáâä«èåæçé¬íêëìîóïñòôøõö÷ùýúûüþ¡¢£¤¥¦§' || chr(173), 'áàảãạăắằẳẵặâấầẩẫậđéèẻẽẹêếềểễệíìỉĩịóòỏõọôốồổỗộơớờởỡợúùủũụứừửữựýỳỷỹỵĂÂÊÔƠƯĐ' || 'ư',
-    '[¡¢£¤¥¦§¨©ª¬®µ¶·¸¹¼½¾' || chr(173) || ']', '[Ạ-ỹĂăĐđƠơƯưĨĩŨũ]', '[aeouyAEOUYôöÔÖ][ùøûõïâáàåãäêéèúüë]'))"""
+#: The SQL's own table: codes and letters in the order of the letters.
+_TC = "¸µ¶·¹¨¾»¼½Æ©ÊÇÈÉË®ÐÌÎÏÑªÕÒÓÔÖÝ×ØÜÞãßáâä«èåæçé¬íêëìîóïñòôøõö÷ùýúûüþ¡¢£¤¥¦§" + chr(173)
+_TC_LETTERS = "áàảãạăắằẳẵặâấầẩẫậđéèẻẽẹêếềểễệíìỉĩịóòỏõọôốồổỗộơớờởỡợúùủũụứừửữựýỳỷỹỵĂÂÊÔƠƯĐư"
+_TC_STRONG = "[¡¢£¤¥¦§¨©ª¬®µ¶·¸¹¼½¾" + chr(173) + "]"
+_VI, _PAIR = "[Ạ-ỹĂăĐđƠơƯưĨĩŨũ]", "[aeouyAEOUYôöÔÖ][ùøûõïâáàåãäêéèúüë]"
+_MARKED = "[aeouyAEOUYôöÔÖ][ùøûõïâáàåãäêéèúüëÙØÛÕÏÂÁÀÅÃÄÊÉÈÚÜË]"
+_LEGACY = rf"t AS (SELECT doc_id, {_CODED} AS t FROM documents WHERE text IS NOT NULL)"
 
 
 def _coded(spark, d):
@@ -117,9 +121,9 @@ def _coded(spark, d):
 
 
 @query(rf"""
-    WITH {_LEGACY}, w AS (SELECT doc_id, t, k.*, list_filter(regexp_extract_all(t, '\S+'), lambda w: regexp_matches(w, '\p{{L}}')) AS words FROM t, k),
-    s AS (SELECT doc_id, len(regexp_extract_all(t, done)) AS uni, len(regexp_extract_all(t, strong)) AS strong, len(words) AS words,
-        len(list_filter(words, lambda w: regexp_matches(w, '[' || codes || ']'))) AS tok, len(regexp_extract_all(t, pair)) AS pairs FROM w)
+    WITH {_LEGACY}, w AS (SELECT doc_id, t, list_filter(regexp_extract_all(t, '\S+'), lambda w: regexp_matches(w, '\p{{L}}')) AS words FROM t),
+    s AS (SELECT doc_id, len(regexp_extract_all(t, '{_VI}')) AS uni, len(regexp_extract_all(t, '{_TC_STRONG}')) AS strong, len(words) AS words,
+        len(list_filter(words, lambda w: regexp_matches(w, '[{_TC}]'))) AS tok, len(regexp_extract_all(t, '{_PAIR}')) AS pairs FROM w)
     SELECT doc_id, uni, strong, words, tok, pairs, CASE WHEN words = 0 THEN NULL
         WHEN uni * 4 <= greatest(strong, tok // 2) AND ((strong >= 3 AND tok / words >= 0.2) OR (strong >= 2 AND tok / words >= 0.35)) THEN 'tcvn3'
         WHEN uni * 4 <= pairs AND pairs >= 5 AND pairs / words >= 0.1 THEN 'vni' END AS legacy FROM s""")
@@ -129,23 +133,23 @@ def detect_legacy(spark, d):
 
 
 @query(rf"""
-    WITH {_LEGACY}, l AS (SELECT doc_id, codes, letters, strong, done, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM t, k),
+    WITH {_LEGACY}, l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM t),
     w AS (SELECT *, list_filter(regexp_extract_all(l, '\S+'), lambda w: regexp_matches(w, '\p{{L}}')) AS words, regexp_extract_all(l, '\S+|\s+') AS parts,
         len(regexp_extract_all(l, '[A-Z]')) >= 3 AND NOT regexp_matches(l, '[a-z]') AS capitals FROM l),
-    f AS (SELECT *, NOT regexp_matches(l, done) AND regexp_matches(l, '[' || codes || ']') AND (regexp_matches(l, strong)
-        OR len(list_filter(words, lambda w: regexp_matches(w, '[' || codes || ']'))) >= 0.3 * greatest(len(words), 1)) AS wrong FROM w)
+    f AS (SELECT *, NOT regexp_matches(l, '{_VI}') AND regexp_matches(l, '[{_TC}]') AND (regexp_matches(l, '{_TC_STRONG}')
+        OR len(list_filter(words, lambda w: regexp_matches(w, '[{_TC}]'))) >= 0.3 * greatest(len(words), 1)) AS wrong FROM w)
     SELECT doc_id, md5(string_agg(CASE WHEN wrong THEN array_to_string(list_transform(parts, lambda w:
-        CASE WHEN regexp_matches(w, '[' || codes || ']') AND (capitals OR len(regexp_extract_all(w, '[A-Z]')) >= 2 AND NOT regexp_matches(w, '[a-z]')) THEN upper(translate(w, codes, letters))
-        ELSE translate(w, codes, letters) END), '') ELSE l END, chr(10) ORDER BY n)) AS fixed_md5, count(*) FILTER (wrong) AS lines_changed
+        CASE WHEN regexp_matches(w, '[{_TC}]') AND (capitals OR len(regexp_extract_all(w, '[A-Z]')) >= 2 AND NOT regexp_matches(w, '[a-z]')) THEN upper(translate(w, '{_TC}', '{_TC_LETTERS}'))
+        ELSE translate(w, '{_TC}', '{_TC_LETTERS}') END), '') ELSE l END, chr(10) ORDER BY n)) AS fixed_md5, count(*) FILTER (wrong) AS lines_changed
     FROM f GROUP BY doc_id""")
 def repair_legacy(spark, d):
     return ingest.repair_legacy(_coded(spark, d), "text").select("doc_id", F.md5("fixed").alias("fixed_md5"), F.col("lines_changed").cast("long").alias("lines_changed"))
 
 
 @query(rf"""
-    WITH {_LEGACY}, l AS (SELECT doc_id, done, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM t, k WHERE doc_id % 5 = 2),
-    w AS (SELECT *, list_filter(regexp_extract_all(l, '\S+'), lambda w: regexp_matches(w, '\p{{L}}')) AS words, '[aeouyAEOUYôöÔÖ][ùøûõïâáàåãäêéèúüëÙØÛÕÏÂÁÀÅÃÄÊÉÈÚÜË]' AS pair FROM l),
-    f AS (SELECT *, NOT regexp_matches(l, done) AND regexp_matches(l, pair) AND len(list_filter(words, lambda w: regexp_matches(w, pair))) >= 0.3 * greatest(len(words), 1) AS wrong FROM w)
+    WITH {_LEGACY}, l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM t WHERE doc_id % 5 = 2),
+    w AS (SELECT *, list_filter(regexp_extract_all(l, '\S+'), lambda w: regexp_matches(w, '\p{{L}}')) AS words FROM l),
+    f AS (SELECT *, NOT regexp_matches(l, '{_VI}') AND regexp_matches(l, '{_MARKED}') AND len(list_filter(words, lambda w: regexp_matches(w, '{_MARKED}'))) >= 0.3 * greatest(len(words), 1) AS wrong FROM w)
     SELECT doc_id, string_agg(CASE WHEN wrong THEN translate(replace(replace(l, 'aù', 'á'), 'eä', 'ệ'), 'öñ', 'ưđ') ELSE l END, chr(10) ORDER BY n) AS fixed, count(*) FILTER (wrong) AS lines_changed
     FROM f GROUP BY doc_id
     HAVING NOT regexp_matches(string_agg(l, ' '), '[ôæóòîÔÖÑÆÓÒÎ]|[aouyAEOUYôöÔÖ][øûõïâáàåãäêéèúüëÙØÛÕÏÂÁÀÅÃÄÊÉÈÚÜË]|[eouyAEOUYôöÔÖ][ù]|[e][øûõïâáàåãêéèúüë]')""")
