@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from loamline.functions import sequences
+from loamline.functions.storage import settled
 from loamline.functions.text import lines, sized, split_lines
 
 
@@ -59,36 +60,53 @@ def owner_of(path: Column, root: str = ".agents/skills", shared: str = "scripts"
     return F.when(inside, F.get(parts, F.lit(depth))).when(F.get(parts, F.lit(0)) == shared, shared).otherwise(F.get(parts, F.lit(0)))
 
 
-def _shared_contents(files: DataFrame, owner: str, text: str, least: int) -> DataFrame:
-    """``h`` of the contents of ``least`` bytes or more that several owners hold."""
-    own = files.where(F.octet_length(text) >= least).groupBy(F.md5(text).alias("h")).agg(F.countDistinct(owner).alias("_owners"))
-    return own.where("_owners > 1").select("h", F.lit(True).alias("shared"))
-
-
 def _candidates(lined: DataFrame, block: list[str], ratio: float) -> DataFrame:
-    """``x, y``: contents whose bags of lines agree in ``ratio`` or more, by a prefix filter over lines from the rarest."""
-    rows = lined.select(*block, "c", F.size("lines").alias("n"), F.explode("lines").alias("l"))
+    """``x, y``: contents whose bags of lines may agree in ``ratio`` or more, by a prefix filter over lines from the rarest.
+
+    The first line that two contents share leaves at most the rest of the
+    shorter rest in common; where that is too little for ``ratio``, they do not
+    meet there. Lines that many short contents end with so bring no pairs.
+    """
+    rows = lined.repartition("c").select(*block, "c", F.size("lines").alias("n"), F.explode("lines").alias("l"))
     nth = F.row_number().over(Window.partitionBy("c", "l").orderBy(F.lit(0)))
     rows = rows.withColumn("token", F.xxhash64(*block, "l", nth)).drop("l", *block)
     often = rows.groupBy("token").agg(F.count("*").alias("f"))
     place = F.row_number().over(Window.partitionBy("c").orderBy("f", "token"))
     # A pair needs ratio / 2 of all lines in common, so of a content at least ratio / (2 - ratio) of its own.
-    first = rows.join(often, "token").withColumn("i", place).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * (ratio / (2 - ratio)) - 1e-9) + 1)
-    one, two = (first.select("token", F.col("c").alias(s), F.col("n").alias("n" + s)) for s in "xy")
-    met = one.join(two, "token").where("x < y").where(2.0 * F.least("nx", "ny") / (F.col("nx") + F.col("ny")) >= ratio)
-    pairs = met.select("x", "y", "nx", "ny").distinct()
-    own = lambda s: rows.select(F.col("c").alias(s), "token")
-    common = pairs.join(own("x"), "x").join(own("y"), ["y", "token"]).groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("m"))
-    return common.where(2.0 * F.col("m") / (F.col("nx") + F.col("ny")) >= ratio)
+    first = rows.join(often.where("f > 1"), "token", "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("i", place)
+    first = first.where((F.col("i") <= F.col("n") - F.ceil(F.col("n") * (ratio / (2 - ratio)) - 1e-9) + 1) & (F.col("f") > 1))
+    one, two = (first.select("token", F.col("c").alias(s), F.col("n").alias("n" + s), F.col("i").alias("i" + s)) for s in "xy")
+    most = 1 + F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
+    enough = 2.0 * F.least("nx", "ny", most) / (F.col("nx") + F.col("ny")) >= ratio
+    return one.join(two, "token").where(F.col("x") < F.col("y")).where(enough).select("x", "y").distinct()
+
+
+def _slices(lists: pa.ListArray) -> list[np.ndarray]:
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
+def _in_sequence(ratio: float, sequence: bool):
+    """Of rows ``x, y, lx, ly`` those that agree in ``ratio`` or more of their lines, with their numbers of lines and of matched ones.
+
+    Lines are matched from either side (``xy``, ``yx``), as blocks may differ by
+    that; without ``sequence`` by their bags.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [_slices(batch.column(c)) for c in (2, 3)]
+            kept, found = [], []
+            for i, (a, b) in enumerate(zip(*sides)):
+                both = sequences.agreement(a, b, ratio, sequence)
+                if both is not None and 2.0 * max(both) / (len(a) + len(b)) >= ratio:
+                    kept.append(i)
+                    found.append((len(a), len(b), *both))
+            counts = np.array(found, np.int64).reshape(-1, 4)
+            ids = batch.select([0, 1]).take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*ids.columns, *(pa.array(counts[:, c]) for c in range(4))], ["x", "y", "nx", "ny", "xy", "yx"])
 
-def _in_sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the matched lines of rows ``x, y, lx, ly``, from either side (``xy``, ``yx``), as blocks may differ by that."""
-    for batch in batches:
-        sides = [[np.asarray(v.values) for v in batch.column(c)] for c in (2, 3)]
-        found = [[sequences.matched(a, b), sequences.matched(b, a)] for a, b in zip(*sides)]
-        both = np.array(found, np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both[:, 0]), pa.array(both[:, 1])], ["x", "y", "xy", "yx"])
+    return run
 
 
 def near_duplicates(files: DataFrame, key: str, owner: str, text: str, ratio: float = 0.8, block: list[str] | None = None, sequence: bool = True, least_bytes: int = 200) -> DataFrame:
@@ -107,19 +125,21 @@ def near_duplicates(files: DataFrame, key: str, owner: str, text: str, ratio: fl
     leave too few others, so only such contents are compared, and none is lost.
     """
     block = block or []
-    held = files.where(F.length(text) > 0).groupBy(*block, F.col(owner).alias("o"), F.md5(text).alias("h")).agg(F.min(key).alias("k"), F.first(text).alias("_t"))
-    contents = held.groupBy(*block, "h").agg(F.min("k").alias("c"), F.first("_t").alias("_t"), F.count("*").alias("owners"))
-    contents = contents.join(_shared_contents(files, owner, text, least_bytes), "h", "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
-    lined = contents.select(*block, "c", "h", "owners", "shared", F.transform(split_lines(F.col("_t")), lambda line: F.xxhash64(line)).alias("lines"))
+    # Texts are read once and leave no task: hashes of their lines stand for them.
+    hashed = F.transform(split_lines(F.col(text)), lambda line: F.xxhash64(line)).alias("lines")
+    marked = files.where(F.length(text) > 0).select(*block, F.col(owner).alias("o"), F.col(key).alias("k"), F.md5(text).alias("h"), F.octet_length(text).alias("bytes"), hashed)
+    marked = settled(marked, "lines")
+    held = marked.groupBy(*block, "o", "h").agg(F.min("k").alias("k"), F.max("bytes").alias("bytes"))
+    shared = held.where(F.col("bytes") >= least_bytes).groupBy("h").agg(F.countDistinct("o").alias("_owners")).where("_owners > 1").select("h", F.lit(True).alias("shared"))
+    contents = held.groupBy(*block, "h").agg(F.min("k").alias("c"), F.count("*").alias("owners"))
+    contents = contents.join(shared, "h", "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
+    texts = marked.select(F.struct(*block, "h", F.col("k").alias("c")).alias("at"), "lines").dropDuplicates(["at"]).select("at.*", "lines")
+    lined = settled(contents.alias("p").join(texts.alias("t"), [F.col(f"p.{c}").eqNullSafe(F.col(f"t.{c}")) for c in [*block, "h", "c"]]).select("p.*", "lines"), "contents")
     pairs = _candidates(lined, block, ratio)
-    if sequence:
-        side = lambda s: lined.select(F.col("c").alias(s), F.col("lines").alias("l" + s))
-        texts = pairs.select("x", "y").join(side("x"), "x").join(side("y"), "y").select("x", "y", "lx", "ly")
-        kind = dict(texts.dtypes)["x"]
-        matched = texts.mapInArrow(_in_sequence, f"x {kind}, y {kind}, xy long, yx long")
-        pairs = pairs.drop("m").join(matched, ["x", "y"])
-    else:
-        pairs = pairs.withColumns({"xy": F.col("m"), "yx": F.col("m")})
+    side = lambda s: lined.select(F.col("c").alias(s), F.col("lines").alias("l" + s))
+    texts = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "lx", "ly")
+    kind = dict(texts.dtypes)["x"]
+    pairs = texts.mapInArrow(_in_sequence(ratio, sequence), f"x {kind}, y {kind}, nx long, ny long, xy long, yx long")
     whole = F.size("lines")
     same = lined.where(~F.col("shared") & (F.col("owners") > 1)).select(F.col("c").alias("x"), F.col("c").alias("y"), *(whole.cast("long").alias(c) for c in ("nx", "ny", "xy", "yx")))
     pairs = pairs.select("x", "y", "nx", "ny", "xy", "yx").unionByName(same)

@@ -2,6 +2,7 @@
 
 import difflib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -66,3 +67,21 @@ def test_near_duplicates_are_those_of_all_pairs(spark, seed):
     assert shared and want
     assert {tuple(r) for r in reuse.near_duplicates(df, "k", "o", "t", 0.6, ["name"], least_bytes=60).collect()} == want
     assert reuse.near_duplicates(df.limit(0), "k", "o", "t").count() == 0
+
+
+def test_agreement_is_that_of_matching_blocks():
+    rng = np.random.default_rng(5)
+    for n in range(400):
+        a, b = (rng.integers(0, (4, 12, 60)[n % 3], rng.integers(1, 12)) for _ in "ab")
+        b = (b, a[::-1], np.concatenate([b, a]))[n % 4 % 3]
+        common = sum((Counter(a.tolist()) & Counter(b.tolist())).values())
+        want = (sequences.matched(a, b), sequences.matched(b, a)) if 2.0 * common / (len(a) + len(b)) >= 0.5 else None
+        assert sequences.agreement(a, b, 0.5) == want
+        assert sequences.agreement(a, b, 0.0, ordered=False) == (common, common)
+
+
+def test_frequent_last_lines_propose_no_pairs(spark):
+    """A line that all texts share, among others of their own, once brought every pair of them to the exact comparison."""
+    rows = [(k, [k * 10 + i for i in range(1, 4)] + [-1]) for k in range(40)] + [(100, [11, 12, 13, 5])]
+    lined = spark.createDataFrame(rows, "c int, lines array<long>")
+    assert [tuple(r) for r in reuse._candidates(lined, [], 0.5).collect()] == [(1, 100)]
