@@ -73,3 +73,13 @@ def prefilter(patterns: Iterable[str]) -> str | None:
         return None
     literals = frozenset().union(*every)
     return None if any(x != x.lower() and not x.isascii() for x in literals) else any_of(x.lower() for x in literals)
+
+
+def ascii_boundaries(pattern: str) -> str:
+    r"""``pattern`` with ``\b`` as an edge of a run of ``[A-Za-z0-9_]``, as in RE2; Java's own also counts other letters and marks."""
+    edge = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+    out, inside = [], 0
+    for part in re.findall(r"\\.|.", pattern, re.DOTALL):
+        inside += (part == "[") - (part == "]" and inside > 0)
+        out.append(edge if part == r"\b" and not inside else part)
+    return "".join(out)

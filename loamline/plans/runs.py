@@ -128,7 +128,9 @@ def artifact_match(spark, d):
     SELECT conv_id, turn, concat_ws(';', CASE WHEN a <> '' AND (NOT going OR contains(a, 'and')) THEN a END, CASE WHEN b <> '' AND NOT going THEN b END) AS evidence,
         (a <> '' AND (NOT going OR contains(a, 'and'))) OR (b <> '' AND NOT going) AS claimed FROM h""")
 def completion_claim(spark, d):
-    return runs.completion_claim(table(spark, d, "conversations"), "text", [r"\bthe (?:and|of)\b", r"\bund die\b"], [r"\bund der\b"], ["and"]).select("conv_id", "turn", "evidence", "claimed")
+    """A null text claims nothing either way: null."""
+    out = runs.completion_claim(table(spark, d, "conversations"), "text", [r"\bthe (?:and|of)\b", r"\bund die\b"], [r"\bund der\b"], ["and"])
+    return out.select("conv_id", "turn", "evidence", F.when(F.col("text").isNotNull(), F.col("claimed")).alias("claimed"))
 
 
 @query("""

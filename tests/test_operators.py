@@ -72,6 +72,12 @@ def test_completion_claim(spark):
     assert got == [True, False, True, False]
 
 
+def test_claims_end_at_ascii_boundaries(spark):
+    df = spark.createDataFrame([("Und dieükeit",), ("üund die",), ("und diet",), ("und die, schund derü",), ("und die und derü",)], "t string")
+    got = [(r["evidence"], r["claimed"]) for r in runs.completion_claim(df, "t", [r"\bund die\b"], [r"\bund der\b"], []).collect()]
+    assert got == [("und die", True), ("und die", True), ("", False), ("und die", True), ("", False)]
+
+
 def test_salvage_json(spark):
     df = spark.createDataFrame([('{"k": 1}',), ('x {"k": 2} y',), ("none",), (None,)], "t string")
     assert [r["parsed"] and r["parsed"]["k"] for r in readers.salvage_json(df, "t", "k long").collect()] == [1, 2, None, None]
