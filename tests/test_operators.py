@@ -17,6 +17,14 @@ def test_detect_format_and_encoding(spark):
     assert enc == {3: None, 6: "utf-8"}
 
 
+def test_encoding_of_few_bytes(spark):
+    """A zero among under 8 bytes is no UTF-16."""
+    raw = {b"A\0BC": "utf-8", b"A\0BCxy": "utf-8", "four".encode("utf-16-le"): "utf-16-le", "four".encode("utf-16-be"): "utf-16-be", b"A\0BC" + b"x" * 30: "utf-8", b"\0" * 40: "utf-8", b"\xe9t\xe9": "legacy"}
+    df = spark.createDataFrame([(i, c, ".txt") for i, c in enumerate(raw)], "id int, content binary, ext string")
+    got = ingest.detect_encoding(ingest.detect_format(df)).orderBy("id").collect()
+    assert [r["encoding"] for r in got] == list(raw.values()) and [r["format"] for r in got] == ["binary"] * 6 + ["text"]
+
+
 def test_layout_rows_measure_from_the_first_box(spark):
     boxes = spark.createDataFrame([(1, 0.0, 0.0, 5.0, 10.0, "a"), (1, 10.0, 4.0, 15.0, 14.0, "b"), (1, 20.0, 8.0, 25.0, 18.0, "c")], "page int, x0 double, y0 double, x1 double, y1 double, text string")
     got = sorted((r["row"], r["text"]) for r in ingest.layout_rows(boxes, "page").collect())
