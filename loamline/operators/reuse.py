@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +20,13 @@ ASSETS = (".ttf", ".otf", ".woff", ".woff2", ".onnx", ".bin", ".pt", ".safetenso
 SOURCES = (".py", ".js", ".mjs", ".ts", ".sh", ".md", ".json", ".html", ".css", ".txt", ".yaml", ".yml", ".typ")
 
 
-def exact_duplicates(files: DataFrame, owner: str, key: str, text: str, least: int = 200, path: str | None = None) -> DataFrame:
+def exact_duplicates(files: DataFrame, owner: str, key: str, text: str, least: int = 200, path: str | None = None, size: Callable[[str], Column] = F.octet_length) -> DataFrame:
     """``hash, owners, files, first``: contents of ``least`` bytes or more that several owners hold.
 
-    With ``path``, only files of known extensions count, and ``kind`` is ASSET
+    ``size`` measures a text; ``F.length`` counts characters. With ``path``, only files of known extensions count, and ``kind`` is ASSET
     or DUP by the extension of the first file.
     """
-    own = files.where(F.octet_length(text) >= least)
+    own = files.where(size(text) >= least)
     if path is not None:
         ext = F.lower(F.regexp_extract(F.col(path), r"(\.[^./]+)$", 1))
         own = own.withColumn("_ext", ext).where(F.col("_ext").isin(*ASSETS, *SOURCES))
