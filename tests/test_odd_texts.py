@@ -24,10 +24,15 @@ def folder(tmp_path_factory):
     return base
 
 
-@pytest.mark.parametrize("name", ["completion_claim", "detect_format", "exact_duplicates", "line_roles", "line_roles_by_document"])
+@pytest.mark.parametrize("name", ["completion_claim", "detect_format", "exact_duplicates", "line_roles", "line_roles_by_document", "batch_status"])
 def test_query(spark, folder, name):
     c = duckdb.connect()
     for t in ("documents", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     want = rows(c.sql(ORACLES[name]).df())
     assert want and rows(QUERIES[name](spark, folder).toPandas()) == want
+
+
+def test_a_batch_lists_its_problems(spark, folder):
+    got = QUERIES["batch_status"](spark, folder).toPandas()
+    assert got["bad"].str.split(",").map(len).tolist() == got["n_bad"].tolist()
