@@ -21,8 +21,8 @@ the set of symbols. The shard then scores all documents' trigrams, and their
 sums return to the batch. What is shuffled grows with the text.
 
 A middle word too frequent for one shard is split by a class of the word before
-it; its pairs are then counted within the class (their context is the word and
-the class), so that a shard stays self-contained.
+it. Each class then sends its pairs of that word, the sums over the classes come
+back to them, and the model is the same as with one shard.
 
 A document is rejected when its perplexity is above a high quantile of the
 held-out trusted texts in its language.
@@ -33,7 +33,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -55,7 +55,7 @@ SHARD_TRIGRAMS = 4_000_000
 LEAST_SHARDS = 24
 WORD_CACHE = 400_000  # words of at most CACHED_LETTERS
 CACHED_LETTERS = 40
-FIXED_POINT = 1 << 12  # of summed log probabilities
+FIXED_POINT = 1 << 12  # of log probabilities
 HIGH = 0.998
 LEVELS = 10_000  # of one unit of log perplexity, on which the quantiles are counted
 SLACK = 0.01  # of log perplexity, beyond the quantile
@@ -243,6 +243,23 @@ def _pairs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _runs(x, np.ones(len(x), np.int64))
 
 
+def _counts_packed(x: np.ndarray, n: np.ndarray) -> bytes:
+    keys = _planes(np.diff(x, prepend=np.uint64(0)))
+    return struct.pack("<I", len(keys)) + keys + _planes(n)
+
+
+def _counts_added(packed: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and the sums of their counts, over what ``_counts_packed`` has packed."""
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for raw in packed:
+        at = 4 + struct.unpack_from("<I", raw)[0]
+        keys.append(np.cumsum(_from_planes(raw[4:at], np.uint64), dtype=np.uint64))
+        counts.append(_from_planes(raw[at:], np.int64))
+    x, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(x, kind="stable")
+    return _runs(x[order], n[order])
+
+
 def _first_four(counts: np.ndarray) -> list[int]:
     return [int((counts == c).sum()) for c in (1, 2, 3, 4)]
 
@@ -276,12 +293,17 @@ def _find(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """One half's model as far as a shard needs it: its trigrams, and the counts of counts and of single words of all shards."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, single: np.ndarray, ones3: list[int], ones2: list[int]):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, single: np.ndarray, ones3: list[int], ones2: list[int], shared: tuple[np.ndarray, np.ndarray] | None = None):
         total = int(single.sum())
         d = discounts(_first_four(single[single > 0]))
         taken = np.where(single > 0, d[np.clip(single, 1, 3) - 1], 0)
         self.p1 = (np.maximum(single - taken, 0) + (taken.sum() if total else 1) / SIZE) / max(1, total)
         self.pairs, n = _pairs(keys)
+        if shared is not None:  # pairs of middle words that several shards count together
+            mine = ~np.isin(self.pairs >> np.uint64(16), shared[0] >> np.uint64(16))
+            self.pairs, n = np.concatenate([self.pairs[mine], shared[0]]), np.concatenate([n[mine], shared[1]])
+            order = np.argsort(self.pairs)
+            self.pairs, n = self.pairs[order], n[order]
         own, place, self.middles, self.left2 = _discounted(self.pairs >> np.uint64(16), n, discounts(ones2))
         self.p2 = own + self.left2[place] * self.p1[(self.pairs & np.uint64(0xFFFF)).astype(np.int64)]
         self.keys = keys
@@ -357,28 +379,55 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     ranges = 16 * -(-shards.n // 256)
     width = -(-(SYMBOLS + 8) // ranges)
 
-    def tally(key: tuple, sent: pd.DataFrame) -> pd.DataFrame:
+    split = shards.parts > 1
+
+    def ranged(pairs: np.ndarray, firsts: np.ndarray, ones3: list[int]) -> list[bytes]:
         # Single words' continuation counts, then the numbers of trigrams and pairs that occur once to four times.
+        vector = np.concatenate([np.bincount((pairs & np.uint64(0xFFFF)).astype(np.int64), minlength=SYMBOLS), ones3, _first_four(firsts)]).astype(np.int64)
+        return [_planes(vector[r * width : (r + 1) * width]) for r in range(ranges)]
+
+    def tally(key: tuple, sent: pd.DataFrame) -> pd.DataFrame:
+        # Part -1 - m: this shard's pairs of the split middle word m.
         out = []
         for h, (x, n) in enumerate(_counted(sent["data"], sent["info"])):
             pairs, firsts = _pairs(x)
-            vector = np.concatenate([np.bincount((pairs & np.uint64(0xFFFF)).astype(np.int64), minlength=SYMBOLS), _first_four(n), _first_four(firsts)]).astype(np.int64)
-            out += [(h, r, _planes(vector[r * width : (r + 1) * width])) for r in range(ranges)]
+            middle = (pairs >> np.uint64(16)).astype(np.int64)
+            own = ~split[middle]
+            out += [(h, r, data) for r, data in enumerate(ranged(pairs[own], firsts[own], _first_four(n)))]
+            out += [(h, -1 - m, _counts_packed(pairs[middle == m], firsts[middle == m])) for m in np.unique(middle[~own]).tolist()]
         return pd.DataFrame(out, columns=["half", "part", "data"])
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(_from_planes(x, np.int64) for x in rows["data"])
-        return pd.DataFrame({"half": [key[0]], "part": [key[1]], "data": [_planes(total)]})
+        half, part = key
+        if part >= 0:
+            return pd.DataFrame({"half": [half], "part": [part], "data": [_planes(sum(_from_planes(x, np.int64) for x in rows["data"]))]})
+        pairs, firsts = _counts_added(rows["data"])
+        out = [(half, part, _counts_packed(pairs, firsts)), *((half, r, data) for r, data in enumerate(ranged(pairs, firsts, [0] * 4)))]
+        return pd.DataFrame(out, columns=["half", "part", "data"])
 
-    tallied = shipped.groupBy("shard").applyInPandas(tally, "half int, part int, data binary")
-    total = tallied.groupBy("half", "part").applyInPandas(add, "half int, part int, data binary")
-    known = total.select(F.explode(F.sequence(F.lit(0), F.lit(shards.n - 1))).alias("shard"), "half", "part", F.col("data").alias("total"))
+    def finished(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        half, part = key
+        if part >= 0:
+            return add(key, rows).assign(shards=[list(range(shards.n))])
+        first, parts = int(shards.first[-1 - part]), int(shards.parts[-1 - part])
+        return rows[["half", "part", "data"]].assign(shards=[sorted({(first + j) % shards.n for j in range(parts)})])
+
+    form = "half int, part int, data binary"
+    tallied = shipped.groupBy("shard").applyInPandas(tally, form)
+    total = tallied.groupBy("half", "part").applyInPandas(add, form)
+    if split.any():  # the sums of split words' pairs enter the totals
+        total = total.groupBy("half", "part").applyInPandas(finished, f"{form}, shards array<int>")
+    else:
+        total = total.withColumn("shards", F.sequence(F.lit(0), F.lit(shards.n - 1)))
+    known = total.select(F.explode("shards").alias("shard"), "half", "part", F.col("data").alias("total"))
 
     def score(key: tuple, sent: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         models = []
         for h, (x, n) in enumerate(_counted(sent["data"], sent["info"])):
-            vector = np.concatenate([np.zeros(0, np.int64), *(_from_planes(d, np.int64) for d in known[known["half"] == h].sort_values("part")["total"])])
-            models.append(Model(x, n, vector[:SYMBOLS], vector[SYMBOLS : SYMBOLS + 4].tolist(), vector[SYMBOLS + 4 :].tolist()))
+            own = known[known["half"] == h].sort_values("part")
+            vector = np.concatenate([np.zeros(0, np.int64), *(_from_planes(d, np.int64) for d in own[own["part"] >= 0]["total"])])
+            shared = _counts_added(own[own["part"] < 0]["total"])
+            models.append(Model(x, n, vector[:SYMBOLS], vector[SYMBOLS : SYMBOLS + 4].tolist(), vector[SYMBOLS + 4 :].tolist(), shared))
         sums: list[bytes | None] = []
         for data, info in zip(sent["data"], sent["info"]):
             if not data:
@@ -389,8 +438,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
             half, out = (code & 1)[slot], np.zeros(len(code))
             for h in (0, 1):
                 mine = half == h
-                out += np.bincount(slot[mine], n[mine] * models[1 - h].logs(x[mine]), len(code))
-            sums.append(_planes(np.round(out * FIXED_POINT).astype(np.int64)))
+                # Whole numbers, so that sums do not depend on how trigrams are dealt.
+                out += np.bincount(slot[mine], n[mine] * np.round(models[1 - h].logs(x[mine]) * FIXED_POINT), len(code))
+            sums.append(_planes(out.astype(np.int64)))
         return pd.DataFrame({"batch": sent["batch"], "rows": sent["rows"], "data": sums})
 
     scored = shipped.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(score, "batch long, rows binary, data binary")

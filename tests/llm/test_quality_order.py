@@ -115,3 +115,14 @@ def test_labels_too_many_to_broadcast_give_the_same(spark, monkeypatch):
     want = found()
     monkeypatch.setattr(quality, "BROADCAST_ROWS", 5)
     assert found() == want
+
+
+def test_split_words_change_no_perplexity(spark):
+    """Words dealt to many shards by the word before have the perplexities of one shard."""
+    rng = np.random.default_rng(11)
+    docs = spark.createDataFrame([(i, " ".join(_walk(rng, 120)), "en") for i in range(80)], "doc_id long, text string, lang string").repartition(3)
+    trusted = spark.createDataFrame([(i,) for i in range(0, 80, 2)], "doc_id long")
+    counts = quality.middle_counts(docs)
+    assert (quality.Shards(counts, 200).parts > 1).any() and not (quality.Shards(counts).parts > 1).any()
+    whole, split = ({r["doc_id"]: r["perplexity"] for r in quality.perplexities(docs, trusted, shard_trigrams=n).collect()} for n in (quality.SHARD_TRIGRAMS, 200))
+    assert whole == split
