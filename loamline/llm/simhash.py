@@ -22,7 +22,8 @@ on the shingles themselves.
 Within a list, shared positional bytes are tallied for each pair, pairs under
 the minimum are left out, and the rest are verified on all bits. A pair counts
 in the first list only that it shares. A list writes a spanning forest of its
-links, the nearest first, never all its pairs. Lists longer than ``LIST_ROWS`` are dealt
+links, the nearest first, never all its pairs; ``near_copies`` then takes all
+pairs that verified links have not brought together. Lists longer than ``LIST_ROWS`` are dealt
 out as pairs of blocks, so that one task never holds more than two blocks of a
 hot list.
 """
@@ -45,6 +46,7 @@ from loamline.llm.components import components
 SHINGLE_WORDS = 4
 SEED = 42
 LIST_ROWS = 8192
+PORTION = 200_000  # links handed on at once
 SLICE_BYTES = 4_000_000
 SIMILARITY = 0.8
 SHORT = 50  # shingles; texts of up to SIMILARITY of this are linked through the prefix filter without loss
@@ -163,7 +165,7 @@ def _postings(nodes: DataFrame, index: Index) -> DataFrame:
         return out
 
     keys = [key(w, j, t) for w in range(index.words) for j, t in enumerate(index.keys)]
-    return nodes.select(F.explode(F.array(*keys)).alias("key"), *_names(index.words), "node")
+    return nodes.select(F.explode(F.array(*keys)).alias("key"), *_names(index.words), "node", *(c for c in nodes.columns if c == "label"))
 
 
 def _close(at: np.ndarray, lag: int, key: np.ndarray, fp: np.ndarray, index: Index, first: np.ndarray, bits: int) -> np.ndarray:
@@ -216,17 +218,36 @@ def _pairs_of(group: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
         yield at, lag
 
 
-def _links(index: Index):
+def _across(key: np.ndarray, group: np.ndarray, fp: np.ndarray, index: Index, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (pairs of places), all of them, inside each run of equal ``group`` whose ends differ in ``label``, in portions."""
+    first = index.first_key()
+    found, n = [], 0
+    for at, lag in _pairs_of(group):
+        near = at[label[at] != label[at + lag]]
+        if len(near):
+            near = _close(near, lag, key, fp, index, first, index.max_bits)
+            found.append((near, near + lag))
+            n += len(near)
+            if n > PORTION:
+                yield tuple(map(np.concatenate, zip(*found)))
+                found, n = [], 0
+    if n:
+        yield tuple(map(np.concatenate, zip(*found)))
+
+
+def _links(index: Index, across: bool = False):
     shift = 8 * len(index.keys[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
-        def out(key, block, node, *fps):
+        def out(key, block, node, *more):
+            label, fps = (more[0], more[1:]) if across else (None, more)
             change = np.ones(len(key), bool)
             change[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
-            a, b = _forest(key >> shift, np.cumsum(change), np.ascontiguousarray(np.stack(fps, 1)).view(np.uint64), index)
-            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+            lists = key >> shift, np.cumsum(change), np.ascontiguousarray(np.stack(fps, 1)).view(np.uint64), index
+            for a, b in _across(*lists, label) if across else [_forest(*lists)]:
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
         for b in batches:
             now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
@@ -237,10 +258,10 @@ def _links(index: Index):
             same = (now[0] == now[0][-1]) & (now[1] == now[1][-1])
             cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
             if cut:
-                yield out(*(x[:cut] for x in now))
+                yield from out(*(x[:cut] for x in now))
             held = [x[cut:] for x in now]
         if held is not None and len(held[0]):
-            yield out(*held)
+            yield from out(*held)
 
     return run
 
@@ -251,7 +272,11 @@ def near_links(nodes: DataFrame, index: Index = EXACT, list_rows: int = LIST_ROW
     ``nodes(fp0, ..., node)`` holds each fingerprint once. Under ``EXACT`` every
     pair within its bits is in one component of the result. How long lists are
     is counted on a sixteenth of the nodes: this only decides how they are dealt.
+
+    Where nodes have a ``label``, the links are all those between nodes of
+    different labels instead.
     """
+    across = [c for c in nodes.columns if c == "label"]
     lists = _postings(nodes, index)
     share = 16 if list_rows >= 1024 else 1
     some = _postings(nodes.where(F.pmod(F.hash("node"), F.lit(share)) == 0), index).groupBy("key").count()
@@ -261,9 +286,9 @@ def near_links(nodes: DataFrame, index: Index = EXACT, list_rows: int = LIST_ROW
     pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o))
     )
-    dealt = dealt.select("key", F.explode(pairs).alias("block"), "node", *_names(index.words))
+    dealt = dealt.select("key", F.explode(pairs).alias("block"), "node", *across, *_names(index.words))
     dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block")
-    return dealt.mapInArrow(_links(index), "a long, b long")
+    return dealt.mapInArrow(_links(index, bool(across)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index = EXACT, words_in_shingle: int = SHINGLE_WORDS) -> DataFrame:
@@ -330,11 +355,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shingles in common; ``component_id`` is the smallest doc_id that links
     reach. Equal sets of shingles are one node, so texts without words are
     linked. Every link is verified on the shingles. Fingerprints propose a
-    spanning forest of each list, nearest pairs first, so a link is only lost
-    where the way between its ends that is nearer in bits fails. Among short
-    texts the heads of the prefix lists are tried first, then all pairs of a
-    list that have not come together: there no link is lost. Rows with a null id
-    have a null component.
+    spanning forest of each list, nearest pairs first, and for short texts the
+    heads of the prefix lists are tried; then all pairs of a list that have not
+    come together: so no link between texts that share a list is lost. Rows
+    with a null id have a null component.
     """
     index = SIMILAR
     names = _names(index.words)
@@ -354,11 +378,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     x = settle(lists.join(label, "node", "left").select(*key, "node", F.coalesce("label", "node").alias("label")), "labels")
     y = x.select(*key, F.col("node").alias("other"), F.col("label").alias("other_label"))
     across = x.join(y, key).where("node < other and label <> other_label").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    second = verified(across.join(first.select("a", "b"), ["a", "b"], "left_anti"), sets.where(F.size("shingles") <= SHORT)).where("alike").select("a", "b")
+    near = nodes.join(proposed.select(F.col("a").alias("node")).union(proposed.select("b")).distinct(), "node", "left_semi").join(label, "node", "left")
+    near = settle(near.select("node", *names, F.coalesce("label", "node").alias("label")), "apart")
+    apart = near_links(near, index).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second = verified(across.union(apart).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"), sets).where("alike").select("a", "b")
     roots = components(alike.union(second))
     named = nodes.join(roots.withColumnRenamed("vertex", "node"), "node", "left").select(*names, "n", "mark", F.coalesce("component", "node").alias("component_id"))
     found = settle(marks.join(named, [*names, "n", "mark"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")), "copies")
-    discard(marks, nodes, proposed, sets, lists, first, x)
+    discard(marks, nodes, proposed, sets, lists, first, x, near)
     return found
 
 

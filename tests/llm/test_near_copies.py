@@ -71,3 +71,17 @@ def test_fingerprint_equals_the_definition(spark):
     want = sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
     got = simhash.near_duplicates(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert got["fingerprint"] == f"{want:016x}"
+
+
+def test_links_are_found_beside_nearer_ones_that_fail(spark, monkeypatch):
+    """Lists by single bytes, at any distance: their forests mostly run over texts that are not alike."""
+    monkeypatch.setattr(simhash, "SIMILAR", simhash.Index(words=4, keys=tuple((p,) for p in range(8)), min_matches=1, max_bits=256, distinct=True))
+    rng = np.random.default_rng(9)
+    texts = []
+    for _ in range(300):
+        base = [f"w{i}" for i in rng.integers(0, 5000, 100)]
+        texts += [" ".join(base), " ".join([*base[:98], "other", "end"])]
+    order = rng.permutation(len(texts)).tolist()
+    docs = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    assert all(got[i] == i // 2 * 2 for i in range(len(texts)))
