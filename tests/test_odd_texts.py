@@ -4,6 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from loamline.operators import ingest
 from loamline.plans.registry import ORACLES, QUERIES
 from test_queries import rows
 
@@ -36,3 +37,11 @@ def test_query(spark, folder, name):
 def test_a_batch_lists_its_problems(spark, folder):
     got = QUERIES["batch_status"](spark, folder).toPandas()
     assert got["bad"].str.split(",").map(len).tolist() == got["n_bad"].tolist()
+
+
+def test_facts_of_a_line_are_taken_once(spark):
+    """The test for capitals once ran over the whole line for each of its tokens."""
+    df = spark.createDataFrame([("µABC DEÖ x\nABC µÖ DEF\n",)], "t string")
+    out = ingest.repair_legacy(df, "t")
+    assert [tuple(r) for r in out.select("fixed", "lines_changed").collect()] == [("àABC".upper() + " DEệ".upper() + " x\nABC ÀỆ DEF\n", 2)]
+    assert "_told" not in out.columns
