@@ -22,8 +22,11 @@ on the shingles themselves.
 Within a list, shared positional bytes are tallied for each pair, pairs under
 the minimum are left out, and the rest are verified on all bits. A pair counts
 in the first list only that it shares. A list writes a spanning forest of its
-links, the nearest first, never all its pairs; ``near_copies`` then takes all
-pairs that verified links have not brought together. Lists longer than ``LIST_ROWS`` are dealt
+links, the nearest first, never all its pairs; ``near_copies`` then compares all
+pairs that verified links have not brought together, in the tasks that hold the
+lists and with the shingles beside them, and writes a forest again. So a large
+group of texts that are nearly but not alike costs comparisons, but no rows.
+Lists longer than ``LIST_ROWS`` are dealt
 out as pairs of blocks, so that one task never holds more than two blocks of a
 hot list.
 """
@@ -46,7 +49,8 @@ from loamline.llm.components import components
 SHINGLE_WORDS = 4
 SEED = 42
 LIST_ROWS = 8192
-PORTION = 200_000  # links handed on at once
+LIST_SHINGLES = 1_000_000  # of all texts in a block of a list whose texts are compared
+PORTION = 200_000  # pairs compared at once
 SLICE_BYTES = 4_000_000
 SIMILARITY = 0.8
 SHORT = 50  # shingles; texts of up to SIMILARITY of this are linked through the prefix filter without loss
@@ -218,23 +222,111 @@ def _pairs_of(group: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
         yield at, lag
 
 
-def _across(key: np.ndarray, group: np.ndarray, fp: np.ndarray, index: Index, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (pairs of places), all of them, inside each run of equal ``group`` whose ends differ in ``label``, in portions."""
+def _open(key: np.ndarray, group: np.ndarray, fp: np.ndarray, index: Index, label: np.ndarray) -> np.ndarray:
+    """Places that have a link, inside their run of equal ``group``, to a place of another ``label``."""
     first = index.first_key()
-    found, n = [], 0
+    found = np.zeros(len(group), bool)
     for at, lag in _pairs_of(group):
-        near = at[label[at] != label[at + lag]]
+        near = at[(label[at] != label[at + lag]) & ~(found[at] & found[at + lag])]
         if len(near):
             near = _close(near, lag, key, fp, index, first, index.max_bits)
-            found.append((near, near + lag))
-            n += len(near)
-            if n > PORTION:
-                yield tuple(map(np.concatenate, zip(*found)))
-                found, n = [], 0
+            found[near] = found[near + lag] = True
+    return np.flatnonzero(found)
+
+
+def _across(pairs: Iterator[tuple[np.ndarray, np.ndarray]], label: np.ndarray, at: np.ndarray, shingles: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Of ``pairs`` of places those that are alike, a spanning forest over the labels; place i has ``shingles[at[i]:at[i + 1]]``."""
+    n = np.diff(at)
+    label = np.unique(label, return_inverse=True)[1]
+    values, ids = np.unique(shingles, return_inverse=True)
+    root, inside = np.arange(len(label)), np.zeros(len(values), bool)
+    for a, b in pairs:
+        fit = (np.minimum(n[a], n[b]) >= SIMILARITY * np.maximum(n[a], n[b]) - 1e-9) & (n[a] > 0) & (n[b] > 0)
+        a, b = a[fit], b[fit]
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        ends = [*np.flatnonzero(a[1:] != a[:-1]) + 1, len(a)] if len(a) else []
+        for begin, end in zip([0, *ends], ends):
+            i, others = a[begin], b[begin:end]
+            others = others[root[label[others]] != root[label[i]]]
+            if not len(others):
+                continue
+            own = ids[at[i] : at[i + 1]]
+            inside[own] = True
+            starts = np.cumsum(n[others]) - n[others]
+            places = np.repeat(at[others] - starts, n[others]) + np.arange(n[others].sum())
+            both = np.add.reduceat(inside[ids[places]], starts, dtype=np.int64)
+            inside[own] = False
+            for j in others[both >= SIMILARITY * (n[i] + n[others] - both) - 1e-9].tolist():
+                x, y = root[label[i]], root[label[j]]
+                if x != y:
+                    root[root == y] = x
+                    yield i, j
+
+
+def _in_portions(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    found, n = [], 0
+    for a, b in pairs:
+        found.append((a, b))
+        n += len(a)
+        if n > PORTION:
+            yield tuple(map(np.concatenate, zip(*found)))
+            found, n = [], 0
     if n:
         yield tuple(map(np.concatenate, zip(*found)))
 
 
+def _whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of sorted batches, in tables that hold whole runs of equal values in the first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        same = np.logical_and.reduce([c == c[-1] for c in columns])
+        cut = 0 if same.all() else len(same) - int(np.argmin(same[::-1]))
+        other = held and any(held[-1].column(i)[-1].as_py() != columns[i][0] for i in range(keys))
+        if cut or other:
+            yield pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks()
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _compared(key: list[str], index: Index | None):
+    """Verified links of lists: of rows ``*key, block, node, label, n, [fp0, ...], shingles`` that are sorted by list and block."""
+
+    def pairs(columns: dict[str, np.ndarray], group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        label = columns["label"]
+        if index:
+            numbers, first = columns[key[0]] >> 8 * len(index.keys[0]), index.first_key()
+            fp = np.ascontiguousarray(np.stack([columns[name] for name in _names(index.words)], 1)).view(np.uint64)
+        for at, lag in _pairs_of(group):
+            near = at[label[at] != label[at + lag]]
+            if index:
+                near = _close(near, lag, numbers, fp, index, first, index.max_bits) if len(near) else near
+            else:  # others meet in another list
+                x, y = columns["n"][near], columns["n"][near + lag]
+                near = near[(np.minimum(x, y) == columns["small"][near]) & (np.maximum(x, y) == columns["large"][near])]
+            if len(near):
+                yield near, near + lag
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_runs(batches, len(key) + 1):
+            columns = {name: rows.column(name).to_numpy() for name in rows.column_names if name != "shingles"}
+            sets = rows.column("shingles").chunk(0)
+            columns["n"] = np.diff(sets.offsets.to_numpy())
+            change = np.ones(rows.num_rows, bool)
+            change[1:] = np.logical_or.reduce([columns[k][1:] != columns[k][:-1] for k in (*key, "block")])
+            found = list(_across(_in_portions(pairs(columns, np.cumsum(change))), columns["label"], sets.offsets.to_numpy(), sets.values.to_numpy()))
+            found = np.array(found, np.int64).reshape(-1, 2)
+            node = columns["node"]
+            yield pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], names=["a", "b"])
+
+    return run
+
+
 def _links(index: Index, across: bool = False):
     shift = 8 * len(index.keys[0])
 
@@ -246,8 +338,11 @@ def _links(index: Index, across: bool = False):
             change = np.ones(len(key), bool)
             change[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
             lists = key >> shift, np.cumsum(change), np.ascontiguousarray(np.stack(fps, 1)).view(np.uint64), index
-            for a, b in _across(*lists, label) if across else [_forest(*lists)]:
-                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+            if across:
+                at = _open(*lists, label)
+                return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(node[at])], names=["key", "node"])
+            a, b = _forest(*lists)
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
         for b in batches:
             now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
@@ -258,10 +353,10 @@ def _links(index: Index, across: bool = False):
             same = (now[0] == now[0][-1]) & (now[1] == now[1][-1])
             cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
             if cut:
-                yield from out(*(x[:cut] for x in now))
+                yield out(*(x[:cut] for x in now))
             held = [x[cut:] for x in now]
         if held is not None and len(held[0]):
-            yield from out(*held)
+            yield out(*held)
 
     return run
 
@@ -273,8 +368,8 @@ def near_links(nodes: DataFrame, index: Index = EXACT, list_rows: int = LIST_ROW
     pair within its bits is in one component of the result. How long lists are
     is counted on a sixteenth of the nodes: this only decides how they are dealt.
 
-    Where nodes have a ``label``, the links are all those between nodes of
-    different labels instead.
+    Where nodes have a ``label``, the result is ``key, node`` instead: the nodes
+    of each list that have a link in it to a node of another label.
     """
     across = [c for c in nodes.columns if c == "label"]
     lists = _postings(nodes, index)
@@ -288,7 +383,7 @@ def near_links(nodes: DataFrame, index: Index = EXACT, list_rows: int = LIST_ROW
     )
     dealt = dealt.select("key", F.explode(pairs).alias("block"), "node", *across, *_names(index.words))
     dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block")
-    return dealt.mapInArrow(_links(index, bool(across)), "a long, b long")
+    return dealt.mapInArrow(_links(index, bool(across)), "key int, node long" if across else "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index = EXACT, words_in_shingle: int = SHINGLE_WORDS) -> DataFrame:
@@ -348,6 +443,25 @@ def prefix_lists(sets: DataFrame) -> DataFrame:
     return sized.where(needed <= n - F.col("i")).select("h", F.least(n, m).alias("small"), F.greatest(n, m).alias("large"), "node")
 
 
+def links_across(lists: DataFrame, key: list[str], sets: DataFrame, index: Index | None = None) -> DataFrame:
+    """``a, b``: links between nodes of different labels that every component of all such links inside the lists keeps.
+
+    ``lists(*key, node, label, n)`` hold the nodes of each list, with their
+    fingerprints under ``index``; ``n`` is about the size of their sets. Nodes
+    are compared on their ``sets`` inside the task that holds the list; long
+    lists are dealt out as pairs of blocks.
+    """
+    size = lists.groupBy(*key).agg(F.ceil(F.greatest(F.sum("n") / LIST_SHINGLES, F.count("*") / LIST_ROWS)).cast("int").alias("blocks"))
+    dealt = lists.join(small(settle(size.where("blocks > 1"), "hot")), key, "left")
+    own = F.pmod(F.hash("node"), F.col("blocks"))
+    pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o))
+    )
+    dealt = dealt.select(*key, F.explode(pairs).alias("block"), "node", "label", "n", *(_names(index.words) if index else ()))
+    dealt = bounded(dealt.join(sets.select("node", "shingles"), "node").select(*dealt.columns, "shingles"))
+    return dealt.repartition(*key, "block").sortWithinPartitions(*key, "block").mapInArrow(_compared(key, index), "a long, b long")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 5) -> DataFrame:
     """``doc_id, component_id``: one row for each row of ``docs``.
 
@@ -376,16 +490,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alike = first.where("alike").select("a", "b")
     label = components(alike).select(F.col("vertex").alias("node"), F.col("component").alias("label"))
     x = settle(lists.join(label, "node", "left").select(*key, "node", F.coalesce("label", "node").alias("label")), "labels")
-    y = x.select(*key, F.col("node").alias("other"), F.col("label").alias("other_label"))
-    across = x.join(y, key).where("node < other and label <> other_label").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    apart = x.join(x.groupBy(*key).agg((F.min("label") != F.max("label")).alias("apart")).where("apart").drop("apart"), key, "left_semi")
     near = nodes.join(proposed.select(F.col("a").alias("node")).union(proposed.select("b")).distinct(), "node", "left_semi").join(label, "node", "left")
-    near = settle(near.select("node", *names, F.coalesce("label", "node").alias("label")), "apart")
-    apart = near_links(near, index).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = verified(across.union(apart).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"), sets).where("alike").select("a", "b")
+    near = settle(near.select("node", *names, "n", F.coalesce("label", "node").alias("label")), "apart")
+    opened = settle(near_links(near.drop("n"), index).distinct().join(near, "node"), "opened")
+    second = settle(links_across(apart.withColumn("n", F.col("large")), key, sets).union(links_across(opened, ["key"], sets, index)), "second")
     roots = components(alike.union(second))
     named = nodes.join(roots.withColumnRenamed("vertex", "node"), "node", "left").select(*names, "n", "mark", F.coalesce("component", "node").alias("component_id"))
     found = settle(marks.join(named, [*names, "n", "mark"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")), "copies")
-    discard(marks, nodes, proposed, sets, lists, first, x, near)
+    discard(marks, nodes, proposed, sets, lists, first, x, near, opened, second)
     return found
 
 

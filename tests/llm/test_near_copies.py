@@ -85,3 +85,22 @@ def test_links_are_found_beside_nearer_ones_that_fail(spark, monkeypatch):
     docs = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
     assert all(got[i] == i // 2 * 2 for i in range(len(texts)))
+
+
+def test_a_group_that_is_nearly_alike_makes_no_rows_by_the_square(spark, monkeypatch):
+    """240 texts that share three quarters of their shingles, a few of them alike, in one task and dealt out in blocks."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    shared = list(rng.choice(vocabulary, 150))
+    texts = [" ".join(shared + list(rng.choice(vocabulary, 25))) for _ in range(240)]
+    texts += [t.rsplit(" ", 1)[0] + " end" for t in texts[::60]] + [" ".join(shared[:16] + list(rng.choice(vocabulary, 4))) for _ in range(60)]
+    want = _components([set(simhash.shingle_hashes(t, 5).tolist()) for t in texts])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    verified, rows = simhash.verified, []
+    monkeypatch.setattr(simhash, "verified", lambda pairs, sets: rows.append(pairs.count()) or verified(pairs, sets))
+    for shingles in (simhash.LIST_SHINGLES, 15000):
+        monkeypatch.setattr(simhash, "LIST_SHINGLES", shingles)
+        rows.clear()
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+        assert sum(rows) < 40 * len(texts) < 240 * 239 // 2
