@@ -131,7 +131,7 @@ def article_body(text: Column, number: Column) -> Column:
 
 
 #: Sizes of character blocks, largest first; a segment of 2 * size - 1 characters holds a whole block wherever it lies.
-BLOCKS = (8, 4, 2)
+BLOCKS = (16, 8, 4, 2)
 
 
 def candidate_pairs(claims: DataFrame, sources: DataFrame, claim: str, source: str, quote: str, text: str, declared: str | None = None) -> DataFrame:
@@ -141,16 +141,19 @@ def candidate_pairs(claims: DataFrame, sources: DataFrame, claim: str, source: s
     into consecutive blocks of characters; of a quote's longest segment every
     block of that size is taken that could be one of them. A source that holds
     the segment shares such a block, so no claim is lost and none meets every
-    source. A quote without any segment of three compact characters has no
-    candidates but the declared one. Repeated pairs come once.
+    source. A quote without any segment of three compact characters, or one too
+    short to be checked (``verify_claims`` calls it INVALID whatever a source
+    holds; its few letters are in most of them), has no candidates but the
+    declared one. Repeated pairs come once.
     """
     claims = claims.withColumn("_segments", quote_segments(F.col(quote)))
+    checked = claims.where(_long_enough(F.col("_segments")))
     segments = F.filter(F.transform("_segments", lambda s: _compact(F.lower(s))), lambda s: F.length(s) >= 2 * BLOCKS[-1] - 1)
     longest = F.get(F.array_sort(segments, lambda x, y: F.length(y) - F.length(x)), F.lit(0))
     size = None
     for k in BLOCKS:
         size = F.when(F.length("_s") >= 2 * k - 1, k) if size is None else size.when(F.length("_s") >= 2 * k - 1, k)
-    asked = claims.select(claim, longest.alias("_s")).where("_s is not null").withColumn("_k", size)
+    asked = checked.select(claim, longest.alias("_s")).where("_s is not null").withColumn("_k", size)
     asked = asked.select(claim, "_k", F.explode(F.transform(F.sequence(F.lit(1), F.col("_k")), lambda i: F.substring(F.col("_s"), i, F.col("_k")))).alias("_b")).distinct()
     had = None
     for k in sorted(r["_k"] for r in asked.select("_k").distinct().collect()):  # at most len(BLOCKS) rows

@@ -57,3 +57,15 @@ def test_claims_under_articles_and_without_sources(spark):
     want = {1: ("VERIFIED", "a"), 2: ("WRONG_ARTICLE", "b"), 3: ("VERIFIED", "c"), 4: ("WRONG_ARTICLE", "a"), 5: ("WRONG_ARTICLE", "a"), 6: ("VERIFIED", "a"), 7: invalid, 8: invalid, 9: invalid, 10: ("VERIFIED", "a")}
     assert got == want
     assert {r["id"]: r["verdict"] for r in citations.verify_claims(c, sources, pairs, "id", "source", "declared").collect()}[7] == "MISSING"
+
+
+def test_short_quotes_and_common_letters_meet_few_sources(spark):
+    texts = [(i, f"the committee on trade and foreign affairs number {i} of the committee on trade") for i in range(50)]
+    sources = spark.createDataFrame(texts, "source int, text string")
+    claims = spark.createDataFrame([(1, "committee", None), (2, "the committee on trade and domestic affairs", None), (3, "foreign affairs number 7 of the committee on trade", 9), (4, "number", 5)], "id int, quote string, declared int")
+    got = citations.candidate_pairs(claims, sources, "id", "source", "quote", "text", "declared")
+    pairs = sorted((r["id"], r["source"], r["declared"]) for r in got.collect())
+    assert [p for p in pairs if p[0] == 1] == [] and [p for p in pairs if p[0] == 4] == [(4, 5, True)]
+    assert (3, 7, False) in pairs and (3, 9, True) in pairs
+    checked = citations.verify_claims(claims.withColumn("article", F.lit(None).cast("string")), sources.withColumn("article", F.lit(None).cast("string")), got.withColumn("pos", F.col("source")), "id", "source")
+    assert {r["id"]: (r["verdict"], r["source"]) for r in checked.collect()} == {1: ("INVALID", None), 2: ("MISSING", None), 3: ("VERIFIED", 7), 4: ("INVALID", None)}
