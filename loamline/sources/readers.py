@@ -42,14 +42,18 @@ def sniff_delimiter(texts: DataFrame, text: str, ext: str | None = None) -> Data
 
 
 def parse_pipe_tables(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key, table, row, cells`` of Markdown pipe tables; separator rows are dropped, cells trimmed of blanks and backticks."""
-    ls = lines(df, [key], text).withColumn("_bar", F.trim("text").rlike(r"^\|.*\|$"))
-    w = Window.partitionBy(key).orderBy("line")
-    starts = F.col("_bar") & ~F.coalesce(F.lag("_bar").over(w), F.lit(False))
-    rows = ls.withColumn("_s", starts).withColumn("table", run_id(F.col("_s"), [key], "line")).where("_bar")
-    rows = rows.where(~F.trim("text").rlike(r"^\|[ :|-]+\|$"))
+    """``key, table, row, cells`` of Markdown pipe tables; separator rows are dropped, cells trimmed of blanks and backticks.
+
+    Each row of ``df`` is a text with its own ``key``, and its tables are found
+    inside that row, without a shuffle. A line outside tables becomes an empty
+    one; so tables are what empty lines set apart.
+    """
+    bars = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda l: F.when(F.trim(l).rlike(r"^\|.*\|$"), l).otherwise(""))
+    tables = df.select(key, F.posexplode(F.split(F.btrim(F.array_join(bars, "\n"), F.lit("\n")), "\n\n+", -1)).alias("_at", "_table")).where("_table <> ''")
+    rows = F.filter(F.split("_table", "\n", -1), lambda l: ~F.trim(l).rlike(r"^\|[ :|-]+\|$"))
+    found = tables.select(key, (F.col("_at") + 1).cast("long").alias("table"), F.posexplode(rows).alias("_row", "text"))
     cells = F.transform(F.split(F.regexp_replace(F.trim("text"), r"^\||\|$", ""), r"\|", -1), lambda c: F.regexp_replace(F.trim(c), "^`+|`+$", ""))
-    return rows.select(key, "table", F.row_number().over(Window.partitionBy(key, "table").orderBy("line")).alias("row"), cells.alias("cells"))
+    return found.select(key, "table", (F.col("_row") + 1).alias("row"), cells.alias("cells"))
 
 
 def split_sections(df: DataFrame, key: str, text: str = "text", marker: str = r"^(<!-- page \d+ -->|## Slide \d+|## Sheet .+|<!-- chapter .+ -->)$") -> DataFrame:
