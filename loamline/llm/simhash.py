@@ -23,9 +23,11 @@ Within a list, shared positional bytes are tallied for each pair, pairs under
 the minimum are left out, and the rest are verified on all bits. A pair counts
 in the first list only that it shares. A list writes a spanning forest of its
 links, the nearest first, never all its pairs; ``near_copies`` then compares all
-pairs that verified links have not brought together, in the tasks that hold the
-lists and with the shingles beside them, and writes a forest again. So a large
-group of texts that are nearly but not alike costs comparisons, but no rows.
+pairs that verified links have not brought together and writes a forest again.
+Texts that such pairs connect are a group, which meets once, with its shingles,
+and not in every list that they share. So a large group of texts that are nearly
+but not alike costs comparisons, but no rows. Only where a group is so sparse
+that its lists have far fewer pairs do its texts stay in them.
 Lists longer than ``LIST_ROWS`` are dealt
 out as pairs of blocks, so that one task never holds more than two blocks of a
 hot list.
@@ -51,6 +53,9 @@ SEED = 42
 LIST_ROWS = 8192
 LIST_SHINGLES = 1_000_000  # of all texts in a block of a list whose texts are compared
 PORTION = 200_000  # pairs compared at once
+ENTRY = 2000  # pairs of fingerprints that cost about as much as one more row with its shingles
+PART_ROWS = 64  # of a group, which is dealt out in blocks of this size, but at most PARTS of them for this reason
+PARTS = 32
 SLICE_BYTES = 4_000_000
 SIMILARITY = 0.8
 SHORT = 50  # shingles; texts of up to SIMILARITY of this are linked through the prefix filter without loss
@@ -172,27 +177,37 @@ def _postings(nodes: DataFrame, index: Index) -> DataFrame:
     return nodes.select(F.explode(F.array(*keys)).alias("key"), *_names(index.words), "node", *(c for c in nodes.columns if c == "label"))
 
 
-def _close(at: np.ndarray, lag: int, key: np.ndarray, fp: np.ndarray, index: Index, first: np.ndarray, bits: int) -> np.ndarray:
-    """Those of places ``at`` that are within ``bits`` of the place ``lag`` further on and share no list before this one; ``key`` numbers the index's keys."""
+def _close(at: np.ndarray, lag: int, key: np.ndarray | None, fp: np.ndarray, index: Index, first: np.ndarray, bits: int) -> np.ndarray:
+    """Those of places ``at`` that are within ``bits`` of the place ``lag`` further on and share no list before this one; ``key`` numbers the index's keys.
+
+    Without ``key`` they may share any list.
+    """
     x = fp[at] ^ fp[at + lag]
     keep = np.flatnonzero(np.bitwise_count(x).sum(1) <= bits)
     equal = np.packbits(x[keep].view(np.uint8).reshape(-1, 8) == 0, axis=1, bitorder="little").reshape(-1, index.words)
     enough = np.bitwise_count(equal).sum(1) >= index.min_matches
     keep, equal = keep[enough], equal[enough]
     inside = first[equal]
+    if key is None:
+        return at[keep[(inside != 255).any(1)]]
     word = (inside != 255).argmax(1)
     shared = word * len(index.keys) + inside[np.arange(len(keep)), word]
     return at[keep[shared == key[at[keep]]]]
 
 
-def _forest(key: np.ndarray, group: np.ndarray, fp: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
-    """Links (pairs of places) of a spanning forest of the links inside each run of equal ``group``, those of fewer bits first."""
+def _forest(key: np.ndarray, group: np.ndarray, fp: np.ndarray, index: Index, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest of the links inside each run of equal ``group``, those of fewer bits first: pairs of places, and the smallest place of each one's tree.
+
+    With ``label`` only links between different labels count, in any order.
+    """
     first = index.first_key()
     root = np.arange(len(fp))
     found: list[tuple[int, int]] = []
-    for bits in (*index.nearer, index.max_bits):
+    for bits in (*(index.nearer if label is None else ()), index.max_bits):
         for at, lag in _pairs_of(group):
             near = at[root[at] != root[at + lag]]
+            if label is not None:
+                near = near[label[near] != label[near + lag]]
             for i in _close(near, lag, key, fp, index, first, bits).tolist() if len(near) else ():
                 a, b = i, i + lag
                 while root[a] != a:
@@ -207,7 +222,7 @@ def _forest(key: np.ndarray, group: np.ndarray, fp: np.ndarray, index: Index) ->
             while ((up := root[root]) != root).any():
                 root = up
     pairs = np.array(found, np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
+    return pairs[:, 0], pairs[:, 1], root
 
 
 def _pairs_of(group: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
@@ -222,18 +237,6 @@ def _pairs_of(group: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
         yield at, lag
 
 
-def _open(key: np.ndarray, group: np.ndarray, fp: np.ndarray, index: Index, label: np.ndarray) -> np.ndarray:
-    """Places that have a link, inside their run of equal ``group``, to a place of another ``label``."""
-    first = index.first_key()
-    found = np.zeros(len(group), bool)
-    for at, lag in _pairs_of(group):
-        near = at[(label[at] != label[at + lag]) & ~(found[at] & found[at + lag])]
-        if len(near):
-            near = _close(near, lag, key, fp, index, first, index.max_bits)
-            found[near] = found[near + lag] = True
-    return np.flatnonzero(found)
-
-
 def _across(pairs: Iterator[tuple[np.ndarray, np.ndarray]], label: np.ndarray, at: np.ndarray, shingles: np.ndarray) -> Iterator[tuple[int, int]]:
     """Of ``pairs`` of places those that are alike, a spanning forest over the labels; place i has ``shingles[at[i]:at[i + 1]]``."""
     n = np.diff(at)
@@ -294,20 +297,21 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _compared(key: list[str], index: Index | None):
-    """Verified links of lists: of rows ``*key, block, node, label, n, [fp0, ...], shingles`` that are sorted by list and block."""
+def _compared(key: list[str], index: Index | None, whole: bool):
+    """Verified links of lists: of rows ``*key, block, side, node, label, n, [fp0, ...], shingles`` that are sorted by list and block."""
 
     def pairs(columns: dict[str, np.ndarray], group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        label = columns["label"]
+        label, side, n = columns["label"], columns["side"], columns["n"]
         if index:
-            numbers, first = columns[key[0]] >> 8 * len(index.keys[0]), index.first_key()
+            numbers, first = None if whole else columns[key[0]] >> 8 * len(index.keys[0]), index.first_key()
             fp = np.ascontiguousarray(np.stack([columns[name] for name in _names(index.words)], 1)).view(np.uint64)
         for at, lag in _pairs_of(group):
-            near = at[label[at] != label[at + lag]]
+            near = at[(label[at] != label[at + lag]) & ((side[at] != side[at + lag]) | (side[at] == 0))]
             if index:
-                near = _close(near, lag, numbers, fp, index, first, index.max_bits) if len(near) else near
+                close = _close(near, lag, numbers, fp, index, first, index.max_bits) if len(near) else near
+                near = np.union1d(close, near[(n[near] <= SHORT) & (n[near + lag] <= SHORT)]) if whole else close
             else:  # others meet in another list
-                x, y = columns["n"][near], columns["n"][near + lag]
+                x, y = n[near], n[near + lag]
                 near = near[(np.minimum(x, y) == columns["small"][near]) & (np.maximum(x, y) == columns["large"][near])]
             if len(near):
                 yield near, near + lag
@@ -338,10 +342,11 @@ def _links(index: Index, across: bool = False):
             change = np.ones(len(key), bool)
             change[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
             lists = key >> shift, np.cumsum(change), np.ascontiguousarray(np.stack(fps, 1)).view(np.uint64), index
+            a, b, root = _forest(*lists, label)
             if across:
-                at = _open(*lists, label)
-                return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(node[at])], names=["key", "node"])
-            a, b = _forest(*lists)
+                at = np.unique(np.concatenate([a, b]))
+                head, size = root[at], np.bincount(root[at], minlength=1)
+                return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(node[at]), pa.array(node[head]), pa.array(size[head])], names=["key", "node", "head", "c"])
             return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
         for b in batches:
@@ -368,8 +373,9 @@ def near_links(nodes: DataFrame, index: Index = EXACT, list_rows: int = LIST_ROW
     pair within its bits is in one component of the result. How long lists are
     is counted on a sixteenth of the nodes: this only decides how they are dealt.
 
-    Where nodes have a ``label``, the result is ``key, node`` instead: the nodes
-    of each list that have a link in it to a node of another label.
+    Where nodes have a ``label``, the result is ``key, node, head, c`` instead:
+    the nodes of each list that have a link in it to a node of another label, a
+    node that such links connect them with, and how many these connect.
     """
     across = [c for c in nodes.columns if c == "label"]
     lists = _postings(nodes, index)
@@ -383,7 +389,7 @@ def near_links(nodes: DataFrame, index: Index = EXACT, list_rows: int = LIST_ROW
     )
     dealt = dealt.select("key", F.explode(pairs).alias("block"), "node", *across, *_names(index.words))
     dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block")
-    return dealt.mapInArrow(_links(index, bool(across)), "key int, node long" if across else "a long, b long")
+    return dealt.mapInArrow(_links(index, bool(across)), "key int, node long, head long, c long" if across else "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index = EXACT, words_in_shingle: int = SHINGLE_WORDS) -> DataFrame:
@@ -443,23 +449,27 @@ def prefix_lists(sets: DataFrame) -> DataFrame:
     return sized.where(needed <= n - F.col("i")).select("h", F.least(n, m).alias("small"), F.greatest(n, m).alias("large"), "node")
 
 
-def links_across(lists: DataFrame, key: list[str], sets: DataFrame, index: Index | None = None) -> DataFrame:
+def links_across(lists: DataFrame, key: list[str], sets: DataFrame, index: Index | None = None, whole: bool = False) -> DataFrame:
     """``a, b``: links between nodes of different labels that every component of all such links inside the lists keeps.
 
     ``lists(*key, node, label, n)`` hold the nodes of each list, with their
-    fingerprints under ``index``; ``n`` is about the size of their sets. Nodes
-    are compared on their ``sets`` inside the task that holds the list; long
-    lists are dealt out as pairs of blocks.
+    fingerprints under ``index``; ``n`` is about the size of their sets. A
+    ``whole`` list stands for all lists that its nodes share, of both kinds.
+    Nodes are compared on their ``sets`` inside the task that holds the list;
+    long lists are dealt out as pairs of blocks, whole ones for many tasks.
     """
-    size = lists.groupBy(*key).agg(F.ceil(F.greatest(F.sum("n") / LIST_SHINGLES, F.count("*") / LIST_ROWS)).cast("int").alias("blocks"))
-    dealt = lists.join(small(settle(size.where("blocks > 1"), "hot")), key, "left")
-    own = F.pmod(F.hash("node"), F.col("blocks"))
-    pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o))
+    rows = F.count("*")
+    blocks = F.greatest(F.sum("n") / LIST_SHINGLES, rows / LIST_ROWS, *((F.least(rows / PART_ROWS, F.lit(float(PARTS))),) if whole else ()))
+    size = lists.groupBy(*key).agg(F.ceil(blocks).cast("int").alias("blocks"))
+    dealt = lists.join(small(settle(size.where("blocks > 1"), "hot")), key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own, count = F.pmod(F.hash("node"), F.col("blocks")), F.col("blocks")
+    # Nodes of one block are compared where it is paired with itself (side 0).
+    units = F.transform(
+        F.sequence(F.lit(0), count - 1), lambda o: F.struct((F.least(own, o) * count + F.greatest(own, o)).alias("block"), F.when(own == o, 0).when(own < o, 1).otherwise(2).alias("side"))
     )
-    dealt = dealt.select(*key, F.explode(pairs).alias("block"), "node", "label", "n", *(_names(index.words) if index else ()))
-    dealt = bounded(dealt.join(sets.select("node", "shingles"), "node").select(*dealt.columns, "shingles"))
-    return dealt.repartition(*key, "block").sortWithinPartitions(*key, "block").mapInArrow(_compared(key, index), "a long, b long")
+    once = dealt.join(sets.select("node", "shingles"), "node").select("*", F.explode(units).alias("unit"))
+    dealt = bounded(once.select(*key, "unit.block", "unit.side", "node", "label", "n", *(_names(index.words) if index else ()), "shingles"))
+    return dealt.repartition(*key, "block").sortWithinPartitions(*key, "block").mapInArrow(_compared(key, index, whole), "a long, b long")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 5) -> DataFrame:
@@ -471,8 +481,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked. Every link is verified on the shingles. Fingerprints propose a
     spanning forest of each list, nearest pairs first, and for short texts the
     heads of the prefix lists are tried; then all pairs of a list that have not
-    come together: so no link between texts that share a list is lost. Rows
-    with a null id have a null component.
+    come together: so no link between texts that share a list is lost. The texts
+    that such pairs connect are compared as one group, unless its lists have far
+    fewer pairs. Rows with a null id have a null component.
     """
     index = SIMILAR
     names = _names(index.words)
@@ -484,21 +495,35 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = ["h", "small", "large"]
     lists = prefix_lists(sets.where(F.size("shingles").between(1, SHORT)))
     heads = lists.groupBy(*key).agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1")
-    lists = settle(lists.join(heads, key).select(*key, "a", "node"), "lists")
+    lists = settle(lists.join(heads, key).select(*key, "a", "c", "node"), "lists")
     stars = lists.where("a <> node").select("a", F.col("node").alias("b"))
     first = settle(verified(proposed.union(stars).distinct(), sets), "verified")
     alike = first.where("alike").select("a", "b")
     label = components(alike).select(F.col("vertex").alias("node"), F.col("component").alias("label"))
-    x = settle(lists.join(label, "node", "left").select(*key, "node", F.coalesce("label", "node").alias("label")), "labels")
+    x = settle(lists.join(label, "node", "left").select(*key, "node", "a", "c", F.coalesce("label", "node").alias("label")), "labels")
     apart = x.join(x.groupBy(*key).agg((F.min("label") != F.max("label")).alias("apart")).where("apart").drop("apart"), key, "left_semi")
     near = nodes.join(proposed.select(F.col("a").alias("node")).union(proposed.select("b")).distinct(), "node", "left_semi").join(label, "node", "left")
-    near = settle(near.select("node", *names, "n", F.coalesce("label", "node").alias("label")), "apart")
-    opened = settle(near_links(near.drop("n"), index).distinct().join(near, "node"), "opened")
-    second = settle(links_across(apart.withColumn("n", F.col("large")), key, sets).union(links_across(opened, ["key"], sets, index)), "second")
+    near = settle(near.select("node", *names, F.coalesce("label", "node").alias("label")), "apart")
+    none = [F.lit(0).alias(k) for k in key]
+    entries = near_links(near, index).select("key", *none, "node", "head", "c").union(apart.select(F.lit(-1).alias("key"), *key, "node", F.col("a").alias("head"), "c"))
+    entries = settle(entries, "entries")
+    cost = entries.groupBy("node").agg(F.sum(F.col("c") + ENTRY).alias("cost"))
+    group = components(entries.select(F.col("head").alias("a"), F.col("node").alias("b"))).select(F.col("vertex").alias("node"), F.col("component").alias("together"))
+    group = settle(cost.join(group, "node"), "groups")
+    dense = group.groupBy("together").agg((F.count("*") * F.count("*") <= F.sum("cost")).alias("dense"))
+    opened = group.join(dense, "together").join(nodes, "node").join(label, "node", "left")
+    opened = settle(opened.select("node", "together", "dense", *names, "n", F.coalesce("label", "node").alias("label")), "opened")
+    second = links_across(opened.where("dense"), ["together"], sets, index, True)
+    sparse = opened.where("not dense")
+    if not sparse.isEmpty():
+        second = second.union(links_across(entries.where("key >= 0").select("key", "node").distinct().join(sparse, "node"), ["key"], sets, index))
+        short = entries.where("key < 0").select(*key, "node").distinct().join(sparse.drop("n"), "node")
+        second = second.union(links_across(short.withColumn("n", F.col("large")), key, sets))
+    second = settle(second, "second")
     roots = components(alike.union(second))
     named = nodes.join(roots.withColumnRenamed("vertex", "node"), "node", "left").select(*names, "n", "mark", F.coalesce("component", "node").alias("component_id"))
     found = settle(marks.join(named, [*names, "n", "mark"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")), "copies")
-    discard(marks, nodes, proposed, sets, lists, first, x, near, opened, second)
+    discard(marks, nodes, proposed, sets, lists, first, x, near, entries, group, opened, second)
     return found
 
 

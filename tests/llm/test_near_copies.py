@@ -104,3 +104,34 @@ def test_a_group_that_is_nearly_alike_makes_no_rows_by_the_square(spark, monkeyp
         got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
         assert [got[i] for i in range(len(texts))] == want
         assert sum(rows) < 40 * len(texts) < 240 * 239 // 2
+
+
+def test_a_group_sends_each_text_once_not_to_every_list(spark, monkeypatch):
+    """240 long texts and 60 short ones that are nearly alike, compared whole, dealt out in blocks and in their lists."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    shared = list(rng.choice(vocabulary, 150))
+    texts = [" ".join(shared + list(rng.choice(vocabulary, 25))) for _ in range(240)]
+    texts += [t.rsplit(" ", 1)[0] + " end" for t in texts[::60]] + [" ".join(shared[:16] + list(rng.choice(vocabulary, 4))) for _ in range(60)]
+    texts += [t.rsplit(" ", 1)[0] + " end" for t in texts[250::10]]
+    want = _components([set(simhash.shingle_hashes(t, 5).tolist()) for t in texts])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bounded, rows = simhash.bounded, []
+
+    def counted(df):
+        if "shingles" in df.columns:
+            rows.append(df.count())
+        return bounded(df)
+
+    monkeypatch.setattr(simhash, "bounded", counted)
+    found = {}
+    for part_rows, entry in ((1000, 2000), (20, 2000), (1000, -(10**9))):
+        monkeypatch.setattr(simhash, "PART_ROWS", part_rows, raising=False)
+        monkeypatch.setattr(simhash, "ENTRY", entry, raising=False)
+        rows.clear()
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+        found[part_rows, entry > 0] = sum(rows)
+    assert 0 < found[1000, True] <= len(texts)
+    assert found[1000, True] < found[20, True] <= simhash.PARTS * len(texts)
+    assert found[1000, False] > 4 * len(texts)
