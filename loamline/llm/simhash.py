@@ -345,8 +345,10 @@ def _links(index: Index, across: bool = False):
             a, b, root = _forest(*lists, label)
             if across:
                 at = np.unique(np.concatenate([a, b]))
-                head, size = root[at], np.bincount(root[at], minlength=1)
-                return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(node[at]), pa.array(node[head]), pa.array(size[head])], names=["key", "node", "head", "c"])
+                tree, size = root[at], np.bincount(root[at], minlength=1)
+                head = node.copy()  # the smallest node, so that lists share their heads
+                np.minimum.at(head, tree, node[at])
+                return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(node[at]), pa.array(head[tree]), pa.array(size[tree])], names=["key", "node", "head", "c"])
             return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
         for b in batches:
